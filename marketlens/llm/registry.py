@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prefix_bpe
+from . import prefix_bpe, quality_rules, url_filter
+
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -16,6 +24,10 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return docs.select(*columns) if columns else docs
 
 
+def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = prefix_bpe.encode_documents(_docs(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -28,7 +40,13 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang")).drop("text", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_redirect_equivalence": op5_redirect_equivalence,
     "op7_prefix_bpe": op7_prefix_bpe,
+    "op10_divergence": op10_divergence,
 }
 ORACLES: dict[str, str] = {}
