@@ -51,7 +51,7 @@ class _Memory:
 class LineChunks:
     """For encoders that join a space with the word after it. ``encode_many`` gives each string's ids as bytes."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 250_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 150_000):
         self.many = encode_many
         self.heads, self.tails = _Memory(size), _Memory(size)
         self.newline = encode_many(["\n"])[0]
@@ -82,7 +82,7 @@ class LineChunks:
 class WordChunks:
     """For encoders that drop white space: every word stands alone."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 300_000):
         self.many, self.memory = encode_many, _Memory(size)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

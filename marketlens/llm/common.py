@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,10 +66,12 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterable[str]:
-    """The texts of an Arrow column, one by one; null as empty."""
-    for x in column:
-        yield x.as_py() or ""
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices in which ``column`` takes about ``size`` bytes: bounds what a Python worker unpacks."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.column(column).nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

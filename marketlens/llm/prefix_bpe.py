@@ -9,7 +9,6 @@ re-encode only from its start until the stored tokens agree again.
 from __future__ import annotations
 
 import base64
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import LineChunks
+from .common import small_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -28,18 +28,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PrefixBPE:
-    """Encoder of single pieces. ``memo`` bounds the remembered pairs; forgetting them never changes a result."""
+    """Encoder of single pieces. ``memo`` bounds what is remembered of pairs and of prefixes; forgetting it never
+    changes a result."""
 
-    def __init__(self, ranks: dict[bytes, int], memo: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], memo: int = 400_000):
         self.ranks, self.memo = ranks, memo
-        self.lengths = sorted({len(t) for t in ranks}, reverse=True)
-        self.longest = self.lengths[0]
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.longest = max(map(len, ranks))
+        self._pairs: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
-
-    @cached_property
-    def tokens(self) -> dict[int, bytes]:
-        return {r: t for t, r in self.ranks.items()}
+        self._known: dict[bytes, int] = {}
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.tokens[r] = t
+        #: The lengths of the tokens that end in a given pair of bytes, longest first; single bytes come last.
+        ends: dict[bytes, set[int]] = {}
+        for t in ranks:
+            if len(t) > 1:
+                ends.setdefault(t[-2:], set()).add(len(t))
+        self._ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding by repeated merging of the lowest-ranked neighbours; only for short inputs and tests."""
@@ -60,23 +66,31 @@ class PrefixBPE:
             ok = self._own[token] = self.merge(data) == [token]
         return ok
 
-    def _is_pair(self, left: int, right: int, right_bytes: bytes) -> bool:
-        if (ok := self._pairs.get((left, right))) is None:
-            if len(self._pairs) >= self.memo:
-                self._pairs.clear()
-            ok = self._pairs[left, right] = self.merge(self.tokens[left] + right_bytes) == [left, right]
+    def _is_pair(self, left: int, right: int) -> bool:
+        ok = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        if len(self._pairs) >= self.memo:
+            self._pairs.clear()
+        self._pairs[left << 32 | right] = ok
         return ok
 
     def _last(self, data: bytes, last: list[int], end: int) -> int:
         """The last token of the encoding of ``data[:end]``, given those of all shorter prefixes."""
-        ranks = self.ranks
-        for n in self.lengths:
+        ranks, pairs = self.ranks, self._pairs
+        for n in self._ends.get(data[end - 2 : end], ()) if end > 1 else ():
             if n > end:
                 continue
             token = ranks.get(part := data[end - n : end])
-            if token is not None and (self._is_own(token, part) if n == end else self._is_pair(last[end - n], token, part)):
+            if token is None:
+                continue
+            if n == end:
+                if self._is_own(token, part):
+                    return token
+                continue
+            before = last[end - n]
+            ok = pairs.get(before << 32 | token)
+            if ok or (ok is None and self._is_pair(before, token)):
                 return token
-        raise ValueError("the ranks do not hold every single byte")
+        return ranks[data[end - 1 : end]]
 
     def prefixes(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """The last token of each prefix (index = length; index 0 unused). ``last`` holds those already known."""
@@ -85,6 +99,22 @@ class PrefixBPE:
             last.append(self._last(data, last, end))
         return last
 
+    def _shared(self, data: bytes) -> list[int]:
+        """``prefixes(data)`` for a word, with the prefixes that other words had taken from memory."""
+        known, last, n = self._known, [-1], len(data)
+        for end in range(1, n + 1):
+            token = known.get(data[:end])
+            if token is None:
+                break
+            last.append(token)
+        if len(known) >= self.memo:
+            known.clear()
+        for end in range(len(last), n + 1):
+            token = self._last(data, last, end)
+            last.append(token)
+            known[data[:end]] = token
+        return last
+
     def walk(self, last: list[int], end: int | None = None) -> list[int]:
         """The tokens of a prefix, read back from its last token."""
         out, end, tokens = [], len(last) - 1 if end is None else end, self.tokens
@@ -95,7 +125,7 @@ class PrefixBPE:
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.walk(self.prefixes(data))
+        return [whole] if whole is not None else self.walk(self._shared(data) if len(data) <= 32 else self.prefixes(data))
 
     def edit(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
         """``data[start:stop]`` replaced by ``new``: the new bytes and prefix table. Only prefixes from the edit until the
@@ -197,8 +227,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
             return [np.array(encoder.encode_text(p), "<u4").tobytes() for p in parts]
 
         chunks = LineChunks(many)
-        for batch in batches:
-            parts = chunks.encode([x.as_py() for x in batch.column(text)])
+        for batch in small_batches(batches, text):
+            parts = chunks.encode(batch.column(text).to_pylist())
             ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), values)], names=[*keep, ids])
@@ -215,9 +245,14 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids", out:
     schema = _with(encoded.select(*keep).schema, out, T.BinaryType())
 
     def run(batches):
-        tokens = {r: t for t, r in read_ranks(ranks_path).items()}
-        for batch in batches:
-            made = [None if x is None else b"".join([tokens[i] for i in x]) for x in batch.column(ids).to_pylist()]
+        tokens = PrefixBPE(read_ranks(ranks_path)).tokens
+        for batch in small_batches(batches, ids):
+            column = batch.column(ids)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+            if len(values) and not (0 <= values.min() and values.max() < len(tokens)):
+                raise KeyError("an id is outside the vocabulary")
+            rows = (values[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
+            made = [b"".join([tokens[i] for i in row]) if ok else None for row, ok in zip(rows, column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.binary())], names=[*keep, out])
 
     return encoded.select(*keep).mapInArrow(run, schema)
