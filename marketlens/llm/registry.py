@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prefix_bpe, quality_rules, url_filter
+from . import jaccard_join, prefix_bpe, quality_rules, url_filter
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -40,6 +40,10 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang")).drop("text", "lang")
 
@@ -47,6 +51,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_redirect_equivalence": op5_redirect_equivalence,
     "op7_prefix_bpe": op7_prefix_bpe,
+    "op9_count_rtree_join": op9_count_rtree_join,
     "op10_divergence": op10_divergence,
 }
 ORACLES: dict[str, str] = {}
