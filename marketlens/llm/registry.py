@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, prefix_bpe, quality_rules, url_filter
+from . import jaccard_join, ppm, prefix_bpe, quality_rules, url_filter
+from .common import crc_of_id
 
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -24,6 +25,10 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return docs.select(*columns) if columns else docs
 
 
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_docs(spark, sf_dir, "doc_id", "text"), crc_of_id() % 7 != 2)
+
+
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
@@ -49,6 +54,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm_score": op1_ppm_score,
     "op5_redirect_equivalence": op5_redirect_equivalence,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op9_count_rtree_join": op9_count_rtree_join,
