@@ -10,8 +10,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-#: Where a space or line end has white space beside it, or begins or ends the text.
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
+#: White space other than the space and the line end.
+_OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def uneven(text: str) -> bool:
+    """Whether white space other than single spaces and line ends between words is in the text."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return any(c in text for c in (_OTHER if text.isascii() else _OTHER + _OTHER_WIDE))
 
 
 def _groups(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str]]:
@@ -34,17 +42,19 @@ class _Memory:
         self.size, self.young, self.old = size, {}, {}
 
     def get(self, words: list[str], missing: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = [young.get(w) for w in words]
-        if None in out:
-            new = list(dict.fromkeys(w for w, v in zip(words, out, strict=True) if v is None))
-            known = {w: old[w] for w in new if w in old}
-            new = [w for w in new if w not in known]
-            known.update(zip(new, missing(new) if new else [], strict=True))
-            out = [known[w] if v is None else v for w, v in zip(words, out, strict=True)]
-            if len(young) + len(known) > self.size:
-                self.old, self.young = young, {}
-            self.young.update(known)
+        find, old = self.young.get, self.old
+        out = [find(w) for w in words]
+        if gaps := [i for i, v in enumerate(out) if v is None]:
+            new = dict.fromkeys([words[i] for i in gaps])
+            for w in new:
+                new[w] = old.get(w)
+            if unknown := [w for w, v in new.items() if v is None]:
+                new.update(zip(unknown, missing(unknown), strict=True))
+            for i in gaps:
+                out[i] = new[words[i]]
+            if len(self.young) + len(new) > self.size:
+                self.old, self.young = self.young, {}
+            self.young.update(new)
         return out
 
 
@@ -60,13 +70,13 @@ class LineChunks:
         return [x for some in _groups(texts) for x in self._some(some)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _UNEVEN.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cut = [None if not t or uneven(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         heads = iter(self.heads.get([x[0] for lines in cut if lines for x in lines], self.many))
         tails = self.tails.get([w for lines in cut if lines for x in lines for w in x[1:]], lambda new: self.many([" " + w for w in new]))
         out, at = [], 0
         for text, lines in zip(texts, cut, strict=True):
             if lines is None:
-                out.append(self.many([text])[0])
+                out.append(self.many([text])[0] if text else b"")
                 continue
             parts = []
             for x in lines:
@@ -97,11 +107,17 @@ class WordChunks:
         return out
 
 
+#: One composed Latin word, maybe with a space before it and signs (none of them an apostrophe) after it.
+_SIMPLE = re.compile(r"""( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?|*%$&#"()\-]*)""")
+#: How byte-level vocabularies spell the bytes that have no printable sign: by the code points from 256 on.
+_SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library as little-endian unsigned 32-bit integers; special strings are ordinary text.
 
     Short parts go through the library's own normaliser, pre-tokenizer and merges one after the other, which gives the
-    ids of a full encoding without the offsets that it computes; a part of ASCII letters needs the merges only.
+    ids of a full encoding without the offsets that it computes; a Latin word with signs after it needs the merges only.
     """
 
     def __init__(self, path: str, lower: bool, space: str = ""):
@@ -115,22 +131,41 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.signs: dict[str, list[int]] = {}
         self.lower, self.space, self.pack = lower, space, lambda ids: np.array(ids, "<u4").tobytes()
 
     def __call__(self, parts: list[str]) -> list[bytes]:
         return [self.pack(self.ids(p)) for p in parts]
 
     def ids(self, part: str) -> list[int]:
-        merge, space, tokenizer = self.tokenizer.model.tokenize, self.space, self.tokenizer
+        tokenizer = self.tokenizer
         if len(part) > 1000:
             return tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids
-        if part.isascii():
-            word = part[1:] if part[:1] == " " and space else part
-            if word.isalpha():
-                return [t.id for t in merge((space if word is not part else "") + (word.lower() if self.lower else word))]
+        if simple := _SIMPLE.fullmatch(part):
+            space, word, signs = simple.groups()
+            found = [t.id for t in tokenizer.model.tokenize((self.space if space else "") + self.spelt(word))]
+            return found + self.after(signs) if signs else found
+        return self.whole(part)
+
+    def whole(self, part: str) -> list[int]:
+        """The ids of any part."""
+        tokenizer = self.tokenizer
         if tokenizer.normalizer:
             part = tokenizer.normalizer.normalize_str(part)
-        return [t.id for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(part) for t in merge(piece)]
+        return [t.id for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(part) for t in tokenizer.model.tokenize(piece)]
+
+    def spelt(self, word: str) -> str:
+        """A word of Latin letters as the vocabulary spells its bytes."""
+        if self.lower:
+            word = word.lower()
+        return word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
+
+    def after(self, signs: str) -> list[int]:
+        if (found := self.signs.get(signs)) is None:
+            found = self.signs[signs] = self.whole(signs)
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+        return found
 
 
 def byte_level(path: str) -> LineChunks:
