@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, ppm, prefix_bpe, quality_rules, url_filter
+from . import boosted_trees, jaccard_join, packing, ppm, prefix_bpe, quality_rules, url_filter
 from .common import crc_of_id
 
 URL_RULES = [
@@ -29,6 +29,11 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_docs(spark, sf_dir, "doc_id", "text"), crc_of_id() % 7 != 2)
 
 
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_docs(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
@@ -45,6 +50,12 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, "doc_id", "text")
+    forest = boosted_trees.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_of_id() % 5 != 0)
+    return boosted_trees.classify(docs, forest).select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_docs(spark, sf_dir, "doc_id", "text"))
 
@@ -55,8 +66,10 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_score": op1_ppm_score,
+    "op3_best_two_fit": op3_best_two_fit,
     "op5_redirect_equivalence": op5_redirect_equivalence,
     "op7_prefix_bpe": op7_prefix_bpe,
+    "op8_boosted_trees": op8_boosted_trees,
     "op9_count_rtree_join": op9_count_rtree_join,
     "op10_divergence": op10_divergence,
 }
