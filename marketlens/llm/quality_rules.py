@@ -172,4 +172,7 @@ def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
     limit = limits.word_distance + limits.word_scatter / F.sqrt("n_words")
     near = ~F.coalesce(F.col("char_distance") > limits.char_distance, F.lit(False)) & ~F.coalesce(F.col("word_distance") > limit, F.lit(False))
     df = df.withColumn("kept", ~F.col("base_failed") & near)
-    return df.select(*plain.columns, *new)
+    # behind a generator, so that a filter on a measure is not pushed down with a copy of all that it is made of
+    all_ = free_name(plain, "_measures")
+    df = df.select(*plain.columns, F.explode(F.array(F.struct(*new))).alias(all_))
+    return df.select(*plain.columns, *[F.col(f"{all_}.{c}").alias(c) for c in new])
