@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted_trees, jaccard_join, packing, ppm, prefix_bpe, quality_rules, url_filter
+from . import bloom_lookup, boosted_trees, jaccard_join, packing, ppm, prefix_bpe, quality_rules, url_filter
 from .common import crc_of_id
 
 URL_RULES = [
@@ -34,6 +34,11 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bloom_lookup.fingerprint_versions(_docs(spark, sf_dir, "doc_id", "text"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
@@ -67,6 +72,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_score": op1_ppm_score,
     "op3_best_two_fit": op3_best_two_fit,
+    "op4_bloom_lookup": op4_bloom_lookup,
     "op5_redirect_equivalence": op5_redirect_equivalence,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_boosted_trees": op8_boosted_trees,
