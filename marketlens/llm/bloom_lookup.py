@@ -3,7 +3,7 @@
 A text is cut into paragraphs, each hashed to a digest, and every digest is added to three cells of a small table that
 keep a count, the exclusive or of the digests and that of their check sums. Subtracting two tables leaves what the texts
 do not share, and peeling cells that hold a single digest recovers those digests. Where a table is too small for the
-difference, both are built again four times as large.
+difference, both are built again larger.
 """
 
 from __future__ import annotations
@@ -42,12 +42,13 @@ def paragraphs(text: str, longest: int = 120) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """A 64-bit digest for each paragraph; the k-th of equal paragraphs is hashed with k, so repeats count."""
+    """A 64-bit digest for each paragraph; a repeated one is hashed with its number, so repeats count."""
     seen: dict[str, int] = {}
     out = []
     for p in paragraphs(text):
         k = seen[p] = seen.get(p, -1) + 1
-        out.append(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), seed=k))
+        data = p.encode("utf-8", "surrogatepass")
+        out.append(xxhash.xxh64_intdigest(data + b"\x00%d" % k if k else data))
     return np.array(out, _U)
 
 
@@ -61,12 +62,11 @@ class LookupTable:
 
     def _add(self, found: np.ndarray, sign: int | np.ndarray) -> None:
         third = self.cells // 3
-        check = _mixed(found, 99)
-        for k in range(3):
-            at = (_mixed(found, self.cells * 4 + k) % _U(third)).astype(np.int64) + k * third
-            np.add.at(self.counts, at, sign)
-            np.bitwise_xor.at(self.keys, at, found)
-            np.bitwise_xor.at(self.checks, at, check)
+        salts = np.array([[self.cells * 4 + k] for k in range(3)], _U) * _U(0x9E3779B97F4A7C15)
+        at = (_mixed(found ^ salts, 7) % _U(third)).astype(np.int64) + np.array([[0], [third], [2 * third]])
+        np.add.at(self.counts, at.ravel(), np.broadcast_to(sign, at.shape).ravel())
+        np.bitwise_xor.at(self.keys, at.ravel(), np.broadcast_to(found, at.shape).ravel())
+        np.bitwise_xor.at(self.checks, at.ravel(), np.broadcast_to(_mixed(found, 99), at.shape).ravel())
 
     def difference(self, other: LookupTable) -> tuple[np.ndarray, np.ndarray] | None:
         """The digests in this table only and in the other only; None where peeling gets stuck."""
@@ -95,13 +95,14 @@ class LookupTable:
 
 
 def differing(a: np.ndarray, b: np.ndarray, first: tuple[LookupTable, LookupTable] | None = None, tries: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of ``a`` only and of ``b`` only, by tables that grow until peeling succeeds."""
+    """The digests of ``a`` only and of ``b`` only, by tables that grow until peeling succeeds: after the first, which
+    holds small differences, one with two cells for each digest of both, then twice as many again and again."""
     cells = CELLS
-    for _ in range(tries):
+    for k in range(tries):
         one, two = first or (LookupTable(a, cells), LookupTable(b, cells))
         if (found := one.difference(two)) is not None:
             return found
-        first, cells = None, cells * 4
+        first, cells = None, max(CELLS * 2, 3 * ((2 * (len(a) + len(b)) + 2) // 3)) << k
     return np.setdiff1d(a, b), np.setdiff1d(b, a)
 
 

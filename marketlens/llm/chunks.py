@@ -92,7 +92,7 @@ class LineChunks:
 class WordChunks:
     """For encoders that drop white space: every word stands alone."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 500_000):
         self.many, self.memory = encode_many, _Memory(size)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
