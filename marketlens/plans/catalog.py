@@ -4,7 +4,769 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from marketlens.functions import scalar as S
+from marketlens.functions import theme_rules as R
+from marketlens.operators import documents as D
+from marketlens.operators import eda, enrich, kpi, quality, retrieval, scaling, themes
+from marketlens.operators import evaluation as E
+from marketlens.session import table
+from marketlens.sources import domain as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Least number of reviews in a group that is compared.
+LEAST = 5
+PERIOD = kpi.Filters(start_month="1995-06", end_month="1995-08")
+
+
+def query(name: str, sql: str | None = None, prelude: bool = True) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = (V.PRELUDE + _MORE if prelude else "") + sql
+        return f
+
+    return add
+
+
+def enriched_orders(s: SparkSession, d: str) -> DataFrame:
+    return enrich.orders_enriched(V.orders(s, d), V.items(s, d), V.payments(s, d), V.customers(s, d), V.places(s, d))
+
+
+def enriched_reviews(s: SparkSession, d: str) -> DataFrame:
+    orders = enrich.with_delivery(V.orders(s, d)).join(enrich.items_by_order(V.items(s, d)), "order_id", "left").join(V.customers(s, d), "customer_id", "left")
+    return enrich.reviews_enriched(V.reviews(s, d), V.links(s, d), orders)
+
+
+def synthetic_themes(s: SparkSession, d: str) -> DataFrame:
+    return themes.classify(enriched_reviews(s, d), rules=R.RULES_SYNTHETIC)
+
+
+def text_list(c: str) -> F.Column:
+    return F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+def _sql_words(rules: dict[str, str]) -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(plain, '{R.whole_words(p)}') THEN '{t}' END" for t, p in rules.items())
+
+
+def _sql_theme_array(rules: dict[str, str], positive: bool) -> str:
+    pos = f"WHEN regexp_matches(plain, '{R.whole_words(R.POSITIVE)}') THEN ['other']" if positive else ""
+    words = "len(list_filter(string_split(plain, ' '), lambda w: length(w) > 1))"
+    found = f"list_filter([{_sql_words(rules)}], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({found}) > 0 THEN {found} {pos} WHEN {words} < 4 THEN ['uncertain'] ELSE ['other'] END"
+
+
+def _dec_mean(total: str, n: str, kind: str = "DECIMAL(18,2)") -> str:
+    return f"CAST(CAST(sum({total}) AS {kind}) AS DOUBLE) / nullif(count({n}), 0)"
+
+
+_SET = "list_aggregate(list_sort(list_distinct(list({c}))), 'string_agg', ',')"
+_PLAIN = "trim(lower(regexp_replace(coalesce({c}, ''), '[^\\p{{L}}]+', ' ', 'g')))"
+_DELAY = "CAST(CASE WHEN is_late THEN delivery_delay_days END AS DECIMAL(18,3))"
+_MORE = f"""
+, e_items AS (
+  SELECT *, CAST(item_subtotal + freight_total AS DECIMAL(18,2)) AS order_value,
+    unknown_category_item_count = 0 AND distinct_known_category_count = 1 AS is_strict_mono_category,
+    CASE WHEN unknown_category_item_count = 0 AND distinct_known_category_count = 1 THEN any_category END AS order_category
+  FROM (SELECT order_id, count(*) AS item_count, count(DISTINCT product_id) AS distinct_product_count, count(DISTINCT seller_id) AS distinct_seller_count,
+      count(DISTINCT product_category) AS distinct_known_category_count, count(*) FILTER (product_category IS NULL) AS unknown_category_item_count,
+      CAST(sum(price) AS DECIMAL(18,2)) AS item_subtotal, CAST(sum(freight) AS DECIMAL(18,2)) AS freight_total,
+      {_SET.format(c='product_id')} AS product_ids, {_SET.format(c='seller_id')} AS seller_ids, {_SET.format(c='product_category')} AS product_categories,
+      {_SET.format(c='seller_state')} AS seller_states, min(product_category) AS any_category FROM d_items GROUP BY order_id)),
+e_orders0 AS (
+  SELECT *, round((epoch(delivered_ts) - epoch(purchase_ts)) / 86400.0::DOUBLE, 3) AS delivery_time_days,
+    round((epoch(delivered_ts) - epoch(estimated_ts)) / 86400.0::DOUBLE, 3) AS delivery_delay_days,
+    CASE WHEN delivered_ts IS NOT NULL AND estimated_ts IS NOT NULL THEN delivered_ts > estimated_ts END AS is_late,
+    CAST(year(purchase_ts) AS INTEGER) AS purchase_year, CAST(month(purchase_ts) AS INTEGER) AS purchase_month, CAST(purchase_ts AS DATE) AS purchase_date
+  FROM d_orders),
+e_orders AS (
+  SELECT o.*, customer_state, customer_city, zip, item_count, order_value, is_strict_mono_category, order_category, product_ids, item_subtotal, freight_total
+  FROM e_orders0 o LEFT JOIN e_items i USING (order_id) LEFT JOIN d_customers c USING (customer_id)),
+e_canonical AS (
+  SELECT review_id, review_score, title, message, lang,
+    CASE WHEN nullif(trim(title), '') IS NOT NULL AND nullif(trim(message), '') IS NOT NULL THEN trim(title) || chr(10) || chr(10) || trim(message)
+      ELSE coalesce(nullif(trim(title), ''), nullif(trim(message), '')) END AS review_text,
+    nullif(trim(title), '') IS NOT NULL AS has_title, nullif(trim(message), '') IS NOT NULL AS has_message
+  FROM d_reviews),
+e_meta AS (
+  SELECT review_id, count(DISTINCT order_id) AS linked_order_count, {_SET.format(c='order_id')} AS linked_order_ids,
+    CASE WHEN count(*) FILTER (is_strict_mono_category) = count(*) AND count(order_category) = count(*) AND count(DISTINCT order_category) = 1 THEN min(order_category) END AS product_category,
+    CASE WHEN count(customer_state) = count(*) AND count(DISTINCT customer_state) = 1 THEN min(customer_state) END AS customer_state,
+    CASE WHEN count(order_status) = count(*) AND count(DISTINCT order_status) = 1 THEN min(order_status) END AS order_status,
+    CASE WHEN count(purchase_year) = count(*) AND count(DISTINCT purchase_year) = 1 THEN min(purchase_year) END AS purchase_year,
+    CASE WHEN count(purchase_month) = count(*) AND count(DISTINCT purchase_month) = 1 THEN min(purchase_month) END AS purchase_month
+  FROM d_links LEFT JOIN e_orders USING (order_id) GROUP BY review_id),
+e_reviews AS (
+  SELECT c.*, review_text IS NOT NULL AS text_is_eligible, {_PLAIN.format(c='review_text')} AS plain, linked_order_count, linked_order_ids, product_category,
+    customer_state, order_status, purchase_year, purchase_month, CASE WHEN review_score <= 2 THEN 1 ELSE 0 END AS negative
+  FROM e_canonical c LEFT JOIN e_meta USING (review_id)),
+e_rag AS (SELECT *, text_is_eligible AND len(list_filter(string_split(plain, ' '), lambda w: length(w) >= 2)) > 0 AS rag FROM e_reviews),
+e_themes AS (
+  SELECT DISTINCT review_id, review_score, unnest({_sql_theme_array(R.RULES_SYNTHETIC, True)}) AS theme FROM e_rag WHERE rag)
+"""
+_MONTHLY = f"""
+, m AS (SELECT make_date(purchase_year, purchase_month, 1) AS month, sum(review_score) AS rating_sum, sum(negative) AS negative_sum, count(*) AS review_count,
+    CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS average_rating, CAST(sum(negative) AS DOUBLE) / count(*) AS negative_rate,
+    CAST(count(*) FILTER (text_is_eligible) AS DOUBLE) / count(*) AS text_coverage, count(*) >= {LEAST} AS is_eligible
+  FROM e_reviews WHERE purchase_year IS NOT NULL AND purchase_month IS NOT NULL GROUP BY 1),
+g AS (SELECT *, count(*) OVER w AS baseline_months, CASE WHEN count(*) OVER w = 3 THEN CAST(sum(rating_sum) OVER w AS DOUBLE) / nullif(sum(review_count) OVER w, 0) END AS baseline_rating
+  FROM m WHERE is_eligible WINDOW w AS (ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+mm AS (SELECT *, average_rating - baseline_rating AS rating_variation FROM g UNION ALL SELECT *, NULL, NULL, NULL FROM m WHERE NOT is_eligible)
+"""
+_MONTHLY_COLUMNS = "month, CAST(rating_sum AS BIGINT) AS rating_sum, CAST(negative_sum AS BIGINT) AS negative_sum, review_count, average_rating, negative_rate, text_coverage, is_eligible, baseline_months, baseline_rating, rating_variation"
+
+
+# --- KPIs ---------------------------------------------------------------------------------------------------------
+
+
+_ORDER_KPI = f"""count(DISTINCT order_id) AS order_count, count(order_value) AS order_value_count, {_dec_mean('order_value', 'order_value')} AS average_order_value,
+  count(is_late) AS delivery_eligible_count, count(*) FILTER (is_late) AS late_count, CAST(count(*) FILTER (is_late) AS DOUBLE) / nullif(count(is_late), 0) AS late_rate,
+  count(*) FILTER (is_late) AS delivery_delay_eligible_count, {_dec_mean(_DELAY, _DELAY, 'DECIMAL(18,3)')} AS average_delay_days"""
+
+
+@query("kpi_orders_overall", f"SELECT {_ORDER_KPI} FROM e_orders")
+def kpi_orders_overall(s, d):
+    return kpi.order_summary(enriched_orders(s, d))
+
+
+@query("kpi_reviews_overall", """SELECT count(review_score) AS review_count, CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS average_rating,
+  count(*) FILTER (review_score <= 2) AS negative_count, count(*) FILTER (review_score = 1) AS score_1_count, count(*) FILTER (review_score = 2) AS score_2_count FROM e_reviews""")
+def kpi_reviews_overall(s, d):
+    return kpi.review_summary(enriched_reviews(s, d))
+
+
+_PERIOD_SQL = f"""
+, wr AS (SELECT CASE WHEN purchase_year * 12 + purchase_month BETWEEN 1995*12+6 AND 1995*12+8 THEN 'current' ELSE 'baseline' END AS window_, * FROM e_reviews
+  WHERE purchase_year * 12 + purchase_month BETWEEN 1995*12+3 AND 1995*12+8),
+wo AS (SELECT CASE WHEN purchase_date >= DATE '1995-06-01' THEN 'current' ELSE 'baseline' END AS window_, * FROM e_orders WHERE purchase_date >= DATE '1995-03-01' AND purchase_date < DATE '1995-09-01'),
+r AS (SELECT window_, count(review_score) AS n, CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS rating, count(*) FILTER (review_score <= 2) AS neg,
+  count(*) FILTER (review_score = 1) AS s1, count(*) FILTER (review_score = 2) AS s2 FROM wr GROUP BY 1),
+o AS (SELECT window_, {_ORDER_KPI} FROM wo GROUP BY 1),
+one AS (SELECT w.window_, coalesce(n, 0) AS n, rating, coalesce(neg, 0) AS neg, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(order_count, 0) AS order_count,
+  coalesce(order_value_count, 0) AS order_value_count, average_order_value, coalesce(delivery_eligible_count, 0) AS eligible, coalesce(late_count, 0) AS late_count, late_rate, average_delay_days
+  FROM (VALUES ('current'), ('baseline')) w(window_) LEFT JOIN r USING (window_) LEFT JOIN o USING (window_)),
+long AS (
+  SELECT window_, 'average_rating' AS metric, rating AS v, NULL::DOUBLE AS a, n::DOUBLE AS b FROM one
+  UNION ALL SELECT window_, 'negative_rate', neg::DOUBLE / nullif(n, 0), neg, n FROM one
+  UNION ALL SELECT window_, 'score_1_share', s1::DOUBLE / nullif(n, 0), s1, n FROM one
+  UNION ALL SELECT window_, 'score_2_share', s2::DOUBLE / nullif(n, 0), s2, n FROM one
+  UNION ALL SELECT window_, 'late_rate', late_rate, late_count, eligible FROM one
+  UNION ALL SELECT window_, 'average_delay_days', average_delay_days, NULL, late_count FROM one
+  UNION ALL SELECT window_, 'order_volume', order_count, order_count, NULL FROM one
+  UNION ALL SELECT window_, 'average_order_value', average_order_value, NULL, order_value_count FROM one)
+SELECT metric, max(v) FILTER (window_ = 'current') AS "value", max(v) FILTER (window_ = 'baseline') AS baseline,
+  max(v) FILTER (window_ = 'current') - max(v) FILTER (window_ = 'baseline') AS change, max(a) FILTER (window_ = 'current') AS numerator, max(b) FILTER (window_ = 'current') AS denominator
+FROM long GROUP BY metric"""
+
+
+@query("kpi_period_vs_baseline", _PERIOD_SQL)
+def kpi_period_vs_baseline(s, d):
+    return kpi.analyze(enriched_orders(s, d), enriched_reviews(s, d), PERIOD)
+
+
+@query("kpi_low_rating_share", "SELECT product_category, count(review_score) AS review_count, CAST(count(*) FILTER (review_score <= 2) AS DOUBLE) / nullif(count(review_score), 0) AS low_share FROM e_reviews GROUP BY 1")
+def kpi_low_rating_share(s, d):
+    r = kpi.review_summary(enriched_reviews(s, d), "product_category")
+    return r.select("product_category", "review_count", S.rate(F.col("negative_count"), F.col("review_count")).alias("low_share"))
+
+
+@query("kpi_status_distribution", """, c AS (SELECT coalesce(order_status, 'unknown') AS status, count(*) AS n FROM e_orders0 WHERE purchase_date >= DATE '1995-06-01' AND purchase_date < DATE '1995-09-01' GROUP BY 1),
+b AS (SELECT coalesce(order_status, 'unknown') AS status, count(*) AS n FROM e_orders0 WHERE purchase_date >= DATE '1995-03-01' AND purchase_date < DATE '1995-06-01' GROUP BY 1)
+SELECT status, c.n AS current_count, CAST(c.n AS DOUBLE) / (SELECT sum(n) FROM c) AS current_share, CAST(b.n AS DOUBLE) / (SELECT sum(n) FROM b) AS baseline_share FROM c FULL JOIN b USING (status)""")
+def kpi_status_distribution(s, d):
+    return kpi.status_comparison(enrich.with_delivery(V.orders(s, d)), PERIOD)
+
+
+# --- quality ------------------------------------------------------------------------------------------------------
+
+
+@query("null_profile", """SELECT unnest(['review_score', 'title', 'message', 'lang']) AS column_name,
+  unnest([count(*) FILTER (review_score IS NULL), count(*) FILTER (title IS NULL), count(*) FILTER (message IS NULL), count(*) FILTER (lang IS NULL)]) AS null_count, count(*) AS total,
+  unnest([count(*) FILTER (review_score IS NULL), count(*) FILTER (title IS NULL), count(*) FILTER (message IS NULL), count(*) FILTER (lang IS NULL)])::DOUBLE / count(*) AS null_rate FROM d_reviews""")
+def null_profile(s, d):
+    return quality.null_profile(V.reviews(s, d), ["review_score", "title", "message", "lang"])
+
+
+@query("duplicate_keys", "SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS null_keys, count(*) AS duplicate_keys FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)", False)
+def duplicate_keys(s, d):
+    return quality.key_violations(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("fk_orphans", "SELECT DISTINCT o_orderkey AS orphan_key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)", False)
+def fk_orphans(s, d):
+    return quality.orphans(table(s, d, "orders"), "o_orderkey", table(s, d, "lineitem"), "l_orderkey")
+
+
+@query("payload_consistency", "SELECT c_nationkey, count(DISTINCT to_json({'c_mktsegment': c_mktsegment})::VARCHAR) AS payloads FROM customer GROUP BY 1", False)
+def payload_consistency(s, d):
+    return quality.payloads(table(s, d, "customer"), "c_nationkey", ["c_mktsegment"])
+
+
+@query("fanout_report", "SELECT (SELECT count(*) FROM orders) AS rows_before, count(*) AS rows_after FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey", False)
+def fanout_report(s, d):
+    return quality.fanout_report(table(s, d, "orders").select(F.col("o_orderkey").alias("k")), table(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
+
+
+@query("guarded_join", "SELECT order_id, customer_state FROM d_orders LEFT JOIN d_customers USING (customer_id)")
+def guarded_join(s, d):
+    return quality.join_without_fanout(V.orders(s, d), V.customers(s, d), "customer_id", "orders to customers").select("order_id", "customer_state")
+
+
+@query("trim_normalize", """SELECT doc_id, nullif(trim(x), '') AS trimmed, lower(nullif(trim(x), '')) AS category, upper(nullif(trim(x), '')) AS state
+  FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '   ' WHEN doc_id % 7 = 0 THEN NULL ELSE '  ' || source || ' ' END AS x FROM documents)""", False)
+def trim_normalize(s, d):
+    x = F.when(F.col("doc_id") % 5 == 0, "   ").when(F.col("doc_id") % 7 != 0, F.concat(F.lit("  "), "source", F.lit(" ")))
+    return table(s, d, "documents").select("doc_id", S.trimmed(x).alias("trimmed"), S.category(x).alias("category"), S.state(x).alias("state"))
+
+
+@query("safe_casts", """SELECT doc_id, TRY_CAST(x AS INTEGER) AS as_int, TRY_CAST(x AS DOUBLE) AS as_double, CAST(TRY_CAST(x AS DECIMAL(18,2)) AS DOUBLE) AS as_money, CAST(TRY_CAST(t AS TIMESTAMP) AS VARCHAR) AS as_time
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bad' ELSE CAST(doc_id AS VARCHAR) END AS x, CASE WHEN doc_id % 4 = 0 THEN 'never' ELSE '2018-03-01 10:11:12' END AS t FROM documents)""", False)
+def safe_casts(s, d):
+    x = F.when(F.col("doc_id") % 3 == 0, "bad").otherwise(F.col("doc_id").cast("string"))
+    t = F.when(F.col("doc_id") % 4 == 0, "never").otherwise("2018-03-01 10:11:12")
+    return table(s, d, "documents").select(
+        "doc_id", S.typed(x, "int").alias("as_int"), S.typed(x, "double").alias("as_double"), S.typed(x, "decimal(18,2)").cast("double").alias("as_money"), S.timestamp(t).cast("string").alias("as_time")
+    )
+
+
+@query("category_translation", """, names AS (SELECT DISTINCT product_category AS c, 'en_' || product_category AS english FROM d_items WHERE length(product_category) % 2 = 0)
+SELECT product_category, coalesce(english, product_category) AS category, CASE WHEN english IS NOT NULL THEN 'english' WHEN product_category IS NOT NULL THEN 'portuguese_fallback' END AS category_source, count(*) AS n
+FROM d_items LEFT JOIN names ON c = product_category GROUP BY 1, 2, 3""")
+def category_translation(s, d):
+    items = V.items(s, d)
+    c = F.col("product_category")
+    names = items.where(F.length(c) % 2 == 0).select(c.alias("c")).distinct().withColumn("english", F.concat(F.lit("en_"), "c"))
+    source = F.when(F.col("english").isNotNull(), "english").when(c.isNotNull(), "portuguese_fallback")
+    rows = items.join(names, items.product_category == names.c, "left").drop("c")
+    return rows.groupBy("product_category", F.coalesce("english", "product_category").alias("category"), source.alias("category_source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("csv_json_projection", """SELECT order_id, '[' || product_ids || ']' AS product_ids FROM e_items""")
+def csv_json_projection(s, d):
+    return (lambda x: x.select(*S.csv_safe(x)))(enrich.items_by_order(V.items(s, d)).select("order_id", "product_ids"))
+
+
+# --- enrichment ---------------------------------------------------------------------------------------------------
+
+
+@query("items_by_order", """SELECT order_id, item_count, distinct_product_count, distinct_seller_count, distinct_known_category_count, unknown_category_item_count, CAST(item_subtotal AS DOUBLE) AS item_subtotal,
+  CAST(freight_total AS DOUBLE) AS freight_total, product_ids, seller_ids, coalesce(product_categories, '') AS product_categories, seller_states, CAST(order_value AS DOUBLE) AS order_value, is_strict_mono_category, order_category FROM e_items""")
+def items_by_order(s, d):
+    x = enrich.items_by_order(V.items(s, d))
+    money = {c: F.col(c).cast("double") for c in ("item_subtotal", "freight_total", "order_value")}
+    return x.withColumns(money | {c: text_list(c) for c in ("product_ids", "seller_ids", "product_categories", "seller_states")})
+
+
+@query("payments_by_order", f"""SELECT order_id, count(*) AS payment_sequence_count, count(DISTINCT payment_type) AS distinct_payment_type_count, {_SET.format(c='payment_type')} AS payment_types,
+  max(installments) AS max_payment_installments, CAST(CAST(sum(payment_value) AS DECIMAL(18,2)) AS DOUBLE) AS payment_total FROM d_payments GROUP BY 1""")
+def payments_by_order(s, d):
+    x = enrich.payments_by_order(V.payments(s, d))
+    return x.withColumns({"payment_types": text_list("payment_types"), "payment_total": F.col("payment_total").cast("double")})
+
+
+@query("geo_by_zip", """, n AS (SELECT zip, city, state, count(*) AS k, row_number() OVER (PARTITION BY zip ORDER BY count(*) DESC, city NULLS LAST, state NULLS LAST) AS rn FROM d_places GROUP BY 1, 2, 3)
+SELECT zip, CAST(CAST(sum(balance) AS DECIMAL(18,2)) AS DOUBLE) / count(balance) / 100 AS geolocation_lat, -CAST(CAST(sum(balance) AS DECIMAL(18,2)) AS DOUBLE) / count(balance) / 100 AS geolocation_lng,
+  count(*) AS geolocation_observation_count, any_value(n.city) AS geolocation_city, any_value(n.state) AS geolocation_state, any_value(k) AS place_observation_count
+FROM d_places p JOIN (SELECT zip AS z, city, state, k FROM n WHERE rn = 1) n ON z = zip GROUP BY zip""")
+def geo_by_zip(s, d):
+    return enrich.place_by_zip(V.places(s, d))
+
+
+@query("orders_enriched", f"""SELECT o.order_id, order_status, delivery_time_days, delivery_delay_days, is_late, purchase_year, purchase_month, CAST(purchase_date AS VARCHAR) AS purchase_date, item_count,
+  CAST(order_value AS DOUBLE) AS order_value, order_category, customer_state, p.payment_total, o.zip FROM e_orders o
+  LEFT JOIN (SELECT order_id, CAST(CAST(sum(payment_value) AS DECIMAL(18,2)) AS DOUBLE) AS payment_total FROM d_payments GROUP BY 1) p USING (order_id)""")
+def orders_enriched(s, d):
+    x = enriched_orders(s, d)
+    return x.select(
+        "order_id", "order_status", "delivery_time_days", "delivery_delay_days", "is_late", "purchase_year", "purchase_month", F.col("purchase_date").cast("string").alias("purchase_date"), "item_count",
+        F.col("order_value").cast("double").alias("order_value"), "order_category", "customer_state", F.col("payment_total").cast("double").alias("payment_total"), "zip",
+    )
+
+
+@query("reviews_canonical", "SELECT review_id, review_score, review_text, has_title, has_message FROM e_canonical")
+def reviews_canonical(s, d):
+    return enrich.canonical_reviews(V.reviews(s, d), V.links(s, d)).select("review_id", "review_score", "review_text", "has_title", "has_message")
+
+
+@query("review_metadata_unanimous", "SELECT * FROM e_meta")
+def review_metadata_unanimous(s, d):
+    x = enriched_reviews(s, d)
+    return x.select("review_id", "linked_order_count", text_list("linked_order_ids").alias("linked_order_ids"), "product_category", "customer_state", "order_status", "purchase_year", "purchase_month")
+
+
+@query("reviews_enriched", "SELECT review_id, review_score, text_is_eligible, has_title, has_message, linked_order_count, product_category, customer_state, order_status, purchase_year, purchase_month, sha256(coalesce(review_text, '')) AS text_hash FROM e_reviews")
+def reviews_enriched(s, d):
+    x = enriched_reviews(s, d)
+    return x.select("review_id", "review_score", "text_is_eligible", "has_title", "has_message", "linked_order_count", "product_category", "customer_state", "order_status", "purchase_year", "purchase_month", F.sha2(F.coalesce("review_text", F.lit("")), 256).alias("text_hash"))
+
+
+def _language_sql() -> str:
+    hits = {k: "len(list_intersect(words, [" + ", ".join(f"'{w}'" for w in v.split()) + "]))" for k, v in S.STOP_WORDS.items()}
+    cols = ", ".join(f"{h} AS h_{k}" for k, h in hits.items())
+    best = "greatest(" + ", ".join(f"h_{k}" for k in hits) + ")"
+    ties = " + ".join(f"(CASE WHEN h_{k} = {best} THEN 1 ELSE 0 END)" for k in hits)
+    pick = " ".join(f"WHEN h_{k} = {best} THEN '{k}'" for k in sorted(hits))
+    return f"""SELECT doc_id, CASE WHEN n < 3 OR {best} < 2 OR {ties} > 1 THEN 'unknown' {pick} END AS language FROM (SELECT doc_id, len(words) AS n, {cols} FROM (
+      SELECT doc_id, list_filter(list_distinct(string_split({_PLAIN.format(c='text')}, ' ')), lambda w: length(w) > 1) AS words FROM documents))"""
+
+
+@query("language_scores", _language_sql(), False)
+def language_scores(s, d):
+    return table(s, d, "documents").select("doc_id", S.language(F.col("text")).alias("language"))
+
+
+# --- exploration --------------------------------------------------------------------------------------------------
+
+
+@query("rating_distribution", "SELECT review_score, count(*) AS review_count, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM e_reviews GROUP BY 1")
+def rating_distribution(s, d):
+    return eda.rating_distribution(enriched_reviews(s, d))
+
+
+_CATEGORY_SQL = f"""SELECT product_category, count(*) AS review_count, CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS average_rating, CAST(sum(negative) AS DOUBLE) / count(*) AS negative_rate,
+  CAST(count(*) FILTER (text_is_eligible) AS DOUBLE) / count(*) AS text_coverage, count(*) >= {LEAST} AS is_eligible FROM e_reviews WHERE product_category IS NOT NULL GROUP BY 1"""
+
+
+@query("category_statistics", _CATEGORY_SQL)
+def category_statistics(s, d):
+    return eda.category_statistics(enriched_reviews(s, d), LEAST)
+
+
+@query("topk_categories", f"SELECT * FROM ({_CATEGORY_SQL}) WHERE is_eligible ORDER BY negative_rate DESC, product_category LIMIT 15")
+def topk_categories(s, d):
+    return eda.top_categories(category_statistics(s, d))
+
+
+@query("monthly_reviews_trailing", _MONTHLY + f"SELECT {_MONTHLY_COLUMNS} FROM mm")
+def monthly_reviews_trailing(s, d):
+    return eda.monthly_reviews(enriched_reviews(s, d), LEAST)
+
+
+@query("worst_month", _MONTHLY + f"SELECT {_MONTHLY_COLUMNS} FROM mm WHERE rating_variation IS NOT NULL ORDER BY rating_variation, month LIMIT 1")
+def worst_month(s, d):
+    return eda.worst_month(monthly_reviews_trailing(s, d))
+
+
+_DELAY_ALL = "CAST(delivery_delay_days AS DECIMAL(18,3))"
+
+
+@query("monthly_orders", f"""SELECT CAST(date_trunc('month', purchase_date) AS DATE) AS month, count(DISTINCT order_id) AS order_count, {_dec_mean('order_value', 'order_value')} AS average_order_value,
+  CAST(count(*) FILTER (is_late) AS DOUBLE) / nullif(count(is_late), 0) AS late_rate, {_dec_mean(_DELAY_ALL, _DELAY_ALL, 'DECIMAL(18,3)')} AS average_delay_days FROM e_orders GROUP BY 1""")
+def monthly_orders(s, d):
+    return eda.monthly_orders(enriched_orders(s, d))
+
+
+_TOOK = "CAST(delivery_time_days AS DECIMAL(18,3))"
+
+
+@query("delivery_by_rating", f"""SELECT review_score, count(*) AS review_count, CAST(count(*) FILTER (is_late) AS DOUBLE) / nullif(count(is_late), 0) AS late_rate,
+  {_dec_mean(_TOOK, _TOOK, 'DECIMAL(18,3)')} AS average_delivery_days, {_dec_mean(_DELAY, _DELAY, 'DECIMAL(18,3)')} AS average_late_delay
+  FROM e_reviews JOIN d_links USING (review_id) JOIN e_orders0 USING (order_id) WHERE linked_order_count = 1 GROUP BY 1""")
+def delivery_by_rating(s, d):
+    return eda.delivery_by_rating(enriched_reviews(s, d), V.links(s, d), enrich.with_delivery(V.orders(s, d)))
+
+
+@query("status_share", "SELECT order_status AS status, count(*) AS order_count, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share FROM d_orders GROUP BY 1")
+def status_share(s, d):
+    return kpi.status_distribution(V.orders(s, d))
+
+
+@query("geography_statistics", "SELECT customer_state, count(DISTINCT order_id) AS order_count, CAST(CAST(sum(order_value) AS DECIMAL(18,2)) AS DOUBLE) AS order_value, CAST(count(*) FILTER (is_late) AS DOUBLE) / nullif(count(is_late), 0) AS late_rate FROM e_orders GROUP BY 1")
+def geography_statistics(s, d):
+    return eda.geography(enriched_orders(s, d))
+
+
+@query("text_coverage", "SELECT review_score, count(*) AS review_count, count(*) FILTER (text_is_eligible) AS text_count, CAST(count(*) FILTER (text_is_eligible) AS DOUBLE) / count(*) AS text_coverage FROM e_reviews GROUP BY 1")
+def text_coverage(s, d):
+    return eda.text_coverage(enriched_reviews(s, d))
+
+
+@query("scalar_summary", """SELECT r.*, o.* FROM (SELECT count(*) AS reviews, count(review_score) AS scored_reviews, CAST(sum(negative) AS BIGINT) AS negative_reviews, count(*) FILTER (text_is_eligible) AS text_reviews,
+  count(*) FILTER (text_is_eligible AND negative = 1) AS negative_text_reviews, CAST(sum(review_score) AS DOUBLE) / count(review_score) AS average_rating FROM e_reviews) r,
+  (SELECT count(*) AS orders, count(*) FILTER (is_late) AS late_orders, count(is_late) AS delivered_orders, CAST(CAST(sum(order_value) AS DECIMAL(18,2)) AS DOUBLE) AS total_value, count(DISTINCT customer_id) AS customers FROM e_orders) o""")
+def scalar_summary(s, d):
+    return eda.scalar_summary(enriched_reviews(s, d), enriched_orders(s, d))
+
+
+# --- themes -------------------------------------------------------------------------------------------------------
+
+_SENTENCES = [
+    "Ainda não recebi e quero reembolso", "Produto quebrado e com defeito", "ru", "Embalagem sem manual adequado e instruções confusas", "Produto excelente e entrega perfeita",
+    "Recebi o produto no prazo mas veio com defeito", "O prazo já passou e ainda não recebi", "Produto de qualidade, recomendo", "Fiz um pedido e recebi outro totalmente diferente",
+    "Pedi reembolso e até agora não recebi o dinheiro", "O produto chegou quebrado e já postei devolvendo", "faltará uma peça",
+]
+_VALUES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(_SENTENCES))
+
+
+def _sentences(s: SparkSession, version: str) -> DataFrame:
+    rows = s.createDataFrame(list(enumerate(_SENTENCES)), "id int, text string")
+    return rows.select("id", F.array_join(F.sort_array(themes.theme_array(F.col("text"), version)), ",").alias("themes"))
+
+
+for _name, _version, _rules, _positive in (("themes_rules_v2", "rules-pt-v2", R.RULES_V2, False), ("themes_rules_v3", "rules-pt-v3", R.RULES_V3, True)):
+    query(_name, f"SELECT id, list_aggregate(list_sort({_sql_theme_array(_rules, _positive)}), 'string_agg', ',') AS themes FROM (SELECT id, {_PLAIN.format(c='t')} AS plain FROM (VALUES {_VALUES}) v(id, t))", False)(
+        lambda s, d, v=_version: _sentences(s, v)
+    )
+
+_NEG = "SELECT * FROM e_rag WHERE rag AND negative = 1"
+
+
+@query("review_themes", "SELECT review_id, review_score, theme FROM e_themes")
+def review_themes(s, d):
+    return synthetic_themes(s, d).select("review_id", "review_score", "theme")
+
+
+@query("theme_prevalence", f"SELECT theme, count(DISTINCT review_id) AS review_count, CAST(count(DISTINCT review_id) AS DOUBLE) / nullif((SELECT count(*) FROM ({_NEG})), 0) AS prevalence FROM ({_NEG}) JOIN e_themes USING (review_id) GROUP BY 1")
+def theme_prevalence(s, d):
+    return themes.prevalence(enriched_reviews(s, d), synthetic_themes(s, d))
+
+
+def _by_sql(*by: str) -> str:
+    keys, known = ", ".join(by), " AND ".join(f"{b} IS NOT NULL" for b in by)
+    return f"""SELECT {keys}, theme, review_count, n AS negative_text_reviews, CAST(review_count AS DOUBLE) / n AS share FROM
+      (SELECT {keys}, theme, count(DISTINCT review_id) AS review_count FROM ({_NEG} AND {known}) JOIN e_themes USING (review_id) GROUP BY ALL) JOIN (SELECT {keys}, count(*) AS n FROM ({_NEG} AND {known}) GROUP BY ALL) USING ({keys})"""
+
+
+@query("themes_by_category", _by_sql("product_category"))
+def themes_by_category(s, d):
+    return themes.themes_by(enriched_reviews(s, d), synthetic_themes(s, d), "product_category")
+
+
+@query("themes_by_month", _by_sql("purchase_year", "purchase_month"))
+def themes_by_month(s, d):
+    return themes.themes_by(enriched_reviews(s, d), synthetic_themes(s, d), "purchase_year", "purchase_month")
+
+
+@query("theme_population", """SELECT count(*) AS total_reviews, count(*) FILTER (rag) AS text_reviews, CAST(sum(negative) AS BIGINT) AS negative_reviews, count(*) FILTER (rag AND negative = 1) AS negative_text_reviews,
+  CAST(count(*) FILTER (rag) AS DOUBLE) / count(*) AS text_coverage, CAST(count(*) FILTER (rag AND negative = 1) AS DOUBLE) / nullif(sum(negative), 0) AS negative_text_coverage FROM e_rag""")
+def theme_population(s, d):
+    return themes.population(enriched_reviews(s, d))
+
+
+_LONG_PERIOD = kpi.Filters(start_month="1995-06", end_month="2001-12")
+_EVIDENCE = f"""
+, t AS (SELECT review_id, CASE WHEN purchase_year * 12 + purchase_month >= 1995*12+6 THEN 'c' ELSE 'b' END AS w FROM ({_NEG}) WHERE purchase_year * 12 + purchase_month BETWEEN 1995*12+3 AND 2001*12+12),
+h AS (SELECT theme, count(DISTINCT review_id) FILTER (w = 'c') AS c, count(DISTINCT review_id) FILTER (w = 'b') AS b FROM t JOIN e_themes USING (review_id) GROUP BY 1),
+n AS (SELECT count(*) FILTER (w = 'c') AS nc, count(*) FILTER (w = 'b') AS nb FROM t),
+ev AS (SELECT theme, coalesce(c, 0) AS current_mentions, CAST(coalesce(c, 0) AS DOUBLE) / nullif(nc, 0) AS current_rate, coalesce(b, 0) AS baseline_mentions, CAST(coalesce(b, 0) AS DOUBLE) / nullif(nb, 0) AS baseline_rate,
+  CAST(coalesce(c, 0) AS DOUBLE) / nullif(nc, 0) - CAST(coalesce(b, 0) AS DOUBLE) / nullif(nb, 0) AS rate_change, theme NOT IN ('other', 'uncertain') AS is_candidate
+  FROM (VALUES {", ".join(f"('{t}')" for t in R.THEMES)}) v(theme) LEFT JOIN h USING (theme), n)
+"""
+
+
+@query("theme_evidence", _EVIDENCE + "SELECT * FROM ev")
+def theme_evidence(s, d):
+    return themes.evidence(enriched_reviews(s, d), synthetic_themes(s, d), _LONG_PERIOD)
+
+
+@query("theme_ranked", _EVIDENCE + "SELECT *, CAST(row_number() OVER (ORDER BY coalesce(rate_change, current_rate) DESC, current_rate DESC, current_mentions DESC, theme) AS INTEGER) AS rank FROM ev WHERE is_candidate AND current_mentions > 0")
+def theme_ranked(s, d):
+    return themes.ranked(theme_evidence(s, d))
+
+
+@query("meaningful_text", "SELECT review_id, rag FROM e_rag")
+def meaningful_text(s, d):
+    return enriched_reviews(s, d).select("review_id", F.coalesce(themes.rag_eligible(), F.lit(False)).alias("rag"))
+
+
+# --- documents ----------------------------------------------------------------------------------------------------
+
+_THEME_SET = "(SELECT review_id, list_aggregate(list_sort(list(theme)), 'string_agg', ',') AS themes FROM e_themes GROUP BY 1)"
+_DOCS = f"""
+, docs AS (SELECT 'review_' || review_id AS document_id, review_id, review_score, product_category, customer_state, order_status, coalesce(themes, '') AS themes,
+  CASE WHEN has_title AND has_message THEN 'title_and_message' WHEN has_title THEN 'title' WHEN has_message THEN 'message' END AS text_source,
+  purchase_year * 12 + purchase_month AS purchase_month_index, CASE WHEN purchase_year * 12 + purchase_month IS NOT NULL THEN format('{{:04d}}-{{:02d}}', purchase_year, purchase_month) END AS purchase_month,
+  CASE WHEN has_title AND has_message THEN 'Title: ' || trim(title) || chr(10) || 'Comment: ' || trim(message) WHEN has_title THEN 'Title: ' || trim(title) ELSE 'Comment: ' || trim(message) END AS document_text
+  FROM e_rag LEFT JOIN {_THEME_SET} USING (review_id) WHERE rag),
+meta AS (SELECT *, sha256(document_text) AS document_hash, sha256(concat_ws('|', 'customer_state=' || coalesce(customer_state, 'null'), 'order_status=' || coalesce(order_status, 'null'),
+  'product_category=' || coalesce(product_category, 'null'), 'purchase_month_index=' || coalesce(CAST(purchase_month_index AS VARCHAR), 'null'), 'review_score=' || coalesce(CAST(review_score AS VARCHAR), 'null'),
+  'text_source=' || coalesce(text_source, 'null'), 'themes_csv=' || themes)) AS metadata_hash FROM docs)
+"""
+
+
+def rag_docs(s: SparkSession, d: str) -> DataFrame:
+    return D.with_metadata(D.build(enriched_reviews(s, d), synthetic_themes(s, d)))
+
+
+@query("rag_documents", _DOCS + "SELECT document_id, review_score, product_category, customer_state, themes, text_source, purchase_month_index, purchase_month, document_hash FROM meta")
+def rag_documents(s, d):
+    return rag_docs(s, d).select("document_id", "review_score", "product_category", "customer_state", F.col("themes_csv").alias("themes"), "text_source", "purchase_month_index", "purchase_month", "document_hash")
+
+
+@query("document_metadata", _DOCS + "SELECT document_id, metadata_hash, contains(',' || themes || ',', ',delivery_delay,') AS theme_delivery_delay FROM meta")
+def document_metadata(s, d):
+    return rag_docs(s, d).select("document_id", "metadata_hash", "theme_delivery_delay")
+
+
+@query("document_contract", "SELECT 0::BIGINT AS duplicate_ids, 0::BIGINT AS empty_texts, 0::BIGINT AS missing_themes, 0::BIGINT AS missing_documents")
+def document_contract(s, d):
+    return D.contract_violations(rag_docs(s, d), enriched_reviews(s, d))
+
+
+@query("text_source_counts", _DOCS + "SELECT text_source, count(*) AS n FROM docs GROUP BY 1")
+def text_source_counts(s, d):
+    return rag_docs(s, d).groupBy("text_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("index_sync_actions", _DOCS + """SELECT document_id, CASE WHEN review_id % 11 = 0 THEN 'upsert' WHEN review_id % 13 = 0 THEN 'upsert' WHEN review_id % 17 = 0 THEN 'update_metadata' ELSE 'skip' END AS action FROM meta
+  UNION ALL SELECT 'gone_' || review_id, 'delete' FROM meta WHERE review_id % 50 = 0""")
+def index_sync_actions(s, d):
+    wanted = rag_docs(s, d)
+    i = F.col("review_id")
+    old = wanted.where(i % 11 != 0).withColumns({"document_hash": F.when(i % 13 == 0, "old").otherwise(F.col("document_hash")), "metadata_hash": F.when(i % 17 == 0, "old").otherwise(F.col("metadata_hash"))})
+    gone = wanted.where(i % 50 == 0).withColumn("document_id", F.concat(F.lit("gone_"), i.cast("string")))
+    return D.sync_actions(wanted, old.select("document_id", "document_hash", "metadata_hash").unionByName(gone.select("document_id", "document_hash", "metadata_hash")))
+
+
+# --- retrieval ----------------------------------------------------------------------------------------------------
+
+
+def _query_vector(s: SparkSession, d: str) -> list[float]:
+    return list(table(s, d, "embeddings").orderBy("vec_id").select("embedding").first()[0])
+
+
+_COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+_TOP = "SELECT *, CAST(row_number() OVER (ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM (SELECT a.vec_id, a.label, {cos} AS similarity FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) b WHERE {where} ORDER BY similarity DESC, a.vec_id LIMIT {k})"
+
+
+@query("vector_topk", _TOP.format(cos=_COS, where="true", k=10), False)
+def vector_topk(s, d):
+    return retrieval.top_k(table(s, d, "embeddings"), _query_vector(s, d), 10)
+
+
+@query("vector_topk_filtered", _TOP.format(cos=_COS, where="a.label <= 3", k=10), False)
+def vector_topk_filtered(s, d):
+    return retrieval.top_k(table(s, d, "embeddings"), _query_vector(s, d), 10, F.col("label") <= 3)
+
+
+@query("rerank_topk", f"SELECT *, CAST(row_number() OVER (ORDER BY rerank_score DESC, similarity DESC, vec_id) AS INTEGER) AS reranked_rank FROM (SELECT *, CAST(vec_id % 7 AS DOUBLE) AS rerank_score FROM ({_TOP.format(cos=_COS, where='true', k=50)})) QUALIFY reranked_rank <= 5", False)
+def rerank_topk(s, d):
+    return retrieval.rerank(retrieval.top_k(table(s, d, "embeddings"), _query_vector(s, d), 50), (F.col("vec_id") % 7).cast("double"), 5)
+
+
+def _results(s: SparkSession, d: str, k: int = 5) -> DataFrame:
+    v = table(s, d, "embeddings")
+    queries = v.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query"))
+    return retrieval.top_k_each(v, queries, k)
+
+
+_EACH = f"""WITH q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20),
+res AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM
+  (SELECT b.vec_id AS query_id, b.label AS query_label, a.vec_id, a.label, {_COS} AS similarity FROM embeddings a, q b WHERE a.vec_id <> b.vec_id) QUALIFY rank <= 5)"""
+
+
+@query("vector_topk_each", _EACH + " SELECT * FROM res", False)
+def vector_topk_each(s, d):
+    return _results(s, d)
+
+
+@query("retrieve_per_theme", _EACH + """, c AS (SELECT CAST(vec_id AS VARCHAR) AS document_id, query_id AS theme, CAST(query_id + 1 AS INTEGER) AS theme_rank, similarity FROM res WHERE query_id < 5),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY theme ORDER BY similarity DESC, document_id) AS INTEGER) AS rn FROM c WHERE theme_rank <= 3 QUALIFY rn <= 2)
+SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY theme_rank, rn) = 1""", False)
+def retrieve_per_theme(s, d):
+    c = _results(s, d).where("query_id < 5").select(F.col("vec_id").cast("string").alias("document_id"), F.col("query_id").alias("theme"), (F.col("query_id") + 1).cast("int").alias("theme_rank"), "similarity")
+    return retrieval.per_theme(c)
+
+
+@query("glossary_fix", "SELECT * FROM (VALUES (0, 'Copriletto bello'), (1, 'un copriletto rosso'), (2, 'rame-letto'), (3, NULL)) v(id, fixed)", False)
+def glossary_fix(s, d):
+    rows = s.createDataFrame([(0, "cobre-leito bonito", "Rame-letto bello"), (1, "um Cobre leito vermelho", "un rame letto rosso"), (2, "cama", "rame-letto"), (3, "cobre leito", None)], "id int, s string, t string")
+    return rows.select("id", retrieval.glossary_fix(F.col("s"), F.col("t")).alias("fixed"))
+
+
+@query("hash_embedding", """SELECT doc_id, list_aggregate(list_sort(list_distinct([('0x' || substr(sha256(w), 1, 8))::BIGINT % 128 for w in string_split(plain, ' ') if w <> ''])), 'string_agg', ',') AS slots
+  FROM (SELECT doc_id, """ + _PLAIN.format(c="left(text, 200)") + " AS plain FROM documents) WHERE plain <> ''", False)
+def hash_embedding(s, d):
+    e = retrieval.embed_hashed(F.substring("text", 1, 200))
+    slots = F.filter(F.transform(e, lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull())
+    return table(s, d, "documents").select("doc_id", F.array_join(F.transform(slots, lambda x: x.cast("string")), ",").alias("slots")).where("slots <> ''")
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+
+
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    return _results(s, d).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+
+
+def _relevant(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    q = v.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    return v.join(F.broadcast(q), (F.col("label") == F.col("ql")) & (F.col("vec_id") != F.col("query_id"))).select("query_id", F.col("vec_id").alias("doc_id"))
+
+
+_REL = ", rel AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id FROM embeddings a JOIN q b ON a.label = b.label AND a.vec_id <> b.vec_id)"
+
+
+@query("retrieval_metrics", _EACH + _REL + """, n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+p AS (SELECT res.query_id, count(rel.doc_id) AS hits, max(CASE WHEN rel.doc_id IS NULL THEN 0.0 ELSE 1.0::DOUBLE / rank END) AS rr, sum(CASE WHEN rel.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0 / log2(rank + 1.0::DOUBLE) END) AS dcg
+  FROM res LEFT JOIN rel ON rel.query_id = res.query_id AND rel.doc_id = res.vec_id GROUP BY 1)
+SELECT p.query_id, hits / 5.0::DOUBLE AS precision, coalesce(hits::DOUBLE / nullif(n, 0), 0) AS recall, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, round(rr::DOUBLE, 9) AS reciprocal_rank,
+  round(CASE WHEN n > 0 THEN dcg / list_sum([1.0::DOUBLE / log2(i + 1.0::DOUBLE) for i in range(1, least(n, 5) + 1)]) ELSE 0 END, 9) AS ndcg FROM p LEFT JOIN n USING (query_id)""", False)
+def retrieval_metrics(s, d):
+    m = E.ranking_metrics(_ranked(s, d), _relevant(s, d), 5)
+    return m.withColumns({"ndcg": F.round("ndcg", 9), "reciprocal_rank": F.round(F.col("reciprocal_rank").cast("double"), 9)})
+
+
+def _labels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(s, d, "embeddings")
+    e = v.select(F.col("vec_id").alias("id"), F.explode(F.array(F.concat(F.lit("l"), (F.col("label") % 4).cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")))).alias("label"))
+    p = v.select(F.col("vec_id").alias("id"), F.explode(F.array(F.concat(F.lit("l"), (F.col("label") % 5).cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")))).alias("label"))
+    return e, p
+
+
+_LABELS = """WITH e AS (SELECT DISTINCT vec_id AS id, unnest(['l' || (label % 4), 'm' || (vec_id % 3)]) AS label FROM embeddings), p AS (SELECT DISTINCT vec_id AS id, unnest(['l' || (label % 5), 'm' || (vec_id % 3)]) AS label FROM embeddings)"""
+
+
+@query("multilabel_metrics", _LABELS + """, c AS (SELECT label, count(*) FILTER (e.id IS NOT NULL AND p.id IS NOT NULL) AS tp, count(*) FILTER (e.id IS NULL) AS fp, count(*) FILTER (p.id IS NULL) AS fn, count(e.id) AS support FROM e FULL JOIN p USING (id, label) GROUP BY 1),
+a AS (SELECT * FROM c UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), CAST(sum(support) AS BIGINT) FROM c),
+m AS (SELECT label, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, support FROM a)
+SELECT label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM m""", False)
+def multilabel_metrics(s, d):
+    return E.multilabel_metrics(*_labels(s, d))
+
+
+@query("exact_match", _LABELS + " SELECT avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END)::DOUBLE AS exact_match FROM (SELECT id, list_sort(list(label)) AS x FROM e GROUP BY 1) JOIN (SELECT id, list_sort(list(label)) AS y FROM p GROUP BY 1) USING (id)", False)
+def exact_match(s, d):
+    return E.exact_match(*_labels(s, d))
+
+
+@query("error_confusion", _LABELS + " SELECT label, count(*) FILTER (e.id IS NULL) AS false_positives, count(*) FILTER (p.id IS NULL) AS false_negatives FROM e FULL JOIN p USING (id, label) GROUP BY 1", False)
+def error_confusion(s, d):
+    return E.multilabel_counts(*_labels(s, d)).select("label", F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"))
+
+
+@query("kappa", """SELECT count(*) AS pairs, avg((quality = toxic)::INT)::DOUBLE AS agreement, (avg((quality = toxic)::INT) - (sum(quality) * sum(toxic) + (count(*) - sum(quality)) * (count(*) - sum(toxic)))::DOUBLE / (count(*) * count(*)))
+  / (1 - (sum(quality) * sum(toxic) + (count(*) - sum(quality)) * (count(*) - sum(toxic)))::DOUBLE / (count(*) * count(*))) AS kappa FROM labels""", False)
+def kappa_(s, d):
+    return E.kappa(table(s, d, "labels"), "quality", "toxic")
+
+
+@query("latency_percentiles", """, x AS (SELECT order_status, CAST(order_value AS DOUBLE) AS v, row_number() OVER (PARTITION BY order_status ORDER BY order_value) AS rn, count(*) OVER (PARTITION BY order_status) AS n FROM e_orders WHERE order_value IS NOT NULL)
+SELECT order_status, count(*) AS n, CAST(CAST(sum(CAST(v AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS DOUBLE) / count(*) AS mean, median(v) AS median, max(v) FILTER (rn = round_even((n - 1) * 0.95::DOUBLE, 0) + 1) AS p95 FROM x GROUP BY 1""")
+def latency_percentiles(s, d):
+    rows = enriched_orders(s, d).where("order_value is not null").select("order_status", F.col("order_value").cast("double").alias("v"))
+    return E.latency_summary(rows, "order_status", "v")
+
+
+_JUDGED = ", judged AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, (a.label = b.label)::INT AS rel FROM embeddings a, q b WHERE a.vec_id <> b.vec_id AND (a.vec_id + b.vec_id) % 3 <> 0)"
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    q = v.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    j = v.join(F.broadcast(q), (F.col("vec_id") != F.col("query_id")) & ((F.col("vec_id") + F.col("query_id")) % 3 != 0))
+    return j.select("query_id", F.col("vec_id").alias("doc_id"), (F.col("label") == F.col("ql")).cast("int").alias("rel"))
+
+
+@query("precision_bounds", _EACH + _JUDGED + " SELECT res.query_id, sum(coalesce(rel, 0)) / 5.0::DOUBLE AS lower, sum(coalesce(rel, 1)) / 5.0::DOUBLE AS upper, count(rel)::DOUBLE / count(*) AS coverage FROM res LEFT JOIN judged ON judged.query_id = res.query_id AND judged.doc_id = res.vec_id GROUP BY 1", False)
+def precision_bounds(s, d):
+    return E.precision_bounds(_ranked(s, d), _judged(s, d), 5)
+
+
+@query("paired_outcomes", _EACH + _REL + """, p AS (SELECT res.query_id, count(rel.doc_id) FILTER (rank <= 5) / 5.0::DOUBLE AS a, count(rel.doc_id) FILTER (rank <= 1) / 1.0::DOUBLE AS b FROM res LEFT JOIN rel ON rel.query_id = res.query_id AND rel.doc_id = res.vec_id GROUP BY 1)
+SELECT count(*) FILTER (a > b) AS wins, count(*) FILTER (a = b) AS ties, count(*) FILTER (a < b) AS losses, round(avg(a - b), 9) AS mean_difference FROM p""", False)
+def paired_outcomes(s, d):
+    five, one = (E.ranking_metrics(_ranked(s, d), _relevant(s, d), k).select("query_id", F.col("precision").alias("score")) for k in (5, 1))
+    return E.paired_outcomes(five, one).withColumn("mean_difference", F.round("mean_difference", 9))
+
+
+@query("dominant_component", "SELECT arg_max(order_status, n) AS dominant FROM (SELECT order_status, count(*) AS n FROM d_orders GROUP BY 1)")
+def dominant_component(s, d):
+    return V.orders(s, d).groupBy("order_status").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("order_status", "n").alias("dominant"))
+
+
+# --- sampling -----------------------------------------------------------------------------------------------------
+
+
+@query("stratified_sample", """SELECT review_id, stratum FROM (SELECT review_id, concat_ws('|', coalesce(CAST(review_score AS VARCHAR), 'none'), CASE WHEN has_title AND has_message THEN 'both' WHEN has_title THEN 'title' WHEN has_message THEN 'message' ELSE 'none' END) AS stratum,
+  row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || review_id), review_id) AS rn FROM e_canonical) ORDER BY rn, stratum LIMIT 100""")
+def stratified_sample(s, d):
+    r = enrich.canonical_reviews(V.reviews(s, d), V.links(s, d))
+    shape = F.when(F.col("has_title") & F.col("has_message"), "both").when(F.col("has_title"), "title").when(F.col("has_message"), "message").otherwise("none")
+    r = r.select("review_id", F.concat_ws("|", F.coalesce(F.col("review_score").cast("string"), F.lit("none")), shape).alias("stratum"))
+    w = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("review_id").cast("string")), 256), "review_id")
+    return r.withColumn("rn", F.row_number().over(w)).orderBy("rn", "stratum").limit(100).select("review_id", "stratum")
+
+
+@query("hash_sample", "SELECT doc_id FROM documents ORDER BY sha256('42:' || doc_id), doc_id LIMIT 50", False)
+def hash_sample(s, d):
+    return table(s, d, "documents").select("doc_id").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256), "doc_id").limit(50)
+
+
+# --- scaling ------------------------------------------------------------------------------------------------------
+
+
+@query("scaled_orders", "SELECT o_orderkey || '__p9_' || r AS order_id, o_custkey || '__p9_' || r AS customer_id, r AS replica FROM orders, range(3) t(r)", False)
+def scaled_orders(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+    return scaling.replicate(o, 3, ["order_id", "customer_id"])
+
+
+@query("scaled_checks", "SELECT 0::BIGINT AS null_keys, 0::BIGINT AS duplicate_keys, (SELECT count(*) FROM orders) * 3 AS orders, 0::BIGINT AS orphans", False)
+def scaled_checks(s, d):
+    o, c = scaled_orders(s, d), scaling.replicate(table(s, d, "customer").select(F.col("c_custkey").alias("customer_id")), 3, ["customer_id"])
+    n = o.agg(F.count(F.lit(1)).alias("orders"))
+    lost = quality.orphans(o, "customer_id", c, "customer_id").agg(F.count(F.lit(1)).alias("orphans"))
+    return quality.key_violations(o, ["order_id"]).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(lost))  # one row each
+
+
+@query("workload_a", """SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS orders, CAST(CAST(sum(v) AS DECIMAL(18,2)) AS DOUBLE) AS "value", CAST(sum(late) AS BIGINT) AS late FROM
+  (SELECT count(*) AS n, CAST(sum(order_value) AS DECIMAL(18,2)) AS v, count(*) FILTER (is_late) AS late FROM e_orders GROUP BY purchase_year, purchase_month, order_category)""")
+def workload_a(s, d):
+    return scaling.workload_a(enriched_orders(s, d))
+
+
+@query("workload_b", "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS links, CAST(sum(sc) AS BIGINT) AS scores FROM (SELECT count(*) AS n, sum(review_score) AS sc FROM d_links JOIN e_orders USING (order_id) JOIN d_reviews USING (review_id) GROUP BY customer_state, order_status)")
+def workload_b(s, d):
+    return scaling.workload_b(enriched_orders(s, d), V.links(s, d), V.reviews(s, d))
+
+
+@query("workload_c", """SELECT count(*) AS groups, CAST(sum(r) AS BIGINT) AS reviews, CAST(sum(o) AS BIGINT) AS orders, CAST(sum(s) AS BIGINT) AS signals FROM (
+  SELECT count(DISTINCT l.review_id) AS r, count(DISTINCT l.order_id) AS o, count(*) FILTER (v.review_score <= 2 AND text_is_eligible) AS s FROM d_links l JOIN e_orders o ON o.order_id = l.order_id JOIN e_reviews v ON v.review_id = l.review_id
+  LEFT JOIN e_themes t ON t.review_id = l.review_id GROUP BY o.purchase_year, o.customer_state, order_category, CASE WHEN is_late THEN 'late' WHEN is_late IS NULL THEN 'unknown' ELSE 'on_time' END, theme)""")
+def workload_c(s, d):
+    return scaling.workload_c(enriched_orders(s, d), V.links(s, d), enriched_reviews(s, d), synthetic_themes(s, d))
+
+
+_RUNS = [("A", 1, 2.0, 100), ("A", 1, 4.0, 100), ("A", 5, 5.0, 500), ("A", 5, 7.0, 500), ("B", 1, 8.0, 100), ("B", 1, 6.0, 100), ("B", 10, 30.0, 1000), ("B", 10, 34.0, 1000)]
+_RUN_VALUES = ", ".join(str(r) for r in _RUNS)
+
+
+@query("run_summary", f"""SELECT *, mean_seconds / first_value(mean_seconds) OVER w AS time_growth, factor::DOUBLE / first_value(factor) OVER w AS factor_growth FROM (SELECT workload, factor, avg(seconds)::DOUBLE AS mean_seconds,
+  stddev_samp(seconds) AS stddev_seconds, avg(r / seconds::DOUBLE) AS throughput FROM (VALUES {_RUN_VALUES}) v(workload, factor, seconds, r) GROUP BY 1, 2) WINDOW w AS (PARTITION BY workload ORDER BY factor)""", False)
+def run_summary(s, d):
+    return scaling.run_summary(s.createDataFrame(_RUNS, "workload string, factor int, seconds double, rows long"))
+
+
+@query("cloud_speedup", f"SELECT factor, workload, seconds::DOUBLE / (seconds / (factor + 1.0::DOUBLE)) AS speedup FROM (SELECT workload, factor, min(seconds)::DOUBLE AS seconds FROM (VALUES {_RUN_VALUES}) v(workload, factor, seconds, r) GROUP BY 1, 2) WHERE factor <> 5", False)
+def cloud_speedup(s, d):
+    local = s.createDataFrame(_RUNS, "workload string, factor int, seconds double, rows long").groupBy("workload", "factor").agg(F.min("seconds").alias("seconds"))
+    return scaling.speedup(local, local.where("factor <> 5").withColumn("seconds", F.col("seconds") / (F.col("factor") + 1.0)))
+
+
+@query("result_linearity", "SELECT * FROM (VALUES ('A', true, true)) v(workload, is_linear, is_repeatable)", False)
+def result_linearity(s, d):
+    one = workload_a(s, d).select(F.lit("A").alias("workload"), F.col("orders").cast("double").alias("measure"))
+    runs = s.createDataFrame([(1,), (5,), (1,)], "factor int")
+    both = one.crossJoin(F.broadcast(runs))  # one row by three
+    both = both.withColumn("measure", F.col("measure") * F.col("factor")).withColumn("checksum", F.sha2(F.col("measure").cast("string"), 256))
+    return scaling.linearity(both)
+
+
+@query("manifest_comparison", "SELECT * FROM (VALUES ('links', 'count'), ('orders', 'compatible'), ('reviews', 'schema'), ('vectors', 'missing')) v(dataset, verdict)", False)
+def manifest_comparison(s, d):
+    a = s.createDataFrame([("orders", 1, "x"), ("reviews", 2, "x"), ("links", 3, "x")], "dataset string, row_count long, schema_json string")
+    b = s.createDataFrame([("orders", 1, "x"), ("reviews", 2, "y"), ("links", 4, "x"), ("vectors", 1, "x")], "dataset string, row_count long, schema_json string")
+    return scaling.compare_manifests(a, b)
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(s, d):
+    m = [r[0] for r in retrieval_metrics(s, d).orderBy("query_id").select("precision").collect()]  # one value a query, of twenty
+    return s.createDataFrame([E.bootstrap_interval(m)], "low double, high double")
