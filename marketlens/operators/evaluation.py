@@ -81,7 +81,7 @@ def precision_bounds(results: DataFrame, judged: DataFrame, k: int) -> DataFrame
 def paired_outcomes(a: DataFrame, b: DataFrame) -> DataFrame:
     """Wins, ties and losses of the first of two (query_id, score) tables, and the mean difference."""
     d = a.select("query_id", F.col("score").alias("x")).join(b.select("query_id", F.col("score").alias("y")), "query_id").withColumn("d", F.col("x") - F.col("y"))
-    return d.agg(F.count_if("d > 0").alias("wins"), F.count_if("d = 0").alias("ties"), F.count_if("d < 0").alias("losses"), F.avg("d").alias("mean_difference"))
+    return d.agg(F.count_if(F.expr("d > 0")).alias("wins"), F.count_if(F.expr("d = 0")).alias("ties"), F.count_if(F.expr("d < 0")).alias("losses"), F.avg("d").alias("mean_difference"))
 
 
 def bootstrap_interval(values: list[float], draws: int = 10_000, seed: int = 42) -> tuple[float, float]:
