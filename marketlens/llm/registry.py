@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lookup, boosted_trees, jaccard_join, packing, ppm, prefix_bpe, quality_rules, url_filter
+from . import bloom_lookup, boosted_trees, jaccard_join, packing, ppm, prefix_bpe, quality_rules, range_coder, url_filter
 from .common import crc_of_id
 
 URL_RULES = [
@@ -43,6 +43,11 @@ def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op6_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = range_coder.write_files(_docs(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return range_coder.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = prefix_bpe.encode_documents(_docs(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_two_fit": op3_best_two_fit,
     "op4_bloom_lookup": op4_bloom_lookup,
     "op5_redirect_equivalence": op5_redirect_equivalence,
+    "op6_range_coder": op6_range_coder,
     "op7_prefix_bpe": op7_prefix_bpe,
     "op8_boosted_trees": op8_boosted_trees,
     "op9_count_rtree_join": op9_count_rtree_join,
