@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lookup, boosted_trees, jaccard_join, packing, ppm, prefix_bpe, quality_rules, range_coder, url_filter
+from . import bloom_lookup, boosted_trees, jaccard_join, license_scan, packing, ppm, prefix_bpe, quality_rules, range_coder, url_filter
 from .common import crc_of_id
 
 URL_RULES = [
@@ -29,6 +29,10 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_docs(spark, sf_dir, "doc_id", "text"), crc_of_id() % 7 != 2)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_docs(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -76,6 +80,7 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_score": op1_ppm_score,
+    "op2_license_scan": op2_license_scan,
     "op3_best_two_fit": op3_best_two_fit,
     "op4_bloom_lookup": op4_bloom_lookup,
     "op5_redirect_equivalence": op5_redirect_equivalence,
