@@ -8,6 +8,7 @@ and ask the tokenizer only for words that are not in it. Texts with other white-
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 #: White space other than the space and the line end.
@@ -61,7 +62,7 @@ class _Memory:
 class LineChunks:
     """For encoders that join a space with the word after it. ``encode_many`` gives each string's ids as bytes."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 150_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 400_000):
         self.many = encode_many
         self.heads, self.tails = _Memory(size), _Memory(size)
         self.newline = encode_many(["\n"])[0]
@@ -124,23 +125,24 @@ class LibraryEncoder:
         """``lower``: the vocabulary folds case. ``space``: how its pieces spell a space before a word."""
         import os
 
-        import numpy as np
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.signs: dict[str, list[int]] = {}
-        self.lower, self.space, self.pack = lower, space, lambda ids: np.array(ids, "<u4").tobytes()
+        self.lower, self.space, self.pack = lower, space, lambda ids: array("I", ids).tobytes()
 
     def __call__(self, parts: list[str]) -> list[bytes]:
         return [self.pack(self.ids(p)) for p in parts]
 
     def ids(self, part: str) -> list[int]:
         tokenizer = self.tokenizer
-        if len(part) > 1000:
+        if not part or len(part) > 1000:
             return tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids
+        word = part[1:] if part[0] == " " else part
+        if word.isascii() and word.isalpha():
+            return [t.id for t in tokenizer.model.tokenize((self.space if word is not part else "") + (word.lower() if self.lower else word))]
         if simple := _SIMPLE.fullmatch(part):
             space, word, signs = simple.groups()
             found = [t.id for t in tokenizer.model.tokenize((self.space if space else "") + self.spelt(word))]

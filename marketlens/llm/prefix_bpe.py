@@ -9,6 +9,7 @@ re-encode only from its start until the stored tokens agree again.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,8 @@ class TextEncoder:
         return self.pattern.findall(text)
 
     def encode_text(self, text: str) -> list[int]:
+        if text.isascii() and (text[1:] if text[:1] == " " else text).isalpha():
+            return self.bpe.encode_piece(text.encode())
         return [t for p in self.pieces(text) for t in self.bpe.encode_piece(p.encode("utf-8", "replace"))]
 
     def decode(self, ids) -> bytes:
@@ -224,7 +227,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         encoder = TextEncoder(read_ranks(ranks_path), pattern)
 
         def many(parts: list[str]) -> list[bytes]:
-            return [np.array(encoder.encode_text(p), "<u4").tobytes() for p in parts]
+            return [array("I", encoder.encode_text(p)).tobytes() for p in parts]
 
         chunks = LineChunks(many)
         for batch in small_batches(batches, text):
