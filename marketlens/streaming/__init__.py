@@ -1,0 +1 @@
+"""Reserved for streaming jobs. The reference has none, so there is nothing to match."""
