@@ -90,4 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_count_rtree_join": op9_count_rtree_join,
     "op10_divergence": op10_divergence,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _url_sql() -> str:
+    """The URL filter in DuckDB SQL: a recursive walk over the edges stands for the components."""
+
+    def host(url: str) -> str:
+        return f"translate(coalesce(regexp_extract({url}, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def path(url: str) -> str:
+        return f"coalesce(regexp_extract({url}, '://([^/?#]*)([^?#]*)', 2), '')"
+
+    def address(url: str) -> str:
+        query = f"regexp_extract({url}, '://[^?#]*(\\?[^#]*)', 1)"
+        for name in url_filter.TRACKING * 2:
+            query = f"regexp_replace({query}, '(?i)([?&]){name}=[^&]*(&|$)', '\\1', 'g')"
+        return f"CASE WHEN {host(url)} <> '' THEN {host(url)} || regexp_replace({path(url)}, '/$', '') || regexp_replace({query}, '[?&]$', '') END"
+
+    def rule(url: str, what: str) -> str:
+        cases = [f"WHEN ({host(url)} = '{r.host}' OR ends_with({host(url)}, '.{r.host}')) AND starts_with({path(url)}, '{r.path}') THEN '{getattr(r, what)}'" for r in sorted(URL_RULES, key=lambda r: -len(r.name))]
+        return "CASE " + " ".join(cases) + " END"
+
+    links = []
+    for tag, find in (("link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b", "href\\s*="), ("meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b", "url\\s*=")):
+        links.append(f"SELECT url, regexp_extract(regexp_extract(html, '(?is)<{tag}[^>]*>', 0), '(?is)\\b{find}\\s*[\"'']?([^\"''\\s>]+)', 1) AS t FROM pages")
+    whole = "CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || t ELSE t END"
+    return f"""WITH RECURSIVE l AS (SELECT url, {whole} AS t FROM ({" UNION ALL ".join(links)})),
+e AS (SELECT {address("url")} AS a, {address("t")} AS b, t FROM l), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+walk AS (SELECT a AS node, a AS seen FROM g UNION SELECT node, b FROM walk JOIN g ON seen = a), comp AS (SELECT node, min(seen) AS component FROM walk GROUP BY 1),
+own AS (SELECT page_id, {host("url")} AS host, {path("url")} AS path, {rule("url", "name")} AS rule, {rule("url", "verdict")} AS own, {address("url")} AS address FROM pages),
+bad AS (SELECT DISTINCT coalesce(component, address) AS component FROM (SELECT address, own FROM own UNION ALL SELECT b, {rule("t", "verdict")} FROM e WHERE a <> b) LEFT JOIN comp ON node = address WHERE own = 'block')
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN coalesce(component, address) IN (SELECT component FROM bad WHERE component IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(component, address) AS component
+FROM own LEFT JOIN comp ON node = address"""
+
+
+ORACLES: dict[str, str] = {"op5_redirect_equivalence": _url_sql()}
