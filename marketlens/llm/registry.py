@@ -75,7 +75,7 @@ def op9_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang")).drop("text", "lang")
+    return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang")).drop("text", "lang", "char_distance", "word_distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -124,4 +124,41 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN coalesce(component, ad
 FROM own LEFT JOIN comp ON node = address"""
 
 
-ORACLES: dict[str, str] = {"op5_redirect_equivalence": _url_sql()}
+def _rules_sql() -> str:
+    """The quality rules in DuckDB SQL, for documents in one of the configured languages."""
+    q, limits = quality_rules, quality_rules.Limits()
+    white = "[\\x20\\x09-\\x0D]"
+    classes = ["[a-z]+", f"{white}+", "[A-Z]+", "[0-9]+", "[^\\x00-\\x7F]+", "[.,;:''\"?()\\-]+"]
+    steps, left = [], "t0"
+    for k, pattern in enumerate(classes):
+        steps.append(f"s{k + 1} AS (SELECT *, regexp_replace(t{k}, '{pattern}', '', 'g') AS t{k + 1} FROM s{k})")
+        left = f"t{k + 1}"
+    chars = ", ".join(f"length(t{k}) - length(t{k + 1})" for k in range(len(classes)) if k != q.DIGITS) + f", length({left})"
+    every = max(len(v.split()) for v in limits.languages.values())
+    common = "CASE lang " + " ".join(
+        f"WHEN '{k}' THEN [" + ", ".join(f"len(list_filter(toks, lambda x: x = '{w}'))" for w in v.split()) + "]" for k, v in limits.languages.items()
+    ) + " END"
+    ref_c = ", ".join(f"sum(chars[{k + 1}])::DOUBLE" for k in range(len(classes)))
+    ref_w = ", ".join(f"coalesce(sum(common[{k + 1}]), 0)::DOUBLE" for k in range(every))
+
+    def distance(p: str, r: str) -> str:
+        terms = f"[CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END for z in [[x.a, x.b] for x in list_transform(list_zip({p}, {r}), lambda y: {{'a': y[1]::DOUBLE / list_sum({p}), 'b': y[2] / list_sum({r})}})]]"
+        return f"CASE WHEN list_sum({p}) > 0 THEN sqrt(greatest(list_sum({terms}) / 2, 0)) END"
+
+    return f"""WITH s0 AS (SELECT doc_id, lang, coalesce(text, '') AS t0, list_filter(string_split_regex(coalesce(text, ''), '{white}+'), lambda x: x <> '') AS words,
+  string_split_regex(lower(coalesce(text, '')), '[.,;:!?]*{white}+') AS toks, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{white}+', '', 'g') <> '') AS lines FROM documents),
+{", ".join(steps)},
+h AS (SELECT *, [{chars}] AS chars, {common} AS common, len(words) AS n_words, length(t0) - (length(t1) - length(t2)) AS word_chars, length(t0) - length(regexp_replace(t0, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM s{len(classes)}),
+r AS (SELECT lang, [{ref_c}] AS rc, [{ref_w}] AS rw, sum(len(toks))::DOUBLE AS n FROM h GROUP BY lang),
+g AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS gram FROM s0, unnest(range(1, len(words) - 3)) u(i)),
+again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1),
+m AS (SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN list_sum(chars) >= {limits.least_chars} THEN {distance("chars", "rc")} END AS cd,
+  CASE WHEN n_words >= {limits.least_words} THEN {distance("list_append(common, len(toks) - list_sum(common))", "list_append(rw[1:len(common)], n - list_sum(rw[1:len(common)]))")} END AS wd FROM h LEFT JOIN r USING (lang) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(cd <= {limits.char_distance}, true) AND coalesce(wd <= {limits.word_distance} + {limits.word_scatter} / sqrt(n_words), true) AS kept FROM m"""
+
+
+ORACLES: dict[str, str] = {"op5_redirect_equivalence": _url_sql(), "op10_divergence": _rules_sql()}
