@@ -82,7 +82,14 @@ def embed_hashed(text: Column, dims: int = 128) -> Column:
         """``f`` of a value that is computed once, by a one-element array."""
         return F.element_at(F.transform(F.array(value), f), 1)
 
-    raw = bound(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double")))
+    def step(at: Column, x: Column) -> Column:
+        """Sorted slots in one pass: a new slot ends the count of the last one, and slots between them count 0."""
+        ended = F.concat(at["done"], F.array(at["n"]), F.array_repeat(F.lit(0.0), (x - at["slot"] - 1).cast("int")))
+        same = x == at["slot"]
+        return F.struct(x.alias("slot"), F.when(same, at["n"] + 1.0).otherwise(1.0).alias("n"), F.when(same, at["done"]).otherwise(ended).alias("done"))
+
+    start = F.struct(F.lit(0).cast("long").alias("slot"), F.lit(0.0).alias("n"), F.array().cast("array<double>").alias("done"))
+    raw = F.aggregate(F.sort_array(slots), start, step, lambda at: F.concat(at["done"], F.array(at["n"]), F.array_repeat(F.lit(0.0), (F.lit(dims - 1) - at["slot"]).cast("int"))))
     both = bound(raw, lambda r: F.struct(r.alias("r"), F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")))
     return bound(both, lambda b: F.transform(b["r"], lambda x: F.when(b["norm"] > 0, x / b["norm"]).otherwise(0.0)))
 

@@ -582,9 +582,9 @@ def glossary_fix(s, d):
 @query("hash_embedding", """SELECT doc_id, list_aggregate(list_sort(list_distinct([('0x' || substr(sha256(w), 1, 8))::BIGINT % 128 for w in string_split(plain, ' ') if w <> ''])), 'string_agg', ',') AS slots
   FROM (SELECT doc_id, """ + _PLAIN.format(c="left(text, 200)") + " AS plain FROM documents) WHERE plain <> ''", False)
 def hash_embedding(s, d):
-    e = retrieval.embed_hashed(F.substring("text", 1, 200))
+    e = retrieval.embed_hashed(F.col("text"))
     slots = F.filter(F.transform(e, lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull())
-    return table(s, d, "documents").select("doc_id", F.array_join(F.transform(slots, lambda x: x.cast("string")), ",").alias("slots")).where("slots <> ''")
+    return table(s, d, "documents").where(S.letters_only(F.col("text")) != "").select("doc_id", F.array_join(F.transform(slots, lambda x: x.cast("string")), ",").alias("slots"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
