@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from marketlens.functions import scalar as S
 
 
-def ranking_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+def ranking_metrics(results: DataFrame, relevant: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
     """Per query: precision, recall, hit, reciprocal rank and nDCG at k. ``results``: query_id, doc_id, rank.
-    ``relevant``: query_id, doc_id."""
+    ``relevant``: query_id, doc_id. With ``counts`` (query_id, n_relevant), ``relevant`` need hold found pairs only."""
     rel = relevant.select("query_id", "doc_id", F.lit(1).alias("rel"))
-    n = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+    n = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant")) if counts is None else counts
     hits = results.join(rel, ["query_id", "doc_id"], "left")
     top = F.col("rank") <= k
     per = hits.groupBy("query_id").agg(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,69 @@ def top_k(vectors: DataFrame, query: list[float], k: int, where: Column | None =
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "vec_id")))  # k rows
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank) for a bounded set of queries, which is broadcast."""
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "query_label", "vec_id", "label", F.round(S.cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """One row for each vector, NaN for null ones; vectors of different lengths are an error."""
+    lengths = column.combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    dims = int(lengths.max(initial=0))
+    there = lengths == dims
+    if (lengths[~there] > 0).any():
+        raise ValueError("vectors of different lengths")
+    out = np.full((len(lengths), dims), np.nan)
+    if dims:
+        out[there] = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return out
+
+
+def _best(queries: pa.Table, vectors: pa.Table, k: int, at_once: int = 256) -> pa.Table:
+    """The k best of a block of vectors for each of a block of queries, by rounded cosine and then id. Pairs without a
+    cosine come last, with null."""
+    vectors = vectors.sort_by("vec_id")
+    q, v, ids = _matrix(queries["query"]), _matrix(vectors["embedding"]), vectors["vec_id"].to_numpy()
+    if len(q) and len(v) and q.shape[1] != v.shape[1] and q.shape[1] and v.shape[1]:
+        raise ValueError("vectors of different lengths")
+    if q.shape[1] != v.shape[1]:  # one side is all null
+        q, v = np.full((len(q), 1), np.nan), np.full((len(v), 1), np.nan)
+    own, norms = queries["query_id"].to_numpy(), (v * v).sum(axis=1)
+    rows, found, values = [], [], []
+    for first in range(0, len(q) if len(v) else 0, at_once):
+        some = q[first : first + at_once]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round(some @ v.T / np.sqrt((some * some).sum(axis=1)[:, None] * norms), 6) + 0.0
+        score = np.where(np.isfinite(score), score, -5.0)
+        score[own[first : first + at_once, None] == ids] = -9.0  # the query itself
+        least = np.partition(score, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
+        for r, line in enumerate(score):
+            near = np.flatnonzero((line >= least[r]) & (line > -9.0))
+            near = near[np.argsort(-line[near], kind="stable")][:k]
+            rows.append(np.full(len(near), first + r))
+            found.append(near)
+            values.append(line[near])
+    row, at, value = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((rows, int), (found, int), (values, float)))
+    left, right = queries.select(["query_id", "query_label"]).take(pa.array(row)), vectors.select(["vec_id", "label"]).take(pa.array(at))
+    return pa.table({**{c: left[c] for c in left.column_names}, **{c: right[c] for c in right.column_names}, "similarity": pa.array(value, mask=value < -4)})
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, block: tuple[int, int] = (4096, 2048)) -> DataFrame:
+    """(query_id, query_label, vec_id, label, similarity, rank): for every query the k most similar other vectors; ties by id.
+
+    Queries and vectors are dealt to blocks of about ``block`` rows by a hash of their id, and each pair of blocks is one
+    group, so no task or broadcast holds all of either side. A group keeps its k best for each query. Rows without an id
+    make no pair.
+    """
+    v = vectors.where("vec_id is not null").select("vec_id", "label", "embedding")
+    q = queries.where("query_id is not null").select("query_id", "query_label", "query")
+    of_q, of_v = (max(1, -(-side.count() // size)) for side, size in zip((q, v), block, strict=True))
+
+    def dealt(side: DataFrame, key: str, own: str, own_blocks: int, other: str, others: int) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int")).withColumn(other, each)
+
+    left, right = dealt(q, "query_id", "qb", of_q, "vb", of_v), dealt(v, "vec_id", "vb", of_v, "qb", of_q)
+    kinds = {**dict(q.dtypes), **dict(v.dtypes)}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "query_label", "vec_id", "label")) + ", similarity double"
+    best = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(lambda a, b: _best(a, b, k), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def lexical_overlap(text: Column, query: str) -> Column:

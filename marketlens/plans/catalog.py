@@ -549,10 +549,17 @@ def rerank_topk(s, d):
     return retrieval.rerank(retrieval.top_k(table(s, d, "embeddings"), _query_vector(s, d), 50), (F.col("vec_id") % 7).cast("double"), 5)
 
 
+#: Every vector whose id is divisible by this is a query.
+QUERY_STEP = 20
+
+
+def _query_set(s: SparkSession, d: str) -> DataFrame:
+    some = table(s, d, "embeddings").where(F.col("vec_id") % QUERY_STEP == 0)
+    return some.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query"))
+
+
 def _results(s: SparkSession, d: str, k: int = 5) -> DataFrame:
-    v = table(s, d, "embeddings")
-    queries = v.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query"))
-    return retrieval.top_k_each(v, queries, k)
+    return retrieval.top_k_each(table(s, d, "embeddings"), _query_set(s, d), k)
 
 
 _EACH = f"""WITH q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20),
@@ -569,7 +576,8 @@ def vector_topk_each(s, d):
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY theme ORDER BY similarity DESC, document_id) AS INTEGER) AS rn FROM c WHERE theme_rank <= 3 QUALIFY rn <= 2)
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY theme_rank, rn) = 1""", False)
 def retrieve_per_theme(s, d):
-    c = _results(s, d).where("query_id < 5").select(F.col("vec_id").cast("string").alias("document_id"), F.col("query_id").alias("theme"), (F.col("query_id") + 1).cast("int").alias("theme_rank"), "similarity")
+    place = (F.expr(f"query_id div {QUERY_STEP}") + 1).cast("int")  # of the query among all
+    c = _results(s, d).select(F.col("vec_id").cast("string").alias("document_id"), F.col("query_id").alias("theme"), place.alias("theme_rank"), "similarity")
     return retrieval.per_theme(c)
 
 
@@ -590,14 +598,22 @@ def hash_embedding(s, d):
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
 
-def _ranked(s: SparkSession, d: str) -> DataFrame:
-    return _results(s, d).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+def _ranked(results: DataFrame) -> DataFrame:
+    return results.select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+
 
+def _relevant(results: DataFrame) -> DataFrame:
+    """Of the found pairs those of one label: no other pair can be a hit."""
+    return results.where("label = query_label").select("query_id", F.col("vec_id").alias("doc_id"))
 
-def _relevant(s: SparkSession, d: str) -> DataFrame:
+
+def _relevant_counts(s: SparkSession, d: str) -> DataFrame:
+    """For each query the vectors of its label under another id, counted without listing the pairs."""
     v = table(s, d, "embeddings")
-    q = v.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    return v.join(F.broadcast(q), (F.col("label") == F.col("ql")) & (F.col("vec_id") != F.col("query_id"))).select("query_id", F.col("vec_id").alias("doc_id"))
+    q = _query_set(s, d).select("query_id", "query_label")
+    of_label = v.groupBy(F.col("label").alias("query_label")).agg(F.count("vec_id").alias("n"))
+    own = v.groupBy(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")).agg(F.count(F.lit(1)).alias("own"))
+    return q.join(of_label, "query_label").join(own, ["query_id", "query_label"]).select("query_id", (F.col("n") - F.col("own")).alias("n_relevant"))
 
 
 _REL = ", rel AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id FROM embeddings a JOIN q b ON a.label = b.label AND a.vec_id <> b.vec_id)"
@@ -609,7 +625,8 @@ p AS (SELECT res.query_id, count(rel.doc_id) AS hits, max(CASE WHEN rel.doc_id I
 SELECT p.query_id, hits / 5.0::DOUBLE AS precision, coalesce(hits::DOUBLE / nullif(n, 0), 0) AS recall, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, round(rr::DOUBLE, 9) AS reciprocal_rank,
   round(CASE WHEN n > 0 THEN dcg / list_sum([1.0::DOUBLE / log2(i + 1.0::DOUBLE) for i in range(1, least(n, 5) + 1)]) ELSE 0 END, 9) AS ndcg FROM p LEFT JOIN n USING (query_id)""", False)
 def retrieval_metrics(s, d):
-    m = E.ranking_metrics(_ranked(s, d), _relevant(s, d), 5)
+    r = _results(s, d)
+    m = E.ranking_metrics(_ranked(r), _relevant(r), 5, _relevant_counts(s, d))
     return m.withColumns({"ndcg": F.round("ndcg", 9), "reciprocal_rank": F.round(F.col("reciprocal_rank").cast("double"), 9)})
 
 
@@ -657,22 +674,23 @@ def latency_percentiles(s, d):
 _JUDGED = ", judged AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, (a.label = b.label)::INT AS rel FROM embeddings a, q b WHERE a.vec_id <> b.vec_id AND (a.vec_id + b.vec_id) % 3 <> 0)"
 
 
-def _judged(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "embeddings")
-    q = v.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    j = v.join(F.broadcast(q), (F.col("vec_id") != F.col("query_id")) & ((F.col("vec_id") + F.col("query_id")) % 3 != 0))
-    return j.select("query_id", F.col("vec_id").alias("doc_id"), (F.col("label") == F.col("ql")).cast("int").alias("rel"))
+def _judged(results: DataFrame) -> DataFrame:
+    """Of the found pairs the judged ones: other judgements bear on no bound."""
+    j = results.where((F.col("vec_id") + F.col("query_id")) % 3 != 0)
+    return j.select("query_id", F.col("vec_id").alias("doc_id"), (F.col("label") == F.col("query_label")).cast("int").alias("rel"))
 
 
 @query("precision_bounds", _EACH + _JUDGED + " SELECT res.query_id, sum(coalesce(rel, 0)) / 5.0::DOUBLE AS lower, sum(coalesce(rel, 1)) / 5.0::DOUBLE AS upper, count(rel)::DOUBLE / count(*) AS coverage FROM res LEFT JOIN judged ON judged.query_id = res.query_id AND judged.doc_id = res.vec_id GROUP BY 1", False)
 def precision_bounds(s, d):
-    return E.precision_bounds(_ranked(s, d), _judged(s, d), 5)
+    r = _results(s, d)
+    return E.precision_bounds(_ranked(r), _judged(r), 5)
 
 
 @query("paired_outcomes", _EACH + _REL + """, p AS (SELECT res.query_id, count(rel.doc_id) FILTER (rank <= 5) / 5.0::DOUBLE AS a, count(rel.doc_id) FILTER (rank <= 1) / 1.0::DOUBLE AS b FROM res LEFT JOIN rel ON rel.query_id = res.query_id AND rel.doc_id = res.vec_id GROUP BY 1)
 SELECT count(*) FILTER (a > b) AS wins, count(*) FILTER (a = b) AS ties, count(*) FILTER (a < b) AS losses, round(avg(a - b), 9) AS mean_difference FROM p""", False)
 def paired_outcomes(s, d):
-    five, one = (E.ranking_metrics(_ranked(s, d), _relevant(s, d), k).select("query_id", F.col("precision").alias("score")) for k in (5, 1))
+    r = _results(s, d)
+    five, one = (E.ranking_metrics(_ranked(r), _relevant(r), k, _relevant_counts(s, d)).select("query_id", F.col("precision").alias("score")) for k in (5, 1))
     return E.paired_outcomes(five, one).withColumn("mean_difference", F.round("mean_difference", 9))
 
 
@@ -768,5 +786,5 @@ def manifest_comparison(s, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(s, d):
-    m = [r[0] for r in retrieval_metrics(s, d).orderBy("query_id").select("precision").collect()]  # one value a query, of twenty
+    m = [r[0] for r in retrieval_metrics(s, d).orderBy("query_id").select("precision").collect()]  # one value a query
     return s.createDataFrame([E.bootstrap_interval(m)], "low double, high double")
