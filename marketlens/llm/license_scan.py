@@ -4,11 +4,13 @@ For each template length, every window of as many 5-word shingles as the templat
 start at every word for short templates and at an eighth of the length for longer ones, so some window overlaps any copy
 almost whole. A window that agrees with a template in all rows of one band is a candidate. With 10 bands of 2 rows,
 two sets of similarity 0.8 collide with probability 1 - (1 - 0.8 ** 2) ** 10 > 0.9999, and each further window of a copy
-is another chance.
+is another chance. Punctuation at the edges of words counts on neither side, nor do words of punctuation only, such as
+comment marks.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ from .common import small_batches, words_of
 
 WIDTH = 5
 _U = np.uint64
+_EDGES = string.punctuation.encode()
+_CURLY = str.maketrans("\u2018\u2019\u201c\u201d", "''\"\"")
 
 # License notices by SPDX identifier.
 TEMPLATES = {
@@ -32,9 +36,22 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "Apache-2.0-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
 }
 
 
+def bare_words(text: str | None) -> tuple[list[bytes], list[int]]:
+    """The words of a text without punctuation at their edges, and the place of each among all its words."""
+    if text and not text.isascii():
+        text = text.translate(_CURLY)
+    words = [w.strip(_EDGES) for w in words_of(text)]
+    if all(words):
+        return words, list(range(len(words)))
+    places = [k for k, w in enumerate(words) if w]
+    return [words[k] for k in places], places
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -78,7 +95,7 @@ class Scanner:
         self.bands, self.least = bands, least
         self.by_length: dict[int, list[tuple[str, np.ndarray, np.ndarray]]] = {}
         for name in sorted(templates):
-            found = shingles(words_of(templates[name]))
+            found = shingles(bare_words(templates[name])[0])
             if not len(found):
                 raise ValueError(f"{name}: a template needs {WIDTH} words")
             key = bands.keys(bands.hashed(found).min(axis=1, keepdims=True))[:, 0]
@@ -86,7 +103,8 @@ class Scanner:
 
     def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, end word, containment) of each match; of overlapping ones of a template the best."""
-        found = shingles(words_of(text))
+        words, places = bare_words(text)
+        found = shingles(words)
         out: list[tuple[str, int, int, float]] = []
         if not len(found):
             return out
@@ -113,7 +131,7 @@ class Scanner:
                             best[-1] = (int(at), float(inside))
                     else:
                         best.append((int(at), float(inside)))
-                out += [(name, at, at + size + WIDTH - 1, inside) for at, inside in best]
+                out += [(name, places[at], places[at + size + WIDTH - 2] + 1, inside) for at, inside in best]
         return sorted(out, key=lambda m: (m[1], m[0]))
 
 
