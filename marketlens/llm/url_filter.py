@@ -34,6 +34,7 @@ class Rule:
 TRACKING = ("utm_[a-z]+", "ref", "gclid", "fbclid", "sessionid")
 _LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _PARTS = "://([^/?#]*)([^?#]*)"
 
 
@@ -67,17 +68,42 @@ def rule_of(host: Column, path: Column, rules: list[Rule], what: str = "name") -
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its ``.`` and ``..`` parts resolved."""
+    parts = F.split(path, "/")
+
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", shorter).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    left = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(left) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(left, "/"), end)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The address that ``target`` names on a page at ``base``: a whole one, or one relative to the scheme, the host, the
+    folder or the page."""
+    host = lambda url: F.regexp_extract(url, "^([^:]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(base), "(?s)^(.*/)", 1)
+    whole = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("/"), F.concat(host(base), target))
+        .when(target.startswith("?"), F.concat(host(base), path_of(base), target)).when(target.startswith("#"), F.concat(F.regexp_replace(base, "(?s)#.*", ""), target))
+        .otherwise(F.concat(host(base), F.when(folder == "", "/").otherwise(folder), target))
+    )
+    plain = F.concat(host(whole), without_dots(path_of(whole)), F.regexp_extract(whole, r"(?s)://[^?#]*([?#].*)$", 1))
+    return F.when(path_of(whole).contains("/."), plain).otherwise(whole)
+
+
 def redirect_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) addresses of canonical links and meta refreshes to another address. Targets that are relative to the
-    host are completed; others without a host are dropped, for they name no address."""
-    base = F.concat(F.regexp_extract(F.col(url), "^([^:]*://[^/?#]*)", 1))
-    outs = []
-    for pattern in (_LINK, _REFRESH):
-        found = F.regexp_extract(F.col(html), pattern, 1)
-        found = F.when(found.startswith("//"), F.concat(F.lit("http:"), found)).when(found.startswith("/"), F.concat(base, found)).otherwise(found)
-        outs.append(found)
+    """(src, dst) addresses of all canonical links and meta refreshes to another address. Relative targets are resolved
+    against the page's ``base`` element, if it has one, and its url. Targets of other schemes have no host and are dropped."""
     linked = pages.where(F.lower(F.col(html)).contains("canonical") | F.lower(F.col(html)).contains("refresh"))
-    edges = linked.select(address_of(F.col(url)).alias("src"), F.explode(F.array(*outs)).alias("to"))
+    given = F.regexp_extract(F.col(html), _BASE, 1)
+    base = F.when(given == "", F.col(url)).otherwise(resolve(given, F.col(url)))
+    found = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(pattern), 1) for pattern in (_LINK, _REFRESH)])
+    held = linked.select(address_of(F.col(url)).alias("src"), base.alias("base"), F.array_distinct(found).alias("found"))
+    edges = held.select("src", F.explode(F.transform("found", lambda t: resolve(t, F.col("base")))).alias("to"))
     edges = edges.select("src", address_of(F.col("to")).alias("dst"), F.col("to").alias("dst_url"))
     return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
 

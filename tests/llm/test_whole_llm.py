@@ -1,10 +1,12 @@
 """The training-data operators on cases that they once left out."""
 
 from collections import Counter
+from urllib.parse import urljoin
 
 import pytest
+from pyspark.sql import functions as F
 
-from marketlens.llm import license_scan
+from marketlens.llm import license_scan, url_filter
 
 MIT = '''Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -51,3 +53,27 @@ def test_standard_licenses_in_running_text(text, expected):
             assert 0 <= first < end <= len(words)
     at = scanner.matches("* * released ** under the MIT License. *")
     assert at == [("MIT", 2, 8, 1.0)]
+
+
+def test_relative_targets(spark):
+    bases = ["http://a.org", "http://a.org/", "https://a.org/x/y/z.html?q=1#f", "http://a.org/x/y/"]
+    targets = ["index.html", "./b", "../en/a", "../../../c", "..", ".", "d/../e/./f", "?p=2", "/g/../h", "//b.org/i", "http://c.org/k?u=../v", "?u=http://d.org/", "l?m=/../n", "o/..", "p/"]
+    rows = spark.createDataFrame([(b, t) for b in bases for t in targets], "base string, target string")
+    for b, t, got in rows.select("base", "target", url_filter.resolve(F.col("target"), F.col("base"))).collect():
+        assert got.split("://")[1].replace("org?", "org/?") == urljoin(b, t).split("://")[1].replace("org?", "org/?"), (b, t)
+    whole = rows.limit(1).select(url_filter.resolve(F.lit("http://c.org/j/../k?u=../v"), F.col("base"))).first()[0]
+    assert whole == "http://c.org/k?u=../v"  # urljoin leaves whole addresses as they are
+
+
+def test_blocks_follow_every_relative_link(spark):
+    rules = [url_filter.Rule("block", "bad.org", "/en/")]
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://bad.org/de/a", link.format("../en/a")), (2, "http://bad.org/", refresh.format("en/b")), (3, "http://bad.org/de/", link.format("c.html")), (4, "http://ok.org/p", link.format("?p=2")),
+        (5, "http://ok.org/q", link.format("http://ok.org/r") + link.format("http://bad.org/en/c")), (6, "http://ok.org/s", refresh.format("t") + refresh.format("//bad.org/en/d")), (7, "http://ok.org/t", ""),
+        (8, "http://ok.org/p?p=2", refresh.format("http://bad.org/en/e")), (9, "http://ok.org/u", '<base href="http://bad.org/en/x/">' + link.format("../f")), (10, "http://ok.org/v", link.format("mailto:a@bad.org")),
+        (11, "http://ok.org/w", link.format("#bad.org/en/")), (12, "http://ok.org/r", None), (13, None, link.format("en/b")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    blocked = {1, 2, 4, 5, 6, 7, 8, 9, 12}
+    assert got == {k: "block" if k in blocked else "allow" for k in range(1, 14)}
