@@ -124,7 +124,7 @@ def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
     Words are runs of other characters than space and \\x09-\\x0D. base_failed: fewer than 10 words, or over 20 % of the
     words in 5-word windows that the text holds twice or more. kept: base passed and no compared distance over its limit.
     Null and empty texts have zero counts and fail. A null or unconfigured language is guessed by the most common words;
-    where none occurs, nothing is compared. Repeated rows are measured each; an empty table gives no rows. Two narrow
+    where none occurs, only the character classes are compared, with the closest language's. Repeated rows are measured each; an empty table gives no rows. Two narrow
     passes over the texts: one sums the references, one measures. No row leaves its partition.
     """
     refs = references(docs, limits, text, lang)
@@ -166,6 +166,10 @@ def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
         here = F.col(n["key"]) == k
         chars = F.when(here & (total >= limits.least_chars), js_distance(F.col(n["chars"]), c)).otherwise(chars)
         words = F.when(here & (F.col("n_words") >= limits.least_words), js_distance(F.concat(common, F.array(rest)), v)).otherwise(words)
+    nearest = [js_distance(F.col(n["chars"]), c) for _, (c, _) in sorted(refs.items())]
+    if nearest:
+        unknown = F.col(n["key"]).isNull() & (total >= limits.least_chars)
+        chars = F.when(unknown, F.least(*nearest) if len(nearest) > 1 else nearest[0]).otherwise(chars)
     df = df.withColumns({"char_distance": chars, "word_distance": words})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)

@@ -6,7 +6,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import license_scan, url_filter
+from marketlens.llm import license_scan, quality_rules, url_filter
 
 MIT = '''Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -77,3 +77,18 @@ def test_blocks_follow_every_relative_link(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
     blocked = {1, 2, 4, 5, 6, 7, 8, 9, 12}
     assert got == {k: "block" if k in blocked else "allow" for k in range(1, 14)}
+
+
+def test_unlabelled_documents_are_compared(spark):
+    english = ["the stone of the river and a letter to the garden in winter, that is music for it"] * 30
+    spanish = ["el jardin de la casa que y en los rios a las piedras se"] * 30
+    rows = [(k, t + f" {chr(97 + k)}", lang) for texts, lang in ((english, "en"), (spanish, "es")) for k, t in enumerate(texts[:20])]
+    junk = " ".join(f"{'#$%|<>@~' * 3}{k}{'^=+{}' * 3}" for k in range(60))
+    clean = " ".join(f"stone river{chr(97 + k % 26)} garden, cloudy{chr(97 + k // 26)} morning" for k in range(60))
+    rows += [(100, junk, None), (101, junk, "xx"), (102, clean, None), (103, "# $ %", None), (104, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.measure(docs).where("doc_id >= 100").collect()}
+    for k in (100, 101):
+        assert not got[k]["base_failed"] and not got[k]["kept"] and got[k]["char_distance"] > quality_rules.Limits().char_distance and got[k]["word_distance"] is None
+    assert got[102]["kept"] and got[102]["char_distance"] is not None
+    assert got[103]["char_distance"] is None and got[104]["char_distance"] is None
