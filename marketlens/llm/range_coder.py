@@ -209,6 +209,13 @@ def read_frame(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return doc_ids, lengths, ids, before
 
 
+def narrowed(ids: np.ndarray) -> bytes:
+    """Ids as 16-bit integers; larger ones are an error."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError("ids of 65536 or more do not fit")
+    return ids.astype("<u2").tobytes()
+
+
 def write_files(docs: DataFrame, tokenizer: str, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The written table (part, frame, n_ids, data): each document's ids and ``end``, in ascending id order, in frames of
     about ``BLOCK * LANES`` ids. A document lies in one frame. Null and empty texts are the end id alone; null document
@@ -216,9 +223,9 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 2, doc_id: str = "do
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = byte_level(tokenizer), np.array([end], "<u2").tobytes()
+        encoder, stop = byte_level(tokenizer), narrowed(np.array([end]))
         for batch in small_batches(batches, "text"):
-            made = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + stop for x in encoder.encode(batch.column("text").to_pylist())]
+            made = [narrowed(np.frombuffer(x, "<u4")) + stop for x in encoder.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("key"), pa.array(made, pa.binary())], names=["part", "key", "ids"])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

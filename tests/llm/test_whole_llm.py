@@ -3,10 +3,12 @@
 from collections import Counter
 from urllib.parse import urljoin
 
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import license_scan, quality_rules, url_filter
+from marketlens.llm import license_scan, quality_rules, range_coder, url_filter
 
 MIT = '''Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -92,3 +94,12 @@ def test_unlabelled_documents_are_compared(spark):
         assert not got[k]["base_failed"] and not got[k]["kept"] and got[k]["char_distance"] > quality_rules.Limits().char_distance and got[k]["word_distance"] is None
     assert got[102]["kept"] and got[102]["char_distance"] is not None
     assert got[103]["char_distance"] is None and got[104]["char_distance"] is None
+
+
+def test_large_ids_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "river")], "doc_id long, text string")
+    files = range_coder.write_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end=65_535)
+    assert np.frombuffer(range_coder.read_files(files).first()["ids"], "<u4")[-1] == 65_535
+    for ids in ([65_536], [1, 70_000, 2]):
+        with pytest.raises(ValueError):
+            range_coder.narrowed(np.array(ids, "<u4"))
