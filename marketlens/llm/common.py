@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -14,16 +15,20 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and \x09 to \x0D.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
+WHITE = " \u0009\u000a\u000b\u000c\u000d"
 #: Lower-cases A-Z and turns every white-space byte into a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none (tests), a temporary one is set."""
+    """The folder that driver and executors share. Where a local session names none (tests), a temporary one is set; on a
+    cluster that is an error, as executors would not see it."""
     sc = spark.sparkContext
     if folder := sc.getConf().get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketlens-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -40,9 +45,9 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nobody reads any more."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = shared_dir(spark)
+    root = shared_dir(spark).split(":")[-1].strip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split(":")[-1].lstrip("/") in folder:
+        if re.search(f"(^|/){re.escape(root)}/[^/]+-[0-9a-f]{{32}}$", folder):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
