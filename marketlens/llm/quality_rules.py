@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, free_name
+from .common import SPACE_PATTERN, WHITE, free_name, materialise
 
 # Frequent function words of each language, by falling frequency.
 COMMON_WORDS = {
@@ -23,8 +23,8 @@ COMMON_WORDS = {
     "es": "de la que el en y los las se del un por con no una su para es al lo",
     "fr": "de la le et les en des un du une que est pour par dans avec qui pas sur au",
 }
-WHITE = " \u0009\u000a\u000b\u000c\u000d"
-#: Character classes, each what the ones before it leave: the last holds the rest (symbols). Digits are not compared.
+#: Character classes, each what the ones before it leave: the last holds the rest (symbols). Digits are not compared:
+#: how many a text has depends on its subject (years, prices, tables), not on its language.
 CLASSES = ("[a-z]+", SPACE_PATTERN, "[A-Z]+", "[0-9]+", "[^\\x00-\\x7F]+", "[.,;:'\"?()\\-]+")
 DIGITS = 3
 
@@ -85,14 +85,13 @@ def histograms(docs: DataFrame, limits: Limits, text: str = "text", lang: str =
     return df.withColumn(names["common"], common), names
 
 
-def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Each configured language's character-class and common-word counts, summed over all documents. The last bin of the
-    words holds all others. One row a configured language reaches the driver, whatever the corpus holds."""
-    df, n = histograms(docs, limits, text, lang)
+def references(counted: DataFrame, limits: Limits, n: dict[str, str]) -> dict[str, tuple[list[float], list[float]]]:
+    """Each configured language's character-class and common-word counts, summed over all documents of ``histograms``. The
+    last bin of the words holds all others. One row a configured language reaches the driver, whatever the corpus holds."""
     some = max(limits.languages.values(), key=lambda v: len(v.split()), default="")
     chars = [F.sum(F.col(n["chars"])[k]).alias(f"c{k}") for k in range(len(CLASSES))]
     words = [F.sum(F.get(F.col(n["common"]), F.lit(k))).alias(f"w{k}") for k in range(len(some.split()))]
-    rows = df.where(F.col(n["key"]).isNotNull()).groupBy(F.col(n["key"]).alias("key")).agg(*chars, *words, F.sum(n["n_tokens"]).alias("n")).collect()
+    rows = counted.where(F.col(n["key"]).isNotNull()).groupBy(F.col(n["key"]).alias("key")).agg(*chars, *words, F.sum(n["n_tokens"]).alias("n")).collect()
     out = {}
     for r in rows:
         w = [float(r[f"w{k}"] or 0) for k in range(len(limits.languages[r["key"]].split()))]
@@ -117,19 +116,23 @@ def js_distance(counts: Column, reference: list[float]) -> Column:
     return F.when(n > 0, F.sqrt(F.greatest(bits / 2, F.lit(0.0))))
 
 
-def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), char_distance, word_distance
-    (double, null where not compared), base_failed and kept (boolean); input columns of these names are replaced.
+def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns those in ``keep``, by default all) with n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words (long), char_distance, word_distance (double, null where not compared), base_failed and kept (boolean);
+    input columns of these names are replaced.
 
     Words are runs of other characters than space and \\x09-\\x0D. base_failed: fewer than 10 words, or over 20 % of the
     words in 5-word windows that the text holds twice or more. kept: base passed and no compared distance over its limit.
-    Null and empty texts have zero counts and fail. A null or unconfigured language is guessed by the most common words;
-    where none occurs, only the character classes are compared, with the closest language's. Repeated rows are measured each; an empty table gives no rows. Two narrow
-    passes over the texts: one sums the references, one measures. No row leaves its partition.
+    Null and empty texts have zero counts and fail; very long ones are counted whole. A null or unconfigured language is
+    guessed by the most common words, of equally many the first by name; where none occurs, only the character classes are
+    compared, with the closest language's. References are sums over all documents of a language, failed ones too: the
+    yardstick is the corpus as it came, and does not depend on the rules' order. Repeated rows are measured each; an empty
+    table gives no rows. The texts are read once: their counts (with the columns to keep) are written to the shared folder,
+    where the references are summed and each document is judged. No row leaves its partition.
     """
-    refs = references(docs, limits, text, lang)
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
     plain = docs.drop(*[c for c in docs.columns if c.lower() in new])
+    kept = [c for c in plain.columns if keep is None or c in keep]
     df, n = histograms(plain, limits, text, lang)
     own = {k: free_name(df, f"_{k}") for k in ("words", "hash", "windows", "sorted", "places")}
     value = F.col(n["left0"])
@@ -151,13 +154,16 @@ def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
     lines = F.filter(F.split(value, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     length = [F.length(n[f"left{k}"]) for k in range(len(CLASSES) + 1)]
     symbols = F.col(n[f"left{len(CLASSES)}"])
-    df = df.withColumns({
+    counts = {
         "n_words": size.cast("long"),
         "word_chars": (length[0] - (length[1] - length[2])).cast("long"),
         "n_symbols": (F.length(symbols) - F.length(F.translate(symbols, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    })
+    }
+    narrow = [F.col(f"`{c}`") for c in kept] + [F.col(n[c]) for c in ("key", "chars", "common", "n_tokens")]
+    df = materialise(df.select(*narrow, *[c.alias(name) for name, c in counts.items()]), "quality-counts")
+    refs = references(df, limits, n)
     chars, words = F.lit(None).cast("double"), F.lit(None).cast("double")
     total = F.aggregate(F.col(n["chars"]), F.lit(0.0), lambda a, x: a + x)
     common = F.col(n["common"])
@@ -175,8 +181,4 @@ def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
     df = df.withColumn("base_failed", failed)
     limit = limits.word_distance + limits.word_scatter / F.sqrt("n_words")
     near = ~F.coalesce(F.col("char_distance") > limits.char_distance, F.lit(False)) & ~F.coalesce(F.col("word_distance") > limit, F.lit(False))
-    df = df.withColumn("kept", ~F.col("base_failed") & near)
-    # behind a generator, so that a filter on a measure is not pushed down with a copy of all that it is made of
-    all_ = free_name(plain, "_measures")
-    df = df.select(*plain.columns, F.explode(F.array(F.struct(*new))).alias(all_))
-    return df.select(*plain.columns, *[F.col(f"{all_}.{c}").alias(c) for c in new])
+    return df.select(*[F.col(f"`{c}`") for c in kept], *new[:-1], (~F.col("base_failed") & near).alias("kept"))

@@ -75,7 +75,7 @@ def op9_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang")).drop("text", "lang", "char_distance", "word_distance")
+    return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang"), keep=["doc_id"]).drop("char_distance", "word_distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
