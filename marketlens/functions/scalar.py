@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
 from functools import reduce
+from math import isfinite
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,15 +93,30 @@ STOP_WORDS = {
 }
 
 
-def language(c: Column, lists: dict[str, str] | None = None) -> Column:
+# Words by which a review's language is told, and the name of a language that can't be told.
+REVIEW_WORDS = {
+    "pt": "não nao muito produto entrega chegou com para que uma bom ruim recebi prazo ainda foi mas meu minha comprar recomendo",
+    "es": "no muy producto entrega llegó con para que una bueno malo recibí plazo todavía pero recomiendo comprar",
+    "en": "not very product delivery arrived with for the good bad received late still but recommend buy",
+    "it": "non molto prodotto consegna arrivato con per che una buono cattivo ricevuto ritardo ancora ma consiglio comprare",
+}
+UNKNOWN = "unknown_or_ambiguous"
+
+
+def review_language(c: Column) -> Column:
+    """The language of a review: pt, es, en, it, or ``UNKNOWN``."""
+    return language(c, REVIEW_WORDS, UNKNOWN)
+
+
+def language(c: Column, lists: dict[str, str] | None = None, unknown: str = "unknown") -> Column:
     """The list with most distinct words in the text; ``unknown`` below 3 words of 2 letters, under 2 hits or on a tie."""
     lists = lists or STOP_WORDS
     words = F.filter(F.array_distinct(F.split(letters_only(c), " ")), lambda w: F.length(w) > 1)
     hits = {k: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in v.split()]))) for k, v in lists.items()}
     best = F.greatest(*hits.values())
     ties = reduce(lambda a, b: a + b, [(h == best).cast("int") for h in hits.values()])
-    name = reduce(lambda out, k: F.when(hits[k] == best, F.lit(k)).otherwise(out), sorted(hits, reverse=True), F.lit("unknown"))
-    return F.when((F.size(words) < 3) | (best < 2) | (ties > 1), "unknown").otherwise(name)
+    name = reduce(lambda out, k: F.when(hits[k] == best, F.lit(k)).otherwise(out), sorted(hits, reverse=True), F.lit(unknown))
+    return F.when((F.size(words) < 3) | (best < 2) | (ties > 1), unknown).otherwise(name)
 
 
 def month_index(date: Column) -> Column:
@@ -113,6 +131,11 @@ def sorted_set(c: Column) -> Column:
     return F.sort_array(F.collect_set(c))
 
 
+def flattened_set(c: Column) -> Column:
+    """The distinct elements of all arrays of the group, sorted."""
+    return F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
+
+
 def unanimous(c: Column) -> Column:
     """The value that every row of the group has; null if one is missing or two differ."""
     return F.when((F.count(c) == F.count(F.lit(1))) & (F.countDistinct(c) == 1), F.min(c))
@@ -130,7 +153,26 @@ def fold_accents(c: Column) -> Column:
 
 
 def csv_safe(df, columns=None) -> list[Column]:
-    """Array, map and struct columns as JSON text, others as they are."""
+    """Array, map and struct columns as JSON text, decimals as floats, others as they are."""
     from pyspark.sql import types as T
 
-    return [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in df.schema.fields]
+    def safe(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.to_json(f.name).alias(f.name)
+        return F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+
+    return [safe(f) for f in df.schema.fields]
+
+
+def native(value):
+    """A value as JSON has it: decimals as floats, dates in ISO form, infinite and undefined numbers as null; inside lists
+    and dictionaries too."""
+    if isinstance(value, dict):
+        return {k: native(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [native(v) for v in value]
+    if isinstance(value, Decimal):
+        value = float(value)
+    if isinstance(value, float) and not isfinite(value):
+        return None
+    return value.isoformat() if isinstance(value, date) else value

@@ -72,6 +72,10 @@ def geography(orders: DataFrame) -> DataFrame:
     )
 
 
+def counts_by(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def text_coverage(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("review_score").agg(F.count(F.lit(1)).alias("review_count"), F.count_if("text_is_eligible").alias("text_count"), S.rate(F.count_if("text_is_eligible"), F.count(F.lit(1))).alias("text_coverage"))
 

@@ -36,6 +36,18 @@ def classify(reviews: DataFrame, version: str = "rules-pt-v3", rules: dict[str,
     )
 
 
+def classify_negative(reviews: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(review_id, theme) of the exploration tables: reviews of a score up to 2 with eligible text (however little it says),
+    by the older rules, which know no praise."""
+    some = reviews.where((negative() == 1) & F.col("text_is_eligible"))
+    return some.select("review_id", F.explode(theme_array(F.col("review_text"), "rules-pt-v2", rules)).alias("theme")).distinct()
+
+
+def counts(reviews: DataFrame, themes: DataFrame) -> DataFrame:
+    """(theme, mentions): over eligible negative reviews."""
+    return negative_with_text(reviews).select("review_id").join(themes.select("review_id", "theme"), "review_id").groupBy("theme").agg(F.countDistinct("review_id").alias("mentions"))
+
+
 def negative_with_text(reviews: DataFrame) -> DataFrame:
     return reviews.where((negative() == 1) & rag_eligible())
 
