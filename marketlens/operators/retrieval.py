@@ -160,9 +160,10 @@ def glossary_fix(source: Column, translation: Column) -> Column:
     return F.when(source.rlike(r"(?i)\bcobre(?:-|\s+)leito\b"), both).otherwise(translation)
 
 
-def translate(rows: DataFrame, cache: DataFrame, translator: Callable[[str], str], version: str, target: str) -> tuple[DataFrame, DataFrame]:
+def translate(rows: DataFrame, cache: DataFrame, translator: Callable[[str], str], version: str, target: str, to: str) -> tuple[DataFrame, DataFrame]:
     """(all rows with their translation, new cache rows). Cached by id, target, version and source hash; a failing
-    translation keeps the original and says so."""
+    translation keeps the original and says so. What the translator gives is written to ``to``, a new path, before anything
+    reads it: it is called once for each row that is not cached, and a lost executor costs its own rows only."""
     keyed = rows.withColumns({"target_language": F.lit(target), "translator_version": F.lit(version), "source_hash": F.sha2("source_text", 256)})
     keys = ["review_id", "target_language", "translator_version", "source_hash"]
     hit = keyed.join(cache.select(*keys, "translated_text"), keys, "left")
@@ -180,6 +181,7 @@ def translate(rows: DataFrame, cache: DataFrame, translator: Callable[[str], str
 
     misses = hit.where(F.col("translated_text").isNull())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in misses.schema.fields) + ", status string"
-    fresh = misses.mapInPandas(run, schema)
+    misses.mapInPandas(run, schema).write.mode("errorifexists").parquet(to)
+    fresh = rows.sparkSession.read.schema(schema).parquet(to)
     done = hit.where(F.col("translated_text").isNotNull()).withColumn("status", F.lit("cached"))
     return done.unionByName(fresh), fresh.where("status = 'translated'").select(*keys, "translated_text")
