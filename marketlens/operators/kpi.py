@@ -109,7 +109,9 @@ def status_distribution(orders: DataFrame) -> DataFrame:
 
 
 def analyze(orders: DataFrame, reviews: DataFrame, filters: Filters) -> DataFrame:
-    """(metric, value, baseline, change, numerator, denominator), one row per metric."""
+    """(metric, value, baseline, change, numerator, denominator, baseline_numerator, baseline_denominator), one row per
+    metric. rating_variation is the change of the average rating, null without a baseline. The order volume has no change:
+    the windows can cover different numbers of months."""
     r, o = review_summary(_tagged(reviews, filters, "reviews"), "window"), order_summary(_tagged(orders, filters, "orders"), "window")
     empty = r.sparkSession.createDataFrame([("current",), ("baseline",)], "window string")
     one = empty.join(F.broadcast(r), "window", "left").join(F.broadcast(o), "window", "left").fillna(0, ["review_count", "negative_count", "score_1_count", "score_2_count", "order_count", "order_value_count", "delivery_eligible_count", "late_count"])
@@ -126,8 +128,13 @@ def analyze(orders: DataFrame, reviews: DataFrame, filters: Filters) -> DataFram
     structs = [F.struct(F.lit(n).alias("metric"), v.cast("double").alias("v"), a.cast("double").alias("numerator"), b.cast("double").alias("denominator")) for n, v, a, b in metrics]
     long = one.select("window", F.explode(F.array(*structs)).alias("m")).select("window", "m.*")
     pick = lambda c, w: F.max(F.when(F.col("window") == w, F.col(c)))
-    out = long.groupBy("metric").agg(pick("v", "current").alias("value"), pick("v", "baseline").alias("baseline"), pick("numerator", "current").alias("numerator"), pick("denominator", "current").alias("denominator"))
-    return out.select("metric", "value", "baseline", (F.col("value") - F.col("baseline")).alias("change"), "numerator", "denominator")
+    sides = [pick(c, w).alias(("" if w == "current" else "baseline_") + c) for c in ("numerator", "denominator") for w in ("current", "baseline")]
+    out = long.groupBy("metric").agg(pick("v", "current").alias("value"), pick("v", "baseline").alias("baseline"), *sides)
+    change = F.when(F.col("metric") != "order_volume", F.col("value") - F.col("baseline"))
+    out = out.select("metric", "value", "baseline", change.alias("change"), "numerator", "denominator", "baseline_numerator", "baseline_denominator")
+    none = F.lit(None).cast("double")
+    moved = out.where("metric = 'average_rating'").select(F.lit("rating_variation").alias("metric"), F.col("change").alias("value"), *[none.alias(c) for c in out.columns[2:]])
+    return out.unionByName(moved)
 
 
 def status_comparison(orders: DataFrame, filters: Filters) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalar as S
+from marketlens.sources.connectors import is_complete, size_bytes
 
 
 def replicate(df: DataFrame, factor: int, ids: list[str]) -> DataFrame:
@@ -18,6 +21,68 @@ def replicate(df: DataFrame, factor: int, ids: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(numbers)).withColumns(new)
 
 
+#: Id columns of the curated tables, marked together so that their keys stay aligned.
+KEYS = {
+    "orders_enriched": ["order_id", "customer_id", "customer_unique_id"], "reviews_enriched": ["review_id", "linked_order_ids"],
+    "review_order_links": ["review_id", "order_id"], "review_themes": ["review_id"],
+}
+#: What must be unique in each table, and which keys of one table must be found in another.
+UNIQUE = {"orders_enriched": ["order_id"], "reviews_enriched": ["review_id"], "review_order_links": ["review_id", "order_id"], "review_themes": ["review_id", "theme", "classifier_version"]}
+PARENTS = [("review_order_links", "order_id", "orders_enriched"), ("review_order_links", "review_id", "reviews_enriched"), ("review_themes", "review_id", "reviews_enriched")]
+
+
+def scaled(df: DataFrame, dataset: str, factor: int) -> DataFrame:
+    """A curated table ``factor`` times with aligned keys; ValueError for another table."""
+    if dataset not in KEYS:
+        raise ValueError(f"unsupported dataset {dataset}")
+    return replicate(df, factor, [c for c in KEYS[dataset] if c in df.columns]).drop("replica")
+
+
+def relationship_checks(tables: dict[str, DataFrame]) -> DataFrame:
+    """(check, violations): groups of rows that share a key, for each table, and distinct keys without a parent."""
+    found = []
+    for name, keys in UNIQUE.items():
+        groups = tables[name].groupBy(*[k for k in keys if k in tables[name].columns]).count()
+        found.append(groups.agg(F.count_if(F.col("count") > 1).alias("violations")).withColumn("check", F.lit(f"duplicate {name}")))
+    for child, key, parent in PARENTS:
+        lost = tables[child].select(key).where(F.col(key).isNotNull()).distinct().join(tables[parent].select(key), key, "left_anti")
+        found.append(lost.agg(F.count(F.lit(1)).alias("violations")).withColumn("check", F.lit(f"orphan {child} {key}")))
+    return reduce(DataFrame.unionByName, found).select("check", "violations")
+
+
+def generate(tables: dict[str, DataFrame], root: str, factors: list[int], force: bool = False) -> list[dict[str, object]]:
+    """Write each table at each factor below ``root`` and check keys; a manifest row for each, ``reused`` where a complete
+    one of as many rows is there already. ValueError for another number of rows, another schema or broken keys."""
+    spark, out = next(iter(tables.values())).sparkSession, []
+    base = {name: df.count() for name, df in tables.items()}
+    for factor in factors:
+        for name, df in tables.items():
+            path, made = f"{root}/{factor}x/{name}", "reused"
+            if force or not is_complete(spark, path) or spark.read.parquet(path).count() != base[name] * factor:
+                scaled(df, name, factor).write.mode("overwrite").parquet(path)
+                made = "generated"
+            back = spark.read.parquet(path)
+            rows = back.count()
+            if rows != base[name] * factor:
+                raise ValueError(f"{name} {factor}x: {rows} rows, {base[name] * factor} expected")
+            plain = lambda s: [(f.name, f.dataType.simpleString()) for f in s.fields if f.name not in KEYS[name]]  # noqa: B023, E731
+            if plain(back.schema) != plain(df.schema):
+                raise ValueError(f"{name} {factor}x: another schema")
+            out.append({"factor": factor, "dataset": name, "path": path, "operation": made, "rows": rows, "size_bytes": size_bytes(spark, path)})
+        broken = relationship_checks({name: spark.read.parquet(f"{root}/{factor}x/{name}") for name in tables}).where("violations > 0").collect()
+        if broken:
+            raise ValueError(f"{factor}x: " + ", ".join(f"{r['check']}: {r['violations']}" for r in broken))
+    return out
+
+
+def logical_rows(counts: DataFrame) -> DataFrame:
+    """(workload, rows): how many rows each workload reads. ``counts``: dataset, row_count."""
+    reads = [("A", ["orders_enriched"]), ("B", ["orders_enriched", "reviews_enriched", "review_order_links"]), ("C", list(KEYS))]
+    per = [F.sum(F.when(F.col("dataset").isin(names), F.col("row_count")).otherwise(0)).cast("long").alias(w) for w, names in reads]
+    one = counts.agg(*per)
+    return one.selectExpr("stack(3, 'A', A, 'B', B, 'C', C) as (workload, rows)")
+
+
 def workload_a(orders: DataFrame) -> DataFrame:
     """Count, value and late rate by year, month and category, then totals."""
     g = orders.groupBy("purchase_year", "purchase_month", "order_category").agg(F.count(F.lit(1)).alias("n"), F.sum("order_value").cast("decimal(18,2)").alias("value"), F.count_if("is_late").alias("late"))
