@@ -11,12 +11,11 @@ MONEY = "decimal(18,2)"
 
 
 def items_by_order(items: DataFrame) -> DataFrame:
+    """One row per order. Distinct counts are the sizes of the sets that are wanted anyway, so lines are not expanded for
+    each of them before the shuffle."""
     known = F.col("product_category").isNotNull()
     out = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_count"),
-        F.countDistinct("product_id").alias("distinct_product_count"),
-        F.countDistinct("seller_id").alias("distinct_seller_count"),
-        F.countDistinct("product_category").alias("distinct_known_category_count"),
         F.count_if(~known).alias("unknown_category_item_count"),
         F.sum("price").cast(MONEY).alias("item_subtotal"),
         F.sum("freight").cast(MONEY).alias("freight_total"),
@@ -25,6 +24,8 @@ def items_by_order(items: DataFrame) -> DataFrame:
         S.sorted_set(F.col("product_category")).alias("product_categories"),
         S.sorted_set(F.col("seller_state")).alias("seller_states"),
     )
+    counted = {"distinct_product_count": "product_ids", "distinct_seller_count": "seller_ids", "distinct_known_category_count": "product_categories"}
+    out = out.withColumns({n: F.size(c).cast("long") for n, c in counted.items()})
     mono = (F.col("unknown_category_item_count") == 0) & (F.col("distinct_known_category_count") == 1)
     return (
         out.withColumn("order_value", (F.col("item_subtotal") + F.col("freight_total")).cast(MONEY))
@@ -34,13 +35,13 @@ def items_by_order(items: DataFrame) -> DataFrame:
 
 
 def payments_by_order(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(
+    out = payments.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("payment_sequence_count"),
-        F.countDistinct("payment_type").alias("distinct_payment_type_count"),
         S.sorted_set(F.col("payment_type")).alias("payment_types"),
         F.max("installments").alias("max_payment_installments"),
         F.sum("payment_value").cast(MONEY).alias("payment_total"),
     )
+    return out.withColumn("distinct_payment_type_count", F.size("payment_types").cast("long"))
 
 
 def place_by_zip(places: DataFrame) -> DataFrame:
@@ -73,13 +74,15 @@ def orders_enriched(orders: DataFrame, items: DataFrame, payments: DataFrame, cu
 
 
 def canonical_reviews(reviews: DataFrame, links: DataFrame) -> DataFrame:
-    """The row with the smallest order id of each review."""
-    rows = links.join(reviews, "review_id", "left")
-    first = Window.partitionBy("review_id").orderBy("order_id")
-    kept = rows.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "order_id")
+    """One row for each review of ``links``, with its text and its own language. ``reviews`` has one row a review (or one an
+    order with the same content: the first by order id stays), so texts are joined once and never once per linked order."""
+    if "order_id" in reviews.columns:
+        first = Window.partitionBy("review_id").orderBy("order_id")
+        reviews = reviews.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "order_id")
+    kept = links.select("review_id").distinct().join(reviews, "review_id", "left")
     text = S.review_text(F.col("title"), F.col("message"))
     return kept.withColumns(
-        {"review_text": text, "has_title": S.trimmed(F.col("title")).isNotNull(), "has_message": S.trimmed(F.col("message")).isNotNull(), "text_is_eligible": text.isNotNull()}
+        {"review_text": text, "has_title": S.trimmed(F.col("title")).isNotNull(), "has_message": S.trimmed(F.col("message")).isNotNull(), "text_is_eligible": text.isNotNull(), "review_language": S.review_language(text)}
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import scalar as S
 from marketlens.functions import theme_rules as R
 from marketlens.operators import documents as D
-from marketlens.operators import eda, enrich, kpi, quality, retrieval, scaling, themes
+from marketlens.operators import eda, enrich, index, kpi, quality, retrieval, sampling, scaling, themes
 from marketlens.operators import evaluation as E
 from marketlens.session import table
 from marketlens.sources import domain as V
@@ -33,17 +34,32 @@ def query(name: str, sql: str | None = None, prelude: bool = True) -> Callable[[
     return add
 
 
-def enriched_orders(s: SparkSession, d: str) -> DataFrame:
-    return enrich.orders_enriched(V.orders(s, d), V.items(s, d), V.payments(s, d), V.customers(s, d), V.places(s, d))
+def enriched_orders(s: SparkSession, d: str, keys: DataFrame | None = None) -> DataFrame:
+    """All orders, or those of ``keys`` (order_id): lines of other orders are dropped before they are aggregated."""
+    return enrich.orders_enriched(V.orders(s, d, keys), V.items(s, d, keys), V.payments(s, d, keys), V.customers(s, d), V.places(s, d))
 
 
-def enriched_reviews(s: SparkSession, d: str) -> DataFrame:
-    orders = enrich.with_delivery(V.orders(s, d)).join(enrich.items_by_order(V.items(s, d)), "order_id", "left").join(V.customers(s, d), "customer_id", "left")
-    return enrich.reviews_enriched(V.reviews(s, d), V.links(s, d), orders)
+def enriched_reviews(s: SparkSession, d: str, keys: DataFrame | None = None) -> DataFrame:
+    """All reviews, or those with an order in ``keys``; their metadata is that of all their orders."""
+    links = V.links(s, d)
+    if keys is not None:
+        links = links.join(links.join(keys, "order_id", "left_semi").select("review_id").distinct(), "review_id", "left_semi")
+        keys = links.select("order_id").distinct()
+    orders = enrich.with_delivery(V.orders(s, d, keys)).join(enrich.items_by_order(V.items(s, d, keys)), "order_id", "left").join(V.customers(s, d), "customer_id", "left")
+    return enrich.reviews_enriched(V.reviews(s, d), links, orders)
 
 
 def synthetic_themes(s: SparkSession, d: str) -> DataFrame:
-    return themes.classify(enriched_reviews(s, d), rules=R.RULES_SYNTHETIC)
+    """Themes come from texts alone: no order is read for them."""
+    return themes.classify(enrich.canonical_reviews(V.reviews(s, d), V.links(s, d)), rules=R.RULES_SYNTHETIC)
+
+
+def span_keys(s: SparkSession, d: str, filters: kpi.Filters) -> DataFrame:
+    """(order_id) of the orders of the period and of its baseline, by dates that reach the scan."""
+    first, last = (kpi.baseline(filters) or filters).start_month, filters.validated().end_month
+    date = F.col("o_orderdate")
+    inside = (date >= F.lit(f"{first}-01").cast("timestamp_ntz")) & (date < F.lit(f"{kpi.shift_month(last, 1)}-01").cast("timestamp_ntz"))
+    return table(s, d, "orders").where(inside).select(F.col("o_orderkey").alias("order_id"))
 
 
 def text_list(c: str) -> F.Column:
@@ -159,14 +175,16 @@ long AS (
   UNION ALL SELECT window_, 'average_delay_days', average_delay_days, NULL, late_count FROM one
   UNION ALL SELECT window_, 'order_volume', order_count, order_count, NULL FROM one
   UNION ALL SELECT window_, 'average_order_value', average_order_value, NULL, order_value_count FROM one)
-SELECT metric, max(v) FILTER (window_ = 'current') AS "value", max(v) FILTER (window_ = 'baseline') AS baseline,
-  max(v) FILTER (window_ = 'current') - max(v) FILTER (window_ = 'baseline') AS change, max(a) FILTER (window_ = 'current') AS numerator, max(b) FILTER (window_ = 'current') AS denominator
-FROM long GROUP BY metric"""
+, k AS (SELECT metric, max(v) FILTER (window_ = 'current') AS "value", max(v) FILTER (window_ = 'baseline') AS baseline,
+  CASE WHEN metric <> 'order_volume' THEN max(v) FILTER (window_ = 'current') - max(v) FILTER (window_ = 'baseline') END AS change, max(a) FILTER (window_ = 'current') AS numerator, max(b) FILTER (window_ = 'current') AS denominator,
+  max(a) FILTER (window_ = 'baseline') AS baseline_numerator, max(b) FILTER (window_ = 'baseline') AS baseline_denominator FROM long GROUP BY metric)
+SELECT * FROM k UNION ALL SELECT 'rating_variation', change, NULL, NULL, NULL, NULL, NULL, NULL FROM k WHERE metric = 'average_rating'"""
 
 
 @query("kpi_period_vs_baseline", _PERIOD_SQL)
 def kpi_period_vs_baseline(s, d):
-    return kpi.analyze(enriched_orders(s, d), enriched_reviews(s, d), PERIOD)
+    keys = span_keys(s, d, PERIOD)
+    return kpi.analyze(enriched_orders(s, d, keys), enriched_reviews(s, d, keys), PERIOD)
 
 
 @query("kpi_low_rating_share", "SELECT product_category, count(review_score) AS review_count, CAST(count(*) FILTER (review_score <= 2) AS DOUBLE) / nullif(count(review_score), 0) AS low_share FROM e_reviews GROUP BY 1")
@@ -305,13 +323,13 @@ def reviews_enriched(s, d):
     return x.select("review_id", "review_score", "text_is_eligible", "has_title", "has_message", "linked_order_count", "product_category", "customer_state", "order_status", "purchase_year", "purchase_month", F.sha2(F.coalesce("review_text", F.lit("")), 256).alias("text_hash"))
 
 
-def _language_sql() -> str:
-    hits = {k: "len(list_intersect(words, [" + ", ".join(f"'{w}'" for w in v.split()) + "]))" for k, v in S.STOP_WORDS.items()}
+def _language_sql(lists: dict[str, str] = S.STOP_WORDS, unknown: str = "unknown") -> str:
+    hits = {k: "len(list_intersect(words, [" + ", ".join(f"'{w}'" for w in v.split()) + "]))" for k, v in lists.items()}
     cols = ", ".join(f"{h} AS h_{k}" for k, h in hits.items())
     best = "greatest(" + ", ".join(f"h_{k}" for k in hits) + ")"
     ties = " + ".join(f"(CASE WHEN h_{k} = {best} THEN 1 ELSE 0 END)" for k in hits)
     pick = " ".join(f"WHEN h_{k} = {best} THEN '{k}'" for k in sorted(hits))
-    return f"""SELECT doc_id, CASE WHEN n < 3 OR {best} < 2 OR {ties} > 1 THEN 'unknown' {pick} END AS language FROM (SELECT doc_id, len(words) AS n, {cols} FROM (
+    return f"""SELECT doc_id, CASE WHEN n < 3 OR {best} < 2 OR {ties} > 1 THEN '{unknown}' {pick} END AS language FROM (SELECT doc_id, len(words) AS n, {cols} FROM (
       SELECT doc_id, list_filter(list_distinct(string_split({_PLAIN.format(c='text')}, ' ')), lambda w: length(w) > 1) AS words FROM documents))"""
 
 
@@ -320,6 +338,24 @@ def language_scores(s, d):
     return table(s, d, "documents").select("doc_id", S.language(F.col("text")).alias("language"))
 
 
+@query("review_language", _language_sql(S.REVIEW_WORDS, S.UNKNOWN), False)
+def review_language(s, d):
+    return table(s, d, "documents").select("doc_id", S.review_language(F.col("text")).alias("language"))
+
+
+@query("language_counts", f"SELECT language, count(*) AS n FROM ({_language_sql(S.REVIEW_WORDS, S.UNKNOWN)}) GROUP BY 1", False)
+def language_counts(s, d):
+    return eda.counts_by(review_language(s, d), "language")
+
+
+@query("flattened_products", f""", l AS (SELECT review_id, unnest(string_split(product_ids, ',')) AS p FROM d_links JOIN e_items USING (order_id))
+SELECT review_id, count(DISTINCT p) AS product_count, CASE WHEN count(DISTINCT p) = 1 THEN min(p) END AS only_product FROM l GROUP BY 1""")
+def flattened_products(s, d):
+    rows = V.links(s, d).join(enrich.items_by_order(V.items(s, d)).select("order_id", "product_ids"), "order_id")
+    sets = rows.groupBy("review_id").agg(S.flattened_set(F.col("product_ids")).alias("p"))
+    return sets.select("review_id", F.size("p").cast("long").alias("product_count"), F.when(F.size("p") == 1, F.element_at("p", 1).cast("string")).alias("only_product"))
+
+
 # --- exploration --------------------------------------------------------------------------------------------------
 
 
@@ -421,6 +457,19 @@ def review_themes(s, d):
     return synthetic_themes(s, d).select("review_id", "review_score", "theme")
 
 
+_EDA_THEMES = f"SELECT review_id, theme FROM (SELECT review_id, unnest({_sql_theme_array(R.RULES_SYNTHETIC, False)}) AS theme FROM e_reviews WHERE negative = 1 AND text_is_eligible)"
+
+
+@query("eda_themes", _EDA_THEMES)
+def eda_themes(s, d):
+    return themes.classify_negative(enriched_reviews(s, d), R.RULES_SYNTHETIC).select("review_id", "theme")
+
+
+@query("theme_counts", f"SELECT theme, count(DISTINCT review_id) AS mentions FROM ({_NEG}) JOIN e_themes USING (review_id) GROUP BY 1")
+def theme_counts(s, d):
+    return themes.counts(enriched_reviews(s, d), synthetic_themes(s, d))
+
+
 @query("theme_prevalence", f"SELECT theme, count(DISTINCT review_id) AS review_count, CAST(count(DISTINCT review_id) AS DOUBLE) / nullif((SELECT count(*) FROM ({_NEG})), 0) AS prevalence FROM ({_NEG}) JOIN e_themes USING (review_id) GROUP BY 1")
 def theme_prevalence(s, d):
     return themes.prevalence(enriched_reviews(s, d), synthetic_themes(s, d))
@@ -503,9 +552,16 @@ def document_metadata(s, d):
     return rag_docs(s, d).select("document_id", "metadata_hash", "theme_delivery_delay")
 
 
-@query("document_contract", "SELECT 0::BIGINT AS duplicate_ids, 0::BIGINT AS empty_texts, 0::BIGINT AS missing_themes, 0::BIGINT AS missing_documents")
+@query("document_contract", _DOCS + """, p AS (SELECT count(*) FILTER (review_id % 31 = 0) AS twice, count(*) FILTER (review_id % 29 = 0) AS lost, count(*) FILTER (review_id % 29 = 0 AND review_id % 31 = 0) AS both_,
+  count(*) FILTER (review_id % 29 <> 0 AND review_id % 37 = 0) + count(*) FILTER (review_id % 29 <> 0 AND review_id % 37 = 0 AND review_id % 31 = 0) AS blank,
+  count(*) FILTER (review_id % 29 <> 0 AND review_id % 41 = 0) + count(*) FILTER (review_id % 29 <> 0 AND review_id % 41 = 0 AND review_id % 31 = 0) AS bare FROM docs)
+SELECT twice - both_ AS duplicate_ids, blank AS empty_texts, bare AS missing_themes, lost - (twice - both_) AS missing_documents FROM p""")
 def document_contract(s, d):
-    return D.contract_violations(rag_docs(s, d), enriched_reviews(s, d))
+    """The contract's counts for documents with planted faults: some lost, some twice, some without text or themes."""
+    i = F.col("review_id")
+    docs = rag_docs(s, d).where(i % 29 != 0)
+    docs = docs.withColumns({"document_text": F.when(i % 37 != 0, F.col("document_text")), "themes": F.when(i % 41 == 0, F.array().cast("array<string>")).otherwise(F.col("themes"))})
+    return D.contract_violations(docs.unionByName(docs.where(i % 31 == 0)), enriched_reviews(s, d))
 
 
 @query("text_source_counts", _DOCS + "SELECT text_source, count(*) AS n FROM docs GROUP BY 1")
@@ -516,11 +572,32 @@ def text_source_counts(s, d):
 @query("index_sync_actions", _DOCS + """SELECT document_id, CASE WHEN review_id % 11 = 0 THEN 'upsert' WHEN review_id % 13 = 0 THEN 'upsert' WHEN review_id % 17 = 0 THEN 'update_metadata' ELSE 'skip' END AS action FROM meta
   UNION ALL SELECT 'gone_' || review_id, 'delete' FROM meta WHERE review_id % 50 = 0""")
 def index_sync_actions(s, d):
+    return D.sync_actions(*_index_sides(s, d))
+
+
+def _index_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Wanted documents, and an index in which some are missing, some have old text or metadata, and some are stale."""
     wanted = rag_docs(s, d)
     i = F.col("review_id")
     old = wanted.where(i % 11 != 0).withColumns({"document_hash": F.when(i % 13 == 0, "old").otherwise(F.col("document_hash")), "metadata_hash": F.when(i % 17 == 0, "old").otherwise(F.col("metadata_hash"))})
     gone = wanted.where(i % 50 == 0).withColumn("document_id", F.concat(F.lit("gone_"), i.cast("string")))
-    return D.sync_actions(wanted, old.select("document_id", "document_hash", "metadata_hash").unionByName(gone.select("document_id", "document_hash", "metadata_hash")))
+    return wanted, old.select("document_id", "document_hash", "metadata_hash").unionByName(gone.select("document_id", "document_hash", "metadata_hash"))
+
+
+@query("index_sync_summary", _DOCS + """, m AS (SELECT review_id % 11 = 0 OR review_id % 13 = 0 AS up, review_id % 17 = 0 AS meta_, review_id % 11 = 0 AS fresh, review_id % 50 = 0 AS gone FROM meta)
+SELECT count(*) AS documents_expected, count(*) FILTER (NOT fresh) + count(*) FILTER (gone) AS documents_existing_before, count(*) FILTER (up) AS documents_upserted, count(*) FILTER (NOT up AND meta_) AS documents_metadata_updated,
+  count(*) FILTER (NOT up AND NOT meta_) AS documents_skipped_unchanged, count(*) FILTER (gone) AS stale_documents_removed, count(*) AS documents_after FROM m""")
+def index_sync_summary(s, d):
+    return index.sync_summary(*_index_sides(s, d))
+
+
+@query("index_applied", _DOCS + """ SELECT document_id, metadata_hash, CASE WHEN review_id % 11 = 0 OR review_id % 13 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS vector FROM meta""")
+def index_applied(s, d):
+    """The index after a synchronisation; stored vectors are 0.5, new ones 1."""
+    wanted, old = _index_sides(s, d)
+    stored = old.withColumn("embedding", F.array(F.lit(0.5)))
+    done = index.applied(wanted.select("document_id", "document_hash", "metadata_hash"), stored, lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0))), "hashed words", "1")
+    return done.select("document_id", "metadata_hash", F.col("embedding")[0].cast("double").alias("vector"))
 
 
 # --- retrieval ----------------------------------------------------------------------------------------------------
@@ -562,7 +639,7 @@ def _results(s: SparkSession, d: str, k: int = 5) -> DataFrame:
     return retrieval.top_k_each(table(s, d, "embeddings"), _query_set(s, d), k)
 
 
-_EACH = f"""WITH q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 20),
+_EACH = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % {QUERY_STEP} = 0),
 res AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM
   (SELECT b.vec_id AS query_id, b.label AS query_label, a.vec_id, a.label, {_COS} AS similarity FROM embeddings a, q b WHERE a.vec_id <> b.vec_id) QUALIFY rank <= 5)"""
 
@@ -572,7 +649,7 @@ def vector_topk_each(s, d):
     return _results(s, d)
 
 
-@query("retrieve_per_theme", _EACH + """, c AS (SELECT CAST(vec_id AS VARCHAR) AS document_id, query_id AS theme, CAST(query_id + 1 AS INTEGER) AS theme_rank, similarity FROM res WHERE query_id < 5),
+@query("retrieve_per_theme", _EACH + """, c AS (SELECT CAST(vec_id AS VARCHAR) AS document_id, query_id AS theme, CAST(query_id // 20 + 1 AS INTEGER) AS theme_rank, similarity FROM res),
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY theme ORDER BY similarity DESC, document_id) AS INTEGER) AS rn FROM c WHERE theme_rank <= 3 QUALIFY rn <= 2)
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY theme_rank, rn) = 1""", False)
 def retrieve_per_theme(s, d):
@@ -587,12 +664,14 @@ def glossary_fix(s, d):
     return rows.select("id", retrieval.glossary_fix(F.col("s"), F.col("t")).alias("fixed"))
 
 
-@query("hash_embedding", """SELECT doc_id, list_aggregate(list_sort(list_distinct([('0x' || substr(sha256(w), 1, 8))::BIGINT % 128 for w in string_split(plain, ' ') if w <> ''])), 'string_agg', ',') AS slots
-  FROM (SELECT doc_id, """ + _PLAIN.format(c="left(text, 200)") + " AS plain FROM documents) WHERE plain <> ''", False)
+@query("hash_embedding", """, w AS (SELECT doc_id, unnest([('0x' || substr(sha256(w), 1, 8))::BIGINT % 128 for w in string_split(plain, ' ') if w <> '']) AS slot
+  FROM (SELECT doc_id, """.replace(", w AS", "WITH w AS", 1) + _PLAIN.format(c="text") + """ AS plain FROM documents)), n AS (SELECT doc_id, slot, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT doc_id, string_agg(slot, ',' ORDER BY slot) AS slots, string_agg(CAST(round(n / norm * 10000) AS BIGINT), ',' ORDER BY slot) AS parts FROM (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS norm FROM n) GROUP BY 1""", False)
 def hash_embedding(s, d):
-    e = retrieval.embed_hashed(F.col("text"))
-    slots = F.filter(F.transform(e, lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull())
-    return table(s, d, "documents").where(S.letters_only(F.col("text")) != "").select("doc_id", F.array_join(F.transform(slots, lambda x: x.cast("string")), ",").alias("slots"))
+    docs = table(s, d, "documents").where(S.letters_only(F.col("text")) != "").select("doc_id", retrieval.embed_hashed(F.col("text")).alias("e"))
+    slots = F.filter(F.transform("e", lambda x, i: F.when(x > 0, F.struct(i.alias("slot"), F.round(x * 10000).cast("long").alias("part")))), lambda x: x.isNotNull())
+    joined = lambda c: F.array_join(F.transform(slots, lambda x: x[c].cast("string")), ",").alias(c + "s")
+    return docs.select("doc_id", joined("slot"), joined("part"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
@@ -642,8 +721,9 @@ _LABELS = """WITH e AS (SELECT DISTINCT vec_id AS id, unnest(['l' || (label % 4)
 
 @query("multilabel_metrics", _LABELS + """, c AS (SELECT label, count(*) FILTER (e.id IS NOT NULL AND p.id IS NOT NULL) AS tp, count(*) FILTER (e.id IS NULL) AS fp, count(*) FILTER (p.id IS NULL) AS fn, count(e.id) AS support FROM e FULL JOIN p USING (id, label) GROUP BY 1),
 a AS (SELECT * FROM c UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), CAST(sum(support) AS BIGINT) FROM c),
-m AS (SELECT label, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, support FROM a)
-SELECT label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM m""", False)
+m AS (SELECT label, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, support FROM a),
+f AS (SELECT label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM m)
+SELECT * FROM f UNION ALL SELECT 'macro', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f WHERE label <> 'micro'""", False)
 def multilabel_metrics(s, d):
     return E.multilabel_metrics(*_labels(s, d))
 
@@ -680,6 +760,126 @@ def _judged(results: DataFrame) -> DataFrame:
     return j.select("query_id", F.col("vec_id").alias("doc_id"), (F.col("label") == F.col("query_label")).cast("int").alias("rel"))
 
 
+_RUNS_OF = """, runs AS (SELECT 'semantic' AS method, query_id, vec_id AS doc_id, rank, label, query_label FROM res
+  UNION ALL SELECT 'reranked', query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, similarity DESC, vec_id) AS INTEGER), label, query_label FROM res
+  UNION ALL SELECT 'filtered', query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER), label, query_label FROM res WHERE label = query_label),
+pool AS (SELECT query_id, doc_id, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, any_value(label = query_label) AS same FROM runs WHERE rank <= 3 GROUP BY 1, 2),
+known AS (SELECT query_id, doc_id, same::INT AS rel FROM pool WHERE doc_id % 3 <> 0), asked AS (SELECT query_id, doc_id, same::INT AS rel FROM pool WHERE doc_id % 3 = 0),
+rels AS (SELECT * FROM known WHERE rel = 1 UNION SELECT * FROM asked WHERE rel = 1)"""
+
+
+def _method_runs(s: SparkSession, d: str) -> DataFrame:
+    """(method, query_id, doc_id, rank, label, query_label): three rankings of each query's results."""
+    same = F.coalesce(F.col("label") == F.col("query_label"), F.lit(False))
+    w = Window.partitionBy("query_id")
+    found = {
+        "semantic": F.col("rank"), "reranked": F.row_number().over(w.orderBy(F.desc(F.col("vec_id") % 7), F.desc("similarity"), "vec_id")),
+        "filtered": F.when(same, F.row_number().over(w.orderBy(F.desc(same), F.desc("similarity"), "vec_id"))),
+    }
+    r = _results(s, d).withColumns({f"by_{m}": rank for m, rank in found.items()})
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"by_{m}").alias("rank")) for m in found]))
+    rows = r.select("query_id", F.col("vec_id").alias("doc_id"), "label", "query_label", each.alias("m"))
+    return rows.where("m.rank is not null").select("m.method", "query_id", "doc_id", "m.rank", "label", "query_label")
+
+
+def _judgements(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rankings, known judgements of the pool, and labels of the rest: ids divisible by 3."""
+    runs = _method_runs(s, d)
+    pool = runs.where("rank <= 3").select("query_id", "doc_id", (F.col("label") == F.col("query_label")).cast("int").alias("rel")).distinct()
+    return runs, pool.where("doc_id % 3 <> 0"), pool.where("doc_id % 3 = 0")
+
+
+@query("pooled_judgments", _EACH + _RUNS_OF + " SELECT query_id, doc_id, methods FROM pool", False)
+def pooled_judgments(s, d):
+    return E.pooled(_method_runs(s, d), 3).withColumn("methods", text_list("methods"))
+
+
+@query("new_pairs", _EACH + _RUNS_OF + " SELECT query_id, doc_id, methods FROM pool WHERE doc_id % 3 = 0", False)
+def new_pairs(s, d):
+    runs, known, _ = _judgements(s, d)
+    return E.new_pairs(E.pooled(runs, 3), known).withColumn("methods", text_list("methods"))
+
+
+@query("blind_pool", _EACH + _RUNS_OF + " SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sha256(query_id || ':' || doc_id), doc_id) AS INTEGER) AS place FROM pool", False)
+def blind_pool(s, d):
+    return E.blind_order(E.pooled(_method_runs(s, d), 3)).select("query_id", "doc_id", "place")
+
+
+@query("adjudicated_score", _EACH + _RUNS_OF + """, n AS (SELECT query_id, count(*) AS n FROM rels GROUP BY 1),
+h AS (SELECT r.query_id, method, count(rels.doc_id) AS hits FROM runs r LEFT JOIN rels ON rels.query_id = r.query_id AND rels.doc_id = r.doc_id WHERE rank <= 3 GROUP BY 1, 2)
+SELECT query_id, method, hits, hits / 3.0::DOUBLE AS precision, coalesce(hits::DOUBLE / n, 0) AS recall, (hits > 0)::INT::DOUBLE AS hit FROM h LEFT JOIN n USING (query_id)""", False)
+def adjudicated_score(s, d):
+    return E.adjudicated(*_judgements(s, d), 3)
+
+
+@query("strategy_ablation", _EACH + _RUNS_OF + """, h AS (SELECT method AS strategy, r.query_id, count(rels.doc_id) AS hits FROM runs r LEFT JOIN rels ON rels.query_id = r.query_id AND rels.doc_id = r.doc_id WHERE rank <= 3 GROUP BY 1, 2),
+m AS (SELECT strategy, count(*) AS queries, avg(hits / 3.0::DOUBLE) AS precision, avg((hits > 0)::INT)::DOUBLE AS hit FROM h GROUP BY 1)
+SELECT strategy, queries, round(precision, 9) AS precision, hit, round(precision - (SELECT precision FROM m WHERE strategy = 'semantic'), 9) AS precision_gain FROM m""", False)
+def strategy_ablation(s, d):
+    runs = _method_runs(s, d)
+    judged = runs.select("query_id", "doc_id", (F.col("label") == F.col("query_label")).cast("int").alias("rel")).distinct()
+    out = E.ablation(runs.withColumnRenamed("method", "strategy"), judged, 3, "semantic")
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "precision_gain")})
+
+
+_METRICS_SQL = ORACLES["retrieval_metrics"]
+
+
+@query("macro_metrics", f"SELECT count(*) AS queries, " + ", ".join(f"round(avg({c}), 9) AS {c}" for c in ("precision", "recall", "hit", "reciprocal_rank", "ndcg")) + f" FROM ({_METRICS_SQL})", False)
+def macro_metrics(s, d):
+    return E.macro_average(retrieval_metrics(s, d)).select("queries", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "hit", "reciprocal_rank", "ndcg")])
+
+
+@query("aspect_summary", f"""SELECT aspect, count(*) AS queries, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(hit), 4) AS hit, round(avg(reciprocal_rank), 4) AS reciprocal_rank,
+  count(*) FILTER (n_relevant > 0) AS with_relevant, count(*) FILTER (n_relevant = 0) AS without_relevant FROM (SELECT *, query_id // 20 % 3 AS aspect FROM ({_METRICS_SQL}) JOIN
+  (SELECT b.vec_id AS query_id, count(a.vec_id) AS n_relevant FROM embeddings b LEFT JOIN embeddings a ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1) USING (query_id)) GROUP BY 1""", False)
+def aspect_summary(s, d):
+    rows = retrieval_metrics(s, d).join(_relevant_counts(s, d), "query_id").withColumn("aspect", F.expr(f"query_id div {QUERY_STEP} % 3")).drop("ndcg")
+    return E.combined_summary(rows, "aspect")
+
+
+@query("reference_overlap", _EACH + _RUNS_OF + """ SELECT a.query_id, count(b.doc_id) / 3.0::DOUBLE AS overlap FROM (SELECT * FROM runs WHERE method = 'reranked' AND rank <= 3) a
+  LEFT JOIN (SELECT * FROM runs WHERE method = 'semantic' AND rank <= 3) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id GROUP BY 1""", False)
+def reference_overlap(s, d):
+    runs = _method_runs(s, d)
+    return E.overlap_at_k(runs.where("method = 'reranked'"), runs.where("method = 'semantic'"), 3)
+
+
+@query("paired_difference")
+def paired_difference(s, d):
+    r = _results(s, d)
+    five, one = (E.ranking_metrics(_ranked(r), _relevant(r), k, _relevant_counts(s, d)).select("query_id", F.col("precision").alias("score")) for k in (5, 1))
+    return s.createDataFrame([E.paired_interval(five, one)], "mean_difference double, low double, high double")
+
+
+_CASES = """WITH c AS (SELECT event_type AS run, value, event_id % 5 <> 0 AS verification_passed, CASE event_id % 4 WHEN 0 THEN 'validated_fallback' WHEN 1 THEN NULL ELSE 'llm_generated_validated' END AS generation_status,
+  event_id % 900 AS input_tokens, CASE WHEN event_id % 3 = 0 THEN event_id % 200 END AS cached_input_tokens, event_id % 70 AS output_tokens FROM events)"""
+
+
+@query("llm_run_summary", _CASES + """SELECT run, count(*) AS cases, count(*) FILTER (verification_passed) AS verification_passed, count(*) FILTER (generation_status = 'llm_generated_validated') AS llm_generated_validated,
+  count(*) FILTER (generation_status = 'validated_fallback') AS validated_fallback, count(*) FILTER (generation_status IS NULL) AS insufficient_evidence, median(value) FILTER (generation_status IS NOT NULL) AS median_generation_seconds,
+  CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(coalesce(sum(cached_input_tokens), 0) AS BIGINT) AS cached_input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  round(sum((greatest(input_tokens - coalesce(cached_input_tokens, 0), 0) * 2.0::DOUBLE + coalesce(cached_input_tokens, 0) * 0.5::DOUBLE + output_tokens * 8.0::DOUBLE) / 1000000), 9) AS estimated_cost FROM c GROUP BY 1""", False)
+def llm_run_summary(s, d):
+    i = F.col("event_id")
+    status = F.when(i % 4 == 0, "validated_fallback").when(i % 4 != 1, "llm_generated_validated")
+    cases = table(s, d, "events").select(
+        F.col("event_type").alias("run"), (i % 5 != 0).alias("verification_passed"), status.alias("generation_status"), F.col("value").alias("generation_seconds"), F.col("value").alias("end_to_end_seconds"),
+        (i % 900).alias("input_tokens"), F.when(i % 3 == 0, i % 200).alias("cached_input_tokens"), (i % 70).alias("output_tokens"),
+    )
+    out = E.llm_run_summary(cases, {"input": 2.0, "cached_input": 0.5, "output": 8.0}, "run")
+    return out.drop("mean_generation_seconds", "mean_end_to_end_seconds").withColumn("estimated_cost", F.round("estimated_cost", 9))
+
+
+@query("qualitative_averages", """SELECT count(*) AS sample_size, round(avg(doc_id % 5 + 1), 9) AS clarity, round(avg(doc_id % 3 + 3), 9) AS fidelity, round(avg((doc_id % 3 + 3 >= 4)::INT), 9) AS acceptable_rate,
+  round(avg(CASE WHEN doc_id % 4 <> 0 THEN quality END), 9) AS meaning_preserved FROM labels""", False)
+def qualitative_averages(s, d):
+    i = F.col("doc_id")
+    rows = table(s, d, "labels").select((i % 5 + 1).alias("clarity"), (i % 3 + 3).alias("fidelity"), F.when(i % 4 != 0, F.col("quality")).alias("meaning_preserved"))
+    out = E.qualitative_averages(rows, ["clarity", "fidelity"], ["meaning_preserved"], 4)
+    return out.select("sample_size", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
 @query("precision_bounds", _EACH + _JUDGED + " SELECT res.query_id, sum(coalesce(rel, 0)) / 5.0::DOUBLE AS lower, sum(coalesce(rel, 1)) / 5.0::DOUBLE AS upper, count(rel)::DOUBLE / count(*) AS coverage FROM res LEFT JOIN judged ON judged.query_id = res.query_id AND judged.doc_id = res.vec_id GROUP BY 1", False)
 def precision_bounds(s, d):
     r = _results(s, d)
@@ -694,9 +894,9 @@ def paired_outcomes(s, d):
     return E.paired_outcomes(five, one).withColumn("mean_difference", F.round("mean_difference", 9))
 
 
-@query("dominant_component", "SELECT arg_max(order_status, n) AS dominant FROM (SELECT order_status, count(*) AS n FROM d_orders GROUP BY 1)")
+@query("dominant_component", "SELECT order_status AS dominant FROM (SELECT order_status, count(*) AS n FROM d_orders GROUP BY 1) ORDER BY n DESC, order_status LIMIT 1")
 def dominant_component(s, d):
-    return V.orders(s, d).groupBy("order_status").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("order_status", "n").alias("dominant"))
+    return E.dominant(V.orders(s, d).groupBy("order_status").agg(F.count(F.lit(1)).alias("n")), "order_status", "n")
 
 
 # --- sampling -----------------------------------------------------------------------------------------------------
@@ -708,13 +908,45 @@ def stratified_sample(s, d):
     r = enrich.canonical_reviews(V.reviews(s, d), V.links(s, d))
     shape = F.when(F.col("has_title") & F.col("has_message"), "both").when(F.col("has_title"), "title").when(F.col("has_message"), "message").otherwise("none")
     r = r.select("review_id", F.concat_ws("|", F.coalesce(F.col("review_score").cast("string"), F.lit("none")), shape).alias("stratum"))
-    w = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("review_id").cast("string")), 256), "review_id")
-    return r.withColumn("rn", F.row_number().over(w)).orderBy("rn", "stratum").limit(100).select("review_id", "stratum")
+    return sampling.round_robin(r, 100, "stratum", "review_id")
+
+
+@query("balanced_sample")
+def balanced_sample(s, d):
+    """Twelve reviews of each of two groups that overlap, none twice."""
+    t = table(s, d, "documents").select("doc_id", F.array(F.when(F.col("doc_id") % 2 == 0, "even"), F.when(F.col("doc_id") % 3 == 0, "third")).alias("groups"))
+    return sampling.balanced(t, ["even", "third"], 12, "groups", "doc_id")
+
+
+_SAMPLE = """WITH x AS (SELECT vec_id AS id, vec_id % 4 = 0 AS pilot, list_distinct(['l' || (label % 4), 'm' || (vec_id % 3)]) AS said, list_distinct(['l' || (label % 5), 'm' || (vec_id % 3)]) AS meant FROM embeddings)"""
+
+
+def _theme_sample(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(s, d, "embeddings")
+    of = lambda k: F.array_distinct(F.array(F.concat(F.lit("l"), (F.col("label") % k).cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string"))))
+    return v.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4 == 0).alias("pilot"), of(4).alias("themes")), v.select(F.col("vec_id").alias("id"), of(5).alias("themes"))
+
+
+@query("theme_sample_score", _SAMPLE + """, w AS (SELECT 'final' AS part, * FROM x UNION ALL SELECT 'pilot', * FROM x WHERE pilot), s AS (SELECT part, id, unnest(said) AS label FROM w), t AS (SELECT part, id, unnest(meant) AS label FROM w),
+c AS (SELECT part, label, count(*) FILTER (s.id IS NOT NULL AND t.id IS NOT NULL) AS tp, count(*) FILTER (t.id IS NULL) AS fp, count(*) FILTER (s.id IS NULL) AS fn, count(t.id) AS support FROM s FULL JOIN t USING (part, id, label) GROUP BY 1, 2),
+a AS (SELECT * FROM c UNION ALL SELECT part, 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), CAST(sum(support) AS BIGINT) FROM c GROUP BY 1),
+m AS (SELECT part, label, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, support FROM a),
+f AS (SELECT part, label, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, support FROM m)
+SELECT * FROM f UNION ALL SELECT part, 'macro', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f WHERE label <> 'micro' GROUP BY 1""", False)
+def theme_sample_score(s, d):
+    return E.theme_sample_score(*_theme_sample(s, d))
+
+
+@query("theme_errors", _SAMPLE + """ SELECT id, list_aggregate(list_sort(list_filter(said, lambda y: NOT list_contains(meant, y))), 'string_agg', ',') AS false_positive,
+  list_aggregate(list_sort(list_filter(meant, lambda y: NOT list_contains(said, y))), 'string_agg', ',') AS false_negative FROM x WHERE list_sort(said) <> list_sort(meant)""", False)
+def theme_errors(s, d):
+    out = E.theme_errors(*_theme_sample(s, d))
+    return out.select("id", *[F.when(F.size(c) > 0, text_list(c)).alias(c) for c in ("false_positive", "false_negative")])
 
 
 @query("hash_sample", "SELECT doc_id FROM documents ORDER BY sha256('42:' || doc_id), doc_id LIMIT 50", False)
 def hash_sample(s, d):
-    return table(s, d, "documents").select("doc_id").orderBy(F.sha2(F.concat(F.lit("42:"), F.col("doc_id").cast("string")), 256), "doc_id").limit(50)
+    return sampling.hash_sample(table(s, d, "documents").select("doc_id"), 50, "doc_id")
 
 
 # --- scaling ------------------------------------------------------------------------------------------------------
@@ -726,14 +958,50 @@ def scaled_orders(s, d):
     return scaling.replicate(o, 3, ["order_id", "customer_id"])
 
 
-@query("scaled_checks", "SELECT 0::BIGINT AS null_keys, 0::BIGINT AS duplicate_keys, (SELECT count(*) FROM orders) * 3 AS orders, 0::BIGINT AS orphans", False)
+@query("scaled_checks", """WITH o AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0)
+SELECT (SELECT count(*) FROM o WHERE o_orderkey % 7 = 0) * 3 AS null_keys, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey % 7 <> 0) * 3 AS duplicate_keys, (SELECT count(*) FROM o) * 3 AS orders,
+  (SELECT count(DISTINCT o_custkey) FROM o WHERE o_custkey % 13 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)) * 3 AS orphans""", False)
 def scaled_checks(s, d):
-    o, c = scaled_orders(s, d), scaling.replicate(table(s, d, "customer").select(F.col("c_custkey").alias("customer_id")), 3, ["customer_id"])
+    """Checks on replicas of orders with planted faults: some keys twice, some missing, some customers lost."""
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+    o = o.unionByName(o.where("order_id % 10 = 0")).withColumn("order_id", F.when(F.col("order_id") % 7 != 0, F.col("order_id")))
+    c = table(s, d, "customer").where("c_custkey % 13 <> 0").select(F.col("c_custkey").alias("customer_id"))
+    o, c = scaling.replicate(o, 3, ["order_id", "customer_id"]), scaling.replicate(c, 3, ["customer_id"])
     n = o.agg(F.count(F.lit(1)).alias("orders"))
     lost = quality.orphans(o, "customer_id", c, "customer_id").agg(F.count(F.lit(1)).alias("orphans"))
     return quality.key_violations(o, ["order_id"]).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(lost))  # one row each
 
 
+_RELATIONS = """WITH o AS (SELECT o_orderkey AS order_id FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 0), r AS (SELECT doc_id AS review_id FROM documents WHERE doc_id % 20 <> 7),
+l AS (SELECT doc_id AS review_id, doc_id AS order_id FROM documents UNION ALL SELECT doc_id, doc_id FROM documents WHERE doc_id % 30 = 0), t AS (SELECT DISTINCT doc_id AS review_id, 'x' AS theme FROM documents WHERE doc_id % 2 = 1)"""
+
+
+@query("relationship_checks", _RELATIONS + """ SELECT 'duplicate orders_enriched' AS "check", (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0) * 2 AS violations UNION ALL SELECT 'duplicate reviews_enriched', 0
+UNION ALL SELECT 'duplicate review_order_links', (SELECT count(*) FROM documents WHERE doc_id % 30 = 0) * 2 UNION ALL SELECT 'duplicate review_themes', 0
+UNION ALL SELECT 'orphan review_order_links order_id', (SELECT count(DISTINCT order_id) FROM l WHERE order_id NOT IN (SELECT order_id FROM o)) * 2
+UNION ALL SELECT 'orphan review_order_links review_id', (SELECT count(DISTINCT review_id) FROM l WHERE review_id NOT IN (SELECT review_id FROM r)) * 2
+UNION ALL SELECT 'orphan review_themes review_id', (SELECT count(DISTINCT review_id) FROM t WHERE review_id NOT IN (SELECT review_id FROM r)) * 2""", False)
+def relationship_checks(s, d):
+    """Checks on tables at factor 2 with planted faults: some orders and links twice, some reviews lost."""
+    return scaling.relationship_checks({k: scaling.scaled(v, k, 2) for k, v in _curated(s, d).items()})
+
+
+def _curated(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    o, docs = table(s, d, "orders").select(F.col("o_orderkey").alias("order_id")), table(s, d, "documents").select(F.col("doc_id").alias("review_id"))
+    links = docs.withColumn("order_id", F.col("review_id"))
+    return {
+        "orders_enriched": o.unionByName(o.where("order_id % 50 = 0")), "reviews_enriched": docs.where("review_id % 20 <> 7"),
+        "review_order_links": links.unionByName(links.where("review_id % 30 = 0")), "review_themes": docs.where("review_id % 2 = 1").withColumn("theme", F.lit("x")),
+    }
+
+
+@query("logical_input_rows", _RELATIONS + """, n AS (SELECT (SELECT count(*) FROM o) AS o, (SELECT count(*) FROM r) AS r, (SELECT count(*) FROM l) AS l, (SELECT count(*) FROM t) AS t)
+SELECT 'A' AS workload, o AS "rows" FROM n UNION ALL SELECT 'B', o + r + l FROM n UNION ALL SELECT 'C', o + r + l + t FROM n""", False)
+def logical_input_rows(s, d):
+    counts = [v.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(k).alias("dataset"), "row_count") for k, v in _curated(s, d).items()]
+    return scaling.logical_rows(reduce(DataFrame.unionByName, counts))
+
+
 @query("workload_a", """SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS orders, CAST(CAST(sum(v) AS DECIMAL(18,2)) AS DOUBLE) AS "value", CAST(sum(late) AS BIGINT) AS late FROM
   (SELECT count(*) AS n, CAST(sum(order_value) AS DECIMAL(18,2)) AS v, count(*) FILTER (is_late) AS late FROM e_orders GROUP BY purchase_year, purchase_month, order_category)""")
 def workload_a(s, d):
@@ -768,13 +1036,22 @@ def cloud_speedup(s, d):
     return scaling.speedup(local, local.where("factor <> 5").withColumn("seconds", F.col("seconds") / (F.col("factor") + 1.0)))
 
 
-@query("result_linearity", "SELECT * FROM (VALUES ('A', true, true)) v(workload, is_linear, is_repeatable)", False)
+@query("result_linearity", """SELECT 'A' AS workload, true AS is_linear, true AS is_repeatable UNION ALL SELECT 'lossy', lost = 0, true FROM (SELECT count(*) AS lost FROM orders WHERE o_orderkey % 5 = 0)
+  UNION ALL SELECT 'unstable', lost = 0, lost = 0 FROM (SELECT count(*) AS lost FROM orders WHERE o_orderkey % 5 = 0)""", False)
 def result_linearity(s, d):
-    one = workload_a(s, d).select(F.lit("A").alias("workload"), F.col("orders").cast("double").alias("measure"))
-    runs = s.createDataFrame([(1,), (5,), (1,)], "factor int")
-    both = one.crossJoin(F.broadcast(runs))  # one row by three
-    both = both.withColumn("measure", F.col("measure") * F.col("factor")).withColumn("checksum", F.sha2(F.col("measure").cast("string"), 256))
-    return scaling.linearity(both)
+    """Workload A over real replicas at factors 1, 2 and 1 again; ``lossy`` loses every fifth order at factor 2, ``unstable``
+    in the repeated run."""
+    o = table(s, d, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.year("o_orderdate").alias("purchase_year"), F.month("o_orderdate").alias("purchase_month"), F.col("o_orderpriority").alias("order_category"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("order_value"), (F.col("o_orderstatus") == "F").alias("is_late"),
+    )
+    runs = []
+    for name, bad in (("A", None), ("lossy", 1), ("unstable", 2)):
+        for k, factor in enumerate((1, 2, 1)):
+            some = o.where("order_id % 5 <> 0") if k == bad else o
+            one = scaling.workload_a(scaling.replicate(some, factor, ["order_id"]))
+            runs.append(one.select(F.lit(name).alias("workload"), F.lit(factor).alias("factor"), F.col("orders").cast("double").alias("measure"), F.sha2(F.to_json(F.struct(*one.columns)), 256).alias("checksum")))
+    return scaling.linearity(reduce(DataFrame.unionByName, runs))
 
 
 @query("manifest_comparison", "SELECT * FROM (VALUES ('links', 'count'), ('orders', 'compatible'), ('reviews', 'schema'), ('vectors', 'missing')) v(dataset, verdict)", False)

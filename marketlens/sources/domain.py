@@ -13,9 +13,15 @@ from marketlens.session import table
 MONEY = "decimal(18,2)"
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with category (null where unknown), seller state and money."""
+def lines(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    """The order lines, of the orders in ``keys`` (order_id) where given."""
     line = table(spark, sf_dir, "lineitem")
+    return line if keys is None else line.join(keys.select(F.col("order_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+
+
+def items(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    """One row per order line with category (null where unknown), seller state and money."""
+    line = lines(spark, sf_dir, keys)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     seller = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -37,9 +43,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payments(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
     base = F.col("l_extendedprice").cast("decimal(12,2)")
-    return table(spark, sf_dir, "lineitem").select(
+    return lines(spark, sf_dir, keys).select(
         F.col("l_orderkey").alias("order_id"),
         F.lower("l_returnflag").alias("payment_type"),
         F.col("l_linenumber").alias("installments"),
@@ -65,12 +71,13 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
     """Orders with purchase, estimated and delivered timestamps; delivered only once shipped and not open."""
-    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.max("l_shipdate").alias("shipped"))
+    shipped = lines(spark, sf_dir, keys).groupBy(F.col("l_orderkey").alias("order_id")).agg(F.max("l_shipdate").alias("shipped"))
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.lower("o_orderstatus").alias("order_status"), F.col("o_orderdate").alias("purchase_ts")
     )
+    o = o if keys is None else o.join(keys, "order_id", "left_semi")
     return o.join(shipped, "order_id", "left").select(
         "order_id", "customer_id", "order_status", F.col("purchase_ts").cast("timestamp").alias("purchase_ts"),
         (F.col("purchase_ts") + F.expr("interval 60 days")).cast("timestamp").alias("estimated_ts"),
