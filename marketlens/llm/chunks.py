@@ -2,7 +2,8 @@
 
 Both vocabularies split a text at white space before they merge, so a word between single spaces has the same ids in
 every text. The encoders here cut texts at single spaces and line ends, look each distinct word up in a bounded memory
-and ask the tokenizer only for words that are not in it. Texts with other white-space runs go to the tokenizer whole.
+and ask the tokenizer only for words that are not in it. Texts with other white-space runs go to the tokenizer whole, as
+do texts that hold the string of an added token, which the library gives that token's id.
 """
 
 from __future__ import annotations
@@ -60,10 +61,11 @@ class _Memory:
 
 
 class LineChunks:
-    """For encoders that join a space with the word after it. ``encode_many`` gives each string's ids as bytes."""
+    """For encoders that join a space with the word after it. ``encode_many`` gives each string's ids as bytes, and
+    ``whole`` those of a text with any of the strings ``added`` in it."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 400_000):
-        self.many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 400_000, added: tuple[str, ...] = (), whole: Callable[[str], bytes] | None = None):
+        self.many, self.added, self.text = encode_many, added, whole
         self.heads, self.tails = _Memory(size), _Memory(size)
         self.newline = encode_many(["\n"])[0]
 
@@ -71,13 +73,13 @@ class LineChunks:
         return [x for some in _groups(texts) for x in self._some(some)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not t or uneven(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cut = [None if not t or uneven(t) or any(x in t for x in self.added) else [line.split(" ") for line in t.split("\n")] for t in texts]
         heads = iter(self.heads.get([x[0] for lines in cut if lines for x in lines], self.many))
         tails = self.tails.get([w for lines in cut if lines for x in lines for w in x[1:]], lambda new: self.many([" " + w for w in new]))
         out, at = [], 0
         for text, lines in zip(texts, cut, strict=True):
             if lines is None:
-                out.append(self.many([text])[0] if text else b"")
+                out.append(b"" if not text else self.text(text) if any(x in text for x in self.added) else self.many([text])[0])
                 continue
             parts = []
             for x in lines:
@@ -91,18 +93,21 @@ class LineChunks:
 
 
 class WordChunks:
-    """For encoders that drop white space: every word stands alone."""
+    """For encoders that drop white space: every word stands alone. ``added`` and ``whole`` as above."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 500_000):
-        self.many, self.memory = encode_many, _Memory(size)
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = 500_000, added: tuple[str, ...] = (), whole: Callable[[str], bytes] | None = None):
+        self.many, self.memory, self.added, self.text = encode_many, _Memory(size), added, whole
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [x for some in _groups(texts) for x in self._some(some)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        found, out, at = self.memory.get([w for words in cut for w in words], self.many), [], 0
-        for words in cut:
+        cut = [None if any(x in t for x in self.added) else t.replace("\n", " ").split(" ") for t in texts]
+        found, out, at = self.memory.get([w for words in cut if words for w in words], self.many), [], 0
+        for text, words in zip(texts, cut, strict=True):
+            if words is None:
+                out.append(self.text(text))
+                continue
             out.append(b"".join(found[at : at + len(words)]))
             at += len(words)
         return out
@@ -115,7 +120,7 @@ _SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library as little-endian unsigned 32-bit integers; special strings are ordinary text.
+    """Ids by the tokenizers library as little-endian unsigned 32-bit integers.
 
     Short parts go through the library's own normaliser, pre-tokenizer and merges one after the other, which gives the
     ids of a full encoding without the offsets that it computes; a Latin word with signs after it needs the merges only.
@@ -129,14 +134,19 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.signs: dict[str, list[int]] = {}
         self.lower, self.space, self.pack = lower, space, lambda ids: array("I", ids).tobytes()
 
     def __call__(self, parts: list[str]) -> list[bytes]:
         return [self.pack(self.ids(p)) for p in parts]
 
+    def text(self, text: str) -> bytes:
+        """A whole text's ids by the library's own encoding."""
+        return self.pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
     def ids(self, part: str) -> list[int]:
+        """The ids of a part without the strings of added tokens."""
         tokenizer = self.tokenizer
         if not part or len(part) > 1000:
             return tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids
@@ -172,9 +182,11 @@ class LibraryEncoder:
 
 def byte_level(path: str) -> LineChunks:
     """For vocabularies that keep white space and case."""
-    return LineChunks(LibraryEncoder(path, False, "\u0120"))
+    encoder = LibraryEncoder(path, False, "\u0120")
+    return LineChunks(encoder, added=encoder.added, whole=encoder.text)
 
 
 def word_level(path: str) -> WordChunks:
     """For vocabularies that fold case and drop white space."""
-    return WordChunks(LibraryEncoder(path, True))
+    encoder = LibraryEncoder(path, True)
+    return WordChunks(encoder, added=encoder.added, whole=encoder.text)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -111,45 +112,49 @@ class Places:
         return int(first[k]) + turn, offsets[k][which]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, end: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids, part, rank): each document's ids and ``end``, cut after every ``size`` ids.
-    ids: little-endian unsigned 32-bit integers. rank: of the piece among those of its length in its part of the table."""
+def pieces(docs: DataFrame, tokenizer: str, size: int, end: int, doc_id: str, text: str, with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids, part, rank): each document's ids and ``end``, cut after every ``size`` ids.
+    ids: little-endian unsigned 32-bit integers, null unless asked for. rank: of the piece among those of its length in its
+    part of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, seen = TaskContext.get().partitionId(), word_level(tokenizer), Counter()
-        stop = np.array([end], "<u4").tobytes()
+        stop, names = np.array([end], "<u4").tobytes(), ("at", "piece", "start", "length", "crc", "ids", "rank")
         for batch in small_batches(batches, text):
-            rows: dict[str, list] = {k: [] for k in ("at", "piece", "start", "length", "ids", "rank")}
+            rows: dict[str, list] = {k: [] for k in names}
             for k, ids in enumerate(encoder.encode(batch.column(text).to_pylist())):
                 ids += stop
                 for number, a in enumerate(range(0, len(ids), 4 * size)):
                     cut = ids[a : a + 4 * size]
                     n = len(cut) // 4
-                    for name, v in (("at", k), ("piece", number), ("start", a // 4), ("length", n), ("ids", cut), ("rank", seen[n])):
+                    for name, v in zip(names, (k, number, a // 4, n, zlib.crc32(cut), cut if with_ids else None, seen[n]), strict=True):
                         rows[name].append(v)
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(pa.array(rows["at"], pa.int64())), pa.array(rows["piece"], pa.int32()), pa.array(rows["start"], pa.int64()),
-                    pa.array(rows["length"], pa.int64()), pa.array(rows["ids"], pa.binary()), pa.array([part] * len(rows["at"]), pa.int32()), pa.array(rows["rank"], pa.int64()),
+                    pa.array(rows["length"], pa.int64()), pa.array(rows["crc"], pa.int64()), pa.array(rows["ids"], pa.binary()), pa.array([part] * len(rows["at"]), pa.int32()), pa.array(rows["rank"], pa.int64()),
                 ],
-                names=["id", "piece", "start", "length", "ids", "part", "rank"],
+                names=["id", "piece", "start", "length", "ids_crc32", "ids", "part", "rank"],
             )
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias(text))
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids binary, part int, rank long")
+    return rows.mapInArrow(run, f"id {id_type}, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank long")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset): every piece of every document with its place.
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset): every piece of every document with its place.
 
-    Null and empty texts are the end id alone. Only documents of more than ``size`` ids are cut; their last piece may be
-    shorter. Sequences have no gap between pieces and at most ``size`` ids. Repeated rows are packed each, null ids are
-    kept; an empty table gives no rows. The token table is written once, ranks come from counts per part and length, so
-    no length, however common, is gathered in one task; the plan has a bound that ``size`` sets.
+    ids are little-endian unsigned 32-bit integers, ids_crc32 their checksum. Where only places are asked for
+    (``with_ids`` false), ids is left out and no id is written or shuffled. Null and empty texts are the end id alone. Only
+    documents of more than ``size`` ids are cut, very long ones into many pieces; their last piece may be shorter.
+    Sequences have no gap between pieces and at most ``size`` ids. Pieces of one length take their places in the order of
+    their part of the table. Repeated rows are packed each, null ids are kept, other columns of ``docs`` are not read
+    whatever their names; an empty table gives no rows. The piece table is written once, ranks come from counts per part
+    and length, so no length, however common, is gathered in one task; the plan has a bound that ``size`` sets.
     """
-    made = materialise(pieces(docs, tokenizer, size, end, doc_id, text), "pieces")
+    made = materialise(pieces(docs, tokenizer, size, end, doc_id, text, with_ids), "pieces")
     each = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -161,13 +166,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, doc_id
             ranks = batch.column("rank").to_numpy() + batch.column("first").to_numpy()
             found = [places.value.of(n, k) for n, k in zip(batch.column("length").to_pylist(), ranks.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in (doc_id, "piece", "start", "length", "ids")] + [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
-                names=[doc_id, "piece", "start", "length", "ids", "sequence_id", "offset"],
+                [batch.column(c) for c in kept] + [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())],
+                names=[*kept, "sequence_id", "offset"],
             )
 
-    ranked = made.join(offsets, ["part", "length"]).select(F.col("id").alias(doc_id), "piece", "start", "length", "ids", "rank", "first")
-    id_type = ranked.schema[doc_id].dataType.simpleString()
-    return ranked.mapInArrow(run, f"`{doc_id}` {id_type}, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    kept = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    ranked = made.join(offsets, ["part", "length"]).select(*kept, "rank", "first")
+    schema = ranked.select(*kept).schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(run, schema).withColumnRenamed("id", doc_id)
 
 
 def fewest(total: int, size: int) -> int:

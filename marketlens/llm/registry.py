@@ -34,8 +34,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_docs(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.pack(_docs(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 def op4_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
