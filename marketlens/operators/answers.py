@@ -27,6 +27,17 @@ THEME_NAMES = {
     "quality_or_expectation": ("qualita", "aspettative", "diverso dalla descrizione", "diversi dalla descrizione", "diverso dalla foto", "diversi dalla foto"),
     "service_or_refund": ("assistenza", "servizio clienti", "rimborso", "rimborsi", "reso", "resi"),
 }
+# Subjects of questions by word stems, one of each group; and intents with the subjects that decide them, the
+# first that fits.
+STEMS = {
+    "volume": [["volume ordini", "volume degli ordini", "numero di ordini", "numero degli ordini"]], "order value": [["valore medio", "valore degli ordini"]], "rating": [["rating", "valutaz", "punteggio"]],
+    "delivery": [["consegna", "ritard", "recapit"]], "negative": [["recension"], ["negativ", "bassa", "basso"]], "rise": [["aument", "increment", "cresc"]], "complaint": [["problem", "lament", "reclam", "motivi"]],
+}
+ASKED = [
+    ("descriptive_only", "order_volume", ["volume"]), ("descriptive_only", "average_order_value", ["order value"]), ("explain_delivery_impact_on_rating", "late_delivery_rate", ["rating", "delivery"]),
+    ("explain_negative_review_increase", "negative_review_rate", ["negative", "rise"]), ("explain_rating_drop", "average_rating", ["rating"]),
+    ("analyze_low_rating_complaints", "negative_review_rate", ["negative"], ["complaint"]),
+]
 INTENTS = ("explain_rating_drop", "explain_negative_review_increase", "explain_delivery_impact_on_rating", "analyze_low_rating_complaints", "descriptive_only", "unsupported")
 
 
@@ -59,22 +70,13 @@ def theme_in(question: str) -> str | None:
 
 
 def intent_of(question: str, theme: str | None = None) -> tuple[str, str]:
-    """(intent, metric); the order of the rules decides."""
+    """(intent, metric) of the first line of ``ASKED`` whose subjects the question has; a theme is a complaint."""
     text = folded(question)
-
-    def has(*stems: str) -> bool:
-        return any(s in text for s in stems)
-
-    rating, negative = has("rating", "valutaz", "punteggio"), has("recension") and has("negativ", "bassa", "basso")
-    rules = (
-        (has("volume ordini", "volume degli ordini", "numero di ordini", "numero degli ordini"), ("descriptive_only", "order_volume")),
-        (has("valore medio", "valore degli ordini"), ("descriptive_only", "average_order_value")),
-        (rating and has("consegna", "ritard", "recapit"), ("explain_delivery_impact_on_rating", "late_delivery_rate")),
-        (negative and has("aument", "increment", "cresc"), ("explain_negative_review_increase", "negative_review_rate")),
-        (rating, ("explain_rating_drop", "average_rating")),
-        (negative or has("problem", "lament", "reclam", "motivi") or bool(theme), ("analyze_low_rating_complaints", "negative_review_rate")),
-    )
-    return next((out for holds, out in rules if holds), ("unsupported", "unknown"))
+    subjects = {name for name, groups in STEMS.items() if all(any(s in text for s in group) for group in groups)} | ({"complaint"} if theme else set())
+    for intent, metric, *choices in ASKED:
+        if any(set(choice) <= subjects for choice in choices):
+            return intent, metric
+    return "unsupported", "unknown"
 
 
 @dataclass(frozen=True)

@@ -50,8 +50,12 @@ def payloads(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(body).alias("payloads"))
 
 
-def join_without_fanout(left: DataFrame, right: DataFrame, on: str | list[str], label: str) -> DataFrame:
-    """Left join that keeps the number of left rows: the right key is proven unique first, by one aggregate."""
+def join_without_fanout(left: DataFrame, right: DataFrame, on: str | list[str], label: str, record: list[dict[str, object]] | None = None) -> DataFrame:
+    """Left join that keeps the number of left rows: the right key is proven unique first, by one aggregate. With
+    ``record``, the rows before and after the join are counted and appended to it, passed or not."""
+    if record is not None:
+        n = fanout_report(left, right, on).first()
+        record.append({"check": label, "rows_before": n["rows_before"], "rows_after": n["rows_after"], "passed": n["rows_before"] == n["rows_after"]})
     keys = [on] if isinstance(on, str) else on
     present = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
     if not right.where(present).groupBy(*keys).count().where("count > 1").isEmpty():
@@ -59,8 +63,9 @@ def join_without_fanout(left: DataFrame, right: DataFrame, on: str | list[str],
     return left.join(right, keys, "left")
 
 
-def fanout_report(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def fanout_report(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     """(rows_before, rows_after) of a left join, from key counts alone."""
-    n = right.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    on = [on] if isinstance(on, str) else on
+    n = right.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     per = left.join(n, on, "left").select(F.coalesce("n", F.lit(1)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("rows_before"), F.sum("n").cast("long").alias("rows_after"))

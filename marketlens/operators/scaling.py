@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalar as S
@@ -14,7 +17,7 @@ from marketlens.sources.connectors import is_complete, size_bytes
 def replicate(df: DataFrame, factor: int, ids: list[str]) -> DataFrame:
     """``factor`` copies of every row, id columns (and ids inside arrays) marked by replica so that keys stay aligned.
     The replica numbers are a broadcast range."""
-    mark = F.concat(F.lit("__p9_"), F.col("replica").cast("string"))
+    mark = F.concat(F.lit("__copy_"), F.col("replica").cast("string"))
     kinds = dict(df.dtypes)
     new = {c: F.transform(c, lambda x: F.concat(x.cast("string"), mark)) if kinds[c].startswith("array") else F.concat(F.col(c).cast("string"), mark) for c in ids}
     numbers = df.sparkSession.range(factor).select(F.col("id").alias("replica"))
@@ -105,6 +108,25 @@ def workload_c(orders: DataFrame, links: DataFrame, reviews: DataFrame, themes:
     return g.agg(F.count(F.lit(1)).alias("groups"), F.sum("r").cast("long").alias("reviews"), F.sum("o").cast("long").alias("orders"), F.sum("s").cast("long").alias("signals"))
 
 
+def benchmark(spark: SparkSession, workloads: dict[str, Callable[[int], DataFrame]], factors: list[int], rows: dict[str, dict[int, int]], runs: int = 3, warm_up: int = 1) -> list[dict[str, object]]:
+    """A record for each measured run: factor, workload, seconds, rows read, throughput and a checksum of the result. The
+    first ``warm_up`` runs of each are not measured, the cache is cleared before each; factor 1 must be among them."""
+    if 1 not in factors:
+        raise ValueError("factor 1 is what others are compared with")
+    out = []
+    for factor in factors:
+        for name, build in workloads.items():
+            for k in range(warm_up + runs):
+                spark.catalog.clearCache()
+                began = time.perf_counter()
+                found = sorted(map(str, build(factor).toJSON().collect()))  # a workload ends in totals
+                took = time.perf_counter() - began
+                if k >= warm_up:
+                    checksum = hashlib.sha256("\n".join(found).encode()).hexdigest()
+                    out.append({"factor": factor, "workload": name, "seconds": took, "rows": rows[name][factor], "throughput": rows[name][factor] / took, "checksum": checksum})
+    return out
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """Mean, sample deviation and throughput per factor and workload, and growth against the smallest factor."""
     g = runs.groupBy("workload", "factor").agg(F.avg("seconds").alias("mean_seconds"), F.stddev_samp("seconds").alias("stddev_seconds"), F.avg(F.col("rows") / F.col("seconds")).alias("throughput"))

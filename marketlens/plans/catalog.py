@@ -616,6 +616,27 @@ def vector_topk(s, d):
     return retrieval.top_k(table(s, d, "embeddings"), _query_vector(s, d), 10)
 
 
+@query("filtered_documents", _DOCS + """ SELECT document_id FROM meta WHERE review_score <= 2 AND customer_state = 'CHINA' AND purchase_month_index BETWEEN 1996 * 12 + 1 AND 1999 * 12 + 12""")
+def filtered_documents(s, d):
+    filters = retrieval.RetrievalFilters(state="China", first_month=1996 * 12 + 1, last_month=1999 * 12 + 12, max_score=2)
+    return rag_docs(s, d).where(filters.predicate()).select("document_id")
+
+
+@query("theme_documents", _DOCS + " SELECT document_id FROM meta WHERE list_contains(string_split(themes, ','), 'delivery_delay')")
+def theme_documents(s, d):
+    return rag_docs(s, d).where(retrieval.RetrievalFilters(theme="delivery_delay").predicate()).select("document_id")
+
+
+@query("lexical_overlap", f"""SELECT doc_id, round(len(list_intersect(string_split({_PLAIN.format(c='text')}, ' '), ['the', 'and', 'of', 'de', 'la'])) / 5.0::DOUBLE, 6) AS score FROM documents""", False)
+def lexical_overlap(s, d):
+    return table(s, d, "documents").select("doc_id", retrieval.lexical_overlap(F.col("text"), "the and of de la the").alias("score"))
+
+
+@query("folded_accents", "SELECT doc_id, sha256(translate(lower(text), 'àáâãäèéêëìíîïòóôõöùúûüçñ', 'aaaaaeeeeiiiiooooouuuucn')) AS hash FROM documents", False)
+def folded_accents(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(S.fold_accents(F.lower("text")), 256).alias("hash"))
+
+
 @query("vector_topk_filtered", _TOP.format(cos=_COS, where="a.label <= 3", k=10), False)
 def vector_topk_filtered(s, d):
     return retrieval.top_k(table(s, d, "embeddings"), _query_vector(s, d), 10, F.col("label") <= 3)
@@ -952,7 +973,7 @@ def hash_sample(s, d):
 # --- scaling ------------------------------------------------------------------------------------------------------
 
 
-@query("scaled_orders", "SELECT o_orderkey || '__p9_' || r AS order_id, o_custkey || '__p9_' || r AS customer_id, r AS replica FROM orders, range(3) t(r)", False)
+@query("scaled_orders", "SELECT o_orderkey || '__copy_' || r AS order_id, o_custkey || '__copy_' || r AS customer_id, r AS replica FROM orders, range(3) t(r)", False)
 def scaled_orders(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
     return scaling.replicate(o, 3, ["order_id", "customer_id"])

@@ -113,7 +113,7 @@ def test_metrics(spark):
 def test_replicas_keep_keys(spark):
     df = spark.createDataFrame([("o", ["p"])], "order_id string, product_ids array<string>")
     got = sorted(scaling.replicate(df, 2, ["order_id", "product_ids"]).select("order_id", "product_ids").collect())
-    assert [(r[0], r[1]) for r in got] == [("o__p9_0", ["p__p9_0"]), ("o__p9_1", ["p__p9_1"])]
+    assert [(r[0], r[1]) for r in got] == [("o__copy_0", ["p__copy_0"]), ("o__copy_1", ["p__copy_1"])]
 
 
 def test_interpreter():
