@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlens import profiles
 from marketlens.functions import scalar as S
-from marketlens.operators import answers, grounded, index, kpi, models, retrieval, sampling, scaling, themes
+from marketlens.operators import answers, grounded, index, kpi, models, presentation, quality, retrieval, sampling, scaling, themes
 from marketlens.operators import evaluation as E
 from marketlens.sources import connectors as C
 
@@ -308,3 +308,45 @@ def test_more_metrics(spark):
         assert (r["n"], r["p95"]) == (len(values), ordered[round((len(values) - 1) * 0.95)]) and math.isclose(r["median"], float(np.median(values)))
     with pytest.raises(ValueError):
         E.theme_sample_score(spark.createDataFrame([(1, True, ["a"])], "id int, pilot boolean, themes array<string>"), spark.createDataFrame([(2, ["a"])], "id int, themes array<string>"))
+
+
+def test_presentation():
+    assert presentation.query_id(" x ", {"a": None}) == presentation.query_id("x", {"a": None}) and len(presentation.query_id("x", {})) == 12
+    shown = {c["key"]: c for c in presentation.cards(METRICS)}
+    assert (shown["negative_review_rate"]["value"], shown["negative_review_rate"]["delta"]) == ("40.00%", "+10.00%") and shown["order_volume"]["value"] == "7" and shown["late_delivery_rate"]["value"] == "n.d."
+    assert presentation.displayed(1234567, "integer") == "1.234.567"
+    assert presentation.comparison_rows(METRICS)[0]["Variazione"] == "-0.500"
+    assert presentation.theme_rows(RANKED, True)[0] == {"Tema": "mancata consegna", "Menzioni": "2", "Quota nel gruppo": "66.67%", "Variazione vs baseline": "+41.67%"}
+    assert "Variazione vs baseline" not in presentation.theme_rows(RANKED, False)[0]
+    q = answers.Question("q", "descriptive_only", "order_volume", "non_delivery", kpi.Filters("office_furniture", "SP", "2018-02", "2018-03"))
+    assert presentation.scope(q) == "Office furniture · mancata consegna · Stato: SP · Da febbraio 2018 a marzo 2018"
+    assert presentation.rating(4) == "⭐ 4/5" and presentation.rating(None) == presentation.rating(9) == "Valutazione n.d."
+
+
+@pytest.mark.parametrize("demo", presentation.DEMOS, ids=lambda d: d.name)
+def test_demonstrations(demo):
+    asked = demo.asked()
+    theme = asked.theme or "wrong_or_missing_item"
+    metrics = {"average_rating": grounded.Metric(3.0, 4.0), "negative_review_rate": grounded.Metric(0.4, 0.3), "late_delivery_rate": grounded.Metric(0.11, 0.1)}
+    overall = {"average_rating": grounded.Metric(4.1), "late_delivery_rate": grounded.Metric(0.1)}
+    names = ["non_delivery", "delivery_delay", "wrong_or_missing_item"] if asked.theme is None else [theme]
+    ranked = [grounded.ThemeRow(n, 3, 0.5, 1, 0.2) for n in names]
+    reviews = {n: [grounded.Review(f"{n}{k}", "texto", translation="testo tradotto", theme=n) for k in range(2)] for n in names}
+    out = grounded.answer(asked, metrics, PEOPLE, ranked, lambda q, t: reviews[t], models.offline_generator)
+    checks = presentation.demo_checks(demo, out, metrics, overall)
+    assert checks and all(checks.values()), checks
+    worse = presentation.demo_checks(demo, out, metrics | {"average_rating": grounded.Metric(4.5, 4.0), "late_delivery_rate": grounded.Metric(0.2, 0.3)}, overall)
+    assert all(worse.values()) == (demo.kind not in ("logistics", "product_issues"))
+
+
+def test_recorded_joins_and_benchmark(spark):
+    left, once = spark.createDataFrame([("1",), ("2",), (None,)], "k string"), spark.createDataFrame([("1", "a"), (None, "b"), (None, "c")], "k string, v string")
+    record = []
+    assert quality.join_without_fanout(left, once, "k", "first", record).count() == 3
+    with pytest.raises(ValueError):
+        quality.join_without_fanout(left, once.unionByName(once), "k", "second", record)
+    assert record == [{"check": "first", "rows_before": 3, "rows_after": 3, "passed": True}, {"check": "second", "rows_before": 3, "rows_after": 4, "passed": False}]
+    runs = scaling.benchmark(spark, {"A": lambda f: spark.range(f).agg(F.sum("id").alias("s"))}, [1, 2], {"A": {1: 1, 2: 2}}, runs=2)
+    assert [(r["factor"], r["workload"]) for r in runs] == [(1, "A")] * 2 + [(2, "A")] * 2 and len({r["checksum"] for r in runs}) == 2
+    with pytest.raises(ValueError):
+        scaling.benchmark(spark, {}, [2], {})
