@@ -122,7 +122,7 @@ def analyze(orders: DataFrame, reviews: DataFrame, filters: Filters) -> DataFram
         ("score_2_share", S.rate(F.col("score_2_count"), F.col("review_count")), F.col("score_2_count"), F.col("review_count")),
         ("late_rate", F.col("late_rate"), F.col("late_count"), F.col("delivery_eligible_count")),
         ("average_delay_days", F.col("average_delay_days"), F.lit(None).cast("double"), F.col("late_count")),
-        ("order_volume", F.col("order_count").cast("double"), F.col("order_count"), F.lit(None).cast("double")),
+        ("order_volume", F.col("order_count").cast("double"), F.col("order_count"), F.col("order_count")),
         ("average_order_value", F.col("average_order_value"), F.lit(None).cast("double"), F.col("order_value_count")),
     ]
     structs = [F.struct(F.lit(n).alias("metric"), v.cast("double").alias("v"), a.cast("double").alias("numerator"), b.cast("double").alias("denominator")) for n, v, a, b in metrics]

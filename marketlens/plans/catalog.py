@@ -173,7 +173,7 @@ long AS (
   UNION ALL SELECT window_, 'score_2_share', s2::DOUBLE / nullif(n, 0), s2, n FROM one
   UNION ALL SELECT window_, 'late_rate', late_rate, late_count, eligible FROM one
   UNION ALL SELECT window_, 'average_delay_days', average_delay_days, NULL, late_count FROM one
-  UNION ALL SELECT window_, 'order_volume', order_count, order_count, NULL FROM one
+  UNION ALL SELECT window_, 'order_volume', order_count, order_count, order_count FROM one
   UNION ALL SELECT window_, 'average_order_value', average_order_value, NULL, order_value_count FROM one)
 , k AS (SELECT metric, max(v) FILTER (window_ = 'current') AS "value", max(v) FILTER (window_ = 'baseline') AS baseline,
   CASE WHEN metric <> 'order_volume' THEN max(v) FILTER (window_ = 'current') - max(v) FILTER (window_ = 'baseline') END AS change, max(a) FILTER (window_ = 'current') AS numerator, max(b) FILTER (window_ = 'current') AS denominator,
