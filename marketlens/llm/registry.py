@@ -110,11 +110,26 @@ def _url_sql() -> str:
         cases = [f"WHEN ({host(url)} = '{r.host}' OR ends_with({host(url)}, '.{r.host}')) AND starts_with({path(url)}, '{r.path}') THEN '{getattr(r, what)}'" for r in sorted(URL_RULES, key=lambda r: -len(r.name))]
         return "CASE " + " ".join(cases) + " END"
 
+    def resolved(rows: str, target: str, base: str, out: str) -> str:
+        """The rows with the address that ``target`` names on a page at ``base``."""
+        origin = lambda u: f"regexp_extract({u}, '^([^:]*://[^/?#]*)', 1)"
+        folder = f"regexp_extract({path(base)}, '(?s)^(.*/)', 1)"
+        whole = f"""CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {target} WHEN starts_with({target}, '//') THEN 'http:' || {target} WHEN starts_with({target}, '/') THEN {origin(base)} || {target}
+          WHEN starts_with({target}, '?') THEN {origin(base)} || {path(base)} || {target} WHEN starts_with({target}, '#') THEN regexp_replace({base}, '(?s)#.*', '') || {target}
+          ELSE {origin(base)} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {target} END"""
+        step = "CASE WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN x = '.' THEN done ELSE done || '/' || x END"
+        walked = f"list_reduce(list_prepend('', string_split({path('whole_')}, '/')[2:]), lambda done, x: {step})"
+        plain = f"""{origin('whole_')} || CASE WHEN walked_ = '' THEN '/' ELSE walked_ END || CASE WHEN walked_ <> '' AND regexp_matches({path('whole_')}, '/\\.\\.?$') THEN '/' ELSE '' END
+          || regexp_extract(whole_, '(?s)://[^?#]*([?#].*)$', 1)"""
+        return f"""(SELECT * EXCLUDE (whole_, walked_), CASE WHEN contains({path('whole_')}, '/.') THEN {plain} ELSE whole_ END AS {out} FROM (SELECT *, {walked} AS walked_ FROM (SELECT *, {whole} AS whole_ FROM {rows})))"""
+
     links = []
     for tag, find in (("link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b", "href\\s*="), ("meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b", "url\\s*=")):
-        links.append(f"SELECT url, regexp_extract(regexp_extract(html, '(?is)<{tag}[^>]*>', 0), '(?is)\\b{find}\\s*[\"'']?([^\"''\\s>]+)', 1) AS t FROM pages")
-    whole = "CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || t ELSE t END"
-    return f"""WITH RECURSIVE l AS (SELECT url, {whole} AS t FROM ({" UNION ALL ".join(links)})),
+        links.append(f"list_transform(regexp_extract_all(html, '(?is)<{tag}[^>]*>'), lambda tag: regexp_extract(tag, '(?is)\\b{find}\\s*[\"'']?([^\"''\\s>]+)', 1))")
+    given = "regexp_extract(html, '(?is)<base\\b[^>]*?\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
+    pages = f"(SELECT url, {given} AS given, list_filter(list_concat({links[0]}, {links[1]}), lambda t: t <> '') AS found FROM pages)"
+    based = f"(SELECT url, unnest(found) AS t, CASE WHEN given = '' THEN url ELSE own END AS base FROM {resolved(pages, 'given', 'url', 'own')})"
+    return f"""WITH RECURSIVE l AS (SELECT url, whole AS t FROM {resolved(based, 't', 'base', 'whole')}),
 e AS (SELECT {address("url")} AS a, {address("t")} AS b, t FROM l), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 walk AS (SELECT a AS node, a AS seen FROM g UNION SELECT node, b FROM walk JOIN g ON seen = a), comp AS (SELECT node, min(seen) AS component FROM walk GROUP BY 1),
 own AS (SELECT page_id, {host("url")} AS host, {path("url")} AS path, {rule("url", "name")} AS rule, {rule("url", "verdict")} AS own, {address("url")} AS address FROM pages),
