@@ -33,14 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here, so a lost executor costs no recomputation."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends here, so a lost executor costs no recomputation.
+    ``batch``: the most rows that Python workers get at once meanwhile, where rows are whole texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch:
+            spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that a Python worker gets at once.
+TEXTS = 1000
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote and nobody reads any more."""
     spark = df.sparkSession
