@@ -3,7 +3,8 @@
 A text is cut into paragraphs, each hashed to a digest, and every digest is added to three cells of a small table that
 keep a count, the exclusive or of the digests and that of their check sums. Subtracting two tables leaves what the texts
 do not share, and peeling cells that hold a single digest recovers those digests. Where a table is too small for the
-difference, both are built again larger.
+difference, both are built again: for the difference that the least digests of both let expect, then twice as large again
+and again until peeling succeeds.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import parts_by_id, parts_for
+from .ordered import dealt_by, parts_by_id, parts_for
 
 CELLS = 24
+#: How many of the least digests of both texts tell how much they differ.
+LEAST = 32
 _U = np.uint64
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+\s?|\n|$)")
 
@@ -42,48 +46,65 @@ def paragraphs(text: str, longest: int = 120) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """A 64-bit digest for each paragraph; a repeated one is hashed with its number, so repeats count."""
+    """A 64-bit digest for each paragraph, sorted; a repeated one is hashed with its number, so repeats count."""
     seen: dict[str, int] = {}
     out = []
     for p in paragraphs(text):
         k = seen[p] = seen.get(p, -1) + 1
         data = p.encode("utf-8", "surrogatepass")
         out.append(xxhash.xxh64_intdigest(data + b"\x00%d" % k if k else data))
-    return np.array(out, _U)
+    found = np.sort(np.array(out, _U))
+    return found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
+
+
+_THIRDS = np.array([[0], [1], [2]])
+
+
+@lru_cache
+def _salts(cells: int) -> np.ndarray:
+    """What tells the three cells of a digest apart, in tables of each size."""
+    return np.array([[cells * 4 + k] for k in range(3)], _U) * _U(0x9E3779B97F4A7C15)
 
 
 class LookupTable:
     """Counts, digests and check sums of ``cells`` cells (a multiple of 3)."""
 
-    def __init__(self, found: np.ndarray, cells: int = CELLS):
-        self.cells = cells
+    def __init__(self, found: np.ndarray, cells: int = CELLS, sign: int | np.ndarray = 1):
+        """The table of ``found``; with signs -1 for those of a text that is to be subtracted."""
+        self.cells, self.salts = cells, _salts(cells)
         self.counts, self.keys, self.checks = np.zeros(cells, np.int64), np.zeros(cells, _U), np.zeros(cells, _U)
-        self._add(found, 1)
+        self._add(found, sign)
 
     def _add(self, found: np.ndarray, sign: int | np.ndarray) -> None:
         third = self.cells // 3
-        salts = np.array([[self.cells * 4 + k] for k in range(3)], _U) * _U(0x9E3779B97F4A7C15)
-        at = (_mixed(found ^ salts, 7) % _U(third)).astype(np.int64) + np.array([[0], [third], [2 * third]])
-        np.add.at(self.counts, at.ravel(), np.broadcast_to(sign, at.shape).ravel())
-        np.bitwise_xor.at(self.keys, at.ravel(), np.broadcast_to(found, at.shape).ravel())
-        np.bitwise_xor.at(self.checks, at.ravel(), np.broadcast_to(_mixed(found, 99), at.shape).ravel())
-
-    def difference(self, other: LookupTable) -> tuple[np.ndarray, np.ndarray] | None:
-        """The digests in this table only and in the other only; None where peeling gets stuck."""
-        left = LookupTable(np.zeros(0, _U), self.cells)
-        left.counts, left.keys, left.checks = self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks
+        at = ((_mixed(found ^ self.salts, 7) % _U(third)).view(np.int64) + _THIRDS * third).ravel()
+        np.add.at(self.counts, at, sign if isinstance(sign, int) else np.tile(sign, 3))
+        np.bitwise_xor.at(self.keys, at, np.tile(found, 3))
+        np.bitwise_xor.at(self.checks, at, np.tile(_mixed(found, 99), 3))
+
+    def minus(self, other: LookupTable) -> LookupTable:
+        """The table of what the two texts do not share, cell by cell."""
+        left = LookupTable.__new__(LookupTable)
+        left.cells, left.salts, left.counts, left.keys, left.checks = self.cells, self.salts, self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks
+        return left
+
+    def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The digests that were added only and those that were subtracted only, taken from a table of differences; None
+        where peeling gets stuck."""
         mine, theirs = [], []
         while True:
-            pure = np.flatnonzero(np.abs(left.counts) == 1)
-            pure = pure[_mixed(left.keys[pure], 99) == left.checks[pure]]
+            pure = np.flatnonzero(np.abs(self.counts) == 1)
+            pure = pure[_mixed(self.keys[pure], 99) == self.checks[pure]]
             if not len(pure):
                 break
-            keys, first = np.unique(left.keys[pure], return_index=True)
-            signs = left.counts[pure][first]
+            order = np.argsort(self.keys[pure])
+            keys, signs = self.keys[pure][order], self.counts[pure][order]
+            fresh = np.r_[True, keys[1:] != keys[:-1]]
+            keys, signs = keys[fresh], signs[fresh]
             mine.append(keys[signs > 0])
             theirs.append(keys[signs < 0])
-            left._add(keys, -signs)
-        if left.counts.any() or left.keys.any() or left.checks.any():
+            self._add(keys, -signs)
+        if self.counts.any() or self.keys.any() or self.checks.any():
             return None
         none = np.zeros(0, _U)
         return np.concatenate([none, *mine]), np.concatenate([none, *theirs])
@@ -94,16 +115,33 @@ class LookupTable:
         return f"{size:x}:" + base64.b64encode(raw).decode()
 
 
-def differing(a: np.ndarray, b: np.ndarray, first: tuple[LookupTable, LookupTable] | None = None, tries: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of ``a`` only and of ``b`` only, by tables that grow until peeling succeeds: after the first, which
-    holds small differences, one with two cells for each digest of both, then twice as many again and again."""
-    cells = CELLS
-    for k in range(tries):
-        one, two = first or (LookupTable(a, cells), LookupTable(b, cells))
-        if (found := one.difference(two)) is not None:
+def expected_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """About how many digests are in one of two sorted arrays only, from the least ones of both together."""
+    least = np.sort(np.concatenate([a[:LEAST], b[:LEAST]]))
+    again = least[1:] == least[:-1]  # of both
+    number = 1 + np.cumsum(~again)  # of each but the first among the distinct ones
+    both = int(np.count_nonzero(again & (number <= LEAST)))
+    n = min(LEAST, len(least) - int(np.count_nonzero(again)))
+    return round((len(a) + len(b)) * (n - both) / (n + both)) if n else 0
+
+
+def differing(a: np.ndarray, b: np.ndarray, first: tuple[LookupTable, LookupTable] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of ``a`` only and of ``b`` only (both sorted), by tables that grow until peeling succeeds. The first
+    holds small differences; where more than it holds are expected to differ, and where it can't be peeled, tables have two
+    cells for each that is, in the first one's cells doubled as often as that takes, and then twice as many again and
+    again."""
+    cells, least = CELLS, 2 * max(expected_difference(a, b), abs(len(a) - len(b)))
+    if least <= CELLS:
+        one, two = first or (LookupTable(a), LookupTable(b))
+        if (found := one.minus(two).peeled()) is not None:
             return found
-        first, cells = None, max(CELLS * 2, 3 * ((2 * (len(a) + len(b)) + 2) // 3)) << k
-    return np.setdiff1d(a, b), np.setdiff1d(b, a)
+        cells *= 2
+    while cells < least:
+        cells *= 2
+    both, sign = np.concatenate([a, b]), np.repeat([1, -1], [len(a), len(b)])
+    while (found := LookupTable(both, cells, sign).peeled()) is None:
+        cells *= 2
+    return found
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: tuple[LookupTable, LookupTable] | None = None) -> float:
@@ -125,20 +163,21 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     The next document is the one with the next larger id; after the last comes the first. Repeated ids follow each other
     in the order of their texts, null ids come first, a single row follows itself. Null texts are empty; two empty texts
-    are alike (1), an empty and another are not (0). An empty table gives no rows. Texts are shuffled once, to parts that
-    ascend with the id; each part's first document is also sent to the part before.
+    are alike (1), an empty and another are not (0). Ids and texts that are both equal are interchangeable. Very long texts
+    are read whole, one at a time with the next. Other columns of ``docs`` are not read, whatever their names. An empty table
+    gives no rows. Texts are shuffled once, to parts that ascend with the id; each part's first document is also sent to the
+    part before.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    dealt = parts_by_id(rows, "id", parts_for(docs))
+    dealt, parts = parts_by_id(rows, "id", parts_for(docs))
     heads = dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()
-    parts = len(heads)
     before = [(h["key"], heads[k - 1]["part"]) for k, h in enumerate(heads)]
     # one row a part
     back = docs.sparkSession.createDataFrame(before, "key long, before int")
     sent = dealt.join(F.broadcast(back), "key", "left")
     places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(1).alias("extra")))))
     sent = sent.select("id", "key", "text", F.explode(places).alias("at")).select("at.part", "at.extra", "key", "id", "text")
-    sent = sent.repartition(max(1, parts), "part").sortWithinPartitions("part", "extra", "key", "text")
+    sent = dealt_by(sent, parts).sortWithinPartitions("part", "extra", "key", "text")
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,9 +125,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 20_000, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Forest:
-    """A forest from the labelled rows where ``learn`` (a condition on ``labels``) holds, at most ``rows`` of them, taken
-    in the order of a hash of the id: the bound is on what the driver collects. Labels other than 0 and 1 are left out;
-    a document with two labels counts with both."""
+    """A forest from the labelled rows where ``learn`` (a condition on ``labels``) holds, at most ``rows`` labels and as many
+    documents, taken in the order of a hash of the id: the bound is on what the driver collects. Labels other than 0 and 1
+    are left out; a document with two labels counts with both, and so does each row of an id that repeats."""
     marked = labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     sample = marked.orderBy(F.xxhash64("id", F.lit(17)), "id", "y").limit(rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -135,9 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 20_000,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             made = [statistics(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(made, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(made, pa.list_(pa.float64()))], names=["h", "y", "x"])
 
-    got = texts.join(F.broadcast(sample), "id").select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
+    found = texts.join(F.broadcast(sample), "id").select(F.xxhash64("id", F.lit(17)).alias("h"), "y", "text")
+    got = found.mapInArrow(run, "h long, y int, x array<double>").orderBy("h", "y", "x").limit(rows).collect()
     got.sort(key=lambda r: (r["x"], r["y"]))  # the order in which rows arrive must not matter
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(STATISTICS))
     return fit(x, np.array([r["y"] for r in got], float))
@@ -147,8 +148,8 @@ def classify(docs: DataFrame, forest: Forest, limit: float = 0.3, text: str = "t
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 if score >= limit, else 0); input
     columns of these names are replaced.
 
-    Null and empty texts are scored by their zero statistics. Repeated rows score alike; an empty table gives no rows.
-    Rows stay where they are.
+    Null and empty texts are scored by their zero statistics, very long ones by those of the whole. A score at the limit
+    predicts 1. Repeated rows score alike; an empty table gives no rows. Rows stay where they are.
     """
     keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")

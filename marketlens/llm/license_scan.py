@@ -2,9 +2,11 @@
 
 For each template length, every window of as many 5-word shingles as the template has is sketched by MinHash. Windows
 start at every word for short templates and at an eighth of the length for longer ones, so some window overlaps any copy
-almost whole. A window that agrees with a template in all rows of one band is a candidate. With 10 bands of 2 rows,
-two sets of similarity 0.8 collide with probability 1 - (1 - 0.8 ** 2) ** 10 > 0.9999, and each further window of a copy
-is another chance. Punctuation at the edges of words counts on neither side, nor do words of punctuation only, such as
+almost whole. A window that agrees with a template in all rows of one band is a candidate, and the best window less than a step
+away from it counts. A window that holds a share c of a template's shingles has similarity c / (2 - c) with it, 2 / 3 at
+the least containment of 0.8; the window that is tried may lie half a step, a sixteenth of the length, off and hold that
+much less: 0.7375, similarity 0.584. With 16 bands of 2 rows it collides with probability 1 - (1 - 0.584 ** 2) ** 16 > 0.998,
+and each further window of a copy is another chance. Punctuation at the edges of words counts on neither side, nor do words of punctuation only, such as
 comment marks.
 """
 
@@ -40,6 +42,100 @@ TEMPLATES = {
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
 }
 
+# Public license texts and the notices that their publishers ask for, by SPDX identifier and part.
+FULL_TEXTS = {
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-full": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause-full": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause-third": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission.""",
+    "Zlib-full": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software. 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0-full": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in
+whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor.""",
+    "Unlicense-full": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication
+to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License.""",
+    "GPL-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
+should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You
+should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>.""",
+    "LGPL-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to
+the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""",
+    "AGPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more
+details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>.""",
+    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "EPL-2.0-notice": """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "CC0-1.0-notice": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring
+rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have
+received a copy of the CC0 Public Domain Dedication along with this software.""",
+    "CC-BY-4.0-notice": """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of
+this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain
+View, CA 94042, USA.""",
+    "CC-BY-SA-4.0-notice": """This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To
+view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons, PO Box
+1866, Mountain View, CA 94042, USA.""",
+}
+
 
 def bare_words(text: str | None) -> tuple[list[bytes], list[int]]:
     """The words of a text without punctuation at their edges, and the place of each among all its words."""
@@ -71,7 +167,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Bands:
-    bands: int = 10
+    bands: int = 16
     rows: int = 2
 
     def hashed(self, found: np.ndarray) -> np.ndarray:
@@ -111,19 +207,23 @@ class Scanner:
         hashed = self.bands.hashed(found)
         minima, width = hashed, 1
         for length in sorted(self.by_length):
+            if len(found) < self.least * length:
+                break
             size = min(length, len(found))
             while width * 2 <= size:  # minima over windows of twice the width
                 minima = np.minimum(minima[:, :-width], minima[:, width:])
                 width *= 2
-            over = minima if size == width else np.minimum(minima[:, : minima.shape[1] - (size - width)], minima[:, size - width :])
-            starts = np.arange(0, over.shape[1], max(1, length // 8))
-            if starts[-1] != over.shape[1] - 1:
-                starts = np.append(starts, over.shape[1] - 1)
-            keys = self.bands.keys(over[:, starts])
+            step, last = max(1, length // 8), len(found) - size
+            starts = np.arange(0, last + 1, step)
+            if starts[-1] != last:
+                starts = np.append(starts, last)
+            keys = self.bands.keys(np.minimum(minima[:, starts], minima[:, starts + (size - width)]))
             for name, wanted, key in self.by_length[length]:
                 best: list[tuple[int, float]] = []
-                for at in starts[(keys == key[:, None]).any(axis=0)]:
-                    inside = np.isin(wanted, found[at : at + size]).mean()
+                for start in starts[(keys == key[:, None]).any(axis=0)]:
+                    near = range(max(0, start - step + 1), min(last, start + step - 1) + 1)
+                    inside, at = max((np.isin(wanted, found[x : x + size]).mean(), -x) for x in near)
+                    at = -at
                     if inside < self.least:
                         continue
                     if best and at < best[-1][0] + size:
@@ -139,10 +239,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: Bands
     """(doc_id, license, first_word, end_word, containment): each place of a whole text that holds at least ``least`` of a
     template's distinct shingles within a window of its length.
 
-    Null, empty and short texts have no rows; repeated rows are scanned each; null ids are kept; an empty table gives no
-    rows. Templates are a short configured list that goes with the code; documents stay where they are.
+    Of overlapping places of one template the best has a row, of equally good ones the first; overlapping templates have
+    a row each. Null, empty and short texts have no rows; very long ones are scanned whole; repeated rows are scanned each;
+    null ids are kept; other columns of ``docs`` are not read, whatever their names; an empty table gives no rows. Templates
+    (by default ``TEMPLATES`` and ``FULL_TEXTS``) are a short configured list that goes with the code; documents stay where
+    they are.
     """
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES, bands, least))
+    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES | FULL_TEXTS, bands, least))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,19 +11,35 @@ from .common import free_name
 LOWEST = -(1 << 63)
 
 
-def parts_by_id(df: DataFrame, doc_id: str, parts: int, ids: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``key`` (the id as long, null lowest) and ``part``: parts hold about as many ids each and ascend with
-    the id. Bounds come from quantiles of the ids alone (of ``ids`` where given); ids as doubles stay in order."""
+def parts_by_id(df: DataFrame, doc_id: str, parts: int, ties: str | None = None) -> tuple[DataFrame, int]:
+    """``df`` with ``key`` (the id as long, null lowest) and ``part``, and the number of parts: they hold about as many ids
+    each and ascend with the id. Bounds come from quantiles of the ids alone; ids as doubles stay in order. An id that many
+    rows have is spread over parts of its own by a hash of the column ``ties``, where given."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
-    number = free_name(df, "_number")
-    source = (df if ids is None else ids).select(key.cast("double").alias("x"))
-    bounds = source.approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
-    df = df.withColumn("key", key).withColumn(number, F.col("key").cast("double"))
-    if len(splits) < 3:
-        return df.withColumn("part", F.lit(0)).drop(number)
-    out = Bucketizer(splits=splits, inputCol=number, outputCol="part").transform(df)
-    return out.withColumn("part", F.col("part").cast("int")).drop(number)
+    number, place = free_name(df, "_number"), free_name(df, "_place")
+    bounds = df.select(key.cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    df = df.withColumn("key", key)
+    splits = sorted(set(bounds))
+    if not splits:
+        return df.withColumn("part", F.lit(0)), 1
+    df = df.withColumn(number, F.col("key").cast("double"))
+    out = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol=number, outputCol=place).transform(df).withColumn(place, F.col(place).cast("int"))
+    # of each bound: the parts of its id alone, where it is the bound of several quantiles, before the part of what follows
+    own = [0] + [bounds.count(b) if ties and bounds.count(b) > 1 else 0 for b in splits]
+    first = [k + sum(own[:k]) for k in range(len(own))]
+    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col(place))
+    part = at(first)
+    if any(own):
+        spread = F.pmod(F.xxhash64(ties), F.greatest(at(own), F.lit(1))).cast("int")
+        alone = (at(own) > 0) & (F.col(number) == at([0.0, *splits]))
+        part = part + F.when(alone, spread).otherwise(at(own))
+    return out.withColumn("part", part.cast("int")).drop(number, place), len(own) + sum(own)
+
+
+def dealt_by(df: DataFrame, parts: int, part: str = "part") -> DataFrame:
+    """``df`` in ``parts`` partitions, each holding the part of its number: a hash of dense numbers would leave a third of
+    the partitions empty and give others several parts."""
+    return df.repartitionById(max(1, parts), F.col(part).cast("int"))
 
 
 def parts_for(df: DataFrame) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import word_level
-from .common import materialise, small_batches
+from .common import TEXTS, materialise, small_batches
 
 
 @dataclass(frozen=True)
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, doc_id
     whatever their names; an empty table gives no rows. The piece table is written once, ranks come from counts per part
     and length, so no length, however common, is gathered in one task; the plan has a bound that ``size`` sets.
     """
-    made = materialise(pieces(docs, tokenizer, size, end, doc_id, text, with_ids), "pieces")
+    made = materialise(pieces(docs, tokenizer, size, end, doc_id, text, with_ids), "pieces", TEXTS)
     each = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

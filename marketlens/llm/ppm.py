@@ -7,16 +7,16 @@ context (escape by the number of distinct bytes), in which the bytes already exc
 Below the empty context all bytes not excluded are equally likely.
 
 The trie of a corpus does not fit a worker. Documents are dealt to blocks; a block needs the code lengths only of the
-grams it holds. Gram counts meet in shards (all contexts with the same two last bytes lie in one), merged over few blocks
+grams it holds. Gram counts meet in shards (all contexts with the same three last bytes lie in one), merged over few blocks
 at a time, each shard builds its part of the trie, and each block gets the code lengths of its own grams back. Only the
-two lowest orders, at most 256 * 256 counts, are known everywhere.
+three lowest orders are known everywhere: at most 252 ** 3 grams, whatever the corpus, and some hundred thousand in text.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, words_of
+from .common import TEXTS, discard, materialise, small_batches, words_of
+from .ordered import dealt_by
 
 END = 10  # a byte that no word holds closes a text
 ALPHABET = 252  # byte values without tab, vertical tab, form feed and carriage return
@@ -201,25 +202,37 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 @dataclass(frozen=True)
 class Settings:
-    """``block_bytes``: text a block holds. ``shards``: parts of the trie and of the words. ``fan``: blocks (then merged
-    parts) that one task merges of one shard. None of them changes a score."""
+    """``block_bytes``: text a block holds. ``shards``: parts of the trie and of the words; 0: ``base`` for every 1024
+    blocks, up to 4096. ``fan``: blocks (then merged parts) that one task merges of one shard. ``span``: blocks that one
+    copy of a shard serves, so that copies take little beside what is asked of them. None of them changes a score."""
 
     order: int = 5
     block_bytes: int = 32 << 20
-    shards: int = 256
+    shards: int = 0
+    base: int = 256
     fan: int = 64
+    span: int = 1024
+
+    def sized(self, blocks: int) -> Settings:
+        return self if self.shards else replace(self, shards=min(4096, self.base * math.ceil(blocks / 1024)))
+
+    @property
+    def low(self) -> int:
+        """The highest order that is known everywhere."""
+        return min(2, self.order - 1)
 
     def shard(self, keys: np.ndarray) -> np.ndarray:
-        suffix = (keys >> _U(8)) & _U(0xFFFF)
+        suffix = (keys >> _U(8)) & _U((1 << (8 * (self.low + 1))) - 1)
         mixed = np.where(keys >= _WORD, keys, suffix) * _U(0xD6E8FEB86659FD93) >> _U(40)
         return (mixed % _U(self.shards)).astype(np.int64) + np.where(keys >= _WORD, self.shards, 0)
 
 
 def _block_counts(s: Settings):
-    """Of a block: one row a shard with its keys and their training counts (0 where only scored), sorted."""
+    """Of a partition, which is a block: one row a shard with its keys and their training counts (0 where only scored),
+    sorted."""
 
-    def run(block: pa.Table) -> pa.Table:
-        number = block.column("block")[0].as_py()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = None
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
         size = 0
@@ -233,21 +246,25 @@ def _block_counts(s: Settings):
             if len(parts) > 8:
                 parts[:] = [_merged(parts)]
 
-        for text, trained in zip(block.column("text"), block.column("trained"), strict=True):
-            words = words_of(text.as_py())
-            made = waiting[trained.as_py()]
-            made += [grams_of(words, s.order), tokens_of(words)]
-            size += len(made[-2]) + len(made[-1])
-            if size > 3_000_000:
-                flush()
-                size = 0
+        for batch in small_batches(batches, "text"):
+            number = batch.column("block")[0].as_py()
+            for text, trained in zip(batch.column("text"), batch.column("trained"), strict=True):
+                words = words_of(text.as_py())
+                made = waiting[trained.as_py()]
+                made += [grams_of(words, s.order), tokens_of(words)]
+                size += len(made[-2]) + len(made[-1])
+                if size > 3_000_000:
+                    flush()
+                    size = 0
+        if number is None:
+            return
         flush()
         keys, counts = _merged(parts)
         shard = s.shard(keys)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         rows = [(int(shard[order[a]]), *_packed(keys[order[a:b]], counts[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        return pa.table({"shard": [r[0] for r in rows], "block": pa.array([number] * len(rows), pa.int32()), "keys": [r[1] for r in rows], "counts": [r[2] for r in rows]})
+        yield pa.RecordBatch.from_pydict({"shard": [r[0] for r in rows], "block": pa.array([number] * len(rows), pa.int32()), "keys": [r[1] for r in rows], "counts": [r[2] for r in rows]})
 
     return run
 
@@ -259,13 +276,17 @@ def _merge_group(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"shard": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "keys": [k], "counts": [c], "kinds": [len(keys)], "total": [int(counts.sum())]})
 
 
-def _low_counts(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n): the order-1 grams of merged shards."""
-    for batch in group:
-        for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
-            keys, counts = _unpacked(k.as_py(), c.as_py())
-            low, at = np.unique(keys & _U(0xFFFF), return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(low.astype(np.int64)), "n": pa.array(np.bincount(at, counts, len(low)).astype(np.int64))})
+def _low_counts(order: int):
+    """(gram, n): the grams of ``order`` of merged shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
+                keys, counts = _unpacked(k.as_py(), c.as_py())
+                low, at = np.unique(keys & _U((1 << (8 * (order + 1))) - 1), return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(low.astype(np.int64)), "n": pa.array(np.bincount(at, counts, len(low)).astype(np.int64))})
+
+    return run
 
 
 def score(docs: DataFrame, trained: Column, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,33 +296,37 @@ def score(docs: DataFrame, trained: Column, settings: Settings = Settings(), doc
     of the text's probability. n_tokens: words and one end. base_score: add-one word model, known tokens and unknown ones
     sharing one more count each. Null and empty texts are the end token alone. Repeated rows are learnt and scored each,
     null ids are scored like others; an empty table gives no rows, and no training rows leave the uniform model. Words
-    are told apart by 63-bit hashes. Blocks hold about ``block_bytes`` of text (or one longer document), so a task's
-    memory does not grow with the corpus; what is gathered grows with the blocks.
+    are told apart by 63-bit hashes. Other columns of ``docs`` are read only where ``trained`` names them. Blocks hold about
+    ``block_bytes`` of text by a hash of id and text; a longer document is read whole in its block. Block tasks hold the
+    distinct grams of a block; shard tasks hold a shard of the trie, whose size grows with the corpus's distinct grams over
+    ``shards``. What is gathered grows with the blocks.
     """
-    s = settings
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(size / s.block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    counted = materialise(dealt.groupBy("block").applyInArrow(_block_counts(s), "shard long, block int, keys binary, counts binary"), "ppm-counts")
-    parts, step = blocks, counted.withColumn("part", (F.col("block") / s.fan).cast("int"))
+    blocks = max(1, math.ceil(size / settings.block_bytes))
+    s = settings.sized(blocks)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    counted = materialise(dealt_by(placed, blocks, "block").mapInArrow(_block_counts(s), "shard long, block int, keys binary, counts binary"), "ppm-counts", TEXTS)
+    parts, merged, step = blocks, None, counted.withColumn("part", (F.col("block") / s.fan).cast("int"))
     while True:
-        merged = materialise(step.groupBy("shard", "part").applyInArrow(_merge_group, "shard long, part int, keys binary, counts binary, kinds long, total long"), "ppm-merged")
-        parts = math.ceil(parts / s.fan)
+        following = materialise(step.groupBy("shard", "part").applyInArrow(_merge_group, "shard long, part int, keys binary, counts binary, kinds long, total long"), "ppm-merged")
+        if merged is not None:
+            discard(merged)
+        merged, parts = following, math.ceil(parts / s.fan)
         if parts <= 1:
             break
         step = merged.withColumn("part", (F.col("part") / s.fan).cast("int"))
     words = merged.where(F.col("shard") >= s.shards).agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
     total, kinds = words["n"] or 0, words["v"] or 0
-    low = merged.where(F.col("shard") < s.shards).mapInArrow(_low_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    low_grams, low_counts = np.array([r["gram"] for r in low], _U), np.array([r["n"] for r in low], np.float64)
+    low = merged.where(F.col("shard") < s.shards).mapInArrow(_low_counts(s.low), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((low.column("gram").to_numpy().astype(_U), low.column("n").to_numpy().astype(np.float64)))
 
     def values(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         """For each block of the group: its keys of the shard with code lengths (grams) or counts (words)."""
         keys, counts = _unpacked(known.column("keys")[0].as_py(), known.column("counts")[0].as_py()) if known.num_rows else (np.zeros(0, _U), np.zeros(0, np.int64))
         trie = None
         if key[0].as_py() < s.shards:
-            trie = ContextTrie(keys, counts.astype(np.float64), s.order, 2, ContextTrie(low_grams, low_counts, 1))
+            trie = ContextTrie(keys, counts.astype(np.float64), s.order, s.low + 1, ContextTrie(*shared.value, s.low))
         out: dict[str, list] = {"block": [], "keys": [], "values": []}
         for block, k, c in zip(asked.column("block"), asked.column("keys"), asked.column("counts"), strict=True):
             wanted = _unpacked(k.as_py(), c.as_py())[0]
@@ -315,32 +340,41 @@ def score(docs: DataFrame, trained: Column, settings: Settings = Settings(), doc
             out["values"].append(_pack(found.tobytes()))
         return pa.table({"block": pa.array(out["block"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "values": pa.array(out["values"], pa.binary())})
 
-    groups = math.ceil(blocks / s.fan)
-    asked = counted.withColumn("part", (F.col("block") / s.fan).cast("int"))
+    groups = math.ceil(blocks / s.span)
+    asked = counted.withColumn("part", (F.col("block") / s.span).cast("int"))
     known = merged.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "keys", "counts")
     coded = asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(values, "block int, keys binary, values binary")
     unit = math.log10(total + kinds + 1)
 
-    def scored(key: tuple, texts: pa.Table, codes: pa.Table) -> pa.Table:
-        empty = zstandard.ZstdCompressor().compress(b"")
-        pairs = list(zip(codes.column("keys"), codes.column("values"), strict=True))
-        box = zstandard.ZstdDecompressor()
-        keys = np.concatenate([np.zeros(0, _U), *(_unpacked(k.as_py(), empty)[0] for k, _ in pairs)])
-        found = np.concatenate([np.zeros(0), *(np.frombuffer(box.decompress(v.as_py())) for _, v in pairs)])
-        look = Lookup(keys, found)
-        made: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for text in texts.column("text"):
-            words = words_of(text.as_py())
-            c = look(tokens_of(words))
-            made["n_tokens"].append(len(c))
-            made["n_known"].append(int((c > 0).sum()))
-            made["base_score"].append(float(np.log10(c + 1).sum()) - len(c) * unit)
-            made["score"].append(float(look(grams_of(words, s.order)).sum()))
-        return pa.table({"id": texts.column("id"), "held_out": pa.array([not x.as_py() for x in texts.column("trained")], pa.bool_())} | made)
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a block the values of its keys, which come first, and then its texts, a slice at a time."""
+        empty, box = zstandard.ZstdCompressor().compress(b""), zstandard.ZstdDecompressor()
+        keys, found, look = [np.zeros(0, _U)], [np.zeros(0)], None
+        for batch in small_batches(batches, "text"):
+            codes, texts = batch.filter(batch.column("values").is_valid()), batch.filter(batch.column("values").is_null())
+            for k, v in zip(codes.column("keys"), codes.column("values"), strict=True):
+                keys.append(_unpacked(k.as_py(), empty)[0])
+                found.append(np.frombuffer(box.decompress(v.as_py())))
+            if not texts.num_rows:
+                continue
+            if look is None:
+                look = Lookup(np.concatenate(keys), np.concatenate(found))
+                keys, found = [], []
+            made: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
+            for text in texts.column("text"):
+                words = words_of(text.as_py())
+                c = look(tokens_of(words))
+                made["n_tokens"].append(len(c))
+                made["n_known"].append(int((c > 0).sum()))
+                made["base_score"].append(float(np.log10(c + 1).sum()) - len(c) * unit)
+                made["score"].append(float(look(grams_of(words, s.order)).sum()))
+            yield pa.RecordBatch.from_pydict({"id": texts.column("id"), "held_out": pa.array([not x.as_py() for x in texts.column("trained")], pa.bool_())} | made)
 
     id_type = rows.schema["id"].dataType.simpleString()
-    out = dealt.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    result = materialise(out, "ppm-scores")
+    both = coded.unionByName(placed, allowMissingColumns=True)
+    both = dealt_by(both, blocks, "block").sortWithinPartitions(F.col("values").isNull())
+    out = both.mapInArrow(scored, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    result = materialise(out, "ppm-scores", TEXTS)
     discard(counted)
     discard(merged)
     return result.select(F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

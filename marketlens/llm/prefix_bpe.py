@@ -13,6 +13,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     """``docs`` with the token ids of each whole text in column ``ids`` (array<int>), in place of the text.
 
     Null and empty texts give an empty list. Other columns pass through; a column that already has the name ``ids`` is
-    replaced. Rows, their order within a partition and repeated rows stay. One narrow pass, no shuffle: each executor
+    replaced. Very long texts are encoded whole. Rows, their order within a partition and repeated rows stay. One narrow pass, no shuffle: each executor
     process keeps a bounded memory of encoded words, which never changes a result.
     """
     keep = [c for c in docs.columns if c.lower() not in (ids.lower(), text.lower())]
@@ -242,20 +243,31 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
 def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ids stand for in column ``out`` (binary); null ids give null.
 
-    An id outside the vocabulary raises KeyError: a damaged id list must not pass as text.
+    An id outside the vocabulary raises KeyError: a damaged id list must not pass as text. Very long lists are decoded
+    whole.
     """
     keep = [c for c in encoded.columns if c.lower() != out.lower()]
     schema = _with(encoded.select(*keep).schema, out, T.BinaryType())
 
     def run(batches):
-        tokens = PrefixBPE(read_ranks(ranks_path)).tokens
+        ranks = read_ranks(ranks_path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            tokens[r] = t
+        known, lengths = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens])
+        first = np.cumsum(lengths) - lengths
         for batch in small_batches(batches, ids):
             column = batch.column(ids)
-            ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-            if len(values) and not (0 <= values.min() and values.max() < len(tokens)):
+            ends = column.offsets.to_numpy()
+            values = column.values.to_numpy()[ends[0] : ends[-1]]
+            if len(values) and not (0 <= values.min() and values.max() < len(tokens) and lengths[values].all()):
                 raise KeyError("an id is outside the vocabulary")
-            rows = (values[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
-            made = [b"".join([tokens[i] for i in row]) if ok else None for row, ok in zip(rows, column.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.binary())], names=[*keep, out])
+            size = lengths[values]
+            upto = np.r_[0, np.cumsum(size)]
+            data = known[np.repeat(first[values] - upto[:-1], size) + np.arange(upto[-1])]  # every token's bytes in turn
+            offsets = upto[ends - ends[0]].astype(np.int64)
+            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+            made = pc.if_else(column.is_valid(), made, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), made], names=[*keep, out])
 
     return encoded.select(*keep).mapInArrow(run, schema)

@@ -1,14 +1,17 @@
 """Token-id files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
-Each block starts from nothing. The id last seen after the two ids before (order 2), after the one before (order 1), and
-the ids in a small table of recent ones (order 0) are predicted; how far each prediction has held lately picks adaptive
-counts, mixed with the block's own counts, that give the ranges of the four cases: order 2 right, order 1 right, in the
-table, none. A range coder writes the case together with the table's slot or the raw id. Blocks are coded side by side:
-every step of the loop codes one id of each block, vectorised over blocks.
-
-A frame is ``MAGIC``, the counts of documents, ids and blocks and the ids before it, then document ids (signed 64-bit)
-and lengths (unsigned 64-bit), then for each block its number of ids, checksum (crc32 of the ids as little-endian
-unsigned 32-bit integers) and number of words, then all blocks' 16-bit words. All integers are little-endian.
+Each block starts from nothing. Three predictions are mixed: the id last seen after the two ids before (order 2), the one
+last seen after the id before (order 1), and the counts of all ids so far over a prior that falls with the id, as
+vocabularies list frequent pieces first (order 0). How far the two candidates have held lately, and whether they agree,
+picks adaptive weights: counts of how often order 2, order 1 and neither was right there, shared with the block's own. A
+range coder writes which of them is right, and, where neither is, the id by order 0. Order-0 counts lie in a tree of 16
+branches a node, so ranges are found and counts raised in as many steps as an id has half-bytes.
+Blocks are coded side by side: every step of the loop codes one id of each block, vectorised over blocks.
+
+A frame is ``MAGIC``, the counts of documents, ids and blocks, the ids before it and the bound of its ids (a multiple of
+4096), then document ids (signed 64-bit) and lengths (unsigned 64-bit), then for each block its number of ids, checksum
+(crc32 of the ids as little-endian unsigned 32-bit integers) and number of words, then all blocks' 16-bit words. All
+integers are little-endian.
 """
 
 from __future__ import annotations
@@ -23,58 +26,157 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import byte_level
-from .common import materialise, small_batches
-from .ordered import LOWEST, parts_by_id, parts_for
+from .common import TEXTS, materialise, small_batches
+from .ordered import LOWEST, dealt_by, parts_by_id, parts_for
 
-MAGIC = b"IDX1"
+MAGIC = b"IDX2"
 BLOCK, LANES = 4096, 512
-_SLOTS, _BITS = 1024, 12
+_BITS = 12
 _U = np.uint64
 _TOP, _WORD = _U(1 << 48), _U(16)
 _SCALE = 1 << 16  # ids are below this
+#: What an id seen adds to its count, and the prior's share that falls with the id.
+_STEP, _PRIOR, _EARLY = 600, 16_384, 512
+_MOST = 1 << 12  # weights of a context are halved beyond this sum
+
+
+_BRANCHES = np.arange(16)
+#: For each branch of a node what is added to the sums up to each branch when an id below it is seen.
+_RAISED = (_BRANCHES[None, :] >= _BRANCHES[:, None]).astype(np.int32) * _STEP
+
+
+class _Counts:
+    """Order 0: each lane's counts of all ids, as sums up to each of 16 branches of a tree's nodes."""
+
+    def __init__(self, lanes: int, bound: int):
+        below = (1 + _PRIOR // (np.arange(bound) + _EARLY)).astype(np.int32)
+        self.nodes: list[int] = []  # of a lane, on each level from the top
+        self.sums: list[np.ndarray] = []
+        while True:
+            rows = np.zeros((-(-len(below) // 16), 16), np.int32)
+            rows.ravel()[: len(below)] = below
+            rows = rows.cumsum(axis=1, dtype=np.int32)
+            self.nodes.insert(0, len(rows))
+            self.sums.insert(0, np.tile(rows, (lanes, 1)))
+            below = rows[:, 15]
+            if len(below) == 1:
+                break
+        self.total = np.full(lanes, int(below[0]), np.int64)
+
+    def seen(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the counts of all smaller ids, count) of one id for each of the lanes, before it is counted once more."""
+        before, at = np.zeros(len(ids), np.int64), np.arange(0, 16 * len(ids), 16)
+        for level, (nodes, sums) in enumerate(zip(self.nodes, self.sums, strict=True)):
+            place = ids >> (4 * (len(self.nodes) - 1 - level))
+            branch, node = place & 15, lanes * nodes + (place >> 4)
+            found = sums.take(node, axis=0)
+            own = at + branch
+            upto, smaller = found.take(own), found.take(own - (branch > 0)) * (branch > 0)
+            before += smaller
+            found += _RAISED.take(branch, axis=0)
+            sums[node] = found
+        self.total[lanes] += _STEP
+        return before, (upto - smaller).astype(np.int64)
+
+    def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, sum of the counts of all smaller ids, count) of the id in whose range each target lies, before it is counted
+        once more."""
+        ids, left, at = np.zeros(len(target), np.int64), target.astype(np.int32), np.arange(0, 16 * len(target), 16)
+        for nodes, sums in zip(self.nodes, self.sums, strict=True):
+            node = lanes * nodes + ids
+            found = sums.take(node, axis=0)
+            branch = np.count_nonzero(found <= left[:, None], axis=1)
+            own = at + branch
+            upto, smaller = found.take(own), found.take(own - (branch > 0)) * (branch > 0)
+            left -= smaller
+            ids = ids * 16 + branch
+            found += _RAISED.take(branch, axis=0)
+            sums[node] = found
+        self.total[lanes] += _STEP
+        return ids, target - left, (upto - smaller).astype(np.int64)
 
 
 class _Model:
     """The adaptive state of all blocks (lanes)."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, bound: int):
         self.lane = np.arange(lanes)
-        self.two = self.lane << _BITS
+        self.two, self.cells = self.lane << _BITS, self.lane << 5
         self.o1, self.o2 = np.full(lanes << _BITS, -1, np.int32), np.full(lanes << _BITS, -1, np.int32)
-        self.table = np.full(lanes * _SLOTS, -1, np.int32)
-        self.mixed = np.ones((lanes * 16, 4), np.int64)
-        self.own = np.ones((lanes, 4), np.int64)
-        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.mixed = np.full((3, lanes * 32), 2, np.int64)
+        self.own = np.full((3, lanes), 2, np.int64)
+        self.p1, self.p2, self.steps = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), 0
+        self.counts = _Counts(lanes, bound)
 
     def predict(self, k: int) -> None:
-        """Predictions and cumulative ranges for the first ``k`` lanes."""
-        p1, p2 = self.p1[:k], self.p2[:k]
-        self.at1 = self.two[:k] + ((p1 * 40503 >> 4) & 4095)
-        self.at2 = self.two[:k] + (((p1 * 40503 + p2 * 30011) >> 3) & 4095)
-        e1, e2 = self.o1[self.at1], self.o2[self.at2]
-        self.c1, self.c2, f1, f2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
-        self.f1, self.f2 = f1, f2
-        self.cell = (self.lane[:k] << 4) + (f2 << 2) + f1
-        self.freq = self.mixed[self.cell] + self.own[:k]
-
-    def update(self, k: int, ids: np.ndarray, case: np.ndarray) -> None:
-        self.mixed[self.cell, case] += 24
-        self.own[self.lane[:k], case] += 2
-        self.o1[self.at1] = (ids << 2) | np.where(self.c1 == ids, np.minimum(self.f1 + 1, 3), 0)
-        self.o2[self.at2] = (ids << 2) | np.where(self.c2 == ids, np.minimum(self.f2 + 1, 3), 0)
-        self.table[self.lane[:k] * _SLOTS + (ids & (_SLOTS - 1))] = ids
+        """For the first ``k`` lanes the candidates ``c2`` and ``c1``, the weights ``w2`` and ``w1`` of their being right and
+        ``w0`` of neither, and their sum ``all``."""
+        h1 = self.p1[:k] * 40503
+        self.at1 = self.two[:k] + ((h1 >> 4) & 4095)
+        self.at2 = self.two[:k] + (((h1 + self.p2[:k] * 30011) >> 3) & 4095)
+        self.e1, self.e2 = self.o1.take(self.at1), self.o2.take(self.at2)
+        self.c1, self.c2 = self.e1 >> 2, self.e2 >> 2
+        other = self.c1 != self.c2
+        self.cell = self.cells[:k] + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + other
+        self.w2 = (self.mixed[0].take(self.cell) * 4 + self.own[0, :k]) * (self.e2 >= 0)  # none yet: no weight
+        self.w1 = (self.mixed[1].take(self.cell) * 4 + self.own[1, :k]) * (other & (self.e1 >= 0))
+        self.w0 = self.mixed[2].take(self.cell) * 4 + self.own[2, :k]
+        self.all = self.w2 + self.w1 + self.w0
+
+    def update(self, k: int, ids: np.ndarray, two: np.ndarray, one: np.ndarray, none: np.ndarray) -> None:
+        """``two``, ``one`` and ``none``: lanes in which order 2, order 1 or neither was right."""
+        for case, lanes in enumerate((two, one, none)):
+            self.mixed[case][self.cell[lanes]] += 24
+            self.own[case][lanes] += 2
+        self.steps += 1
+        if self.steps % 64 == 0:
+            self.mixed[:, self.mixed.sum(axis=0) > _MOST] >>= 1
+            self.mixed |= 1
+        ids4 = (ids << 2).astype(np.int32)
+        self.o1[self.at1] = np.where(self.c1 == ids, np.minimum(self.e1 + 1, ids4 + 3), ids4)
+        self.o2[self.at2] = np.where(self.c2 == ids, np.minimum(self.e2 + 1, ids4 + 3), ids4)
         self.p2[:k] = self.p1[:k]
         self.p1[:k] = ids
 
 
-#: How many values each case spreads over, and so how wide each is.
-_SPREAD = np.array([1, 1, _SLOTS, _SCALE], np.int64)
+def bound_of(ids: np.ndarray) -> int:
+    """The least multiple of 4096 above all ids."""
+    top = int(ids.max()) if len(ids) else 0
+    if top >= _SCALE:
+        raise ValueError("ids must be below 65536")
+    return (top // 4096 + 1) * 4096
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, np.ndarray]]:
-    """(ids, crc32, words) of each block of ``block`` ids."""
-    if len(ids) and int(ids.max()) >= _SCALE:
-        raise ValueError("ids must be below 65536")
+class _Coder:
+    """The range coder's state of all lanes: the low end and the width of the range, as 64-bit integers."""
+
+    def __init__(self, lanes: int):
+        self.low, self.span = np.zeros(lanes, _U), np.full(lanes, _U(0xFFFFFFFFFFFFFFFF))
+
+    def narrow(self, k: int, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        self.low[:k] += start.view(_U) * unit
+        self.span[:k] = width.view(_U) * unit
+
+    def settled(self, lanes: np.ndarray) -> np.ndarray:
+        """Those of the lanes whose upper word can't change any more; ranges that got too narrow for that are shortened to
+        the next word's end, which the low end then shares."""
+        low, span = self.low[lanes], self.span[lanes]
+        same = (low ^ (low + span)) < _TOP
+        tight = np.flatnonzero(~same & (span < _TOP))
+        if len(tight):
+            self.span[lanes[tight]] = (_U(0) - low[tight]) & (_TOP - _U(1))
+            same[tight] = True
+        return lanes[same]
+
+    def shift(self, lanes: np.ndarray) -> None:
+        self.low[lanes] <<= _WORD
+        self.span[lanes] <<= _WORD
+
+
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, bound: int = _SCALE) -> list[tuple[int, int, np.ndarray]]:
+    """(ids, crc32, words) of each block of ``block`` ids, all below ``bound``."""
+    if bound_of(ids) > bound:
+        raise ValueError(f"ids must be below {bound}")
     lanes = -(-len(ids) // block)
     if not lanes:
         return []
@@ -82,42 +184,33 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, n
     padded[: len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, block).T)
     last = len(ids) - (lanes - 1) * block
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, _U), np.full(lanes, _U(0xFFFFFFFFFFFFFFFF))
+    model, coder = _Model(lanes, bound), _Coder(lanes)
     words, used = np.zeros((lanes, block * 2 + 8), np.uint16), np.zeros(lanes, np.int64)
     for t in range(block if lanes > 1 else last):
         k = lanes if t < last else lanes - 1
         value = grid[t, :k]
         model.predict(k)
-        slot = value & (_SLOTS - 1)
-        case = np.where(model.c2 == value, 0, np.where(model.c1 == value, 1, np.where(model.table[model.lane[:k] * _SLOTS + slot] == value, 2, 3)))
-        cum = model.freq.cumsum(axis=1)
-        rows = model.lane[:k]
-        f = model.freq[rows, case]
-        width = f * (_SCALE // _SPREAD[case])
-        start = (cum[rows, case] - f) * _SCALE + np.where(case == 2, slot, np.where(case == 3, value, 0)) * width
-        unit = span[:k] // (cum[:, 3] * _SCALE).astype(_U)
-        low[:k] += start.astype(_U) * unit
-        span[:k] = width.astype(_U) * unit
-        while True:
-            a, r = low[:k], span[:k]
-            same = (a ^ (a + r)) < _TOP
-            tight = ~same & (r < _TOP)
-            if tight.any():  # shorten the range to the next word's end, which the low end then shares
-                r[tight] = (_U(0) - a[tight]) & (_TOP - _U(1))
-                same |= tight
-            w = np.flatnonzero(same)
-            if not len(w):
-                break
-            words[w, used[w]] = (a[w] >> _U(48)).astype(np.uint16)
-            used[w] += 1
-            low[w] <<= _WORD
-            span[w] <<= _WORD
-        model.update(k, value, case)
+        total, right2 = model.counts.total[:k].copy(), model.c2 == value
+        two, rest = np.flatnonzero(right2), np.flatnonzero(~right2)
+        right1 = model.c1[rest] == value[rest]
+        one, none = rest[right1], rest[~right1]
+        start, width = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        width[two], width[one], start[one] = model.w2[two] * total[two], model.w1[one] * total[one], model.w2[one] * total[one]
+        before, count = model.counts.seen(none, value[none])
+        w = model.w0[none]
+        start[none], width[none] = (model.all[none] - w) * total[none] + before * w, count * w
+        coder.narrow(k, coder.span[:k] // (model.all * total).view(_U), start, width)
+        out = coder.settled(model.lane[:k])
+        while len(out):
+            words[out, used[out]] = (coder.low[out] >> _U(48)).astype(np.uint16)
+            used[out] += 1
+            coder.shift(out)
+            out = coder.settled(out)
+        model.update(k, value, two, one, none)
     for _ in range(4):
-        words[model.lane, used] = (low >> _U(48)).astype(np.uint16)
+        words[model.lane, used] = (coder.low >> _U(48)).astype(np.uint16)
         used += 1
-        low <<= _WORD
+        coder.low <<= _WORD
     out = []
     for i in range(lanes):
         part = ids[i * block : (i + 1) * block].astype("<u4")
@@ -125,56 +218,51 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, n
     return out
 
 
-def decode_blocks(blocks: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-    """The ids of blocks in order (all but the last of equal length); ValueError where a checksum does not fit."""
+def decode_blocks(blocks: list[tuple[int, int, np.ndarray]], bound: int = _SCALE) -> np.ndarray:
+    """The ids of blocks in order (all but the last of equal length) that were coded with ``bound``; ValueError where a
+    checksum does not fit."""
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, np.int64)
     lengths = [b[0] for b in blocks]
     block, last = max(lengths), lengths[-1]
-    model = _Model(lanes)
+    model, coder = _Model(lanes, bound), _Coder(lanes)
     words = np.zeros((lanes, max(len(b[2]) for b in blocks) + 8), np.uint16)
     for i, b in enumerate(blocks):
         words[i, : len(b[2])] = b[2]
-    used = np.full(lanes, 4)
-    code = np.zeros(lanes, _U)
+    used, code = np.full(lanes, 4), np.zeros(lanes, _U)
     for j in range(4):
         code = (code << _WORD) | words[:, j]
-    low, span = np.zeros(lanes, _U), np.full(lanes, _U(0xFFFFFFFFFFFFFFFF))
     grid = np.zeros((block, lanes), np.int64)
     for t in range(block):
         k = lanes if t < last else lanes - 1
         if not k:
             break
         model.predict(k)
-        rows, cum = model.lane[:k], model.freq.cumsum(axis=1)
-        unit = span[:k] // (cum[:, 3] * _SCALE).astype(_U)
-        at = np.minimum((code[:k] - low[:k]) // unit, (cum[:, 3] * _SCALE - 1).astype(_U)).astype(np.int64)
-        high = at >> 16
-        case = (high >= cum[:, 0]).astype(np.int64) + (high >= cum[:, 1]) + (high >= cum[:, 2])
-        f = model.freq[rows, case]
-        width = f * (_SCALE // _SPREAD[case])
-        base = (cum[rows, case] - f) * _SCALE
-        inner = np.where(case >= 2, (at - base) // width, 0)
-        value = np.where(case == 0, model.c2, np.where(case == 1, model.c1, np.where(case == 2, model.table[rows * _SLOTS + (inner & (_SLOTS - 1))], inner))).astype(np.int64)
-        low[:k] += (base + inner * width).astype(_U) * unit
-        span[:k] = width.astype(_U) * unit
-        while True:
-            a, r = low[:k], span[:k]
-            same = (a ^ (a + r)) < _TOP
-            tight = ~same & (r < _TOP)
-            if tight.any():
-                r[tight] = (_U(0) - a[tight]) & (_TOP - _U(1))
-                same |= tight
-            w = np.flatnonzero(same)
-            if not len(w):
-                break
-            code[w] = (code[w] << _WORD) | words[w, np.minimum(used[w], words.shape[1] - 1)]
-            used[w] += 1
-            low[w] <<= _WORD
-            span[w] <<= _WORD
+        total = model.counts.total[:k].copy()
+        most = model.all * total
+        unit = coder.span[:k] // most.view(_U)
+        at = np.minimum((code[:k] - coder.low[:k]) // unit, (most - 1).view(_U)).view(np.int64)
+        right2 = at < model.w2 * total
+        two, rest = np.flatnonzero(right2), np.flatnonzero(~right2)
+        right1 = at[rest] < (model.w2[rest] + model.w1[rest]) * total[rest]
+        one, none = rest[right1], rest[~right1]
+        value, start, width = np.empty(k, np.int64), np.zeros(k, np.int64), np.zeros(k, np.int64)
+        value[two], value[one] = model.c2[two], model.c1[one]
+        width[two], width[one], start[one] = model.w2[two] * total[two], model.w1[one] * total[one], model.w2[one] * total[one]
+        w = model.w0[none]
+        base = (model.all[none] - w) * total[none]
+        value[none], before, count = model.counts.find(none, np.minimum((at[none] - base) // w, total[none] - 1))
+        start[none], width[none] = base + before * w, count * w
+        coder.narrow(k, unit, start, width)
+        out = coder.settled(model.lane[:k])
+        while len(out):
+            code[out] = (code[out] << _WORD) | words[out, np.minimum(used[out], words.shape[1] - 1)]
+            used[out] += 1
+            coder.shift(out)
+            out = coder.settled(out)
         grid[t, :k] = value
-        model.update(k, value, case)
+        model.update(k, value, two, one, none)
     out = grid.T.reshape(-1)[: (lanes - 1) * block + last]
     for i, (n, crc, _) in enumerate(blocks):
         if zlib.crc32(out[i * block : i * block + n].astype("<u4").tobytes()) != crc:
@@ -183,8 +271,9 @@ def decode_blocks(blocks: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
 
 
 def write_frame(doc_ids: list[int], lengths: list[int], ids: np.ndarray, before: int) -> bytes:
-    blocks = encode_blocks(ids)
-    head = struct.pack("<QQQQ", len(doc_ids), len(ids), len(blocks), before)
+    bound = bound_of(ids)
+    blocks = encode_blocks(ids, bound=bound)
+    head = struct.pack("<QQQQQ", len(doc_ids), len(ids), len(blocks), before, bound)
     table = b"".join(struct.pack("<III", n, crc, len(w)) for n, crc, w in blocks)
     return MAGIC + head + np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u8").tobytes() + table + b"".join(w.astype("<u2").tobytes() for *_, w in blocks)
 
@@ -193,8 +282,10 @@ def read_frame(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(document ids, lengths, ids, ids before the frame) of a frame; ValueError where it is damaged."""
     if data[:4] != MAGIC:
         raise ValueError("not a frame of token ids")
-    docs, n, blocks, before = struct.unpack_from("<QQQQ", data, 4)
-    at = 36
+    docs, n, blocks, before, bound = struct.unpack_from("<QQQQQ", data, 4)
+    at = 44
+    if not 0 < bound <= _SCALE or bound % 4096 or at + 16 * docs + 12 * blocks > len(data):
+        raise ValueError("a damaged frame of token ids")
     doc_ids, lengths = np.frombuffer(data, "<i8", docs, at), np.frombuffer(data, "<u8", docs, at + 8 * docs)
     at += 16 * docs
     table = [struct.unpack_from("<III", data, at + 12 * k) for k in range(blocks)]
@@ -203,7 +294,7 @@ def read_frame(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     for count, crc, size in table:
         parts.append((count, crc, np.frombuffer(data, "<u2", size, at)))
         at += 2 * size
-    ids = decode_blocks(parts)
+    ids = decode_blocks(parts, bound)
     if len(ids) != n or int(lengths.sum()) != n:
         raise ValueError("a frame's counts do not fit")
     return doc_ids, lengths, ids, before
@@ -218,8 +309,10 @@ def narrowed(ids: np.ndarray) -> bytes:
 
 def write_files(docs: DataFrame, tokenizer: str, end: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The written table (part, frame, n_ids, data): each document's ids and ``end``, in ascending id order, in frames of
-    about ``BLOCK * LANES`` ids. A document lies in one frame. Null and empty texts are the end id alone; null document
-    ids come first, written as the lowest integer; repeated rows are written each; an empty table gives no frames."""
+    about ``BLOCK * LANES`` ids. A document lies in one frame, a very long one in a frame of its size. Null and empty texts
+    are the end id alone; null document ids come first, written as the lowest integer; repeated rows are written each;
+    other columns of ``docs`` are not read, whatever their names; an id of 65536 or more is an error; an empty table gives
+    no frames."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +348,10 @@ def write_files(docs: DataFrame, tokenizer: str, end: int = 2, doc_id: str = "do
         if held:
             yield frame()
 
-    parts = parts_for(docs)
-    dealt = parts_by_id(rows, "id", parts).select("part", "key", "text").mapInArrow(tokenise, "part int, key long, ids binary")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "key")
-    return materialise(dealt.mapInArrow(frames, "part int, frame int, n_ids long, data binary"), "token-files")
+    placed, parts = parts_by_id(rows, "id", parts_for(docs), "text")
+    dealt = placed.select("part", "key", "text").mapInArrow(tokenise, "part int, key long, ids binary")
+    dealt = dealt_by(dealt, parts).sortWithinPartitions("part", "key")
+    return materialise(dealt.mapInArrow(frames, "part int, frame int, n_ids long, data binary"), "token-files", TEXTS)
 
 
 def read_files(files: DataFrame) -> DataFrame:
