@@ -27,7 +27,7 @@ from .common import small_batches, words_of
 WIDTH = 5
 _U = np.uint64
 _EDGES = string.punctuation.encode()
-_CURLY = str.maketrans("\u2018\u2019\u201c\u201d", "''\"\"")
+_CURLY = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'}
 
 # License notices by SPDX identifier.
 TEMPLATES = {
@@ -140,7 +140,8 @@ view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0
 def bare_words(text: str | None) -> tuple[list[bytes], list[int]]:
     """The words of a text without punctuation at their edges, and the place of each among all its words."""
     if text and not text.isascii():
-        text = text.translate(_CURLY)
+        for curly, plain in _CURLY.items():
+            text = text.replace(curly, plain)
     words = [w.strip(_EDGES) for w in words_of(text)]
     if all(words):
         return words, list(range(len(words)))
@@ -171,21 +172,21 @@ class Bands:
     rows: int = 2
 
     def hashed(self, found: np.ndarray) -> np.ndarray:
-        """One row for each hash function, one column for each shingle."""
+        """One row for each hash function, one column for each shingle: 32 bits, as candidates are verified."""
         salts = _mixed(np.arange(1, self.bands * self.rows + 1, dtype=_U) * _U(0xD6E8FEB86659FD93))
-        return (found[None, :] ^ salts[:, None]) * _U(0x9E3779B97F4A7C15)
+        out = found[None, :] ^ salts[:, None]
+        out *= _U(0x9E3779B97F4A7C15)
+        out >>= _U(32)
+        return out.astype(np.uint32)
 
-    def keys(self, minima: np.ndarray) -> np.ndarray:
-        """A key for each band (rows) and window (columns)."""
-        m = minima.reshape(self.bands, self.rows, -1)
-        out = m[:, 0]
-        for k in range(1, self.rows):
-            out = _mixed(out) ^ m[:, k]
-        return out
+    def collide(self, minima: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        """For each window (columns of ``minima``) whether it agrees with a sketch in all rows of a band."""
+        same = minima == sketch[:, None]
+        return same.reshape(self.bands, self.rows, -1).all(axis=1).any(axis=0)
 
 
 class Scanner:
-    """Templates by length, with the band keys of their sketches."""
+    """Templates by length, with their sketches."""
 
     def __init__(self, templates: dict[str, str], bands: Bands = Bands(), least: float = 0.8):
         self.bands, self.least = bands, least
@@ -194,8 +195,7 @@ class Scanner:
             found = shingles(bare_words(templates[name])[0])
             if not len(found):
                 raise ValueError(f"{name}: a template needs {WIDTH} words")
-            key = bands.keys(bands.hashed(found).min(axis=1, keepdims=True))[:, 0]
-            self.by_length.setdefault(len(found), []).append((name, np.unique(found), key))
+            self.by_length.setdefault(len(found), []).append((name, np.unique(found), bands.hashed(found).min(axis=1)))
 
     def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, end word, containment) of each match; of overlapping ones of a template the best."""
@@ -217,10 +217,13 @@ class Scanner:
             starts = np.arange(0, last + 1, step)
             if starts[-1] != last:
                 starts = np.append(starts, last)
-            keys = self.bands.keys(np.minimum(minima[:, starts], minima[:, starts + (size - width)]))
-            for name, wanted, key in self.by_length[length]:
+            if step == 1:
+                windows = minima[:, : last + 1] if size == width else np.minimum(minima[:, : last + 1], minima[:, size - width :][:, : last + 1])
+            else:
+                windows = np.minimum(minima.take(starts, axis=1), minima.take(starts + (size - width), axis=1))
+            for name, wanted, sketch in self.by_length[length]:
                 best: list[tuple[int, float]] = []
-                for start in starts[(keys == key[:, None]).any(axis=0)]:
+                for start in starts[self.bands.collide(windows, sketch)]:
                     near = range(max(0, start - step + 1), min(last, start + step - 1) + 1)
                     inside, at = max((np.isin(wanted, found[x : x + size]).mean(), -x) for x in near)
                     at = -at
