@@ -75,7 +75,6 @@ def test_library_chunks():
     texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 60))) for _ in range(500)] + ["<|endoftext|> a", "word " * 500]
     for name, build in (("byte_bpe_50k.json", chunks.byte_level), ("word_bpe_49k.json", chunks.word_level)):
         whole = Tokenizer.from_file(public_tokenizers.path(name))
-        whole.encode_special_tokens = True
         for text, got in zip(texts, build(public_tokenizers.path(name)).encode(texts), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
