@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lookup, boosted_trees, jaccard_join, license_scan, packing, ppm, prefix_bpe, quality_rules, range_coder, url_filter
+from . import bloom_lookup, boosted_trees, jaccard_join, license_scan, packing, ppm, prefix_bpe, prefix_trie, quality_rules, range_coder, url_filter
 from .common import crc_of_id
 
 URL_RULES = [
@@ -77,6 +77,12 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang"), keep=["doc_id"]).drop("char_distance", "word_distance")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    return prefix_trie.rollup(*prefix_trie.branched(turns, F.col("conv_id") - F.col("conv_id") % 100, shared)).drop("a", "b")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_score": op1_ppm_score,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_boosted_trees": op8_boosted_trees,
     "op9_count_rtree_join": op9_count_rtree_join,
     "op10_divergence": op10_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -175,4 +182,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(cd <= {limits.char_distance}, true) AND coalesce(wd <= {limits.word_distance} + {limits.word_scatter} / sqrt(n_words), true) AS kept FROM m"""
 
 
-ORACLES: dict[str, str] = {"op5_redirect_equivalence": _url_sql(), "op10_divergence": _rules_sql()}
+def _trie_sql() -> str:
+    """The prefix trie in DuckDB SQL: a node's smallest member leads to all its ancestors, so nothing walks the tree."""
+    step = "list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(acc, b))"
+    crc = f"xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)), lambda acc, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    return f"""WITH t AS (SELECT conv_id, md5(length(r) || ':' || r || x) AS said, length(x) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT h.*, least(h, coalesce(base_n, 0)) AS k FROM h LEFT JOIN (SELECT conv_id AS base, count(*) AS base_n FROM t GROUP BY 1) USING (base)),
+r AS (SELECT n.conv_id, pos AS depth, said, chars FROM n JOIN t ON t.conv_id = base AND pos <= h UNION ALL SELECT conv_id, pos - h + k, said, chars FROM n JOIN t USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, depth, chars, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node, depth = max(depth) OVER (PARTITION BY conv_id) AS ended FROM r),
+m AS (SELECT conv_id, depth, chars, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS up, ended FROM p
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL, conv_id NOT IN (SELECT conv_id FROM p) FROM n),
+g AS (SELECT depth, node, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+c AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS saved FROM g LEFT JOIN c USING (node, depth)),
+s AS (SELECT m.depth, m.node, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM v JOIN m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (depth, node) LEFT JOIN v q ON q.node = v.up AND q.depth = v.depth - 1"""
+
+
+ORACLES: dict[str, str] = {"op13_prefix_trie": _trie_sql(), "op5_redirect_equivalence": _url_sql(), "op10_divergence": _rules_sql()}
