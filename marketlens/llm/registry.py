@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lookup, boosted_trees, jaccard_join, license_scan, packing, ppm, prefix_bpe, prefix_trie, quality_rules, range_coder, url_filter
+from . import bloom_lookup, boosted_trees, hard_negatives, jaccard_join, license_scan, packing, ppm, prefix_bpe, prefix_trie, quality_rules, range_coder, url_filter
 from .common import crc_of_id
 
 URL_RULES = [
@@ -77,6 +77,11 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang"), keep=["doc_id"]).drop("char_distance", "word_distance")
 
 
+def op12_pca_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_boosted_trees": op8_boosted_trees,
     "op9_count_rtree_join": op9_count_rtree_join,
     "op10_divergence": op10_divergence,
+    "op12_pca_rotation": op12_pca_rotation,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -202,4 +208,14 @@ SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children,
 FROM v JOIN s USING (depth, node) LEFT JOIN v q ON q.node = v.up AND q.depth = v.depth - 1"""
 
 
-ORACLES: dict[str, str] = {"op13_prefix_trie": _trie_sql(), "op5_redirect_equivalence": _url_sql(), "op10_divergence": _rules_sql()}
+def _negatives_sql() -> str:
+    """Hard negatives in DuckDB SQL: every anchor against all rows. Sums of integers below 2^53 are exact as doubles."""
+    return """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score >= 30 * positive_score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+
+ORACLES: dict[str, str] = {"op12_pca_rotation": _negatives_sql(), "op13_prefix_trie": _trie_sql(), "op5_redirect_equivalence": _url_sql(), "op10_divergence": _rules_sql()}
