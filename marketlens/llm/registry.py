@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lookup, boosted_trees, hard_negatives, jaccard_join, license_scan, packing, ppm, prefix_bpe, prefix_trie, quality_rules, range_coder, url_filter
+from . import bloom_lookup, boosted_trees, hard_negatives, jaccard_join, license_scan, packing, personal_data, ppm, prefix_bpe, prefix_trie, quality_rules, range_coder, url_filter
 from .common import crc_of_id
 
 URL_RULES = [
@@ -77,6 +77,15 @@ def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_docs(spark, sf_dir, "doc_id", "text", "lang"), keep=["doc_id"]).drop("char_distance", "word_distance")
 
 
+def op11_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal_data.scan(_docs(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    named = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(k).alias(f"n_{k}") for k in personal_data.KINDS]
+    return spans.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named("spans").alias("spans"))
+
+
 def op12_pca_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
@@ -99,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_boosted_trees": op8_boosted_trees,
     "op9_count_rtree_join": op9_count_rtree_join,
     "op10_divergence": op10_divergence,
+    "op11_weak_supervision": op11_weak_supervision,
     "op12_pca_rotation": op12_pca_rotation,
     "op13_prefix_trie": op13_prefix_trie,
 }

@@ -68,6 +68,8 @@ def nothing(tmp_path_factory, folder):
     path = tmp_path_factory.mktemp("nothing")
     for name in ("documents", "labels"):
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), f"{path}/{name}.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32())), "label": pa.array([], pa.int32())}), f"{path}/embeddings.parquet")
+    pq.write_table(pa.table({"conv_id": pa.array([], pa.int64()), "turn": pa.array([], pa.int64()), "role": pa.array([], pa.string()), "text": pa.array([], pa.string())}), f"{path}/conversations.parquet")
     pq.write_table(pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "html": pa.array([], pa.string())}), f"{path}/pages.parquet")
     return str(path)
 
