@@ -138,7 +138,7 @@ def flattened_set(c: Column) -> Column:
 
 def unanimous(c: Column) -> Column:
     """The value that every row of the group has; null if one is missing or two differ."""
-    return F.when((F.count(c) == F.count(F.lit(1))) & (F.countDistinct(c) == 1), F.min(c))
+    return F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -92,7 +92,7 @@ def review_metadata(links: DataFrame, orders: DataFrame) -> DataFrame:
     rows = links.join(known, "order_id", "left")
     strict = F.count_if(F.col("is_strict_mono_category")) == F.count(F.lit(1))
     return rows.groupBy("review_id").agg(
-        F.countDistinct("order_id").alias("linked_order_count"),
+        F.size(F.collect_set("order_id")).cast("long").alias("linked_order_count"),
         S.sorted_set(F.col("order_id")).alias("linked_order_ids"),
         F.when(strict, S.unanimous(F.col("order_category"))).alias("product_category"),
         S.unanimous(F.col("customer_state")).alias("customer_state"),
@@ -104,3 +104,31 @@ def review_metadata(links: DataFrame, orders: DataFrame) -> DataFrame:
 
 def reviews_enriched(reviews: DataFrame, links: DataFrame, orders: DataFrame) -> DataFrame:
     return canonical_reviews(reviews, links).join(review_metadata(links, orders), "review_id", "left")
+
+
+def order_facts(lines: DataFrame, customers: DataFrame) -> DataFrame:
+    """One row an order with what KPIs need (order_id, order_status, order_category, customer_state, order_value, is_late,
+    delivery_delay_days, purchase_date, purchase_year, purchase_month), from orders beside their lines: one aggregation on the
+    key of the join. Of categories only whether all lines have one and the same matters, so no set is built."""
+    c, n = F.col("product_category"), F.count("is_line")
+    mono = (n > 0) & (F.count(c) == n) & (F.min(c) == F.max(c))
+    facts = lines.groupBy("order_id", "customer_id", "order_status", "purchase_ts").agg(
+        F.when(mono, F.min(c)).alias("order_category"), F.coalesce(mono, F.lit(False)).alias("is_strict_mono_category"),
+        (F.sum("price").cast(MONEY) + F.sum("freight").cast(MONEY)).cast(MONEY).alias("order_value"), F.max("shipped").alias("shipped"),
+    )
+    dated = facts.withColumns({
+        "purchase_ts": F.col("purchase_ts").cast("timestamp"), "estimated_ts": (F.col("purchase_ts") + F.expr("interval 60 days")).cast("timestamp"),
+        "delivered_ts": F.when(F.col("order_status") != "o", F.col("shipped")).cast("timestamp"),
+    })
+    return with_delivery(dated).join(customers.select("customer_id", "customer_state"), "customer_id", "left").drop("customer_id", "shipped")
+
+
+def review_facts(scored_links: DataFrame, facts: DataFrame) -> DataFrame:
+    """(review_id, review_score, product_category, customer_state, purchase_year, purchase_month) of reviews from their links:
+    what all linked orders agree on. An order that ``facts`` doesn't have agrees with none."""
+    known = facts.select("order_id", "order_category", "is_strict_mono_category", "customer_state", "purchase_year", "purchase_month")
+    strict = F.count_if(F.col("is_strict_mono_category")) == F.count(F.lit(1))
+    return scored_links.join(known, "order_id", "left").groupBy("review_id").agg(
+        F.max("review_score").alias("review_score"), F.when(strict, S.unanimous(F.col("order_category"))).alias("product_category"),
+        *[S.unanimous(F.col(c)).alias(c) for c in ("customer_state", "purchase_year", "purchase_month")],
+    )

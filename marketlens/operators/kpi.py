@@ -108,33 +108,68 @@ def status_distribution(orders: DataFrame) -> DataFrame:
     return n.withColumn("share", S.rate(F.col("order_count"), F.sum("order_count").over(Window.partitionBy())))
 
 
+#: Sums that merge: of reviews, and of orders.
+REVIEW_SUMS = ("review_count", "rating_sum", "negative_count", "score_1_count", "score_2_count")
+ORDER_SUMS = ("order_count", "order_value_count", "order_value_sum", "delivery_eligible_count", "late_count", "delay_sum")
+
+
+def review_sums(reviews: DataFrame, *by: str | Column) -> DataFrame:
+    score = F.col("review_score")
+    return reviews.groupBy(*by).agg(
+        F.count(score).alias("review_count"), F.sum(score).cast("long").alias("rating_sum"), F.count_if(score <= 2).alias("negative_count"), F.count_if(score == 1).alias("score_1_count"), F.count_if(score == 2).alias("score_2_count")
+    )
+
+
+def order_sums(orders: DataFrame, *by: str | Column) -> DataFrame:
+    """Of a table with one row an order."""
+    late = F.col("is_late")
+    return orders.groupBy(*by).agg(
+        F.count("order_id").alias("order_count"), F.count("order_value").alias("order_value_count"), F.sum("order_value").cast("decimal(18,2)").alias("order_value_sum"), F.count(late).alias("delivery_eligible_count"),
+        F.count_if(late).alias("late_count"), F.sum(F.when(late, F.col("delivery_delay_days").cast("decimal(18,3)"))).cast("decimal(18,3)").alias("delay_sum"),
+    )
+
+
+def report(sums: DataFrame, *by: str) -> DataFrame:
+    """(by, metric, value, baseline, change, numerator, denominator, baseline_numerator, baseline_denominator) from rows of
+    REVIEW_SUMS and ORDER_SUMS with a ``window`` (current, baseline or null), which may still be parts: one aggregation and one
+    explode, and a report also where nothing was summed."""
+    windows = ("current", "baseline")
+    found = sums.groupBy(*by).agg(*[F.sum(F.when(F.col("window") == w, F.col(c))).alias(f"{w}_{c}") for w in windows for c in (*REVIEW_SUMS, *ORDER_SUMS)])
+
+    def sides(w: str) -> dict[str, tuple[Column, Column, Column]]:
+        """Each metric's value, numerator and denominator."""
+        n = lambda c: F.coalesce(F.col(f"{w}_{c}"), F.lit(0))
+        none, total = F.lit(None).cast("double"), lambda c: F.col(f"{w}_{c}")
+        share = lambda a, b: (S.rate(n(a), n(b)), n(a), n(b))
+        return {
+            "average_rating": (S.rate(total("rating_sum"), n("review_count")), none, n("review_count")),
+            "negative_rate": share("negative_count", "review_count"),
+            "score_1_share": share("score_1_count", "review_count"),
+            "score_2_share": share("score_2_count", "review_count"),
+            "late_rate": share("late_count", "delivery_eligible_count"),
+            "average_delay_days": (S.exact_mean(total("delay_sum"), n("late_count"), "decimal(18,3)"), none, n("late_count")),
+            "order_volume": (n("order_count"), n("order_count"), n("order_count")),
+            "average_order_value": (S.exact_mean(total("order_value_sum"), n("order_value_count")), none, n("order_value_count")),
+        }
+
+    now, then = sides("current"), sides("baseline")
+    none, rows = F.lit(None).cast("double"), []
+    names = ("metric", "value", "baseline", "change", "numerator", "denominator", "baseline_numerator", "baseline_denominator")
+    row = lambda name, *values: F.struct(F.lit(name).alias("metric"), *[v.cast("double").alias(c) for c, v in zip(names[1:], values, strict=True)])
+    for name, (v, a, b) in now.items():
+        w, c, d = then[name]
+        rows.append(row(name, v, w, none if name == "order_volume" else v.cast("double") - w.cast("double"), a, b, c, d))
+    v, w = now["average_rating"][0], then["average_rating"][0]
+    rows.append(row("rating_variation", v - w, *[none] * 6))
+    return found.select(*by, F.explode(F.array(*rows)).alias("m")).select(*by, *[F.col(f"m.{c}").alias(c) for c in names])
+
+
 def analyze(orders: DataFrame, reviews: DataFrame, filters: Filters) -> DataFrame:
     """(metric, value, baseline, change, numerator, denominator, baseline_numerator, baseline_denominator), one row per
     metric. rating_variation is the change of the average rating, null without a baseline. The order volume has no change:
-    the windows can cover different numbers of months."""
-    r, o = review_summary(_tagged(reviews, filters, "reviews"), "window"), order_summary(_tagged(orders, filters, "orders"), "window")
-    empty = r.sparkSession.createDataFrame([("current",), ("baseline",)], "window string")
-    one = empty.join(F.broadcast(r), "window", "left").join(F.broadcast(o), "window", "left").fillna(0, ["review_count", "negative_count", "score_1_count", "score_2_count", "order_count", "order_value_count", "delivery_eligible_count", "late_count"])
-    metrics = [
-        ("average_rating", F.col("average_rating"), F.lit(None).cast("double"), F.col("review_count")),
-        ("negative_rate", S.rate(F.col("negative_count"), F.col("review_count")), F.col("negative_count"), F.col("review_count")),
-        ("score_1_share", S.rate(F.col("score_1_count"), F.col("review_count")), F.col("score_1_count"), F.col("review_count")),
-        ("score_2_share", S.rate(F.col("score_2_count"), F.col("review_count")), F.col("score_2_count"), F.col("review_count")),
-        ("late_rate", F.col("late_rate"), F.col("late_count"), F.col("delivery_eligible_count")),
-        ("average_delay_days", F.col("average_delay_days"), F.lit(None).cast("double"), F.col("late_count")),
-        ("order_volume", F.col("order_count").cast("double"), F.col("order_count"), F.col("order_count")),
-        ("average_order_value", F.col("average_order_value"), F.lit(None).cast("double"), F.col("order_value_count")),
-    ]
-    structs = [F.struct(F.lit(n).alias("metric"), v.cast("double").alias("v"), a.cast("double").alias("numerator"), b.cast("double").alias("denominator")) for n, v, a, b in metrics]
-    long = one.select("window", F.explode(F.array(*structs)).alias("m")).select("window", "m.*")
-    pick = lambda c, w: F.max(F.when(F.col("window") == w, F.col(c)))
-    sides = [pick(c, w).alias(("" if w == "current" else "baseline_") + c) for c in ("numerator", "denominator") for w in ("current", "baseline")]
-    out = long.groupBy("metric").agg(pick("v", "current").alias("value"), pick("v", "baseline").alias("baseline"), *sides)
-    change = F.when(F.col("metric") != "order_volume", F.col("value") - F.col("baseline"))
-    out = out.select("metric", "value", "baseline", change.alias("change"), "numerator", "denominator", "baseline_numerator", "baseline_denominator")
-    none = F.lit(None).cast("double")
-    moved = out.where("metric = 'average_rating'").select(F.lit("rating_variation").alias("metric"), F.col("change").alias("value"), *[none.alias(c) for c in out.columns[2:]])
-    return out.unionByName(moved)
+    the windows can cover different numbers of months. ``orders`` has one row an order."""
+    r, o = review_sums(_tagged(reviews, filters, "reviews"), "window"), order_sums(_tagged(orders, filters, "orders"), "window")
+    return report(r.unionByName(o, allowMissingColumns=True))
 
 
 def status_comparison(orders: DataFrame, filters: Filters) -> DataFrame:

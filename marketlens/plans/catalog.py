@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from marketlens.functions import scalar as S
 from marketlens.functions import theme_rules as R
 from marketlens.operators import documents as D
-from marketlens.operators import eda, enrich, index, kpi, quality, retrieval, sampling, scaling, themes
+from marketlens.operators import cube, eda, enrich, index, ivf, kpi, quality, retrieval, sampling, scaling, themes
 from marketlens.operators import evaluation as E
-from marketlens.session import table
+from marketlens.session import table, written
 from marketlens.sources import domain as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,14 +54,6 @@ def synthetic_themes(s: SparkSession, d: str) -> DataFrame:
     return themes.classify(enrich.canonical_reviews(V.reviews(s, d), V.links(s, d)), rules=R.RULES_SYNTHETIC)
 
 
-def span_keys(s: SparkSession, d: str, filters: kpi.Filters) -> DataFrame:
-    """(order_id) of the orders of the period and of its baseline, by dates that reach the scan."""
-    first, last = (kpi.baseline(filters) or filters).start_month, filters.validated().end_month
-    date = F.col("o_orderdate")
-    inside = (date >= F.lit(f"{first}-01").cast("timestamp_ntz")) & (date < F.lit(f"{kpi.shift_month(last, 1)}-01").cast("timestamp_ntz"))
-    return table(s, d, "orders").where(inside).select(F.col("o_orderkey").alias("order_id"))
-
-
 def text_list(c: str) -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
@@ -156,35 +148,86 @@ def kpi_reviews_overall(s, d):
     return kpi.review_summary(enriched_reviews(s, d))
 
 
+def _report_sql(base: str, by: str = "") -> str:
+    """The report from the sums r and o of each row of ``base`` (``by`` and window_)."""
+    keys = f"{by}, window_" if by else "window_"
+    g, joined = (f"{by}, " if by else ""), f"USING ({keys})"
+    lines = [("average_rating", "rating", "NULL::DOUBLE", "n"), ("negative_rate", "neg::DOUBLE / nullif(n, 0)", "neg", "n"), ("score_1_share", "s1::DOUBLE / nullif(n, 0)", "s1", "n"), ("score_2_share", "s2::DOUBLE / nullif(n, 0)", "s2", "n"), ("late_rate", "late_rate", "late_count", "eligible"), ("average_delay_days", "average_delay_days", "NULL::DOUBLE", "late_count"), ("order_volume", "order_count::DOUBLE", "order_count", "order_count"), ("average_order_value", "average_order_value", "NULL::DOUBLE", "order_value_count")]
+    long = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, {v} AS v, ({x})::DOUBLE AS a, ({y})::DOUBLE AS b FROM one" for m, v, x, y in lines)
+    return f"""
+, one AS (SELECT {keys}, coalesce(n, 0) AS n, rating, coalesce(neg, 0) AS neg, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(order_count, 0) AS order_count,
+  coalesce(order_value_count, 0) AS order_value_count, average_order_value, coalesce(delivery_eligible_count, 0) AS eligible, coalesce(late_count, 0) AS late_count, late_rate, average_delay_days
+  FROM {base} LEFT JOIN r {joined} LEFT JOIN o {joined}), long AS ({long})
+, k AS (SELECT {g}metric, max(v) FILTER (window_ = 'current') AS "value", max(v) FILTER (window_ = 'baseline') AS baseline,
+  CASE WHEN metric <> 'order_volume' THEN max(v) FILTER (window_ = 'current') - max(v) FILTER (window_ = 'baseline') END AS change, max(a) FILTER (window_ = 'current') AS numerator, max(b) FILTER (window_ = 'current') AS denominator,
+  max(a) FILTER (window_ = 'baseline') AS baseline_numerator, max(b) FILTER (window_ = 'baseline') AS baseline_denominator FROM long GROUP BY {g}metric)
+SELECT * FROM k UNION ALL SELECT {g}'rating_variation', change, NULL, NULL, NULL, NULL, NULL, NULL FROM k WHERE metric = 'average_rating'"""
+
+
+_REVIEW_KPI = "count(review_score) AS n, CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS rating, count(*) FILTER (review_score <= 2) AS neg, count(*) FILTER (review_score = 1) AS s1, count(*) FILTER (review_score = 2) AS s2"
 _PERIOD_SQL = f"""
 , wr AS (SELECT CASE WHEN purchase_year * 12 + purchase_month BETWEEN 1995*12+6 AND 1995*12+8 THEN 'current' ELSE 'baseline' END AS window_, * FROM e_reviews
   WHERE purchase_year * 12 + purchase_month BETWEEN 1995*12+3 AND 1995*12+8),
 wo AS (SELECT CASE WHEN purchase_date >= DATE '1995-06-01' THEN 'current' ELSE 'baseline' END AS window_, * FROM e_orders WHERE purchase_date >= DATE '1995-03-01' AND purchase_date < DATE '1995-09-01'),
-r AS (SELECT window_, count(review_score) AS n, CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS rating, count(*) FILTER (review_score <= 2) AS neg,
-  count(*) FILTER (review_score = 1) AS s1, count(*) FILTER (review_score = 2) AS s2 FROM wr GROUP BY 1),
-o AS (SELECT window_, {_ORDER_KPI} FROM wo GROUP BY 1),
-one AS (SELECT w.window_, coalesce(n, 0) AS n, rating, coalesce(neg, 0) AS neg, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(order_count, 0) AS order_count,
-  coalesce(order_value_count, 0) AS order_value_count, average_order_value, coalesce(delivery_eligible_count, 0) AS eligible, coalesce(late_count, 0) AS late_count, late_rate, average_delay_days
-  FROM (VALUES ('current'), ('baseline')) w(window_) LEFT JOIN r USING (window_) LEFT JOIN o USING (window_)),
-long AS (
-  SELECT window_, 'average_rating' AS metric, rating AS v, NULL::DOUBLE AS a, n::DOUBLE AS b FROM one
-  UNION ALL SELECT window_, 'negative_rate', neg::DOUBLE / nullif(n, 0), neg, n FROM one
-  UNION ALL SELECT window_, 'score_1_share', s1::DOUBLE / nullif(n, 0), s1, n FROM one
-  UNION ALL SELECT window_, 'score_2_share', s2::DOUBLE / nullif(n, 0), s2, n FROM one
-  UNION ALL SELECT window_, 'late_rate', late_rate, late_count, eligible FROM one
-  UNION ALL SELECT window_, 'average_delay_days', average_delay_days, NULL, late_count FROM one
-  UNION ALL SELECT window_, 'order_volume', order_count, order_count, order_count FROM one
-  UNION ALL SELECT window_, 'average_order_value', average_order_value, NULL, order_value_count FROM one)
-, k AS (SELECT metric, max(v) FILTER (window_ = 'current') AS "value", max(v) FILTER (window_ = 'baseline') AS baseline,
-  CASE WHEN metric <> 'order_volume' THEN max(v) FILTER (window_ = 'current') - max(v) FILTER (window_ = 'baseline') END AS change, max(a) FILTER (window_ = 'current') AS numerator, max(b) FILTER (window_ = 'current') AS denominator,
-  max(a) FILTER (window_ = 'baseline') AS baseline_numerator, max(b) FILTER (window_ = 'baseline') AS baseline_denominator FROM long GROUP BY metric)
-SELECT * FROM k UNION ALL SELECT 'rating_variation', change, NULL, NULL, NULL, NULL, NULL, NULL FROM k WHERE metric = 'average_rating'"""
+r AS (SELECT window_, {_REVIEW_KPI} FROM wr GROUP BY 1), o AS (SELECT window_, {_ORDER_KPI} FROM wo GROUP BY 1)
+""" + _report_sql("(VALUES ('current'), ('baseline')) w(window_)")
+
+
+def order_facts(s: SparkSession, d: str, filters: kpi.Filters | None = None) -> DataFrame:
+    """What KPIs need of each order, of a period and its baseline where given: written once, as orders and reviews both
+    read it."""
+    where = None
+    if filters:
+        first, last = (kpi.baseline(filters) or filters).start_month, filters.validated().end_month
+        date = F.col("o_orderdate")
+        where = (date >= F.lit(f"{first}-01").cast("timestamp_ntz")) & (date < F.lit(f"{kpi.shift_month(last, 1)}-01").cast("timestamp_ntz"))
+    return written(enrich.order_facts(V.order_lines(s, d, where), V.customers(s, d)), "order-facts")
 
 
 @query("kpi_period_vs_baseline", _PERIOD_SQL)
 def kpi_period_vs_baseline(s, d):
-    keys = span_keys(s, d, PERIOD)
-    return kpi.analyze(enriched_orders(s, d, keys), enriched_reviews(s, d, keys), PERIOD)
+    facts = order_facts(s, d, PERIOD)
+    return kpi.analyze(facts, enrich.review_facts(V.scored_links(s, d), facts), PERIOD)
+
+
+def kpi_filters(s: SparkSession, d: str) -> DataFrame:
+    """Four filters for each nation: the state, the state and three months, a category and a month, both and some years."""
+    n = table(s, d, "nation").join(table(s, d, "part").select((F.col("p_partkey") - 1).cast("int").alias("n_nationkey"), F.lower("p_type").alias("category")), "n_nationkey", "left")
+    month = lambda first, by: F.date_format(F.add_months(F.lit(first).cast("date"), F.col("n_nationkey") + by), "yyyy-MM")
+    none, state = F.lit(None).cast("string"), F.lower("n_name")
+    kinds = [(none, state, none, none), (none, state, month("1995-01-01", 0), month("1995-01-01", 2)), (F.col("category"), none, month("1996-01-01", 0), none), (F.col("category"), state, F.lit("1995-06"), F.lit("1999-12"))]
+    names = ("category", "state", "start_month", "end_month")
+    rows = F.array(*[F.struct((F.col("n_nationkey") * 4 + j).alias("filter_id"), *[v.alias(c) for c, v in zip(names, kind, strict=True)]) for j, kind in enumerate(kinds)])
+    return n.select(F.explode(rows).alias("f")).select("f.*")
+
+
+def kpi_cube(s: SparkSession, d: str) -> cube.Cube:
+    facts = order_facts(s, d)
+    return cube.build(facts, enrich.review_facts(V.scored_links(s, d), facts))
+
+
+_CUBE_SQL = f"""
+, n AS (SELECT n_nationkey AS nk, n_name AS state, lower(p_type) AS category FROM nation LEFT JOIN part ON p_partkey = n_nationkey + 1),
+f AS (SELECT nk * 4 AS filter_id, NULL AS category, state, NULL::INTEGER AS lo, NULL::INTEGER AS hi FROM n UNION ALL SELECT nk * 4 + 1, NULL, state, 1995 * 12 + 1 + nk, 1995 * 12 + 3 + nk FROM n
+  UNION ALL SELECT nk * 4 + 2, category, NULL, 1996 * 12 + 1 + nk, 1996 * 12 + 1 + nk FROM n UNION ALL SELECT nk * 4 + 3, category, state, 1995 * 12 + 6, 1999 * 12 + 12 FROM n),
+w AS (SELECT *, 'current' AS window_ FROM f UNION ALL SELECT filter_id, category, state, lo - 3, lo - 1, 'baseline' FROM f WHERE lo IS NOT NULL),
+m AS (SELECT *, purchase_year * 12 + purchase_month AS mon FROM e_reviews), mo AS (SELECT *, year(purchase_date) * 12 + month(purchase_date) AS mon FROM e_orders),
+r AS (SELECT filter_id, window_, {_REVIEW_KPI} FROM w JOIN m ON (w.category IS NULL OR product_category = w.category) AND (w.state IS NULL OR upper(customer_state) = w.state) AND (lo IS NULL OR mon BETWEEN lo AND hi) GROUP BY 1, 2),
+wo AS (SELECT * FROM w JOIN mo ON (w.category IS NULL OR order_category = w.category) AND (w.state IS NULL OR upper(customer_state) = w.state) AND (lo IS NULL OR mon BETWEEN lo AND hi)),
+o AS (SELECT filter_id, window_, {_ORDER_KPI} FROM wo GROUP BY 1, 2)
+"""
+
+
+@query("kpi_cube_report", _CUBE_SQL + _report_sql("(SELECT filter_id, window_ FROM f, (VALUES ('current'), ('baseline')) v(window_))", "filter_id"))
+def kpi_cube_report(s, d):
+    """The report of 100 filters from one cube."""
+    return cube.answers(kpi_cube(s, d), kpi_filters(s, d))
+
+
+@query("kpi_cube_statuses", _CUBE_SQL + """, t AS (SELECT filter_id, coalesce(order_status, 'unknown') AS status, count(*) FILTER (window_ = 'current') AS c, count(*) FILTER (window_ = 'baseline') AS b FROM wo GROUP BY 1, 2)
+SELECT filter_id, status, nullif(c, 0) AS current_count, CAST(nullif(c, 0) AS DOUBLE) / nullif(sum(c) OVER (PARTITION BY filter_id), 0) AS current_share, nullif(b, 0) AS baseline_count, CAST(nullif(b, 0) AS DOUBLE) / nullif(sum(b) OVER (PARTITION BY filter_id), 0) AS baseline_share FROM t""")
+def kpi_cube_statuses(s, d):
+    return cube.statuses(kpi_cube(s, d), kpi_filters(s, d))
 
 
 @query("kpi_low_rating_share", "SELECT product_category, count(review_score) AS review_count, CAST(count(*) FILTER (review_score <= 2) AS DOUBLE) / nullif(count(review_score), 0) AS low_share FROM e_reviews GROUP BY 1")
@@ -670,6 +713,18 @@ def vector_topk_each(s, d):
     return _results(s, d)
 
 
+@query("ivf_topk_each", _EACH + " SELECT * FROM res", False)
+def ivf_topk_each(s, d):
+    """The exact mode of the inverted-file search: no cell left can hold a nearer vector."""
+    return ivf.search(ivf.build(table(s, d, "embeddings")), _query_set(s, d), 5, exact=True)
+
+
+@query("ivf_filtered_each", _EACH.replace("a.vec_id <> b.vec_id", "a.vec_id <> b.vec_id AND a.label <= 3 AND a.vec_id % 3 = 0") + " SELECT * FROM res", False)
+def ivf_filtered_each(s, d):
+    """The same under a filter that few rows of a cell pass: the search widens until it has enough."""
+    return ivf.search(ivf.build(table(s, d, "embeddings")), _query_set(s, d), 5, (F.col("label") <= 3) & (F.col("vec_id") % 3 == 0), exact=True)
+
+
 @query("retrieve_per_theme", _EACH + """, c AS (SELECT CAST(vec_id AS VARCHAR) AS document_id, query_id AS theme, CAST(query_id // 20 + 1 AS INTEGER) AS theme_rank, similarity FROM res),
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY theme ORDER BY similarity DESC, document_id) AS INTEGER) AS rn FROM c WHERE theme_rank <= 3 QUALIFY rn <= 2)
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY theme_rank, rn) = 1""", False)

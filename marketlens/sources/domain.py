@@ -5,7 +5,7 @@ Each view is a lazy DataFrame; ``PRELUDE`` states the same views for the DuckDB
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.session import table
@@ -98,8 +98,30 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(review_id, order_id): every review has one order, each seventh two."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"))
-    second = d.where(F.col("review_id") % 7 == 0).select("review_id", (F.col("review_id") + 1).alias("order_id"))
-    return d.select("review_id", F.col("review_id").alias("order_id")).unionByName(second)
+    return d.select("review_id", _order_ids(F.col("review_id")))
+
+
+def _order_ids(review_id: Column) -> Column:
+    """A review's orders, a row each: made from its one row, so the documents are scanned once."""
+    return F.explode(F.when(review_id % 7 == 0, F.array(review_id, review_id + 1)).otherwise(F.array(review_id))).alias("order_id")
+
+
+def scored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(review_id, review_score, order_id): each order of a review beside its score, without its text."""
+    return reviews(spark, sf_dir).select("review_id", "review_score", _order_ids(F.col("review_id")))
+
+
+def order_lines(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """Orders (those where a condition on o_orderdate holds) with their lines' category, money and shipping date: the
+    condition reaches the scan, and lines are shuffled once for what items, deliveries and keys would each need."""
+    o = table(spark, sf_dir, "orders")
+    o = (o if where is None else o.where(where)).select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.lower("o_orderstatus").alias("order_status"), F.col("o_orderdate").alias("purchase_ts"))
+    base = F.col("l_extendedprice").cast("decimal(12,2)")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 11 != 0, F.lower("p_type")).alias("product_category"))
+    line = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), "l_partkey", F.col("l_extendedprice").cast(MONEY).alias("price"), (base * F.col("l_tax").cast("decimal(4,2)")).cast(MONEY).alias("freight"), F.col("l_shipdate").alias("shipped"), F.lit(True).alias("is_line")
+    )
+    return o.join(line, "order_id", "left").join(part, "l_partkey", "left")
 
 
 PRELUDE = """
