@@ -10,16 +10,15 @@ from marketlens.functions import theme_rules as R
 from marketlens.operators.themes import rag_eligible
 
 
-def build(reviews: DataFrame, themes: DataFrame) -> DataFrame:
-    """One document per eligible review, with theme set, month number and label, text and content hash."""
-    sets = themes.groupBy("review_id").agg(S.sorted_set(F.col("theme")).alias("themes"))
+def build(reviews: DataFrame) -> DataFrame:
+    """One document per eligible review of ``themes.annotated`` reviews, with theme set, month number and label, text and
+    content hash."""
     text = S.document_text(F.col("title"), F.col("message"))
     index = F.col("purchase_year") * 12 + F.col("purchase_month")
     label = F.when(index.isNotNull(), F.format_string("%04d-%02d", F.col("purchase_year"), F.col("purchase_month")))
-    docs = reviews.where(rag_eligible()).join(sets, "review_id", "left")
-    return docs.select(
+    return reviews.where("rag").select(
         F.concat(F.lit("review_"), F.col("review_id").cast("string")).alias("document_id"), "review_id", "review_score", "product_category", "customer_state", "order_status", "linked_order_count",
-        F.coalesce("themes", F.array().cast("array<string>")).alias("themes"), S.text_source(F.col("title"), F.col("message")).alias("text_source"), index.alias("purchase_month_index"),
+        "themes", S.text_source(F.col("title"), F.col("message")).alias("text_source"), index.alias("purchase_month_index"),
         label.alias("purchase_month"), text.alias("document_text"), F.sha2(text, 256).alias("document_hash"),
     )
 

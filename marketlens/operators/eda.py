@@ -40,11 +40,11 @@ def monthly_reviews(reviews: DataFrame, least: int) -> DataFrame:
     dated = reviews.where(F.col("purchase_year").isNotNull() & F.col("purchase_month").isNotNull())
     m = dated.groupBy(F.make_date("purchase_year", "purchase_month", F.lit(1)).alias("month")).agg(F.sum("review_score").alias("rating_sum"), F.sum(negative()).alias("negative_sum"), *_review_rates())
     m = m.withColumn("is_eligible", F.col("review_count") >= least)
-    w = Window.orderBy("month").rowsBetween(-3, -1)  # one row a month
-    good = m.where("is_eligible").withColumn("baseline_months", F.count(F.lit(1)).over(w))
-    good = good.withColumn("baseline_rating", F.when(F.col("baseline_months") == 3, S.rate(F.sum("rating_sum").over(w), F.sum("review_count").over(w))))
-    good = good.withColumn("rating_variation", F.col("average_rating") - F.col("baseline_rating"))
-    return good.unionByName(m.where("not is_eligible"), allowMissingColumns=True)
+    w = Window.partitionBy("is_eligible").orderBy("month").rowsBetween(-3, -1)  # one row a month
+    eligible = lambda c: F.when(F.col("is_eligible"), c)
+    m = m.withColumn("baseline_months", eligible(F.count(F.lit(1)).over(w)))
+    m = m.withColumn("baseline_rating", F.when(F.col("baseline_months") == 3, S.rate(F.sum("rating_sum").over(w), F.sum("review_count").over(w))))
+    return m.withColumn("rating_variation", F.col("average_rating") - F.col("baseline_rating"))
 
 
 def monthly_orders(orders: DataFrame) -> DataFrame:

@@ -73,19 +73,25 @@ def orders_enriched(orders: DataFrame, items: DataFrame, payments: DataFrame, cu
     return joined.join(customers, "customer_id", "left").join(place_by_zip(places), "zip", "left")
 
 
-def canonical_reviews(reviews: DataFrame, links: DataFrame) -> DataFrame:
-    """One row for each review of ``links``, with its text and its own language. ``reviews`` has one row a review (or one an
-    order with the same content: the first by order id stays), so texts are joined once and never once per linked order."""
+def canonical_texts(reviews: DataFrame) -> DataFrame:
+    """One row a review, with its text and its own language. ``reviews`` has one row a review (or one an order with the same
+    content: the first by order id stays)."""
     if "order_id" in reviews.columns:
         first = Window.partitionBy("review_id").orderBy("order_id")
         reviews = reviews.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "order_id")
-    kept = links.select("review_id").distinct().join(reviews, "review_id", "left")
     text = S.review_text(F.col("title"), F.col("message"))
-    return kept.withColumns(
+    return reviews.withColumns(
         {"review_text": text, "has_title": S.trimmed(F.col("title")).isNotNull(), "has_message": S.trimmed(F.col("message")).isNotNull(), "text_is_eligible": text.isNotNull(), "review_language": S.review_language(text)}
     )
 
 
+def canonical_reviews(reviews: DataFrame, links: DataFrame) -> DataFrame:
+    """``canonical_texts`` of each review of ``links``: texts are joined once and never once per linked order. A review
+    without a row has no text."""
+    kept = links.select("review_id").distinct().join(canonical_texts(reviews), "review_id", "left")
+    return kept.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_title", "has_message", "text_is_eligible")})
+
+
 def review_metadata(links: DataFrame, orders: DataFrame) -> DataFrame:
     """Order metadata that all linked orders of a review agree on; a category only if all are strictly of one category."""
     known = orders.select("order_id", "order_category", "is_strict_mono_category", "customer_state", "order_status", "purchase_year", "purchase_month")
@@ -103,7 +109,9 @@ def review_metadata(links: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def reviews_enriched(reviews: DataFrame, links: DataFrame, orders: DataFrame) -> DataFrame:
-    return canonical_reviews(reviews, links).join(review_metadata(links, orders), "review_id", "left")
+    """Each linked review's metadata, which has one row a review, with its text."""
+    both = review_metadata(links, orders).join(canonical_texts(reviews), "review_id", "left")
+    return both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_title", "has_message", "text_is_eligible")})
 
 
 def order_facts(lines: DataFrame, customers: DataFrame) -> DataFrame:

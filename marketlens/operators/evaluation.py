@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,19 +99,58 @@ def precision_bounds(results: DataFrame, judged: DataFrame, k: int) -> DataFrame
     return top.groupBy("query_id").agg((F.sum(F.coalesce("rel", F.lit(0))) / k).alias("lower"), (F.sum(F.coalesce("rel", F.lit(1))) / k).alias("upper"), S.rate(F.count("rel"), F.count(F.lit(1))).alias("coverage"))
 
 
-def paired_outcomes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Wins, ties and losses of the first of two (query_id, score) tables, and the mean difference."""
-    d = a.select("query_id", F.col("score").alias("x")).join(b.select("query_id", F.col("score").alias("y")), "query_id").withColumn("d", F.col("x") - F.col("y"))
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, x, y): the scores of two (query_id, score) tables, of the queries of both."""
+    return a.select("query_id", F.col("score").alias("x")).join(b.select("query_id", F.col("score").alias("y")), "query_id")
+
+
+def paired_outcomes(pairs: DataFrame) -> DataFrame:
+    """Wins, ties and losses of the first of two scores (``paired``), and the mean difference."""
+    d = pairs.withColumn("d", F.col("x") - F.col("y"))
     return d.agg(F.count_if(F.expr("d > 0")).alias("wins"), F.count_if(F.expr("d = 0")).alias("ties"), F.count_if(F.expr("d < 0")).alias("losses"), F.avg("d").alias("mean_difference"))
 
 
-def bootstrap_interval(values: list[float], draws: int = 10_000, seed: int = 42) -> tuple[float, float]:
-    """95 % interval of the mean of a short list, to four decimals; (0, 0) for none."""
-    if not values:
-        return 0.0, 0.0
-    rng = random.Random(seed)
-    means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(draws))
-    return round(means[int(draws * 0.025) - 1], 4), round(means[int(draws * 0.975) - 1], 4)
+#: Draws that one hash of (seed, group of draws, query) gives weights for.
+LANES = 4
+
+
+def poisson_limits(most: int = 12) -> list[int]:
+    """32-bit limits of a query's weight in a draw: k where the hash reaches the first k of them. Weights are then Poisson
+    distributed with mean 1, as multinomial ones nearly are."""
+    limits, term, total = [], math.exp(-1), 0.0
+    for k in range(most):
+        total += term
+        limits.append(int(total * 2**32))
+        term /= k + 1
+    return limits
+
+
+def bootstrap(scores: DataFrame, *by: str, draws: int = 10_000, seed: int = 42, query_id: str = "query_id", score: str = "score") -> DataFrame:
+    """(by, queries, mean, low, high): the mean of the scores and its 95 % interval to four decimals.
+
+    Each draw weighs every query by a hash of (seed, draw, query), so a draw needs no order, no random state and no list:
+    executors sum weights and weighted scores for all draws before the shuffle, and ``draws`` means are all that meets in one
+    task, for each group. The work is queries x draws, spread over the queries' partitions. Null scores don't count; draws
+    in which nothing is drawn are left out; a group without scores has an interval of 0 to 0, and no scores give one such row
+    where nothing is grouped. Scores are taken to nine decimals and summed exactly.
+    """
+    rows = scores.select(*by, F.coalesce(F.col(query_id).cast("string"), F.lit("")).alias("_q"), F.col(score).cast("decimal(18,9)").alias("_v"))
+    groups = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // LANES) - 1)))
+    hashed = rows.withColumn("_g", groups).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_g").cast("string"), "_q").cast("binary")))
+    weight = {}
+    for k in range(LANES):
+        u = F.conv(F.substring("_h", 1 + 8 * k, 8), 16, 10).cast("long")
+        weight[f"_w{k}"] = F.when(F.col("_v").isNotNull(), sum((F.when(u >= limit, 1).otherwise(0) for limit in poisson_limits()), F.lit(0)))
+    sums = hashed.select(*by, "_g", "_v", *[w.alias(n) for n, w in weight.items()]).groupBy(*by, "_g").agg(
+        F.count("_v").alias("_n"), F.sum("_v").cast("decimal(38,9)").alias("_t"),
+        *[F.sum(F.col("_v") * F.col(n)).cast("decimal(38,9)").alias(n.replace("w", "s")) for n in weight], *[F.sum(n).alias(n) for n in weight],
+    )
+    mean = lambda k: F.when(F.col("_g") * LANES + k < draws, F.try_divide(F.col(f"_s{k}").cast("double"), F.col(f"_w{k}").cast("double")))
+    means = F.array_compact(F.array(*[mean(k) for k in range(LANES)]))
+    drawn = sums.groupBy(*by).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("queries"), F.max("_t").alias("_t"), F.sort_array(F.flatten(F.collect_list(means))).alias("_m"))
+    at = lambda share: F.round(F.get("_m", F.greatest(F.floor(F.size("_m") * share) - 1, F.lit(0)).cast("int")), 4)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return drawn.select(*by, "queries", zero(F.round(F.try_divide(F.col("_t").cast("double"), F.col("queries").cast("double")), 4)).alias("mean"), zero(at(0.025)).alias("low"), zero(at(0.975)).alias("high"))
 
 
 def overlap_at_k(results: DataFrame, reference: DataFrame, k: int) -> DataFrame:
@@ -172,12 +211,10 @@ def combined_summary(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def paired_interval(a: DataFrame, b: DataFrame, draws: int = 10_000, seed: int = 42) -> tuple[float, float, float]:
-    """Mean difference of two (query_id, score) tables to four decimals, and its 95 % interval; one value a query is
-    collected, in the order of the ids."""
-    d = a.select("query_id", F.col("score").alias("x")).join(b.select("query_id", F.col("score").alias("y")), "query_id")
-    values = [r["d"] for r in d.select("query_id", (F.col("x") - F.col("y")).alias("d")).orderBy("query_id").collect()]
-    return (round(sum(values) / len(values), 4) if values else 0.0, *bootstrap_interval(values, draws, seed))
+def paired_interval(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """(queries, mean_difference, low, high) of pairs of scores (``paired``): ``bootstrap`` of their differences."""
+    differences = pairs.select("query_id", (F.col("x").cast("decimal(18,9)") - F.col("y").cast("decimal(18,9)")).cast("decimal(18,9)").alias("score"))
+    return bootstrap(differences, draws=draws, seed=seed).withColumnRenamed("mean", "mean_difference")
 
 
 def theme_sample_score(sample: DataFrame, annotated: DataFrame) -> DataFrame:

@@ -99,11 +99,13 @@ def workload_b(orders: DataFrame, links: DataFrame, reviews: DataFrame) -> DataF
     return g.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").cast("long").alias("links"), F.sum("scores").cast("long").alias("scores"))
 
 
-def workload_c(orders: DataFrame, links: DataFrame, reviews: DataFrame, themes: DataFrame) -> DataFrame:
-    """Four tables joined with features, five keys, distinct counts, then totals."""
+def workload_c(orders: DataFrame, links: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Orders, links, reviews and their themes (``themes.annotated``) joined with features, five keys, distinct counts, then
+    totals. A review's themes come with it, so no text and no fourth table is joined."""
     bucket = F.when(F.col("is_late"), "late").when(F.col("is_late").isNull(), "unknown").otherwise("on_time")
-    j = links.join(orders.select("order_id", "customer_state", "is_late", "order_category", "purchase_year"), "order_id").join(reviews.select("review_id", "review_score", "text_is_eligible"), "review_id")
-    j = j.join(themes.select("review_id", "theme"), "review_id", "left").withColumns({"bucket": bucket, "signal": (F.col("review_score") <= 2) & F.col("text_is_eligible")})
+    known = reviews.select("review_id", "themes", ((F.col("review_score") <= 2) & F.col("text_is_eligible")).alias("signal"))
+    j = links.join(orders.select("order_id", "customer_state", bucket.alias("bucket"), "order_category", "purchase_year"), "order_id").join(known, "review_id")
+    j = j.select("purchase_year", "customer_state", "order_category", "bucket", F.explode_outer("themes").alias("theme"), "review_id", "order_id", "signal")
     g = j.groupBy("purchase_year", "customer_state", "order_category", "bucket", "theme").agg(F.countDistinct("review_id").alias("r"), F.countDistinct("order_id").alias("o"), F.count_if("signal").alias("s"))
     return g.agg(F.count(F.lit(1)).alias("groups"), F.sum("r").cast("long").alias("reviews"), F.sum("o").cast("long").alias("orders"), F.sum("s").cast("long").alias("signals"))
 

@@ -43,29 +43,47 @@ def classify_negative(reviews: DataFrame, rules: dict[str, str] | None = None) -
     return some.select("review_id", F.explode(theme_array(F.col("review_text"), "rules-pt-v2", rules)).alias("theme")).distinct()
 
 
-def counts(reviews: DataFrame, themes: DataFrame) -> DataFrame:
-    """(theme, mentions): over eligible negative reviews."""
-    return negative_with_text(reviews).select("review_id").join(themes.select("review_id", "theme"), "review_id").groupBy("theme").agg(F.countDistinct("review_id").alias("mentions"))
+def annotated(reviews: DataFrame, version: str = "rules-pt-v3", rules: dict[str, str] | None = None) -> DataFrame:
+    """``reviews`` (one row a review) with ``rag``, whether their text is eligible, and ``themes``, its distinct themes in
+    order (none where it is not): texts are read once, and what follows needs no join to find a review's themes."""
+    rows = reviews.withColumn("rag", F.coalesce(rag_eligible(), F.lit(False)))
+    none = F.array().cast("array<string>")
+    return rows.withColumn("themes", F.when(F.col("rag"), F.array_sort(F.array_distinct(theme_array(F.col("review_text"), version, rules)))).otherwise(none))
+
+
+def with_themes(reviews: DataFrame, themes: DataFrame) -> DataFrame:
+    """``annotated`` from a stored (review_id, theme) table."""
+    sets = themes.groupBy("review_id").agg(S.sorted_set(F.col("theme")).alias("themes"))
+    return reviews.drop("themes").join(sets, "review_id", "left").withColumns({"rag": F.coalesce(rag_eligible(), F.lit(False)), "themes": F.coalesce("themes", F.array().cast("array<string>"))})
 
 
 def negative_with_text(reviews: DataFrame) -> DataFrame:
-    return reviews.where((negative() == 1) & rag_eligible())
+    return reviews.where((negative() == 1) & F.col("rag"))
+
+
+def _mentions(reviews: DataFrame, *by: str) -> DataFrame:
+    """(by, theme, n): negative reviews with text of each theme, and with a null theme all of them: one explode, one sum."""
+    rows = negative_with_text(reviews).dropna(subset=list(by) or None, how="any") if by else negative_with_text(reviews)
+    return rows.select(*by, F.explode(F.array_append("themes", F.lit(None))).alias("theme")).groupBy(*by, "theme").agg(F.count(F.lit(1)).alias("n"))
 
 
-def prevalence(reviews: DataFrame, themes: DataFrame) -> DataFrame:
+def counts(reviews: DataFrame) -> DataFrame:
+    """(theme, mentions) over eligible negative reviews of ``annotated`` reviews."""
+    return _mentions(reviews).where("theme is not null").withColumnRenamed("n", "mentions")
+
+
+def prevalence(reviews: DataFrame) -> DataFrame:
     """(theme, review_count, prevalence) over negative reviews with text."""
-    base = negative_with_text(reviews).select("review_id")
-    total = base.agg(F.count(F.lit(1)).alias("total"))
-    n = base.join(themes.select("review_id", "theme"), "review_id").groupBy("theme").agg(F.countDistinct("review_id").alias("review_count"))
-    return n.crossJoin(F.broadcast(total)).select("theme", "review_count", S.rate(F.col("review_count"), F.col("total")).alias("prevalence"))  # one row
+    total = F.max(F.when(F.col("theme").isNull(), F.col("n"))).over(Window.partitionBy())  # a row a theme
+    n = _mentions(reviews).withColumn("total", total).where("theme is not null")
+    return n.select("theme", F.col("n").alias("review_count"), S.rate(F.col("n"), F.col("total")).alias("prevalence"))
 
 
-def themes_by(reviews: DataFrame, themes: DataFrame, *by: str) -> DataFrame:
+def themes_by(reviews: DataFrame, *by: str) -> DataFrame:
     """Theme shares within groups of negative reviews with text; groups without a known value are left out."""
-    base = negative_with_text(reviews).dropna(subset=list(by)).select("review_id", *by)
-    total = base.groupBy(*by).agg(F.count(F.lit(1)).alias("negative_text_reviews"))
-    n = base.join(themes.select("review_id", "theme"), "review_id").groupBy(*by, "theme").agg(F.countDistinct("review_id").alias("review_count"))
-    return n.join(total, list(by)).withColumn("share", S.rate(F.col("review_count"), F.col("negative_text_reviews")))
+    total = F.max(F.when(F.col("theme").isNull(), F.col("n"))).over(Window.partitionBy(*by))  # a row a theme and group
+    n = _mentions(reviews, *by).withColumn("negative_text_reviews", total).where("theme is not null")
+    return n.select(*by, "theme", F.col("n").alias("review_count"), "negative_text_reviews", S.rate(F.col("n"), F.col("negative_text_reviews")).alias("share"))
 
 
 def population(reviews: DataFrame, *by: str) -> DataFrame:
@@ -77,21 +95,19 @@ def population(reviews: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def evidence(reviews: DataFrame, themes: DataFrame, filters: kpi.Filters, names: tuple[str, ...] = R.THEMES) -> DataFrame:
-    """One row per theme, zero rows included: mentions and rates now and in the baseline months, and the change."""
-    spark = reviews.sparkSession
-    tagged = negative_with_text(kpi._tagged(reviews, filters, "reviews")).select("review_id", "window")
-    hits = tagged.join(themes.select("review_id", "theme"), "review_id").groupBy("theme").agg(
-        F.countDistinct(F.when(F.col("window") == "current", F.col("review_id"))).alias("current_mentions"),
-        F.countDistinct(F.when(F.col("window") == "baseline", F.col("review_id"))).alias("baseline_mentions"),
-    )
-    total = tagged.agg(F.count_if(F.col("window") == "current").alias("c"), F.count_if(F.col("window") == "baseline").alias("b"))
-    every = spark.createDataFrame([(t,) for t in names], "theme string")
-    rows = every.join(hits, "theme", "left").fillna(0, ["current_mentions", "baseline_mentions"]).crossJoin(F.broadcast(total))  # one row
-    now, then = S.rate(F.col("current_mentions"), F.col("c")), S.rate(F.col("baseline_mentions"), F.col("b"))
+def evidence(reviews: DataFrame, filters: kpi.Filters, names: tuple[str, ...] = R.THEMES) -> DataFrame:
+    """One row per theme, zero rows included: mentions and rates now and in the baseline months, and the change, over
+    ``annotated`` reviews: all counts come from one aggregation."""
+    tagged = negative_with_text(kpi._tagged(reviews, filters, "reviews"))
+    inside = {"current": F.col("window") == "current", "baseline": F.col("window") == "baseline"}
+    found = tagged.agg(*[F.count_if(on).alias(w) for w, on in inside.items()], *[F.count_if(on & F.array_contains("themes", t)).alias(f"{w}_{t}") for w, on in inside.items() for t in names])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("theme"), F.col(f"current_{t}").alias("now"), F.col(f"baseline_{t}").alias("then")) for t in names]))
+    rows = found.select("current", "baseline", each.alias("t"))
+    now, then = S.rate(F.col("t.now"), F.col("current")), S.rate(F.col("t.then"), F.col("baseline"))
     return rows.select(
-        "theme", "current_mentions", now.alias("current_rate"), "baseline_mentions", then.alias("baseline_rate"), (now - then).alias("rate_change"), (~F.col("theme").isin(*R.FALLBACK)).alias("is_candidate")
-    )
+        "t.theme", F.col("t.now").alias("current_mentions"), now.alias("current_rate"), F.col("t.then").alias("baseline_mentions"), then.alias("baseline_rate"), (now - then).alias("rate_change"),
+        (~F.col("t.theme").isin(*R.FALLBACK)).alias("is_candidate"),
+    )
 
 
 def ranked(evidence_rows: DataFrame) -> DataFrame:

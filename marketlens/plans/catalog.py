@@ -34,24 +34,27 @@ def query(name: str, sql: str | None = None, prelude: bool = True) -> Callable[[
     return add
 
 
-def enriched_orders(s: SparkSession, d: str, keys: DataFrame | None = None) -> DataFrame:
-    """All orders, or those of ``keys`` (order_id): lines of other orders are dropped before they are aggregated."""
-    return enrich.orders_enriched(V.orders(s, d, keys), V.items(s, d, keys), V.payments(s, d, keys), V.customers(s, d), V.places(s, d))
+def enriched_orders(s: SparkSession, d: str) -> DataFrame:
+    return enrich.orders_enriched(V.orders(s, d), V.items(s, d), V.payments(s, d), V.customers(s, d), V.places(s, d))
 
 
-def enriched_reviews(s: SparkSession, d: str, keys: DataFrame | None = None) -> DataFrame:
-    """All reviews, or those with an order in ``keys``; their metadata is that of all their orders."""
-    links = V.links(s, d)
-    if keys is not None:
-        links = links.join(links.join(keys, "order_id", "left_semi").select("review_id").distinct(), "review_id", "left_semi")
-        keys = links.select("order_id").distinct()
-    orders = enrich.with_delivery(V.orders(s, d, keys)).join(enrich.items_by_order(V.items(s, d, keys)), "order_id", "left").join(V.customers(s, d), "customer_id", "left")
-    return enrich.reviews_enriched(V.reviews(s, d), links, orders)
+def facts(s: SparkSession, d: str) -> DataFrame:
+    """What is asked of orders most often, by one scan of each table."""
+    return enrich.order_facts(V.order_lines(s, d), V.customers(s, d))
+
+
+def enriched_reviews(s: SparkSession, d: str) -> DataFrame:
+    return enrich.reviews_enriched(V.reviews(s, d), V.links(s, d), facts(s, d))
+
+
+def annotated_reviews(s: SparkSession, d: str) -> DataFrame:
+    """Enriched reviews with their themes."""
+    return themes.annotated(enriched_reviews(s, d), rules=R.RULES_SYNTHETIC)
 
 
 def synthetic_themes(s: SparkSession, d: str) -> DataFrame:
     """Themes come from texts alone: no order is read for them."""
-    return themes.classify(enrich.canonical_reviews(V.reviews(s, d), V.links(s, d)), rules=R.RULES_SYNTHETIC)
+    return themes.classify(enrich.canonical_texts(V.reviews(s, d)), rules=R.RULES_SYNTHETIC)
 
 
 def text_list(c: str) -> F.Column:
@@ -139,7 +142,7 @@ _ORDER_KPI = f"""count(DISTINCT order_id) AS order_count, count(order_value) AS
 
 @query("kpi_orders_overall", f"SELECT {_ORDER_KPI} FROM e_orders")
 def kpi_orders_overall(s, d):
-    return kpi.order_summary(enriched_orders(s, d))
+    return kpi.order_summary(facts(s, d))
 
 
 @query("kpi_reviews_overall", """SELECT count(review_score) AS review_count, CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS average_rating,
@@ -510,12 +513,12 @@ def eda_themes(s, d):
 
 @query("theme_counts", f"SELECT theme, count(DISTINCT review_id) AS mentions FROM ({_NEG}) JOIN e_themes USING (review_id) GROUP BY 1")
 def theme_counts(s, d):
-    return themes.counts(enriched_reviews(s, d), synthetic_themes(s, d))
+    return themes.counts(annotated_reviews(s, d))
 
 
 @query("theme_prevalence", f"SELECT theme, count(DISTINCT review_id) AS review_count, CAST(count(DISTINCT review_id) AS DOUBLE) / nullif((SELECT count(*) FROM ({_NEG})), 0) AS prevalence FROM ({_NEG}) JOIN e_themes USING (review_id) GROUP BY 1")
 def theme_prevalence(s, d):
-    return themes.prevalence(enriched_reviews(s, d), synthetic_themes(s, d))
+    return themes.prevalence(annotated_reviews(s, d))
 
 
 def _by_sql(*by: str) -> str:
@@ -526,12 +529,12 @@ def _by_sql(*by: str) -> str:
 
 @query("themes_by_category", _by_sql("product_category"))
 def themes_by_category(s, d):
-    return themes.themes_by(enriched_reviews(s, d), synthetic_themes(s, d), "product_category")
+    return themes.themes_by(annotated_reviews(s, d), "product_category")
 
 
 @query("themes_by_month", _by_sql("purchase_year", "purchase_month"))
 def themes_by_month(s, d):
-    return themes.themes_by(enriched_reviews(s, d), synthetic_themes(s, d), "purchase_year", "purchase_month")
+    return themes.themes_by(annotated_reviews(s, d), "purchase_year", "purchase_month")
 
 
 @query("theme_population", """SELECT count(*) AS total_reviews, count(*) FILTER (rag) AS text_reviews, CAST(sum(negative) AS BIGINT) AS negative_reviews, count(*) FILTER (rag AND negative = 1) AS negative_text_reviews,
@@ -553,7 +556,7 @@ ev AS (SELECT theme, coalesce(c, 0) AS current_mentions, CAST(coalesce(c, 0) AS
 
 @query("theme_evidence", _EVIDENCE + "SELECT * FROM ev")
 def theme_evidence(s, d):
-    return themes.evidence(enriched_reviews(s, d), synthetic_themes(s, d), _LONG_PERIOD)
+    return themes.evidence(annotated_reviews(s, d), _LONG_PERIOD)
 
 
 @query("theme_ranked", _EVIDENCE + "SELECT *, CAST(row_number() OVER (ORDER BY coalesce(rate_change, current_rate) DESC, current_rate DESC, current_mentions DESC, theme) AS INTEGER) AS rank FROM ev WHERE is_candidate AND current_mentions > 0")
@@ -582,7 +585,7 @@ meta AS (SELECT *, sha256(document_text) AS document_hash, sha256(concat_ws('|',
 
 
 def rag_docs(s: SparkSession, d: str) -> DataFrame:
-    return D.with_metadata(D.build(enriched_reviews(s, d), synthetic_themes(s, d)))
+    return D.with_metadata(D.build(annotated_reviews(s, d)))
 
 
 @query("rag_documents", _DOCS + "SELECT document_id, review_score, product_category, customer_state, themes, text_source, purchase_month_index, purchase_month, document_hash FROM meta")
@@ -590,9 +593,9 @@ def rag_documents(s, d):
     return rag_docs(s, d).select("document_id", "review_score", "product_category", "customer_state", F.col("themes_csv").alias("themes"), "text_source", "purchase_month_index", "purchase_month", "document_hash")
 
 
-@query("document_metadata", _DOCS + "SELECT document_id, metadata_hash, contains(',' || themes || ',', ',delivery_delay,') AS theme_delivery_delay FROM meta")
+@query("document_metadata", _DOCS + "SELECT document_id, metadata_hash, " + ", ".join(f"contains(',' || themes || ',', ',{t},') AS theme_{t}" for t in R.THEMES) + " FROM meta")
 def document_metadata(s, d):
-    return rag_docs(s, d).select("document_id", "metadata_hash", "theme_delivery_delay")
+    return rag_docs(s, d).select("document_id", "metadata_hash", *[f"theme_{t}" for t in R.THEMES])
 
 
 @query("document_contract", _DOCS + """, p AS (SELECT count(*) FILTER (review_id % 31 = 0) AS twice, count(*) FILTER (review_id % 29 = 0) AS lost, count(*) FILTER (review_id % 29 = 0 AND review_id % 31 = 0) AS both_,
@@ -699,8 +702,9 @@ def _query_set(s: SparkSession, d: str) -> DataFrame:
     return some.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query"))
 
 
-def _results(s: SparkSession, d: str, k: int = 5) -> DataFrame:
-    return retrieval.top_k_each(table(s, d, "embeddings"), _query_set(s, d), k)
+def _results(s: SparkSession, d: str, k: int = 5, only: F.Column | None = None) -> DataFrame:
+    queries = _query_set(s, d)
+    return retrieval.top_k_each(table(s, d, "embeddings"), queries if only is None else queries.where(only), k)
 
 
 _EACH = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % {QUERY_STEP} = 0),
@@ -730,7 +734,7 @@ t AS (SELECT *, CAST(row_number() OVER (PARTITION BY theme ORDER BY similarity D
 SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY theme_rank, rn) = 1""", False)
 def retrieve_per_theme(s, d):
     place = (F.expr(f"query_id div {QUERY_STEP}") + 1).cast("int")  # of the query among all
-    c = _results(s, d).select(F.col("vec_id").cast("string").alias("document_id"), F.col("query_id").alias("theme"), place.alias("theme_rank"), "similarity")
+    c = _results(s, d, only=place <= 3).select(F.col("vec_id").cast("string").alias("document_id"), F.col("query_id").alias("theme"), place.alias("theme_rank"), "similarity")
     return retrieval.per_theme(c)
 
 
@@ -921,11 +925,29 @@ def reference_overlap(s, d):
     return E.overlap_at_k(runs.where("method = 'reranked'"), runs.where("method = 'semantic'"), 3)
 
 
-@query("paired_difference")
+def _flagged(s: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """(query_id, one, five): the precision of the first hit and of the first five of one search, by a flag of each hit; no
+    hits are joined to a copy of themselves."""
+    hit = F.col("label") == F.col("query_label")
+    return _results(s, d, k).groupBy("query_id").agg((F.count_if(hit & (F.col("rank") <= k)) / k).alias("five"), F.count_if(hit & (F.col("rank") <= 1)).cast("double").alias("one"))
+
+
+def _bootstrap_sql(values: str) -> str:
+    """The bootstrap of ``values`` (query_id, score as DECIMAL(18,9)) by the same draws."""
+    lanes = range(E.LANES)
+    w = ", ".join(" + ".join(f"(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT >= {x})::INTEGER" for x in E.poisson_limits()) + f" AS w{k}" for k in lanes)
+    sums = " UNION ALL ".join(f"SELECT g * {E.LANES} + {k} AS draw, sum(score * w{k}) AS s, sum(w{k}) AS w FROM hw GROUP BY g" for k in lanes)
+    return f""", vals AS ({values}), hh AS (SELECT score, g, md5('42:' || g || ':' || query_id) AS h FROM vals, range({10_000 // E.LANES}) r(g)), hw AS (SELECT score, g, {w} FROM hh),
+  mm AS (SELECT list_sort(list(CAST(s AS DOUBLE) / w)) AS m FROM ({sums}) WHERE w > 0)
+SELECT (SELECT count(*) FROM vals) AS queries, round(CAST((SELECT sum(score) FROM vals) AS DOUBLE) / (SELECT count(*) FROM vals), 4) AS MEAN, round(m[greatest(CAST(floor(len(m) * 0.025) AS INTEGER), 1)], 4) AS low, round(m[greatest(CAST(floor(len(m) * 0.975) AS INTEGER), 1)], 4) AS high FROM mm"""
+
+
+_FLAGS = _EACH + ", fl AS (SELECT query_id, count(*) FILTER (label = query_label) / 5.0::DOUBLE AS five, CAST(count(*) FILTER (label = query_label AND rank <= 1) AS DOUBLE) AS one FROM res GROUP BY 1)"
+
+
+@query("paired_difference", _FLAGS + _bootstrap_sql("SELECT query_id, CAST(CAST(five AS DECIMAL(18,9)) - CAST(one AS DECIMAL(18,9)) AS DECIMAL(18,9)) AS score FROM fl").replace("MEAN", "mean_difference"), False)
 def paired_difference(s, d):
-    r = _results(s, d)
-    five, one = (E.ranking_metrics(_ranked(r), _relevant(r), k, _relevant_counts(s, d)).select("query_id", F.col("precision").alias("score")) for k in (5, 1))
-    return s.createDataFrame([E.paired_interval(five, one)], "mean_difference double, low double, high double")
+    return E.paired_interval(_flagged(s, d).withColumnsRenamed({"five": "x", "one": "y"}))
 
 
 _CASES = """WITH c AS (SELECT event_type AS run, value, event_id % 5 <> 0 AS verification_passed, CASE event_id % 4 WHEN 0 THEN 'validated_fallback' WHEN 1 THEN NULL ELSE 'llm_generated_validated' END AS generation_status,
@@ -965,9 +987,7 @@ def precision_bounds(s, d):
 @query("paired_outcomes", _EACH + _REL + """, p AS (SELECT res.query_id, count(rel.doc_id) FILTER (rank <= 5) / 5.0::DOUBLE AS a, count(rel.doc_id) FILTER (rank <= 1) / 1.0::DOUBLE AS b FROM res LEFT JOIN rel ON rel.query_id = res.query_id AND rel.doc_id = res.vec_id GROUP BY 1)
 SELECT count(*) FILTER (a > b) AS wins, count(*) FILTER (a = b) AS ties, count(*) FILTER (a < b) AS losses, round(avg(a - b), 9) AS mean_difference FROM p""", False)
 def paired_outcomes(s, d):
-    r = _results(s, d)
-    five, one = (E.ranking_metrics(_ranked(r), _relevant(r), k, _relevant_counts(s, d)).select("query_id", F.col("precision").alias("score")) for k in (5, 1))
-    return E.paired_outcomes(five, one).withColumn("mean_difference", F.round("mean_difference", 9))
+    return E.paired_outcomes(_flagged(s, d).withColumnsRenamed({"five": "x", "one": "y"})).withColumn("mean_difference", F.round("mean_difference", 9))
 
 
 @query("dominant_component", "SELECT order_status AS dominant FROM (SELECT order_status, count(*) AS n FROM d_orders GROUP BY 1) ORDER BY n DESC, order_status LIMIT 1")
@@ -1081,19 +1101,19 @@ def logical_input_rows(s, d):
 @query("workload_a", """SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS orders, CAST(CAST(sum(v) AS DECIMAL(18,2)) AS DOUBLE) AS "value", CAST(sum(late) AS BIGINT) AS late FROM
   (SELECT count(*) AS n, CAST(sum(order_value) AS DECIMAL(18,2)) AS v, count(*) FILTER (is_late) AS late FROM e_orders GROUP BY purchase_year, purchase_month, order_category)""")
 def workload_a(s, d):
-    return scaling.workload_a(enriched_orders(s, d))
+    return scaling.workload_a(facts(s, d))
 
 
 @query("workload_b", "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS links, CAST(sum(sc) AS BIGINT) AS scores FROM (SELECT count(*) AS n, sum(review_score) AS sc FROM d_links JOIN e_orders USING (order_id) JOIN d_reviews USING (review_id) GROUP BY customer_state, order_status)")
 def workload_b(s, d):
-    return scaling.workload_b(enriched_orders(s, d), V.links(s, d), V.reviews(s, d))
+    return scaling.workload_b(facts(s, d), V.links(s, d), V.reviews(s, d))
 
 
 @query("workload_c", """SELECT count(*) AS groups, CAST(sum(r) AS BIGINT) AS reviews, CAST(sum(o) AS BIGINT) AS orders, CAST(sum(s) AS BIGINT) AS signals FROM (
   SELECT count(DISTINCT l.review_id) AS r, count(DISTINCT l.order_id) AS o, count(*) FILTER (v.review_score <= 2 AND text_is_eligible) AS s FROM d_links l JOIN e_orders o ON o.order_id = l.order_id JOIN e_reviews v ON v.review_id = l.review_id
   LEFT JOIN e_themes t ON t.review_id = l.review_id GROUP BY o.purchase_year, o.customer_state, order_category, CASE WHEN is_late THEN 'late' WHEN is_late IS NULL THEN 'unknown' ELSE 'on_time' END, theme)""")
 def workload_c(s, d):
-    return scaling.workload_c(enriched_orders(s, d), V.links(s, d), enriched_reviews(s, d), synthetic_themes(s, d))
+    return scaling.workload_c(facts(s, d), V.links(s, d), themes.annotated(enrich.canonical_texts(V.reviews(s, d)), rules=R.RULES_SYNTHETIC))
 
 
 _RUNS = [("A", 1, 2.0, 100), ("A", 1, 4.0, 100), ("A", 5, 5.0, 500), ("A", 5, 7.0, 500), ("B", 1, 8.0, 100), ("B", 1, 6.0, 100), ("B", 10, 30.0, 1000), ("B", 10, 34.0, 1000)]
@@ -1137,7 +1157,6 @@ def manifest_comparison(s, d):
     return scaling.compare_manifests(a, b)
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", _FLAGS + _bootstrap_sql("SELECT query_id, CAST(five AS DECIMAL(18,9)) AS score FROM fl").replace("MEAN", "mean"), False)
 def bootstrap_ci(s, d):
-    m = [r[0] for r in retrieval_metrics(s, d).orderBy("query_id").select("precision").collect()]  # one value a query
-    return s.createDataFrame([E.bootstrap_interval(m)], "low double, high double")
+    return E.bootstrap(_flagged(s, d).select("query_id", F.col("five").alias("score")))

@@ -298,9 +298,9 @@ def test_more_metrics(spark):
             E.adjudicated(runs, known, bad, 3)
     a = spark.createDataFrame([(k, 1.0) for k in range(8)], "query_id int, score double")
     b = a.withColumn("score", F.when(F.col("query_id") % 2 == 0, 1.0).otherwise(0.0))
-    mean, low, high = E.paired_interval(a, b)
-    assert mean == 0.5 and 0 <= low < 0.5 < high <= 1
-    assert E.paired_interval(a.limit(0), b) == (0.0, 0.0, 0.0)
+    n, mean, low, high = E.paired_interval(E.paired(a, b)).first()
+    assert n == 8 and mean == 0.5 and 0 <= low < 0.5 < high <= 1
+    assert tuple(E.paired_interval(E.paired(a.limit(0), b)).first()) == (0, 0.0, 0.0, 0.0)
     for values in ([3.0, 1.0, 4.0, 2.0], [5.0], [1.0, 1.0, 1.0, 9.0, 2.0], [float(x * x % 97) for x in range(301)]):
         rows = spark.createDataFrame([("g", v) for v in values] + [("other", 1.0), ("other", None)], "g string, v double")
         r = E.latency_summary(rows, "g", "v").where("g = 'g'").first()

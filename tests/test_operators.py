@@ -104,7 +104,8 @@ def test_metrics(spark):
     assert E.exact_match(expected, predicted).first()[0] == 0
     k = E.kappa(spark.createDataFrame([(1, 1), (0, 0), (1, 1), (1, 0)], "a int, b int")).first()
     assert (k["agreement"], k["kappa"]) == (0.75, 0.5)
-    assert E.bootstrap_interval([]) == (0.0, 0.0) and E.bootstrap_interval([1.0] * 5) == (1.0, 1.0)
+    same = spark.createDataFrame([(k, 1.0) for k in range(5)], "query_id int, score double")
+    assert tuple(E.bootstrap(same.limit(0)).first()) == (0, 0.0, 0.0, 0.0) and tuple(E.bootstrap(same).first()) == (5, 1.0, 1.0, 1.0)
     runs = spark.createDataFrame([("A", 1, 2.0, 100), ("A", 1, 4.0, 100)], "workload string, factor int, seconds double, rows long")
     s = scaling.run_summary(runs).first()
     assert s["mean_seconds"] == 3.0 and isclose(s["stddev_seconds"], 2**0.5) and s["throughput"] == 37.5
