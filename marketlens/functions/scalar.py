@@ -81,7 +81,17 @@ def letters_only(c: Column) -> Column:
 
 def is_meaningful(c: Column) -> Column:
     """Some run of two or more letters."""
-    return F.exists(F.split(letters_only(c), " "), lambda w: F.length(w) >= 2)
+    return has_word(letters_only(c))
+
+
+def has_word(plain: Column) -> Column:
+    """Whether ``letters_only`` text has a word of two or more letters; found where the first is."""
+    return plain.rlike("[^ ]{2}")
+
+
+def has_words(plain: Column, n: int) -> Column:
+    """Whether ``letters_only`` text has ``n`` words of two or more letters; read up to the last of them."""
+    return plain.rlike(f"^(?:(?:[^ ] )*+[^ ]{{2,}}+(?: |$)){{{n}}}")
 
 
 #: Stop words by language for the language heuristic on the synthetic corpus and on reviews.

@@ -18,13 +18,16 @@ def rag_eligible() -> Column:
 def theme_array(text: Column, version: str = "rules-pt-v3", rules: dict[str, str] | None = None) -> Column:
     """The themes that match, else ``other`` for a positive text (not in v2), ``uncertain`` below four words, or ``other``.
     Any version but ``rules-pt-v2`` means v3."""
+    return plain_themes(S.letters_only(text), version, rules)
+
+
+def plain_themes(plain: Column, version: str = "rules-pt-v3", rules: dict[str, str] | None = None) -> Column:
+    """``theme_array`` of text that ``letters_only`` has made."""
     v2 = version == "rules-pt-v2"
     rules = rules or (R.RULES_V2 if v2 else R.RULES_V3)
-    plain = S.letters_only(text)
-    words = F.size(F.filter(F.split(plain, " "), lambda w: F.length(w) > 1))
     found = F.array_compact(F.array(*[F.when(plain.rlike(R.whole_words(p)), F.lit(t)) for t, p in rules.items()]))
     positive = F.lit(False) if v2 else plain.rlike(R.whole_words(R.POSITIVE))
-    return F.when(F.size(found) > 0, found).when(positive, F.array(F.lit("other"))).when(words < 4, F.array(F.lit("uncertain"))).otherwise(F.array(F.lit("other")))
+    return F.when(F.size(found) > 0, found).when(positive, F.array(F.lit("other"))).when(~S.has_words(plain, 4), F.array(F.lit("uncertain"))).otherwise(F.array(F.lit("other")))
 
 
 def classify(reviews: DataFrame, version: str = "rules-pt-v3", rules: dict[str, str] | None = None) -> DataFrame:
@@ -46,9 +49,11 @@ def classify_negative(reviews: DataFrame, rules: dict[str, str] | None = None) -
 def annotated(reviews: DataFrame, version: str = "rules-pt-v3", rules: dict[str, str] | None = None) -> DataFrame:
     """``reviews`` (one row a review) with ``rag``, whether their text is eligible, and ``themes``, its distinct themes in
     order (none where it is not): texts are read once, and what follows needs no join to find a review's themes."""
-    rows = reviews.withColumn("rag", F.coalesce(rag_eligible(), F.lit(False)))
+    rows = reviews.withColumn("_plain", S.letters_only(F.col("review_text")))  # a step of its own: used by every pattern
+    rows = rows.withColumn("rag", F.coalesce(F.col("text_is_eligible") & S.has_word(F.col("_plain")), F.lit(False)))
     none = F.array().cast("array<string>")
-    return rows.withColumn("themes", F.when(F.col("rag"), F.array_sort(F.array_distinct(theme_array(F.col("review_text"), version, rules)))).otherwise(none))
+    found = F.array_sort(F.array_distinct(plain_themes(F.col("_plain"), version, rules)))
+    return rows.withColumn("themes", F.when(F.col("rag"), found).otherwise(none)).drop("_plain")
 
 
 def with_themes(reviews: DataFrame, themes: DataFrame) -> DataFrame:
