@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,28 @@ def join_without_fanout(left: DataFrame, right: DataFrame, on: str | list[str],
     return left.join(right, keys, "left")
 
 
+def write_guarded(left: DataFrame, right: DataFrame, on: str | list[str], path: str, label: str) -> dict[str, object]:
+    """Write ``left`` joined with ``right`` (left join) to ``path``, a new one, and tell (check, rows_before, rows_after,
+    null_keys, passed): rows are counted by the job that writes them, and no other job runs where nothing multiplies. A lost
+    executor can let rows be counted twice, so a difference is confirmed by ``fanout_report`` before the written table is
+    deleted and ValueError raised."""
+    keys = [on] if isinstance(on, str) else on
+    before, after = Observation(), Observation()
+    missing = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    seen = left.observe(before, F.count(F.lit(1)).alias("rows_before"), F.count_if(missing).alias("null_keys"))
+    seen.join(right, keys, "left").observe(after, F.count(F.lit(1)).alias("rows_after")).write.mode("errorifexists").parquet(path)
+    found = before.get | after.get
+    if found["rows_before"] != found["rows_after"]:
+        found |= fanout_report(left, right, on).first().asDict()
+    passed = found["rows_before"] == found["rows_after"]
+    if not passed:
+        spark = left.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        raise ValueError(f"Fan-out detected: {label}: {found['rows_before']} rows became {found['rows_after']}")
+    return {"check": label, **{c: found[c] for c in ("rows_before", "rows_after", "null_keys")}, "passed": passed}
+
+
 def fanout_report(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
     """(rows_before, rows_after) of a left join, from key counts alone."""
     on = [on] if isinstance(on, str) else on

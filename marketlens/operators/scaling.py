@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalar as S
+from marketlens.operators import manifests
 from marketlens.sources.connectors import is_complete, size_bytes
 
 
@@ -121,10 +122,10 @@ def benchmark(spark: SparkSession, workloads: dict[str, Callable[[int], DataFram
             for k in range(warm_up + runs):
                 spark.catalog.clearCache()
                 began = time.perf_counter()
-                found = sorted(map(str, build(factor).toJSON().collect()))  # a workload ends in totals
+                found = manifests.content(build(factor)).first()
                 took = time.perf_counter() - began
                 if k >= warm_up:
-                    checksum = hashlib.sha256("\n".join(found).encode()).hexdigest()
+                    checksum = hashlib.sha256(repr(tuple(found)).encode()).hexdigest()
                     out.append({"factor": factor, "workload": name, "seconds": took, "rows": rows[name][factor], "throughput": rows[name][factor] / took, "checksum": checksum})
     return out
 
@@ -146,15 +147,3 @@ def linearity(results: DataFrame) -> DataFrame:
 def speedup(local: DataFrame, cloud: DataFrame) -> DataFrame:
     """Local over cloud seconds where both have the configuration."""
     return local.select("factor", "workload", F.col("seconds").alias("l")).join(cloud.select("factor", "workload", F.col("seconds").alias("c")), ["factor", "workload"]).select("factor", "workload", S.rate(F.col("l"), F.col("c")).alias("speedup"))
-
-
-def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(dataset, verdict): compatible, missing, count or schema. Inputs: dataset, row_count, schema_json."""
-    j = a.select("dataset", F.col("row_count").alias("n1"), F.col("schema_json").alias("s1")).join(b.select("dataset", F.col("row_count").alias("n2"), F.col("schema_json").alias("s2")), "dataset", "full_outer")
-    verdict = F.when(F.col("n1").isNull() | F.col("n2").isNull(), "missing").when(F.col("s1") != F.col("s2"), "schema").when(F.col("n1") != F.col("n2"), "count").otherwise("compatible")
-    return j.select("dataset", verdict.alias("verdict"))
-
-
-def manifest(frames: dict[str, DataFrame]) -> DataFrame:
-    spark = next(iter(frames.values())).sparkSession
-    return spark.createDataFrame([(k, v.count(), v.schema.json()) for k, v in frames.items()], "dataset string, row_count long, schema_json string")

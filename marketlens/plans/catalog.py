@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from marketlens.functions import scalar as S
 from marketlens.functions import theme_rules as R
 from marketlens.operators import documents as D
-from marketlens.operators import cube, eda, enrich, index, ivf, kpi, quality, retrieval, sampling, scaling, themes
+from marketlens.operators import cube, eda, enrich, index, ivf, kpi, manifests, quality, retrieval, sampling, scaling, themes
 from marketlens.operators import evaluation as E
-from marketlens.session import table, written
+from marketlens.session import shared_folder, table, written
 from marketlens.sources import domain as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +282,16 @@ def guarded_join(s, d):
     return quality.join_without_fanout(V.orders(s, d), V.customers(s, d), "customer_id", "orders to customers").select("order_id", "customer_state")
 
 
+@query("guarded_write", """, n AS (SELECT o.order_id, count(c.customer_id) AS found FROM d_orders o LEFT JOIN d_customers c USING (customer_id) GROUP BY 1)
+SELECT order_id, found > 0 AS has_customer, (SELECT count(*) FROM d_orders) AS rows_before, (SELECT count(*) FROM d_orders LEFT JOIN d_customers USING (customer_id)) AS rows_after, (SELECT count(*) FROM d_orders WHERE customer_id IS NULL) AS null_keys FROM n""")
+def guarded_write(s, d):
+    """Orders with their customers, written under a guard, beside what the guard saw."""
+    path = f"{shared_folder(s)}/guarded-{uuid.uuid4().hex}"
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"))
+    seen = quality.write_guarded(orders, V.customers(s, d), "customer_id", path, "orders to customers")
+    return s.read.parquet(path).select("order_id", F.col("customer_state").isNotNull().alias("has_customer"), *[F.lit(seen[c]).cast("long").alias(c) for c in ("rows_before", "rows_after", "null_keys")])
+
+
 @query("trim_normalize", """SELECT doc_id, nullif(trim(x), '') AS trimmed, lower(nullif(trim(x), '')) AS category, upper(nullif(trim(x), '')) AS state
   FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '   ' WHEN doc_id % 7 = 0 THEN NULL ELSE '  ' || source || ' ' END AS x FROM documents)""", False)
 def trim_normalize(s, d):
@@ -482,17 +493,19 @@ _SENTENCES = [
     "Recebi o produto no prazo mas veio com defeito", "O prazo já passou e ainda não recebi", "Produto de qualidade, recomendo", "Fiz um pedido e recebi outro totalmente diferente",
     "Pedi reembolso e até agora não recebi o dinheiro", "O produto chegou quebrado e já postei devolvendo", "faltará uma peça",
 ]
-_VALUES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(_SENTENCES))
+_PLANTED = "[" + ", ".join(f"'{t}'" for t in _SENTENCES) + f"][doc_id % {len(_SENTENCES)} + 1]"
 
 
-def _sentences(s: SparkSession, version: str) -> DataFrame:
-    rows = s.createDataFrame(list(enumerate(_SENTENCES)), "id int, text string")
-    return rows.select("id", F.array_join(F.sort_array(themes.theme_array(F.col("text"), version)), ",").alias("themes"))
+def _sentences(s: SparkSession, d: str, version: str) -> DataFrame:
+    """Every document with a sentence of the language the rules are for before its text, each third one alone."""
+    planted = F.element_at(F.array(*[F.lit(t) for t in _SENTENCES]), (F.col("doc_id") % len(_SENTENCES) + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 3 == 0, planted).otherwise(F.concat(planted, F.lit(" "), F.coalesce("text", F.lit(""))))
+    return table(s, d, "documents").select("doc_id", F.array_join(F.sort_array(themes.theme_array(text, version)), ",").alias("themes"))
 
 
 for _name, _version, _rules, _positive in (("themes_rules_v2", "rules-pt-v2", R.RULES_V2, False), ("themes_rules_v3", "rules-pt-v3", R.RULES_V3, True)):
-    query(_name, f"SELECT id, list_aggregate(list_sort({_sql_theme_array(_rules, _positive)}), 'string_agg', ',') AS themes FROM (SELECT id, {_PLAIN.format(c='t')} AS plain FROM (VALUES {_VALUES}) v(id, t))", False)(
-        lambda s, d, v=_version: _sentences(s, v)
+    query(_name, f"SELECT doc_id, list_aggregate(list_sort({_sql_theme_array(_rules, _positive)}), 'string_agg', ',') AS themes FROM (SELECT doc_id, {_PLAIN.format(c='t')} AS plain FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_PLANTED} ELSE {_PLANTED} || ' ' || coalesce(text, '') END AS t FROM documents))", False)(
+        lambda s, d, v=_version: _sentences(s, d, v)
     )
 
 _NEG = "SELECT * FROM e_rag WHERE rag AND negative = 1"
@@ -738,10 +751,16 @@ def retrieve_per_theme(s, d):
     return retrieval.per_theme(c)
 
 
-@query("glossary_fix", "SELECT * FROM (VALUES (0, 'Copriletto bello'), (1, 'un copriletto rosso'), (2, 'rame-letto'), (3, NULL)) v(id, fixed)", False)
+_SOURCES, _TARGETS = ("cobre-leito bonito", "um Cobre leito vermelho", "cama", "cobre leito"), ("Rame-letto bello", "un rame letto rosso", "rame-letto", None)
+
+
+@query("glossary_fix", f"""SELECT doc_id, sha256(CASE WHEN regexp_matches(source, '(?i)\\bcobre(?:-|\\s+)leito\\b') THEN regexp_replace(regexp_replace(t, '\\br(?i:ame(?:-|\\s+)letto)\\b', 'copriletto', 'g'), '\\bR(?i:ame(?:-|\\s+)letto)\\b', 'Copriletto', 'g') ELSE t END) AS fixed_sha256
+FROM (SELECT doc_id, {list(_SOURCES)}[doc_id % 4 + 1] || ' ' || coalesce(text, '') AS source, [{", ".join("NULL" if t is None else f"'{t}'" for t in _TARGETS)}][doc_id % 4 + 1] || ' ' || coalesce(text, '') AS t FROM documents)""", False)
 def glossary_fix(s, d):
-    rows = s.createDataFrame([(0, "cobre-leito bonito", "Rame-letto bello"), (1, "um Cobre leito vermelho", "un rame letto rosso"), (2, "cama", "rame-letto"), (3, "cobre leito", None)], "id int, s string, t string")
-    return rows.select("id", retrieval.glossary_fix(F.col("s"), F.col("t")).alias("fixed"))
+    """Every document as a translation with a planted word, wrong in three of four, and its source."""
+    planted = lambda words: F.concat(F.element_at(F.array(*[F.lit(t) for t in words]), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    rows = table(s, d, "documents").select("doc_id", planted(_SOURCES).alias("source"), planted(_TARGETS).alias("translation"))
+    return rows.select("doc_id", F.sha2(retrieval.glossary_fix(F.col("source"), F.col("translation")), 256).alias("fixed_sha256"))
 
 
 @query("hash_embedding", """, w AS (SELECT doc_id, unnest([('0x' || substr(sha256(w), 1, 8))::BIGINT % 128 for w in string_split(plain, ' ') if w <> '']) AS slot
@@ -1116,20 +1135,28 @@ def workload_c(s, d):
     return scaling.workload_c(facts(s, d), V.links(s, d), themes.annotated(enrich.canonical_texts(V.reviews(s, d)), rules=R.RULES_SYNTHETIC))
 
 
-_RUNS = [("A", 1, 2.0, 100), ("A", 1, 4.0, 100), ("A", 5, 5.0, 500), ("A", 5, 7.0, 500), ("B", 1, 8.0, 100), ("B", 1, 6.0, 100), ("B", 10, 30.0, 1000), ("B", 10, 34.0, 1000)]
-_RUN_VALUES = ", ".join(str(r) for r in _RUNS)
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """Run records by workload and factor: the events, their value as milliseconds."""
+    factor = F.element_at(F.array(*[F.lit(x) for x in (1, 2, 5, 10)]), (F.col("user_id") % 4 + 1).cast("int"))
+    return table(s, d, "events").select(F.col("event_type").alias("workload"), factor.alias("factor"), ((F.floor(F.abs("value") * 1000) + 1) / 1000).alias("seconds"), (F.col("event_id") % 1000 + 1).alias("rows"), F.col("event_id").alias("run"))
+
+
+_RECORDS = """WITH runs AS (SELECT event_type AS workload, [1, 2, 5, 10][user_id % 4 + 1] AS factor, (floor(abs("value") * 1000) + 1) / 1000 AS seconds, event_id % 1000 + 1 AS n, event_id AS run FROM events)"""
 
 
-@query("run_summary", f"""SELECT *, mean_seconds / first_value(mean_seconds) OVER w AS time_growth, factor::DOUBLE / first_value(factor) OVER w AS factor_growth FROM (SELECT workload, factor, avg(seconds)::DOUBLE AS mean_seconds,
-  stddev_samp(seconds) AS stddev_seconds, avg(r / seconds::DOUBLE) AS throughput FROM (VALUES {_RUN_VALUES}) v(workload, factor, seconds, r) GROUP BY 1, 2) WINDOW w AS (PARTITION BY workload ORDER BY factor)""", False)
+@query("run_summary", _RECORDS + """ SELECT workload, factor, round(mean_seconds, 6) AS mean_seconds, round(stddev_seconds, 6) AS stddev_seconds, round(throughput, 6) AS throughput, round(mean_seconds / first_value(mean_seconds) OVER w, 6) AS time_growth,
+  factor::DOUBLE / first_value(factor) OVER w AS factor_growth FROM (SELECT workload, factor, avg(seconds) AS mean_seconds, stddev_samp(seconds) AS stddev_seconds, avg(n / seconds) AS throughput FROM runs GROUP BY 1, 2) WINDOW w AS (PARTITION BY workload ORDER BY factor)""", False)
 def run_summary(s, d):
-    return scaling.run_summary(s.createDataFrame(_RUNS, "workload string, factor int, seconds double, rows long"))
+    out = scaling.run_summary(_records(s, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_seconds", "stddev_seconds", "throughput", "time_growth")})
 
 
-@query("cloud_speedup", f"SELECT factor, workload, seconds::DOUBLE / (seconds / (factor + 1.0::DOUBLE)) AS speedup FROM (SELECT workload, factor, min(seconds)::DOUBLE AS seconds FROM (VALUES {_RUN_VALUES}) v(workload, factor, seconds, r) GROUP BY 1, 2) WHERE factor <> 5", False)
+@query("cloud_speedup", _RECORDS + """ SELECT factor, workload, a / b AS speedup FROM (SELECT workload, factor, min(seconds) FILTER (run % 2 = 0) AS a, min(seconds) FILTER (run % 2 = 1 AND factor <> 5) AS b FROM runs GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL""", False)
 def cloud_speedup(s, d):
-    local = s.createDataFrame(_RUNS, "workload string, factor int, seconds double, rows long").groupBy("workload", "factor").agg(F.min("seconds").alias("seconds"))
-    return scaling.speedup(local, local.where("factor <> 5").withColumn("seconds", F.col("seconds") / (F.col("factor") + 1.0)))
+    """Even runs are the local ones, odd ones the cloud's, which lack a factor."""
+    best = lambda rows: rows.groupBy("workload", "factor").agg(F.min("seconds").alias("seconds"))
+    runs = _records(s, d)
+    return scaling.speedup(best(runs.where("run % 2 = 0")), best(runs.where("run % 2 = 1 and factor <> 5")))
 
 
 @query("result_linearity", """SELECT 'A' AS workload, true AS is_linear, true AS is_repeatable UNION ALL SELECT 'lossy', lost = 0, true FROM (SELECT count(*) AS lost FROM orders WHERE o_orderkey % 5 = 0)
@@ -1150,11 +1177,28 @@ def result_linearity(s, d):
     return scaling.linearity(reduce(DataFrame.unionByName, runs))
 
 
-@query("manifest_comparison", "SELECT * FROM (VALUES ('links', 'count'), ('orders', 'compatible'), ('reviews', 'schema'), ('vectors', 'missing')) v(dataset, verdict)", False)
+def _environments(s: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Datasets of the given tables, and the same elsewhere: dealt anew, some rows lost, some values and one type changed."""
+    one = {"customers": table(s, d, "customer"), "links": V.links(s, d), "orders": table(s, d, "orders"), "reviews": V.reviews(s, d).select("review_id", "review_score", "lang"), "events": table(s, d, "events"), "parts": table(s, d, "part")}
+    price = F.when(F.col("o_orderkey") % 1000 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    two = {
+        "customers": one["customers"].repartition(5, "c_acctbal"), "links": one["links"].where("review_id % 10 <> 3"), "orders": one["orders"].withColumn("o_totalprice", price),
+        "reviews": one["reviews"].withColumn("review_score", F.col("review_score").cast("long")), "parts": one["parts"],
+    }
+    return one, two
+
+
+_CONTRACTS = {"parts": manifests.Contract({"p_partkey": "bigint", "p_size": "int"}, ("p_partkey", "p_name"), {"size": "p_size <= 49"}), "customers": manifests.Contract({"c_custkey": "bigint"}, ("c_custkey", "c_name"))}
+
+
+@query("manifest_comparison", """, n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM d_links) AS l, (SELECT count(*) FROM d_links WHERE review_id % 10 <> 3) AS kept, (SELECT count(*) FROM orders) AS o,
+  (SELECT count(*) FROM orders WHERE o_orderkey % 1000 = 7) AS moved, (SELECT count(*) FROM d_reviews) AS r, (SELECT count(*) FROM events) AS e, (SELECT count(*) FROM part) AS p, (SELECT count(*) FROM part WHERE p_size > 49 OR p_name IS NULL) AS broken)
+SELECT 'customers' AS dataset, 'compatible' AS verdict, c AS first_rows, c AS second_rows FROM n UNION ALL SELECT 'links', CASE WHEN kept < l THEN 'count' ELSE 'compatible' END, l, kept FROM n
+  UNION ALL SELECT 'orders', CASE WHEN moved > 0 THEN 'content' ELSE 'compatible' END, o, o FROM n UNION ALL SELECT 'reviews', 'schema', r, r FROM n UNION ALL SELECT 'events', 'missing', e, NULL FROM n
+  UNION ALL SELECT 'parts', CASE WHEN broken > 0 THEN 'contract' ELSE 'compatible' END, p, p FROM n""")
 def manifest_comparison(s, d):
-    a = s.createDataFrame([("orders", 1, "x"), ("reviews", 2, "x"), ("links", 3, "x")], "dataset string, row_count long, schema_json string")
-    b = s.createDataFrame([("orders", 1, "x"), ("reviews", 2, "y"), ("links", 4, "x"), ("vectors", 1, "x")], "dataset string, row_count long, schema_json string")
-    return scaling.compare_manifests(a, b)
+    one, two = (manifests.manifest(frames, _CONTRACTS) for frames in _environments(s, d))
+    return manifests.compare(one, two).select("dataset", "verdict", "first_rows", "second_rows")
 
 
 @query("bootstrap_ci", _FLAGS + _bootstrap_sql("SELECT query_id, CAST(five AS DECIMAL(18,9)) AS score FROM fl").replace("MEAN", "mean"), False)
