@@ -149,8 +149,14 @@ def _url_sql() -> str:
     links = []
     for tag, find in (("link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b", "href\\s*="), ("meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b", "url\\s*=")):
         links.append(f"list_transform(regexp_extract_all(html, '(?is)<{tag}[^>]*>'), lambda tag: regexp_extract(tag, '(?is)\\b{find}\\s*[\"'']?([^\"''\\s>]+)', 1))")
+    def decoded(target: str) -> str:
+        for pattern, char in url_filter.REFERENCES:
+            target = f"regexp_replace({target}, '{pattern}', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
+        return target
+
+    seen = f"regexp_replace(html, '{url_filter.UNSEEN}', '', 'g')"
     given = "regexp_extract(html, '(?is)<base\\b[^>]*?\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)"
-    pages = f"(SELECT url, {given} AS given, list_filter(list_concat({links[0]}, {links[1]}), lambda t: t <> '') AS found FROM pages)"
+    pages = f"(SELECT url, {decoded(given)} AS given, list_transform(list_filter(list_concat({links[0]}, {links[1]}), lambda t: t <> ''), lambda t: {decoded('t')}) AS found FROM (SELECT url, {seen} AS html FROM pages))"
     based = f"(SELECT url, unnest(found) AS t, CASE WHEN given = '' THEN url ELSE own END AS base FROM {resolved(pages, 'given', 'url', 'own')})"
     return f"""WITH RECURSIVE l AS (SELECT url, whole AS t FROM {resolved(based, 't', 'base', 'whole')}),
 e AS (SELECT {address("url")} AS a, {address("t")} AS b, t FROM l), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),

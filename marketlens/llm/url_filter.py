@@ -95,14 +95,28 @@ def resolve(target: Column, base: Column) -> Column:
     return F.when(path_of(whole).contains("/."), plain).otherwise(whole)
 
 
+#: Comments and scripts, up to the end of the page where they are not closed; and the references that hide in addresses.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
+REFERENCES = (("(?i)&(?:quot|#0*34|#x0*22);", '"'), ("(?i)&(?:apos|#0*39|#x0*27);", "'"), ("(?i)&(?:amp|#0*38|#x0*26);", "&"))
+
+
+def decoded(target: Column) -> Column:
+    """An attribute's value with its references to &, " and ' resolved, once."""
+    for pattern, char in REFERENCES:
+        target = F.regexp_replace(target, pattern, char)
+    return target
+
+
 def redirect_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) addresses of all canonical links and meta refreshes to another address. Relative targets are resolved
-    against the page's ``base`` element, if it has one, and its url. Targets of other schemes have no host and are dropped."""
+    against the page's ``base`` element, if it has one, and its url, after references such as ``&amp;`` are resolved. What
+    stands in comments or scripts is no link. Targets of other schemes have no host and are dropped."""
     linked = pages.where(F.lower(F.col(html)).contains("canonical") | F.lower(F.col(html)).contains("refresh"))
-    given = F.regexp_extract(F.col(html), _BASE, 1)
-    base = F.when(given == "", F.col(url)).otherwise(resolve(given, F.col(url)))
-    found = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(pattern), 1) for pattern in (_LINK, _REFRESH)])
-    held = linked.select(address_of(F.col(url)).alias("src"), base.alias("base"), F.array_distinct(found).alias("found"))
+    linked = linked.select(F.col(url).alias("url"), F.regexp_replace(F.col(html), UNSEEN, "").alias("html"))
+    given = decoded(F.regexp_extract("html", _BASE, 1))
+    base = F.when(given == "", F.col("url")).otherwise(resolve(given, F.col("url")))
+    found = F.concat(*[F.regexp_extract_all("html", F.lit(pattern), 1) for pattern in (_LINK, _REFRESH)])
+    held = linked.select(address_of(F.col("url")).alias("src"), base.alias("base"), F.array_distinct(F.transform(found, decoded)).alias("found"))
     edges = held.select("src", F.explode(F.transform("found", lambda t: resolve(t, F.col("base")))).alias("to"))
     edges = edges.select("src", address_of(F.col("to")).alias("dst"), F.col("to").alias("dst_url"))
     return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))

@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import hard_negatives, personal_data, prefix_trie, registry
+from marketlens.llm import bloom_lookup, hard_negatives, personal_data, prefix_trie, registry
 
 rng = random.Random(5)
 
@@ -295,3 +296,26 @@ def test_a_conversation_over_many_parts(spark):
         assert Counter(map(tuple, prefix_trie.rollup(turns).drop("a", "b").collect())) == plain_trie(rows, rebuilt=False)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+# Earlier operators
+
+
+def test_op5_references_comments_and_scripts(spark, tmp_path):
+    """References in targets are resolved, and links in comments or scripts are none; the SQL says the same."""
+    link = "<link rel='canonical' href='{}'>"
+    pages = [
+        (1, "http://a.org/x", link.format("http://b.net/es/p?a=1&amp;b=2")), (2, "http://b.net/es/p?a=1&b=2", ""), (3, "http://c.org/x", link.format("http://b.net/q?a=1&#38;b=&#x26;&quot;")),
+        (4, "http://d.org/1", f"<!-- {link.format('http://b.net/es/p?a=1&b=2')} -->"), (5, "http://d.org/2", f"<script>'{link.format('http://b.net/es/z')}'</script >"),
+        (6, "http://d.org/3", f"<!-- open {link.format('http://b.net/es/z')}"), (7, "http://d.org/4", f"<!-- a --> {link.format('http://b.net/es/z')} <!-- b -->"),
+        (8, "http://d.org/5", "<meta http-equiv=refresh content=\"0; url=http://b.net/es/&#39;x&amp;amp;y\">"), (9, None, None), (10, "http://d.org/6", link.format("&amp;amp;")),
+    ]
+    pq.write_table(pa.table({"page_id": [p[0] for p in pages], "url": [p[1] for p in pages], "html": [p[2] for p in pages]}), f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in registry.QUERIES["op5_redirect_equivalence"](spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r["verdict"] == "block"} == {1, 2, 7, 8}
+    assert got[1]["component"] == got[2]["component"] and got[4]["component"] == "d.org/1"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    cur = con.execute(registry.ORACLES["op5_redirect_equivalence"])
+    names = [x[0] for x in cur.description]
+    assert Counter(tuple(r[c] for c in names) for r in got.values()) == Counter(cur.fetchall())
