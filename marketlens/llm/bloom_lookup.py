@@ -2,9 +2,9 @@
 
 A text is cut into paragraphs, each hashed to a digest, and every digest is added to three cells of a small table that
 keep a count, the exclusive or of the digests and that of their check sums. Subtracting two tables leaves what the texts
-do not share, and peeling cells that hold a single digest recovers those digests. Where a table is too small for the
-difference, both are built again: for the difference that the least digests of both let expect, then twice as large again
-and again until peeling succeeds.
+do not share, and peeling cells that hold a single digest recovers those digests. A fingerprint has cells in proportion to
+the text, and folds to any smaller size, so two stored ones can be compared without their texts. Where that fails, tables of
+twice the cells are peeled, again and again until it succeeds.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,8 @@ from pyspark.sql import functions as F
 
 from .ordered import dealt_by, parts_by_id, parts_for
 
+#: Least number of cells; others are this times a power of two, so that a table folds to half its size.
 CELLS = 24
-#: How many of the least digests of both texts tell how much they differ.
-LEAST = 32
 _U = np.uint64
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+\s?|\n|$)")
 
@@ -60,33 +58,57 @@ def digests(text: str) -> np.ndarray:
 _THIRDS = np.array([[0], [1], [2]])
 
 
-@lru_cache
-def _salts(cells: int) -> np.ndarray:
-    """What tells the three cells of a digest apart, in tables of each size."""
-    return np.array([[cells * 4 + k] for k in range(3)], _U) * _U(0x9E3779B97F4A7C15)
+#: What tells the three cells of a digest apart, in tables of every size.
+_SALTS = np.array([[5], [6], [7]], _U) * _U(0x9E3779B97F4A7C15)
+
+
+def _check(x: np.ndarray) -> np.ndarray:
+    return _mixed(x, 99) & _U(0xFFFFFFFF)
+
+
+def cells_for(paragraphs: float) -> int:
+    """The least size of table with that many cells."""
+    cells = CELLS
+    while cells < paragraphs:
+        cells *= 2
+    return cells
 
 
 class LookupTable:
-    """Counts, digests and check sums of ``cells`` cells (a multiple of 3)."""
+    """Counts, digests and 32-bit check sums of ``cells`` cells (CELLS times a power of two)."""
 
     def __init__(self, found: np.ndarray, cells: int = CELLS, sign: int | np.ndarray = 1):
         """The table of ``found``; with signs -1 for those of a text that is to be subtracted."""
-        self.cells, self.salts = cells, _salts(cells)
+        self.cells = cells
         self.counts, self.keys, self.checks = np.zeros(cells, np.int64), np.zeros(cells, _U), np.zeros(cells, _U)
         self._add(found, sign)
 
     def _add(self, found: np.ndarray, sign: int | np.ndarray) -> None:
         third = self.cells // 3
-        at = ((_mixed(found ^ self.salts, 7) % _U(third)).view(np.int64) + _THIRDS * third).ravel()
-        np.add.at(self.counts, at, sign if isinstance(sign, int) else np.tile(sign, 3))
-        np.bitwise_xor.at(self.keys, at, np.tile(found, 3))
-        np.bitwise_xor.at(self.checks, at, np.tile(_mixed(found, 99), 3))
+        at = ((_mixed(found ^ _SALTS, 7) % _U(third)).view(np.int64) + _THIRDS * third).ravel()
+        np.add.at(self.counts, at, sign if isinstance(sign, int) else np.concatenate([sign, sign, sign]))
+        np.bitwise_xor.at(self.keys, at, np.concatenate([found, found, found]))
+        check = _check(found)
+        np.bitwise_xor.at(self.checks, at, np.concatenate([check, check, check]))
+
+    def _of(self, counts: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> LookupTable:
+        made = LookupTable.__new__(LookupTable)
+        made.cells, made.counts, made.keys, made.checks = len(counts), counts, keys, checks
+        return made
+
+    def folded(self, cells: int) -> LookupTable:
+        """The same digests in fewer cells: a digest's place in a third modulo a half of it is its place in a half."""
+        counts, keys, checks = self.counts.copy(), self.keys.copy(), self.checks.copy()
+        while len(counts) > cells:
+            counts = counts.reshape(3, 2, -1).sum(axis=1).ravel()
+            keys, checks = (np.bitwise_xor.reduce(x.reshape(3, 2, -1), axis=1).ravel() for x in (keys, checks))
+        return self._of(counts, keys, checks)
 
     def minus(self, other: LookupTable) -> LookupTable:
-        """The table of what the two texts do not share, cell by cell."""
-        left = LookupTable.__new__(LookupTable)
-        left.cells, left.salts, left.counts, left.keys, left.checks = self.cells, self.salts, self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks
-        return left
+        """The table of what the two texts do not share, cell by cell, at the smaller size of both."""
+        cells = min(self.cells, other.cells)
+        a, b = self.folded(cells), other.folded(cells)
+        return self._of(a.counts - b.counts, a.keys ^ b.keys, a.checks ^ b.checks)
 
     def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
         """The digests that were added only and those that were subtracted only, taken from a table of differences; None
@@ -94,13 +116,12 @@ class LookupTable:
         mine, theirs = [], []
         while True:
             pure = np.flatnonzero(np.abs(self.counts) == 1)
-            pure = pure[_mixed(self.keys[pure], 99) == self.checks[pure]]
+            if len(pure):
+                pure = pure[_check(self.keys[pure]) == self.checks[pure]]
             if not len(pure):
                 break
-            order = np.argsort(self.keys[pure])
-            keys, signs = self.keys[pure][order], self.counts[pure][order]
-            fresh = np.r_[True, keys[1:] != keys[:-1]]
-            keys, signs = keys[fresh], signs[fresh]
+            keys, at = np.unique(self.keys[pure], return_index=True)
+            signs = self.counts[pure[at]]
             mine.append(keys[signs > 0])
             theirs.append(keys[signs < 0])
             self._add(keys, -signs)
@@ -109,39 +130,63 @@ class LookupTable:
         none = np.zeros(0, _U)
         return np.concatenate([none, *mine]), np.concatenate([none, *theirs])
 
+    def differences(self) -> float:
+        """About how many digests a table of differences holds, told by its empty cells; infinite where hardly any is empty,
+        which is more than peeling can take out."""
+        empty = np.count_nonzero((self.counts == 0) & (self.keys == 0)) / self.cells
+        return -self.cells / 3 * float(np.log(empty)) if empty > 0.04 else float("inf")
+
     def text(self, size: int) -> str:
         """The table as a string that equal texts share: the number of paragraphs, then all cells."""
         raw = self.counts.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()
         return f"{size:x}:" + base64.b64encode(raw).decode()
 
+    @classmethod
+    def parsed(cls, fingerprint: str) -> tuple[int, LookupTable]:
+        """The number of paragraphs and the table of a fingerprint."""
+        size, raw = fingerprint.split(":")
+        raw = base64.b64decode(raw)
+        n = len(raw) // 16
+        made = cls.__new__(cls)
+        made.cells, made.counts = n, np.frombuffer(raw, "<i4", n).astype(np.int64)
+        made.keys, made.checks = np.frombuffer(raw, "<u8", n, 4 * n).astype(_U), np.frombuffer(raw, "<u4", n, 12 * n).astype(_U)
+        return int(size, 16), made
 
-def expected_difference(a: np.ndarray, b: np.ndarray) -> int:
-    """About how many digests are in one of two sorted arrays only, from the least ones of both together."""
-    least = np.sort(np.concatenate([a[:LEAST], b[:LEAST]]))
-    again = least[1:] == least[:-1]  # of both
-    number = 1 + np.cumsum(~again)  # of each but the first among the distinct ones
-    both = int(np.count_nonzero(again & (number <= LEAST)))
-    n = min(LEAST, len(least) - int(np.count_nonzero(again)))
-    return round((len(a) + len(b)) * (n - both) / (n + both)) if n else 0
+
+def sketch(found: np.ndarray) -> LookupTable:
+    """The table of a fingerprint: a cell for every two digests, CELLS at least."""
+    return LookupTable(found, cells_for(len(found) / 2))
+
+
+def stored_likeness(a: str, b: str) -> float | None:
+    """The likeness of two texts from their fingerprints alone; None where they differ by more than those can tell."""
+    (m, one), (n, two) = LookupTable.parsed(a), LookupTable.parsed(b)
+    found = one.minus(two).peeled()
+    if found is None or m - len(found[0]) != n - len(found[1]):
+        return None
+    return (m - len(found[0])) / (m + len(found[1])) if m + n else 1.0
 
 
 def differing(a: np.ndarray, b: np.ndarray, first: tuple[LookupTable, LookupTable] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of ``a`` only and of ``b`` only (both sorted), by tables that grow until peeling succeeds. The first
-    holds small differences; where more than it holds are expected to differ, and where it can't be peeled, tables have two
-    cells for each that is, in the first one's cells doubled as often as that takes, and then twice as many again and
-    again."""
-    cells, least = CELLS, 2 * max(expected_difference(a, b), abs(len(a) - len(b)))
-    if least <= CELLS:
-        one, two = first or (LookupTable(a), LookupTable(b))
-        if (found := one.minus(two).peeled()) is not None:
+    """The digests of ``a`` only and of ``b`` only (both sorted). Their fingerprints are subtracted and peeled first. Where
+    that gets stuck, or no cell is left empty, a table of two cells for each digest of both is made; its empty cells tell how
+    many digests differ, it is folded to the size that those need, and to twice as many again and again until peeling
+    succeeds."""
+    one, two = first or (sketch(a), sketch(b))
+    left, cells, whole = one.minus(two), 0, None
+    while True:
+        found = left.peeled() if left.differences() < left.cells else None
+        if found is not None and len(a) - len(found[0]) == len(b) - len(found[1]):
             return found
-        cells *= 2
-    while cells < least:
-        cells *= 2
-    both, sign = np.concatenate([a, b]), np.repeat([1, -1], [len(a), len(b)])
-    while (found := LookupTable(both, cells, sign).peeled()) is None:
-        cells *= 2
-    return found
+        if whole is None:
+            both, sign = np.concatenate([a, b]), np.repeat([1, -1], [len(a), len(b)])
+            whole = LookupTable(both, max(2 * left.cells, cells_for(2 * len(both))), sign)
+            cells = max(2 * left.cells, cells_for(2 * min(whole.differences(), len(both))))
+        else:
+            cells *= 2
+        if cells > whole.cells:
+            whole = LookupTable(both, cells, sign)
+        left = whole.folded(cells)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: tuple[LookupTable, LookupTable] | None = None) -> float:
@@ -190,11 +235,11 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                 if held and held[0] == part and held[1]:
                     continue  # only the first of the rows sent back is the next document
                 found = digests(value)
-                table = LookupTable(found)
+                table = sketch(found)
                 if held and held[0] == part:
                     edited = edit_of(held[3], value)
                     other = digests(edited)
-                    changed = LookupTable(other)
+                    changed = sketch(other)
                     for k, v in (
                         ("id", held[2]), ("n_chars", len(held[3])), ("edited", edited), ("fingerprint", held[5].text(len(held[4]))),
                         ("edited_fingerprint", changed.text(len(other))), ("near_edited", likeness(held[4], other, (held[5], changed))),

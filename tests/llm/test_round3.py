@@ -319,3 +319,29 @@ def test_op5_references_comments_and_scripts(spark, tmp_path):
     cur = con.execute(registry.ORACLES["op5_redirect_equivalence"])
     names = [x[0] for x in cur.description]
     assert Counter(tuple(r[c] for c in names) for r in got.values()) == Counter(cur.fetchall())
+
+
+def test_op4_stored_fingerprints_come_first(monkeypatch):
+    """Every comparison subtracts the stored fingerprints before anything else; they alone tell small differences, folded to
+    one size where texts differ in length, and never tell a wrong one."""
+    peeled, subtracted = [], []
+    plain, minus = bloom_lookup.LookupTable.peeled, bloom_lookup.LookupTable.minus
+    monkeypatch.setattr(bloom_lookup.LookupTable, "peeled", lambda self: (peeled.append(self.cells), plain(self))[1])
+    monkeypatch.setattr(bloom_lookup.LookupTable, "minus", lambda self, other: (subtracted.append((self.cells, other.cells)), minus(self, other))[1])
+    told = small = 0
+    for n in (0, 1, 5, 40, 200, 1000):
+        lines = [f"{prose(7)} {number(6)}\n" for _ in range(n)]
+        for changed in (0, 1, 2, n // 20, n // 4, n):
+            other = [*lines[: n - changed], *(f"{prose(6)} {number(7)}\n" for _ in range(changed))] + [f"{number(9)}\n"] * (n // 10)
+            a, b = bloom_lookup.digests("".join(lines)), bloom_lookup.digests("".join(other))
+            x, y = set(a.tolist()), set(b.tolist())
+            want = len(x & y) / len(x | y) if x | y else 1.0
+            one, two = bloom_lookup.sketch(a), bloom_lookup.sketch(b)
+            peeled.clear(), subtracted.clear()
+            assert bloom_lookup.likeness(a, b, (one, two)) == want
+            assert (not x and not y) or subtracted == [(one.cells, two.cells)] and all(later >= 2 * sooner for sooner, later in zip(peeled, peeled[1:], strict=False))
+            stored = bloom_lookup.stored_likeness(one.text(len(a)), two.text(len(b)))
+            assert stored in (None, want)
+            fits = len(x ^ y) <= max(12, min(one.cells, two.cells) * 0.6)
+            told, small = told + (fits and stored is not None), small + fits
+    assert told >= 0.9 * small
