@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators import documents as D
+from marketlens.sources.bucketed import BucketTable, Version
 from marketlens.sources.connectors import is_complete
 
 #: Columns that every stored vector has beside its metadata.
@@ -85,6 +86,40 @@ def synchronise(wanted: DataFrame, at: Collection, embed: Callable[[DataFrame],
     return rows, counters
 
 
+def synchronise_buckets(wanted: DataFrame, at: BucketTable, embed: Callable[[DataFrame], DataFrame], model: str, version: str) -> tuple[Version, dict[str, int]]:
+    """Bring the stored table ``at`` (of key ``document_id``) to what ``wanted`` says, and tell its version and the counters.
+
+    Hashes are compared first, from three columns of the stored files; only the buckets with a document to add, change or
+    remove are read and written. Where nothing changed no version is made. A change of the model is an error, as in
+    ``Collection``. Readers of the old version keep it until ``at.vacuum()``. A repeated document id is an error before
+    anything is written. One count a bucket comes to the driver.
+    """
+    base = at.version()
+    if not wanted.groupBy("document_id").count().where("count > 1").isEmpty():
+        raise ValueError("a document id is repeated")
+    stored = at.read(base) if base else None
+    if stored is not None and not stored.where((F.col("model") != model) | (F.col("model_version") != version)).isEmpty():
+        raise ValueError(f"{at.path} holds vectors of another model")
+    buckets = base.buckets if base else at.buckets
+    hashes = ["document_id", "document_hash", "metadata_hash"]
+    old = stored.select(*hashes) if stored is not None else wanted.select(*hashes).limit(0)
+    kinds = ("upsert", "update_metadata", "skip", "delete")
+    each = D.sync_actions(wanted, old).groupBy(at.bucket_of(buckets).alias("bucket")).agg(*[F.count_if(F.col("action") == a).alias(a) for a in kinds]).collect()
+    n = {a: sum(r[a] for r in each) for a in kinds}
+    expected = n["upsert"] + n["update_metadata"] + n["skip"]
+    counters = {
+        "documents_expected": expected, "documents_existing_before": old.count() if base else 0, "documents_upserted": n["upsert"], "documents_metadata_updated": n["update_metadata"],
+        "documents_skipped_unchanged": n["skip"], "stale_documents_removed": n["delete"], "documents_after": expected,
+    }
+    touched = sorted(r["bucket"] for r in each if r["upsert"] + r["update_metadata"] + r["delete"])
+    if base is None:
+        return at.replace(applied(wanted, None, embed, model, version), None, None), counters
+    if not touched:
+        return base, counters
+    some = wanted.where(at.bucket_of(buckets).isin(touched))
+    return at.replace(applied(some, at.read(base, touched), embed, model, version), touched, base), counters
+
+
 def second_collection(first: DataFrame, second: DataFrame | None, embed: Callable[[DataFrame], DataFrame], model: str, version: str) -> DataFrame:
     """The same documents under another embedder: its stored vectors are kept for unchanged texts, missing ones are made,
     stale ones left out."""

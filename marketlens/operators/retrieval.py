@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalar as S
+from marketlens.session import written
+from marketlens.sources.bucketed import BucketTable, Version
 
 
 @dataclass(frozen=True)
@@ -185,3 +187,50 @@ def translate(rows: DataFrame, cache: DataFrame, translator: Callable[[str], str
     fresh = rows.sparkSession.read.schema(schema).parquet(to)
     done = hit.where(F.col("translated_text").isNotNull()).withColumn("status", F.lit("cached"))
     return done.unionByName(fresh), fresh.where("status = 'translated'").select(*keys, "translated_text")
+
+
+def translate_stored(rows: DataFrame, cache: BucketTable, translator: Callable[[str], str], version: str, target: str) -> tuple[DataFrame, Version | None]:
+    """All ``rows`` (source_text and others) with translated_text and status, and the cache's version after it.
+
+    The cache is a table by ``source_hash``, whatever row a text comes from: the translator is asked once for each distinct
+    text that it does not hold for this target and version, and what it says is written before anything reads it. Only
+    buckets with new texts are written anew; of an entry that two versions of the translator made, the later stays. A failing
+    translation is not stored, keeps the original and says so; null texts are not translated (status ``empty``). Rows of a
+    hot text are not shuffled by it: the distinct texts are made by partial aggregation, and the join on them is left to
+    adaptive execution, which splits a skewed hash.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("source_hash", F.sha2("source_text", 256))
+    base = cache.version()
+    entry = "source_hash string, target_language string, translator_version string, translated_text string"
+    held = cache.read(base) if base else spark.createDataFrame([], entry)
+    same = (F.col("target_language") == target) & (F.col("translator_version") == version)
+    hits = held.where(same).select("source_hash", F.col("translated_text"))
+    texts = keyed.where("source_hash is not null").groupBy("source_hash").agg(F.first("source_text").alias("source_text"))
+    misses = texts.join(hits, "source_hash", "left_anti")
+
+    def run(frames):
+        for f in frames:
+            made = []
+            for t in f["source_text"]:
+                try:
+                    made.append(translator(t))
+                except Exception:  # noqa: BLE001  any backend failure keeps the original
+                    made.append(None)
+            yield f[["source_hash"]].assign(translated_text=made)
+
+    fresh = written(misses.mapInPandas(run, "source_hash string, translated_text string"), "translations")
+    new = fresh.where("translated_text is not null").withColumns({"target_language": F.lit(target), "translator_version": F.lit(version)})
+    buckets = base.buckets if base else cache.buckets
+    touched = sorted(r[0] for r in new.select(cache.bucket_of(buckets)).distinct().collect())  # at most one number a bucket
+    if touched:
+        new = new.select("source_hash", "target_language", "translator_version", "translated_text")
+        if base:
+            # one entry a text and language: the later translator's, so the table does not grow with versions
+            old = cache.read(base, touched).join(new.select("source_hash", "target_language"), ["source_hash", "target_language"], "left_anti")
+            base = cache.replace(old.unionByName(new), touched, base)
+        else:
+            base = cache.replace(new, None, None)
+    known = hits.withColumn("status", F.lit("cached")).unionByName(fresh.withColumn("status", F.when(F.col("translated_text").isNull(), "failed_original_available").otherwise("translated")))
+    done = keyed.join(known, "source_hash", "left").withColumn("status", F.coalesce("status", F.lit("empty")))
+    return done, base

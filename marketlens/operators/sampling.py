@@ -24,21 +24,55 @@ def round_robin(df: DataFrame, n: int, stratum: str, doc_id: str, seed: str = "4
     return df.withColumn("rn", rank).where(F.col("rn") <= n).orderBy("rn", stratum).limit(n).drop("rn")
 
 
-def balanced(df: DataFrame, groups: list[str], per: int, member: str, doc_id: str, seed: str = "42", times: int = 8, pilot: int = 3) -> DataFrame:
+def assigned(choices: dict[str, list], per: int) -> dict[str, list]:
+    """``per`` rows of each group's choices, none twice, or ValueError where there is no such assignment.
+
+    Groups take rows in turn, each the first free ones of its choices. A group that runs short takes a row from another group
+    that finds a replacement (an augmenting path, the shortest one), so an assignment is found whenever one exists, and where
+    taking alone gives one it is that.
+    """
+    owner: dict[object, str] = {}
+    for group, rows in choices.items():
+        for row in [r for r in rows if r not in owner][:per]:
+            owner[row] = group
+        while sum(g == group for g in owner.values()) < per:
+            # breadth first over groups: each reached by the row that it would give away
+            came: dict[str, tuple[str, object] | None] = {group: None}
+            queue, end = [group], None
+            for at in queue:
+                for row in choices[at]:
+                    held = owner.get(row)
+                    if held is None:
+                        end = (at, row)
+                        break
+                    if held not in came:
+                        came[held] = (at, row)
+                        queue.append(held)
+                if end:
+                    break
+            if end is None:
+                raise ValueError(f"not enough distinct rows for {group}")
+            while end:
+                at, row = end
+                owner[row] = at
+                end = came[at]
+    place = {g: {r: k for k, r in enumerate(rows)} for g, rows in choices.items()}
+    return {g: sorted((r for r, at in owner.items() if at == g), key=place[g].__getitem__) for g in choices}
+
+
+def balanced(df: DataFrame, groups: list[str], per: int, member: str, doc_id: str, seed: str = "42", pilot: int = 3) -> DataFrame:
     """(doc_id, stratum, stratum_rank, pilot): ``per`` rows of each group, none twice. ``member``: array of a row's groups.
 
-    Groups take rows in the order given, each in the order of a hash of the id, from its first ``times * per`` rows: the
-    others before it may have taken some. ValueError where a group has too few left. The driver sees those rows' ids only.
+    Each group offers its first rows in the order of a hash of the id, as many as all groups want together: the others can't
+    take more of them, so what lies behind never decides whether a sample exists. Groups take rows in the order given;
+    ``assigned`` exchanges rows where one runs short. ValueError where no sample exists. The driver sees the offered ids only:
+    the square of the number of groups, times ``per``. Rows that are repeated count once, rows without an id don't.
     """
-    some = df.select(doc_id, F.explode(member).alias("stratum")).where(F.col("stratum").isin(groups)).distinct()
+    some = df.where(F.col(doc_id).isNotNull()).select(doc_id, F.explode(member).alias("stratum")).where(F.col("stratum").isin(groups)).distinct()
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(doc_id, seed), doc_id))
-    first = some.withColumn("rn", rank).where(F.col("rn") <= per * times).orderBy("rn").collect()
-    taken: dict[object, tuple[str, int]] = {}
-    for group in groups:
-        left = [r[doc_id] for r in first if r["stratum"] == group and r[doc_id] not in taken][:per]
-        if len(left) < per:
-            raise ValueError(f"not enough distinct rows for {group}")
-        taken |= {i: (group, k + 1) for k, i in enumerate(left)}
-    kind = dict(df.dtypes)[doc_id]
-    rows = [(i, g, k, k <= pilot) for i, (g, k) in taken.items()]
-    return df.sparkSession.createDataFrame(rows, f"`{doc_id}` {kind}, stratum string, stratum_rank int, pilot boolean")
+    first = some.withColumn("rn", rank).where(F.col("rn") <= per * len(groups)).orderBy("rn").collect()
+    choices: dict[str, list] = {g: [] for g in groups}
+    for r in first:
+        choices[r["stratum"]].append(r[doc_id])
+    rows = [(i, g, k, k <= pilot) for g, ids in assigned(choices, per).items() for k, i in enumerate(ids, 1)]
+    return df.sparkSession.createDataFrame(rows, f"`{doc_id}` {dict(df.dtypes)[doc_id]}, stratum string, stratum_rank int, pilot boolean")

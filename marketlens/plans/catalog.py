@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from marketlens.functions import scalar as S
 from marketlens.functions import theme_rules as R
 from marketlens.operators import documents as D
-from marketlens.operators import cube, eda, enrich, index, ivf, kpi, manifests, quality, retrieval, sampling, scaling, themes
+from marketlens.operators import answers, cube, eda, enrich, index, ivf, kpi, manifests, quality, questions, retrieval, sampling, scaling, themes
 from marketlens.operators import evaluation as E
 from marketlens.session import shared_folder, table, written
 from marketlens.sources import domain as V
+from marketlens.sources.bucketed import BucketTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,6 +660,27 @@ def index_applied(s, d):
     return done.select("document_id", "metadata_hash", F.col("embedding")[0].cast("double").alias("vector"))
 
 
+#: Buckets of the stored index in ``index_bucket_sync``, and those among them in which documents change.
+_BUCKETS, _CHANGED = 64, 3
+
+
+@query("index_bucket_sync", _DOCS + f""", b AS (SELECT *, ('0x' || substr(md5(document_id), 1, 8))::BIGINT % {_BUCKETS} AS bucket FROM meta),
+a AS (SELECT *, bucket < {_CHANGED} AND review_id % 3 = 0 AS added, bucket < {_CHANGED} AND review_id % 3 = 1 AS other FROM b), t AS (SELECT bucket, bool_or(added OR other) AS touched FROM a GROUP BY 1)
+SELECT document_id, metadata_hash, CASE WHEN added THEN 1.0 ELSE 0.5 END::DOUBLE AS vector, CASE WHEN touched THEN 2 ELSE 1 END::BIGINT AS written FROM a JOIN t USING (bucket)""")
+def index_bucket_sync(s, d):
+    """A stored index after a synchronisation in which documents of three buckets were added or changed: those buckets' files
+    are of the second version, all others of the first. Stored vectors are 0.5, new ones 1."""
+    at = BucketTable(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}", "document_id", _BUCKETS)
+    wanted = rag_docs(s, d).select("document_id", "review_id", "document_hash", "metadata_hash")
+    few, i = at.bucket_of(_BUCKETS) < _CHANGED, F.col("review_id")
+    old = wanted.where(~(few & (i % 3 == 0))).withColumn("metadata_hash", F.when(few & (i % 3 == 1), "old").otherwise(F.col("metadata_hash")))
+    embed = lambda value: lambda rows: rows.withColumn("embedding", F.array(F.lit(value)))
+    index.synchronise_buckets(old, at, embed(0.5), "hashed words", "1")
+    index.synchronise_buckets(wanted, at, embed(1.0), "hashed words", "1")
+    number = F.regexp_extract(F.input_file_name(), "/data/([0-9]+)-[0-9a-f]+/bucket=", 1).cast("long")
+    return at.read().select("document_id", "metadata_hash", F.col("embedding")[0].cast("double").alias("vector"), number.alias("written"))
+
+
 # --- retrieval ----------------------------------------------------------------------------------------------------
 
 
@@ -763,6 +785,45 @@ def glossary_fix(s, d):
     return rows.select("doc_id", F.sha2(retrieval.glossary_fix(F.col("source"), F.col("translation")), 256).alias("fixed_sha256"))
 
 
+_QUESTIONS = [
+    "Perch\u00e9 il rating medio è sceso a marzo 2018 per i mobili per ufficio?", "Quali problemi citano le recensioni negative su LETTO BAGNO e tavola tra 2017-11 e 2018-02?",
+    "Qual è il volume ordini di informatica_e_accessori?", "I ritardi di consegna incidono sulla valutazione? gennaio 2018 e dicembre 2017", "Perché aumentano le recensioni negative per prodotto incompleto e rimborso?",
+    "Qual è il valore medio degli ordini di profumi?", "",
+]
+_names = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+_subject = lambda name: " AND ".join("(" + " OR ".join(f"contains(p, '{stem}')" for stem in group) + ")" for group in answers.STEMS[name]) + (" OR theme IS NOT NULL" if name == "complaint" else "")
+_asked = " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(f'({_subject(n)})' for n in c) + ')' for c in choices)} THEN ['{i}', '{m}']" for i, m, *choices in answers.ASKED)
+_MONTH = f"({'|'.join(answers.MONTHS)})"
+
+
+@query("questions_interpreted", f"""WITH q AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS n, [{", ".join(f"'{x}'" for x in _QUESTIONS)}][(conv_id + turn) % {len(_QUESTIONS)} + 1] || ' ' || coalesce(text, '') AS text FROM conversations),
+f AS (SELECT *, strip_accents(lower(text)) AS p FROM q),
+c(name, place, category) AS (VALUES {_names((n, k, c) for k, (n, c) in enumerate(answers.CATEGORIES.items()))}), t(name, theme) AS (VALUES {_names((n, t) for t, names in answers.THEME_NAMES.items() for n in names)}),
+cats AS (SELECT conv_id, turn, n, max_by(category, length(name) * 1000 - place) AS category FROM f JOIN c ON contains(replace(p, '_', ' '), name) GROUP BY ALL),
+ths AS (SELECT conv_id, turn, n, max([lpad(CAST(length(name) AS VARCHAR), 4, '0'), theme])[2] AS theme FROM f JOIN t ON contains(p, name) GROUP BY ALL),
+m AS (SELECT *, regexp_extract_all(text, '\\b(?:19|20)[0-9]{{2}}-(?:0[1-9]|1[0-2])\\b') AS iso, regexp_extract_all(p, '\\b{_MONTH}\\s+(?:19|20)[0-9]{{2}}\\b') AS named FROM f LEFT JOIN cats USING (conv_id, turn, n) LEFT JOIN ths USING (conv_id, turn, n)),
+d AS (SELECT *, CASE WHEN len(iso) > 0 THEN iso ELSE list_transform(named, lambda x: right(x, 4) || '-' || lpad(CAST(list_position({answers.MONTHS}, regexp_extract(x, '^[a-z]+')) AS VARCHAR), 2, '0')) END AS months, CASE {_asked} ELSE ['unsupported', 'unknown'] END AS asked FROM m)
+SELECT conv_id, turn, asked[1] AS intent, asked[2] AS metric, theme, category, months[1] AS start_month, coalesce(months[2], months[1]) AS end_month, coalesce(months[1] <= coalesce(months[2], months[1]), true) AS valid FROM d WHERE trim(text) <> ''
+UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, NULL, NULL, NULL, false FROM d WHERE trim(text) = ''""", False)
+def questions_interpreted(s, d):
+    """Every turn behind a planted question (six of seven turns): what it asks for."""
+    planted = F.element_at(F.array(*[F.lit(q) for q in _QUESTIONS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_QUESTIONS))) + 1).cast("int"))
+    rows = table(s, d, "conversations").select("conv_id", "turn", F.concat(planted, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    return questions.interpret_table(rows).select("conv_id", "turn", "question.*")
+
+
+@query("translations_stored", """SELECT doc_id, sha256(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS translated_sha256, CASE WHEN text IS NULL THEN 'empty' WHEN EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id % 2 = 0) THEN 'cached' ELSE 'translated' END AS status FROM documents d""", False)
+def translations_stored(s, d):
+    """All texts translated with a stored cache that already has those of even ids; translations are upper-cased A-Z."""
+    cache = BucketTable(s, f"{shared_folder(s)}/translations-{uuid.uuid4().hex}", "source_hash", 32)
+    rows = table(s, d, "documents").select("doc_id", F.col("text").alias("source_text"))
+    capitals = {k: k - 32 for k in range(97, 123)}
+    translator = lambda t: t.translate(capitals)
+    retrieval.translate_stored(rows.where("doc_id % 2 = 0"), cache, translator, "1", "it")
+    done, _ = retrieval.translate_stored(rows, cache, translator, "1", "it")
+    return done.select("doc_id", F.sha2("translated_text", 256).alias("translated_sha256"), "status")
+
+
 @query("hash_embedding", """, w AS (SELECT doc_id, unnest([('0x' || substr(sha256(w), 1, 8))::BIGINT % 128 for w in string_split(plain, ' ') if w <> '']) AS slot
   FROM (SELECT doc_id, """.replace(", w AS", "WITH w AS", 1) + _PLAIN.format(c="text") + """ AS plain FROM documents)), n AS (SELECT doc_id, slot, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT doc_id, string_agg(slot, ',' ORDER BY slot) AS slots, string_agg(CAST(round(n / norm * 10000) AS BIGINT), ',' ORDER BY slot) AS parts FROM (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS norm FROM n) GROUP BY 1""", False)
@@ -1026,11 +1087,17 @@ def stratified_sample(s, d):
     return sampling.round_robin(r, 100, "stratum", "review_id")
 
 
-@query("balanced_sample")
+#: Rows of each group in ``balanced_sample``.
+_PER = 12
+
+
+@query("balanced_sample", f"""WITH e AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS stratum_rank FROM documents WHERE doc_id % 2 = 0 QUALIFY stratum_rank <= {_PER}),
+t AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) AS stratum_rank FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM e) QUALIFY stratum_rank <= {_PER})
+SELECT doc_id, stratum, CAST(stratum_rank AS INTEGER) AS stratum_rank, stratum_rank <= 3 AS pilot FROM (SELECT 'even' AS stratum, * FROM e UNION ALL SELECT 'third', * FROM t)""", False)
 def balanced_sample(s, d):
-    """Twelve reviews of each of two groups that overlap, none twice."""
+    """Twelve documents of each of two groups that overlap, none twice."""
     t = table(s, d, "documents").select("doc_id", F.array(F.when(F.col("doc_id") % 2 == 0, "even"), F.when(F.col("doc_id") % 3 == 0, "third")).alias("groups"))
-    return sampling.balanced(t, ["even", "third"], 12, "groups", "doc_id")
+    return sampling.balanced(t, ["even", "third"], _PER, "groups", "doc_id")
 
 
 _SAMPLE = """WITH x AS (SELECT vec_id AS id, vec_id % 4 = 0 AS pilot, list_distinct(['l' || (label % 4), 'm' || (vec_id % 3)]) AS said, list_distinct(['l' || (label % 5), 'm' || (vec_id % 3)]) AS meant FROM embeddings)"""
