@@ -207,22 +207,23 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """(doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs``.
 
     The next document is the one with the next larger id; after the last comes the first. Repeated ids follow each other
-    in the order of their texts, null ids come first, a single row follows itself. Null texts are empty; two empty texts
+    in the order of their texts, or, where an id has so many rows that they are spread over several parts, of a hash of
+    those; null ids come first, a single row follows itself. Null texts are empty; two empty texts
     are alike (1), an empty and another are not (0). Ids and texts that are both equal are interchangeable. Very long texts
     are read whole, one at a time with the next. Other columns of ``docs`` are not read, whatever their names. An empty table
     gives no rows. Texts are shuffled once, to parts that ascend with the id; each part's first document is also sent to the
     part before.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    dealt, parts = parts_by_id(rows, "id", parts_for(docs))
-    heads = dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()
-    before = [(h["key"], heads[k - 1]["part"]) for k, h in enumerate(heads)]
+    dealt, parts = parts_by_id(rows, "id", parts_for(docs), "text")
+    heads = dealt.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("least")).orderBy("part").collect()
+    before = [(*h["least"], heads[k - 1]["part"]) for k, h in enumerate(heads)]
     # one row a part
-    back = docs.sparkSession.createDataFrame(before, "key long, before int")
-    sent = dealt.join(F.broadcast(back), "key", "left")
+    back = docs.sparkSession.createDataFrame(before, "key long, tie long, before int")
+    sent = dealt.join(F.broadcast(back), ["key", "tie"], "left")
     places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(1).alias("extra")))))
-    sent = sent.select("id", "key", "text", F.explode(places).alias("at")).select("at.part", "at.extra", "key", "id", "text")
-    sent = dealt_by(sent, parts).sortWithinPartitions("part", "extra", "key", "text")
+    sent = sent.select("id", "key", "tie", "text", F.explode(places).alias("at")).select("at.part", "at.extra", "key", "tie", "id", "text")
+    sent = dealt_by(sent, parts).sortWithinPartitions("part", "extra", "key", "tie", "text")
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

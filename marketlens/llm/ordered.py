@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
-
 LOWEST = -(1 << 63)
 
 
 def parts_by_id(df: DataFrame, doc_id: str, parts: int, ties: str | None = None) -> tuple[DataFrame, int]:
-    """``df`` with ``key`` (the id as long, null lowest) and ``part``, and the number of parts: they hold about as many ids
-    each and ascend with the id. Bounds come from quantiles of the ids alone; ids as doubles stay in order. An id that many
-    rows have is spread over parts of its own by a hash of the column ``ties``, where given."""
+    """``df`` with ``key`` (the id as long, null lowest), ``tie`` and ``part``, and the number of parts: they hold about as
+    many ids each and ascend with (key, tie).
+
+    Bounds come from quantiles of the ids alone; ids as doubles stay in order. They are broadcast, eight bytes a part, and
+    searched in Arrow batches of the keys, so the plan is of one size for any number of parts. tie is 0; where some id is that
+    of several quantiles and ``ties`` names a column, it is a hash of that column for such ids, which are spread over parts of
+    their own by ranges of it.
+    """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
-    number, place = free_name(df, "_number"), free_name(df, "_place")
-    bounds = df.select(key.cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    found = df.select(key.cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     df = df.withColumn("key", key)
-    splits = sorted(set(bounds))
-    if not splits:
-        return df.withColumn("part", F.lit(0)), 1
-    df = df.withColumn(number, F.col("key").cast("double"))
-    out = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol=number, outputCol=place).transform(df).withColumn(place, F.col(place).cast("int"))
+    if not found:
+        return df.withColumns({"tie": F.lit(0).cast("long"), "part": F.lit(0)}), 1
+    bounds, times = np.unique(np.array(found), return_counts=True)
     # of each bound: the parts of its id alone, where it is the bound of several quantiles, before the part of what follows
-    own = [0] + [bounds.count(b) if ties and bounds.count(b) > 1 else 0 for b in splits]
-    first = [k + sum(own[:k]) for k in range(len(own))]
-    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col(place))
-    part = at(first)
-    if any(own):
-        spread = F.pmod(F.xxhash64(ties), F.greatest(at(own), F.lit(1))).cast("int")
-        alone = (at(own) > 0) & (F.col(number) == at([0.0, *splits]))
-        part = part + F.when(alone, spread).otherwise(at(own))
-    return out.withColumn("part", part.cast("int")).drop(number, place), len(own) + sum(own)
+    own = np.where((times > 1) & (ties is not None), times, 0)
+    first = np.r_[0, 1 + np.arange(len(bounds)) + np.cumsum(np.r_[0, own[:-1]])]
+    shared = df.sparkSession.sparkContext.broadcast((bounds, own, first))
+
+    @F.pandas_udf("int")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        bounds, own, first = shared.value
+        for key, tie in batches:
+            x = key.to_numpy().astype(np.float64)
+            at = np.searchsorted(bounds, x, side="right")  # 0: below all bounds
+            low = np.maximum(at - 1, 0)
+            spare = np.where(at > 0, own[low], 0)
+            # ranges of the tie's upper half, so that parts ascend with it
+            range_of = ((tie.to_numpy() >> 32) + (1 << 31)) * np.maximum(spare, 1) >> 32
+            yield pd.Series(first[at] + np.where((spare > 0) & (bounds[low] == x), range_of, spare)).astype("int32")
+
+    hot = bounds[own > 0]
+    tie = F.lit(0).cast("long")
+    if len(hot):
+        hot_ids = df.sparkSession.sparkContext.broadcast(hot)
+
+        @F.pandas_udf("boolean")
+        def is_hot(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for key in batches:
+                yield pd.Series(np.isin(key.to_numpy().astype(np.float64), hot_ids.value))
+
+        tie = F.when(is_hot("key"), F.xxhash64(ties)).otherwise(F.lit(0).cast("long"))
+    df = df.withColumn("tie", tie)
+    return df.withColumn("part", place("key", "tie")), int(len(bounds) + 1 + own.sum())
 
 
 def dealt_by(df: DataFrame, parts: int, part: str = "part") -> DataFrame:

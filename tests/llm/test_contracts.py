@@ -606,3 +606,29 @@ def test_hot_ids_are_spread_in_order(spark):
     got = range_coder.read_files(range_coder.write_files(docs.withColumnRenamed("id", "doc_id"), public_tokenizers.path("byte_bpe_50k.json"))).orderBy("start").collect()
     ids = [LOWEST if r["doc_id"] is None else r["doc_id"] for r in got]
     assert ids == sorted(ids) and [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+
+
+def test_fingerprints_of_a_hot_id_are_spread(spark):
+    from marketlens.llm import bloom_lookup
+    from marketlens.llm.ordered import LOWEST, dealt_by, parts_by_id
+
+    rows = [(7, f"line {k}\nshared\n" * (k % 3 + 1)) for k in range(400)] + [(k, f"t{k}\nshared") for k in range(200)] + [(7, "same")] * 30 + [(None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    placed, n = parts_by_id(docs.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", 6, "text")
+    held = dealt_by(placed, n).collect()
+    most = Counter(r["part"] for r in held if r["doc_id"] == 7)
+    assert len(most) > 1 and max(most.values()) < 400 and n < 40
+    order = sorted(((r["key"], r["tie"], r["text"], r["part"]) for r in held))
+    assert [r[3] for r in order] == sorted(r[3] for r in order)
+    following = [*order[1:], order[0]]
+    expected = Counter((None if a[0] == LOWEST else a[0], bloom_lookup.edit_of(a[2], b[2]), round(bloom_lookup.likeness(bloom_lookup.digests(a[2]), bloom_lookup.digests(b[2])), 12)) for a, b in zip(order, following, strict=True))
+    got = Counter((r["doc_id"], r["edited"], round(r["near_next"], 12)) for r in bloom_lookup.fingerprint_versions(docs).collect())
+    assert got == expected
+
+
+def test_the_plan_of_parts_does_not_grow_with_them(spark):
+    from marketlens.llm.ordered import parts_by_id
+
+    docs = spark.range(20_000).select(F.col("id"), F.col("id").cast("string").alias("text"))
+    plans = [parts_by_id(docs, "id", k, "text")[0]._jdf.queryExecution().analyzed().toString() for k in (4, 400)]
+    assert len(plans[1]) < 1.2 * len(plans[0])
