@@ -120,41 +120,3 @@ def insufficient(question: Question, reviews: int, negative_text_reviews: int, r
         (not candidates, f"no mentions of {question.theme}" if question.theme else "no theme with support"),
     )
     return next((why for holds, why in reasons if holds), None)
-
-
-def metric_sentence(name: str, value: float | None, before: float | None = None, percent: bool = False) -> str:
-    """A sentence on a metric and its change, in points for shares; n.d. where unknown."""
-
-    def shown(x: float | None, signed: bool = False) -> str:
-        if x is None:
-            return "n.d."
-        return f"{x * 100:{'+' if signed else ''}.1f}{' points' if signed else '%'}" if percent else f"{x:{'+' if signed else ''}.2f}"
-
-    change = None if value is None or before is None else value - before
-    return f"{name}: {shown(value)} (baseline {shown(before)}, change {shown(change, True)})."
-
-
-def fallback_answer(question: Question, ranked: list[tuple[str, float]], snippets: list[str]) -> str:
-    """The deterministic answer from ranked themes and evidence, without a language model."""
-    named = [t.replace("_", " ") for t, _ in ranked[:3]]
-    listed = ", ".join(named[:-1]) + (" and " if len(named) > 1 else "") + named[-1] if named else "no theme"
-    quotes = " ".join(f"«{s[:180].strip()}»" for s in snippets[:2])
-    return f"Customers with negative reviews mention {listed}. These mentions go along with the observed figures and are no proof of a cause. {quotes}".strip()
-
-
-def valid_answer(text: str, cited: list[str], allowed: list[str], top_theme: str, least: int = 100) -> list[str]:
-    """What is wrong with a written answer: digits, length, sentences, causal words, citations, missing top theme."""
-    wrong = []
-    if re.search(r"\d", text):
-        wrong.append("digits")
-    if len(text) < least:
-        wrong.append("too short")
-    if len(re.findall(r"[.!?](?:\s|$)", text)) < 2:
-        wrong.append("fewer than two sentences")
-    if re.search(r"\b(?:because of|caused by|causes?|due to|a causa di|dovut[oaie] a)\b", text.lower()):
-        wrong.append("causal words")
-    if sorted(cited) != sorted(allowed):
-        wrong.append("citations")
-    if top_theme.replace("_", " ") not in text.lower():
-        wrong.append("top theme missing")
-    return wrong
