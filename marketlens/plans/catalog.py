@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import scalar as S
 from marketlens.functions import theme_rules as R
 from marketlens.operators import documents as D
-from marketlens.operators import answers, cube, eda, enrich, index, ivf, kpi, manifests, quality, questions, retrieval, sampling, scaling, themes
+from marketlens.operators import answers, cube, eda, enrich, index, ivf, kpi, manifests, presentation, quality, questions, retrieval, sampling, scaling, themes
 from marketlens.operators import evaluation as E
 from marketlens.session import shared_folder, table, written
 from marketlens.sources import domain as V
@@ -195,6 +195,18 @@ def kpi_period_vs_baseline(s, d):
     return kpi.analyze(facts, enrich.review_facts(V.scored_links(s, d), facts), PERIOD)
 
 
+_shown = lambda x, d, sign="": f"printf('%{sign}.{d}f', floor(({x}) * {10**d} + 0.5) / {float(10**d)})"
+_text = lambda c, sign="": f"CASE WHEN {c} IS NULL THEN 'n.d.' WHEN kind = 'percentage' THEN {_shown(c + ' * 100', 2, sign)} || '%' WHEN kind = 'integer' THEN replace(format('{{:,}}', CAST(floor({c}) AS BIGINT)), ',', '.') ELSE {_shown(c, 3, sign)} END"
+_CARDS = ", ".join(f"({i}, '{k}', '{label}', '{kind}')" for i, (k, (label, kind)) in enumerate(presentation.CARDS.items()))
+
+
+@query("kpi_shown", f"""SELECT place, metric, label, {_text("value")} AS value, {_text("baseline")} AS baseline, {_text("change", "+")} AS change
+FROM (SELECT place, metric, label, kind, CAST(value AS DOUBLE) AS value, CAST(baseline AS DOUBLE) AS baseline, CASE WHEN metric <> 'order_volume' THEN CAST(change AS DOUBLE) END AS change FROM ({ORACLES["kpi_period_vs_baseline"]}) JOIN (VALUES {_CARDS}) AS c(place, metric, label, kind) USING (metric))""", False)
+def kpi_shown(s, d):
+    """The cards of the period's report, as texts."""
+    return presentation.shown_kpis(kpi_period_vs_baseline(s, d))
+
+
 def kpi_filters(s: SparkSession, d: str) -> DataFrame:
     """Four filters for each nation: the state, the state and three months, a category and a month, both and some years."""
     n = table(s, d, "nation").join(table(s, d, "part").select((F.col("p_partkey") - 1).cast("int").alias("n_nationkey"), F.lower("p_type").alias("category")), "n_nationkey", "left")

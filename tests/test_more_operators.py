@@ -310,17 +310,20 @@ def test_more_metrics(spark):
         E.theme_sample_score(spark.createDataFrame([(1, True, ["a"])], "id int, pilot boolean, themes array<string>"), spark.createDataFrame([(2, ["a"])], "id int, themes array<string>"))
 
 
-def test_presentation():
-    assert presentation.query_id(" x ", {"a": None}) == presentation.query_id("x", {"a": None}) and len(presentation.query_id("x", {})) == 12
-    shown = {c["key"]: c for c in presentation.cards(METRICS)}
-    assert (shown["negative_review_rate"]["value"], shown["negative_review_rate"]["delta"]) == ("40.00%", "+10.00%") and shown["order_volume"]["value"] == "7" and shown["late_delivery_rate"]["value"] == "n.d."
-    assert presentation.displayed(1234567, "integer") == "1.234.567"
-    assert presentation.comparison_rows(METRICS)[0]["Variazione"] == "-0.500"
-    assert presentation.theme_rows(RANKED, True)[0] == {"Tema": "mancata consegna", "Menzioni": "2", "Quota nel gruppo": "66.67%", "Variazione vs baseline": "+41.67%"}
-    assert "Variazione vs baseline" not in presentation.theme_rows(RANKED, False)[0]
-    q = answers.Question("q", "descriptive_only", "order_volume", "non_delivery", kpi.Filters("office_furniture", "SP", "2018-02", "2018-03"))
-    assert presentation.scope(q) == "Office furniture · mancata consegna · Stato: SP · Da febbraio 2018 a marzo 2018"
-    assert presentation.rating(4) == "⭐ 4/5" and presentation.rating(None) == presentation.rating(9) == "Valutazione n.d."
+def test_presentation(spark):
+    rows = [("average_rating", 3.5, 4.0, -0.5), ("negative_review_rate", 0.4, 0.3, 0.1), ("late_delivery_rate", None, None, None), ("order_volume", 1234567.0, 3.0, 4.0), ("delivered", 1.0, 1.0, 0.0)]
+    report = spark.createDataFrame(rows, "metric string, value double, baseline double, change double")
+    got = {r["metric"]: tuple(r)[2:] for r in presentation.shown_kpis(report).collect()}
+    assert got == {
+        "average_rating": ("Rating medio", "3.500", "4.000", "-0.500"), "negative_review_rate": ("Recensioni negative", "40.00%", "30.00%", "+10.00%"), "late_delivery_rate": ("Consegne tardive", "n.d.", "n.d.", "n.d."),
+        "order_volume": ("Numero di ordini", "1.234.567", "3", "n.d."),
+    }
+    assert presentation.shown_kpis(report.limit(0)).count() == 0
+    themes = spark.createDataFrame([("non_delivery", 2, 2 / 3, 5 / 12), ("unheard", 1, None, None)], "theme string, mentions long, rate double, change double")
+    assert [tuple(r) for r in presentation.shown_themes(themes).orderBy("theme").collect()] == [("non_delivery", "mancata consegna", "2", "66.67%", "+41.67%"), ("unheard", "unheard", "1", "n.d.", "n.d.")]
+    filters = spark.createDataFrame([("office_furniture", "non_delivery", "SP", "2018-02", "2018-03"), (None, None, None, "2018-02", None), (None, "x", None, None, None)], "category string, theme string, state string, a string, b string")
+    got = [r[0] for r in filters.select(presentation.scope(*[F.col(c) for c in ("category", "theme", "state", "a", "b")])).collect()]
+    assert got == ["Office furniture · mancata consegna · Stato: SP · Da febbraio 2018 a marzo 2018", "Tutte le categorie · febbraio 2018", "Tutte le categorie · x"]
 
 
 @pytest.mark.parametrize("demo", presentation.DEMOS, ids=lambda d: d.name)
