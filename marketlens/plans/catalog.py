@@ -197,11 +197,12 @@ def kpi_period_vs_baseline(s, d):
 
 _shown = lambda x, d, sign="": f"printf('%{sign}.{d}f', floor(({x}) * {10**d} + 0.5) / {float(10**d)})"
 _text = lambda c, sign="": f"CASE WHEN {c} IS NULL THEN 'n.d.' WHEN kind = 'percentage' THEN {_shown(c + ' * 100', 2, sign)} || '%' WHEN kind = 'integer' THEN replace(format('{{:,}}', CAST(floor({c}) AS BIGINT)), ',', '.') ELSE {_shown(c, 3, sign)} END"
+_RENAMED = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in presentation.REPORTED.items())
 _CARDS = ", ".join(f"({i}, '{k}', '{label}', '{kind}')" for i, (k, (label, kind)) in enumerate(presentation.CARDS.items()))
 
 
 @query("kpi_shown", f"""SELECT place, metric, label, {_text("value")} AS value, {_text("baseline")} AS baseline, {_text("change", "+")} AS change
-FROM (SELECT place, metric, label, kind, CAST(value AS DOUBLE) AS value, CAST(baseline AS DOUBLE) AS baseline, CASE WHEN metric <> 'order_volume' THEN CAST(change AS DOUBLE) END AS change FROM ({ORACLES["kpi_period_vs_baseline"]}) JOIN (VALUES {_CARDS}) AS c(place, metric, label, kind) USING (metric))""", False)
+FROM (SELECT place, metric, label, kind, CAST(value AS DOUBLE) AS value, CAST(baseline AS DOUBLE) AS baseline, CASE WHEN metric <> 'order_volume' THEN CAST(change AS DOUBLE) END AS change FROM (SELECT * REPLACE (CASE metric {_RENAMED} ELSE metric END AS metric) FROM ({ORACLES["kpi_period_vs_baseline"]})) JOIN (VALUES {_CARDS}) AS c(place, metric, label, kind) USING (metric))""", False)
 def kpi_shown(s, d):
     """The cards of the period's report, as texts."""
     return presentation.shown_kpis(kpi_period_vs_baseline(s, d))
