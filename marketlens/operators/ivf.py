@@ -16,6 +16,8 @@ from marketlens.session import written
 
 #: Most cells of an index, and most rows of a cell, or queries, that one task holds.
 CELLS, ROWS, QUERIES = 4096, 8192, 2048
+#: Most rows of a batch that a task hands back, and most cosines to centroids that it has at once.
+BATCH, SCORES = 4096, 1 << 20
 #: The cell of vectors without a direction (null or all zero): it comes after all others.
 NOWHERE = -1
 
@@ -45,6 +47,12 @@ def _units(column: pa.Array) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a table of their rows by ``cells`` has SCORES numbers at most (or is of one row)."""
+    rows = max(1, SCORES // max(1, cells))
+    return (batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+
+
 def centroids_of(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
     """Unit centroids by k-means on unit vectors, started from rows spread over the sample. Empty cells keep their centroid."""
     x = x[(x * x).sum(axis=1) > 0]
@@ -87,7 +95,7 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, re
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, cells):
             u = _units(batch.column("embedding"))
             if u.shape[1] != shared.value.shape[1] and u.any():
                 raise ValueError("vectors of different lengths")
@@ -117,25 +125,32 @@ def _lookup(blocks: dict[int, int], cell: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(v) for pair in more.items() for v in pair])[cell], F.lit(1))
 
 
+def probes_of(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, reach: np.ndarray, first: int, last: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """``_probed`` of batches with a column ``query``. A query's vector goes with each of its cells, so rows are handed back
+    BATCH at a time, however many cells there are."""
+    n = len(centroids) + 1
+    for batch in _pieces(batches, n):
+        u = _units(batch.column("query"))
+        there = u.any(axis=1) if u.shape[1] else np.zeros(len(u), bool)
+        near = u @ centroids.T if there.any() and len(centroids) else np.zeros((len(u), len(centroids)))
+        angle = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(reach - 1e-9, -1, 1))
+        bound = np.where(there[:, None], np.cos(np.clip(angle, 0, None)) + 1e-7, 2.0)
+        order = np.argsort(-(bound if exact else near), axis=1, kind="stable")
+        cell = np.concatenate([order, np.full((len(u), 1), NOWHERE)], axis=1)[:, first:last]
+        following = np.concatenate([np.sort(bound, axis=1)[:, ::-1], np.full((len(u), 1), -1.0)], axis=1)[:, last] if last < n else np.full(len(u), -2.0)
+        at, cell = np.repeat(np.arange(len(u)), cell.shape[1]), cell.ravel().astype(np.int32)
+        for k in range(0, len(at), BATCH):
+            some = at[k : k + BATCH]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in batch.columns), pa.array(cell[k : k + BATCH]), pa.array(following[some])], names=[*batch.schema.names, "cell", "bound"])
+
+
 def _probed(index: VectorIndex, queries: DataFrame, first: int, last: int, exact: bool) -> DataFrame:
     """Each query with the ``first`` to ``last`` of its cells, nearest first (in exact mode: highest bound first), and
     ``bound``, which no cosine in any later cell exceeds."""
     shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.reach))
-    n = len(index.centroids) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, reach = shared.value
-        for batch in batches:
-            u = _units(batch.column("query"))
-            there = u.any(axis=1) if u.shape[1] else np.zeros(len(u), bool)
-            near = u @ centroids.T if there.any() and len(centroids) else np.zeros((len(u), len(centroids)))
-            angle = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(reach - 1e-9, -1, 1))
-            bound = np.where(there[:, None], np.cos(np.clip(angle, 0, None)) + 1e-7, 2.0)
-            order = np.argsort(-(bound if exact else near), axis=1, kind="stable")
-            cell = np.concatenate([order, np.full((len(u), 1), NOWHERE)], axis=1)[:, first:last]
-            following = np.concatenate([np.sort(bound, axis=1)[:, ::-1], np.full((len(u), 1), -1.0)], axis=1)[:, last] if last < n else np.full(len(u), -2.0)
-            at = np.repeat(np.arange(len(u)), cell.shape[1])
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(cell.ravel().astype(np.int32)), pa.array(following[at])], names=[*batch.schema.names, "cell", "bound"])
+        return probes_of(batches, *shared.value, first, last, exact)
 
     return queries.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in queries.dtypes) + ", cell int, bound double")
 
