@@ -514,7 +514,8 @@ def _sentences(s: SparkSession, d: str, version: str) -> DataFrame:
     """Every document with a sentence of the language the rules are for before its text, each third one alone."""
     planted = F.element_at(F.array(*[F.lit(t) for t in _SENTENCES]), (F.col("doc_id") % len(_SENTENCES) + 1).cast("int"))
     text = F.when(F.col("doc_id") % 3 == 0, planted).otherwise(F.concat(planted, F.lit(" "), F.coalesce("text", F.lit(""))))
-    return table(s, d, "documents").select("doc_id", F.array_join(F.sort_array(themes.theme_array(text, version)), ",").alias("themes"))
+    rows = themes.with_theme_array(table(s, d, "documents").select("doc_id", text.alias("text")), F.col("text"), version)
+    return rows.select("doc_id", F.array_join(F.sort_array("themes"), ",").alias("themes"))
 
 
 for _name, _version, _rules, _positive in (("themes_rules_v2", "rules-pt-v2", R.RULES_V2, False), ("themes_rules_v3", "rules-pt-v3", R.RULES_V3, True)):

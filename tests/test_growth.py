@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from marketlens.operators import ivf
+from marketlens.operators import ivf, themes
+from marketlens.plans import catalog
 
 
 def test_probes_come_in_bounded_batches():
@@ -19,3 +21,14 @@ def test_probes_come_in_bounded_batches():
     pairs = set(zip(rows["query_id"].to_pylist(), rows["cell"].to_pylist(), strict=True))
     assert rows.num_rows == len(pairs) == 500 * 301
     assert rows["query"].slice(301 * 7, 1)[0].as_py() == queries["query"][7].as_py()
+
+
+def test_texts_are_normalised_once(spark):
+    """The plan of a table's themes has one pattern for what is no letter, and each rule once."""
+    rows = spark.createDataFrame([("Ainda não recebi",), (None,), ("Produto excelente",), ("ru",)], "t string")
+    made = themes.with_theme_array(rows, F.col("t"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("nunca chegou") == 1
+    assert [r["themes"] for r in made.collect()] == [r[0] for r in rows.select(themes.theme_array(F.col("t"))).collect()]
+    plan = catalog.QUERIES["themes_rules_v3"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
