@@ -40,13 +40,14 @@ def enriched_orders(s: SparkSession, d: str) -> DataFrame:
     return enrich.orders_enriched(V.orders(s, d), V.items(s, d), V.payments(s, d), V.customers(s, d), V.places(s, d))
 
 
-def facts(s: SparkSession, d: str) -> DataFrame:
-    """What is asked of orders most often, by one scan of each table."""
-    return enrich.order_facts(V.order_lines(s, d), V.customers(s, d))
+def facts(s: SparkSession, d: str, between: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """What is asked of orders most often (of those with ids ``between`` two, where given), by one scan of each table."""
+    return enrich.order_facts(V.order_lines(s, d, between=between), V.customers(s, d))
 
 
 def enriched_reviews(s: SparkSession, d: str) -> DataFrame:
-    return enrich.reviews_enriched(V.reviews(s, d), V.links(s, d), facts(s, d))
+    links = V.links(s, d)
+    return enrich.reviews_enriched(V.reviews(s, d), links, facts(s, d, enrich.order_span(links)))
 
 
 def annotated_reviews(s: SparkSession, d: str) -> DataFrame:

@@ -111,14 +111,15 @@ def scored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).select("review_id", "review_score", _order_ids(F.col("review_id")))
 
 
-def order_lines(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
-    """Orders (those where a condition on o_orderdate holds) with their lines' category, money and shipping date: the
-    condition reaches the scan, and lines are shuffled once for what items, deliveries and keys would each need."""
-    o = table(spark, sf_dir, "orders")
+def order_lines(spark: SparkSession, sf_dir: str, where: Column | None = None, between: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """Orders (those where a condition on o_orderdate holds, or with ids ``between`` two) with their lines' category, money and
+    shipping date: conditions reach the scans, and lines are shuffled once for what items, deliveries and keys would each need."""
+    inside = lambda c: F.lit(True) if between is None else F.col(c).between(*(F.lit(x).cast("long") for x in between))
+    o = table(spark, sf_dir, "orders").where(inside("o_orderkey"))
     o = (o if where is None else o.where(where)).select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.lower("o_orderstatus").alias("order_status"), F.col("o_orderdate").alias("purchase_ts"))
     base = F.col("l_extendedprice").cast("decimal(12,2)")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 11 != 0, F.lower("p_type")).alias("product_category"))
-    line = table(spark, sf_dir, "lineitem").select(
+    line = table(spark, sf_dir, "lineitem").where(inside("l_orderkey")).select(
         F.col("l_orderkey").alias("order_id"), "l_partkey", F.col("l_extendedprice").cast(MONEY).alias("price"), (base * F.col("l_tax").cast("decimal(4,2)")).cast(MONEY).alias("freight"), F.col("l_shipdate").alias("shipped"), F.lit(True).alias("is_line")
     )
     return o.join(line, "order_id", "left").join(part, "l_partkey", "left")
