@@ -650,9 +650,14 @@ def index_sync_actions(s, d):
     return D.sync_actions(*_index_sides(s, d))
 
 
+def _wanted(s: SparkSession, d: str) -> DataFrame:
+    """What an index compares of the documents: written once, as both sides and every step of a synchronisation read it."""
+    return written(rag_docs(s, d).select("document_id", "review_id", "document_hash", "metadata_hash"), "wanted")
+
+
 def _index_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Wanted documents, and an index in which some are missing, some have old text or metadata, and some are stale."""
-    wanted = rag_docs(s, d)
+    wanted = _wanted(s, d)
     i = F.col("review_id")
     old = wanted.where(i % 11 != 0).withColumns({"document_hash": F.when(i % 13 == 0, "old").otherwise(F.col("document_hash")), "metadata_hash": F.when(i % 17 == 0, "old").otherwise(F.col("metadata_hash"))})
     gone = wanted.where(i % 50 == 0).withColumn("document_id", F.concat(F.lit("gone_"), i.cast("string")))
@@ -686,7 +691,7 @@ def index_bucket_sync(s, d):
     """A stored index after a synchronisation in which documents of three buckets were added or changed: those buckets' files
     are of the second version, all others of the first. Stored vectors are 0.5, new ones 1."""
     at = BucketTable(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}", "document_id", _BUCKETS)
-    wanted = rag_docs(s, d).select("document_id", "review_id", "document_hash", "metadata_hash")
+    wanted = _wanted(s, d)
     few, i = at.bucket_of(_BUCKETS) < _CHANGED, F.col("review_id")
     old = wanted.where(~(few & (i % 3 == 0))).withColumn("metadata_hash", F.when(few & (i % 3 == 1), "old").otherwise(F.col("metadata_hash")))
     embed = lambda value: lambda rows: rows.withColumn("embedding", F.array(F.lit(value)))
