@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators import documents as D
+from marketlens.session import written
 from marketlens.sources.bucketed import BucketTable, Version
 from marketlens.sources.connectors import is_complete
 
@@ -76,9 +77,10 @@ def synchronise(wanted: DataFrame, at: Collection, embed: Callable[[DataFrame],
     rows than documents.
     """
     spark = wanted.sparkSession
-    if not wanted.groupBy("document_id").count().where("count > 1").isEmpty():
+    asked = written(wanted.select("document_id", "document_hash", "metadata_hash"), "hashes")
+    if not asked.groupBy("document_id").count().where("count > 1").isEmpty():
         raise ValueError("a document id is repeated")
-    counters = sync_summary(wanted, at.fingerprints(spark)).first().asDict()
+    counters = sync_summary(asked, at.fingerprints(spark)).first().asDict()
     applied(wanted, at.read(spark), embed, at.model, at.version).write.mode("errorifexists").parquet(to)
     rows = spark.read.parquet(to)
     if (n := rows.count()) != counters["documents_expected"]:
@@ -89,22 +91,22 @@ def synchronise(wanted: DataFrame, at: Collection, embed: Callable[[DataFrame],
 def synchronise_buckets(wanted: DataFrame, at: BucketTable, embed: Callable[[DataFrame], DataFrame], model: str, version: str) -> tuple[Version, dict[str, int]]:
     """Bring the stored table ``at`` (of key ``document_id``) to what ``wanted`` says, and tell its version and the counters.
 
-    Hashes are compared first, from three columns of the stored files; only the buckets with a document to add, change or
+    Hashes are compared first, those of ``wanted``, written once, with three columns of the stored files; only the buckets with a document to add, change or
     remove are read and written. Where nothing changed no version is made. A change of the model is an error, as in
     ``Collection``. Readers of the old version keep it until ``at.vacuum()``. A repeated document id is an error before
     anything is written. One count a bucket comes to the driver.
     """
-    base = at.version()
-    if not wanted.groupBy("document_id").count().where("count > 1").isEmpty():
+    base, hashes = at.version(), ["document_id", "document_hash", "metadata_hash"]
+    asked = written(wanted.select(*hashes), "hashes")
+    if not asked.groupBy("document_id").count().where("count > 1").isEmpty():
         raise ValueError("a document id is repeated")
     stored = at.read(base) if base else None
     if stored is not None and not stored.where((F.col("model") != model) | (F.col("model_version") != version)).isEmpty():
         raise ValueError(f"{at.path} holds vectors of another model")
     buckets = base.buckets if base else at.buckets
-    hashes = ["document_id", "document_hash", "metadata_hash"]
-    old = stored.select(*hashes) if stored is not None else wanted.select(*hashes).limit(0)
+    old = stored.select(*hashes) if stored is not None else asked.limit(0)
     kinds = ("upsert", "update_metadata", "skip", "delete")
-    each = D.sync_actions(wanted, old).groupBy(at.bucket_of(buckets).alias("bucket")).agg(*[F.count_if(F.col("action") == a).alias(a) for a in kinds]).collect()
+    each = D.sync_actions(asked, old).groupBy(at.bucket_of(buckets).alias("bucket")).agg(*[F.count_if(F.col("action") == a).alias(a) for a in kinds]).collect()
     n = {a: sum(r[a] for r in each) for a in kinds}
     expected = n["upsert"] + n["update_metadata"] + n["skip"]
     counters = {
