@@ -12,6 +12,10 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space other than the space and the line end.
 _OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _OTHER_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -119,6 +123,9 @@ _SIMPLE = re.compile(r"""( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)(
 _SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+_LATIN, _SIGNS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+", '.,;:!?|*%$&#"()-'
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library as little-endian unsigned 32-bit integers.
 
@@ -141,6 +148,11 @@ class LibraryEncoder:
     def __call__(self, parts: list[str]) -> list[bytes]:
         return [self.pack(self.ids(p)) for p in parts]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of Latin words after a space."""
+        tokenize, space = self.tokenizer.model.tokenize, self.space
+        return [self.pack([t.id for t in tokenize(space + self.spelt(w))]) for w in words]
+
     def text(self, text: str) -> bytes:
         """A whole text's ids by the library's own encoding."""
         return self.pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -180,6 +192,98 @@ class LibraryEncoder:
         return found
 
 
+def _joined(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of a table that begin at ``starts``, one after the other."""
+    at = np.repeat(starts - (sizes.cumsum() - sizes), sizes)
+    at += np.arange(len(at))
+    return table.take(at)
+
+
+class EndedTexts:
+    """Whole texts' ids and an end id after each, for vocabularies that join a space with the word after it.
+
+    Arrow cuts the texts and finds the distinct words, which are looked up in a memory of at most ``size`` words; only those
+    not in it are encoded. Signs after a Latin word have ids of their own. A word after a line end is kept with that, a
+    text's first word with the end id, which is then that of the text before.
+    """
+
+    def __init__(self, path: str, end: int, size: int = 1_000_000):
+        self.encoder, self.end, self.size = LibraryEncoder(path, False, "\u0120"), end, size
+        self.before = {"\r": self.encoder.pack([end]), "\n": self.encoder(["\n"])[0]}
+        self.known, self.used = pa.array([], pa.string()), np.zeros(0, bool)
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        rows, added = texts.to_pylist(), self.encoder.added
+        odd = {i for i, t in enumerate(rows) if not t or uneven(t) or any(x in t for x in added)}
+        even = iter(self._even([t for i, t in enumerate(rows) if i not in odd]))
+        return [self._odd(t or "") if i in odd else next(even) for i, t in enumerate(rows)]
+
+    def _odd(self, text: str) -> np.ndarray:
+        whole = self.encoder.text(text) if any(x in text for x in self.encoder.added) else self.encoder([text])[0]
+        return np.append(np.frombuffer(whole, "<u4"), np.uint32(self.end))
+
+    def _even(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        pieces = pc.split_pattern(pa.array(["\r" + t.replace("\n", " \n") for t in texts], pa.string()), " ")
+        named = pieces.flatten().dictionary_encode()
+        ids, size = self._distinct(named.dictionary)
+        which, offsets = named.indices.to_numpy(), pieces.offsets.to_numpy()
+        sizes = size.take(which)
+        flat = np.append(_joined(ids, (size.cumsum() - size).take(which), sizes)[1:], np.uint32(self.end))
+        ends = sizes.cumsum().take(offsets[1:] - offsets[0] - 1).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and how many each has."""
+        words = pc.utf8_rtrim(pieces, _SIGNS)
+        latin = pc.and_(pc.match_substring_regex(words, _LATIN + "$"), pc.less(pc.binary_length(words), 1000))
+        words = pc.if_else(latin, words, pieces)
+        at = self._places(words, latin)
+        signed = pc.not_equal(words, pieces)
+        signs = pc.replace_substring_regex(pieces.filter(signed), _LATIN, "").dictionary_encode()
+        after = self.encoder(signs.dictionary.to_pylist())
+        table = np.concatenate([self.ids, np.frombuffer(b"".join(after), "<u4")])
+        more = np.fromiter(map(len, after), np.int64, len(after)) >> 2
+        starts, sizes = np.zeros((len(pieces), 2), np.int64), np.zeros((len(pieces), 2), np.int64)
+        starts[:, 0], sizes[:, 0] = (self.sizes.cumsum() - self.sizes).take(at), self.sizes.take(at)
+        if len(after):
+            rows, which = np.flatnonzero(signed.to_numpy(zero_copy_only=False)), signs.indices.to_numpy()
+            starts[rows, 1], sizes[rows, 1] = (more.cumsum() - more).take(which) + len(self.ids), more.take(which)
+        return _joined(table, starts.ravel(), sizes.ravel()), sizes.sum(axis=1)
+
+    def _places(self, words: pa.Array, latin: pa.Array) -> np.ndarray:
+        """Where the words are in the memory, which takes in those that were not."""
+        if len(self.known) > self.size:  # keep what was met again since it was taken in
+            starts, kept = self.sizes.cumsum() - self.sizes, self.used
+            self.ids, self.sizes = _joined(self.ids, starts[kept], self.sizes[kept]), self.sizes[kept]
+            self.known, self.used = self.known.filter(pa.array(kept)), np.zeros(int(kept.sum()), bool)
+        found = pc.index_in(words, value_set=self.known)
+        at, n = pc.fill_null(found, -1).to_numpy().astype(np.int64), len(self.known)
+        gone = at < 0
+        self.used[at[~gone]] = True
+        if gone.any():
+            simple = latin.to_numpy(zero_copy_only=False)
+            plain, other = (pc.unique(words.filter(pa.array(gone & x))) for x in (simple, ~simple))
+            made = self.encoder.words(_strings(plain)) + self._others(_strings(other))
+            new = pa.concat_arrays([plain, other])
+            at[gone] = pc.index_in(words.filter(pa.array(gone)), value_set=new).to_numpy().astype(np.int64) + n
+            self.known, self.used = pa.concat_arrays([self.known, new]), np.append(self.used, np.zeros(len(new), bool))
+            self.sizes = np.append(self.sizes, np.fromiter(map(len, made), np.int64, len(made)) >> 2)
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(made), "<u4"))
+        return at
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
+        before = self.before
+        made = self.encoder([x[1:] if x[0] in before else " " + x for x in pieces])
+        return [before[x[0]] + ids if x[0] in before else ids for x, ids in zip(pieces, made, strict=True)]
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def byte_level(path: str) -> LineChunks:
     """For vocabularies that keep white space and case."""
     encoder = LibraryEncoder(path, False, "\u0120")
