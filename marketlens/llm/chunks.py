@@ -151,6 +151,8 @@ class LibraryEncoder:
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of Latin words after a space."""
         tokenize, space = self.tokenizer.model.tokenize, self.space
+        if not self.lower:
+            return [array("I", [t.id for t in tokenize(space + (w if w.isascii() else self.spelt(w)))]).tobytes() for w in words]
         return [self.pack([t.id for t in tokenize(space + self.spelt(w))]) for w in words]
 
     def text(self, text: str) -> bytes:
@@ -194,8 +196,10 @@ class LibraryEncoder:
 
 def _joined(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of a table that begin at ``starts``, one after the other."""
-    at = np.repeat(starts - (sizes.cumsum() - sizes), sizes)
-    at += np.arange(len(at))
+    ends = sizes.cumsum()
+    kind = np.int32 if max(len(table), *ends[-1:], 0) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
     return table.take(at)
 
 
